@@ -7,7 +7,9 @@ from importlib import import_module
 #: Module, query function, name of its SQL in the module (or None).
 TABLE = [
     ("mixing", "op5_source_mixing", "OP5_SQL"),
+    ("minhash_dedup", "op6_minhash_dedup", None),
     ("chat_format", "op7_chat_formatting", "OP7_SQL"),
+    ("suffix_dedup", "op8_suffix_dedup", None),
     ("url_filters", "op10_url_filters", "OP10_SQL"),
 ]
 
