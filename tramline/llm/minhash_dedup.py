@@ -71,14 +71,14 @@ def _binary(a: np.ndarray) -> pa.Array:
 
 
 def _signed(k: int):
-    """doc_id, text -> doc_id, n_shingles, cls (digest), sig."""
+    """doc_id, th, text -> doc_id, th, n_shingles, cls (digest), sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, buf, offs in slices(b.column("text")):
                 vals, edge = shingle_sets(buf, offs, k)
-                cols = [b.column("doc_id").slice(i, j - i), pa.array(np.diff(edge)), _binary(_digest(vals, edge)), _binary(_signatures(vals, edge))]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "cls", "sig"])
+                cols = [b.column("doc_id").slice(i, j - i), b.column("th").slice(i, j - i), pa.array(np.diff(edge)), _binary(_digest(vals, edge)), _binary(_signatures(vals, edge))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "n_shingles", "cls", "sig"])
 
     return run
 
@@ -231,7 +231,8 @@ def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, perc
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Per document (doc_id, text): doc_id, n_shingles (distinct k-word shingles), component_id (smallest doc_id it reaches
-    over links of similarity percent / 100 or more), kept (it is that document).
+    over links of similarity percent / 100 or more), kept (it is that document); besides th (xxhash64 of the text) and group
+    (a number for each component in this result, null for an empty set).
 
     Words: A-Z lower-cased, runs of other than 0x20 and 0x09-0x0D. Fewer than k words: the whole sequence is the one
     shingle. No words or null text: an empty set, linked with nothing, kept. Repeated rows are members of one component
@@ -240,7 +241,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     need = needed_matches(percent / 100)
     docs = docs.select("doc_id", "text")
-    signed = written(docs.mapInArrow(_signed(k), "doc_id long, n_shingles long, cls binary, sig binary"), "signed")
+    signed = written(docs.withColumn("th", F.xxhash64("text")).mapInArrow(_signed(k), "doc_id long, th long, n_shingles long, cls binary, sig binary"), "signed")
     # The signature is the same for all rows of a class. Numbered once written, so the numbers stay.
     own = signed.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"))
     classes = written(own.withColumn("nid", F.monotonically_increasing_id()), "classes")
@@ -283,12 +284,31 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     node = node.join(top.select(F.col("id").alias("c1"), "component"), "c1", "left").select("cls", "id", F.coalesce("component", "c1").alias("comp"))
     node = written(node, "nodes")
     low = node.groupBy("comp").agg(F.min("id").alias("component_id"))
-    node = node.join(low, "comp").select("cls", "component_id")
-    out = signed.select("doc_id", "n_shingles", "cls").join(node, "cls", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    node = node.join(low, "comp").select("cls", "component_id", F.col("comp").alias("group"))
+    out = signed.select("doc_id", "th", "n_shingles", "cls").join(node, "cls", "left")
+    out = out.select("doc_id", "th", "n_shingles", "group", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """`docs` (doc_id, text and any others) with one document of each component: the smallest doc_id, then smallest text hash.
+
+    Rows without an id come after those with one. Equal rows count as one document. Documents without words stay.
+    """
+    found = written(near_duplicates(docs, k, percent), "near")
+    best = found.filter("n_shingles > 0").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("b"))
+    keep = best.select(F.col("b.doc_id").alias("k_id"), F.col("b.th").alias("k_th"))
+    keep = keep.union(found.filter("n_shingles = 0").select("doc_id", "th").distinct())
+    rows = docs.withColumn("th", F.xxhash64("text"))
+    out = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("th") == F.col("k_th")), "left_semi")
+    again = found.filter("n_shingles > 0").groupBy("doc_id", "th").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("a_id"), F.col("th").alias("a_th"))
+    if not again.isEmpty():  # rows that repeat both: one of them stays
+        same = F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("th") == F.col("a_th"))
+        out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["doc_id", "th"]))
+    return out.select(*docs.columns)
+
+
 def op6_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents on 2-word shingles."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=2)
+    out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=2)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")

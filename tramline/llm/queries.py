@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Module, query function, name of its SQL in the module (or None).
 TABLE = [
+    ("spm", "op1_sentencepiece", None),
     ("lang_id", "op3_language_id", None),
     ("mixing", "op5_source_mixing", "OP5_SQL"),
     ("minhash_dedup", "op6_minhash_dedup", None),

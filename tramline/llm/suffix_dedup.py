@@ -261,7 +261,7 @@ def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
-            spans, kept = [], []
+            spans, kept, shown = [], [], []
             for text, ranges in zip(b.column("text"), b.column("ranges").to_pylist(), strict=True):
                 data = b"" if not text.is_valid else bytes(text.as_buffer())
                 merged: list[list[int]] = []
@@ -276,23 +276,25 @@ def _cut(length: int):
                     at = e
                 spans.append([{"start": s, "end": e} for s, e in merged])
                 kept.append(b"".join(rest) + data[at:])
+                shown.append(kept[-1].decode("utf-8", "ignore") if merged else None)
             keep = [i for i, n in enumerate(b.schema.names) if n != "ranges"]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(spans, kind), pa.array(kept, pa.binary())], names=[*(b.schema.names[i] for i in keep), "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(spans, kind), pa.array(kept, pa.binary()), pa.array(shown, pa.string())], names=[*(b.schema.names[i] for i in keep), "spans", "kept", "kept_text"])
 
     return run
 
 
 def repeated_spans(docs: DataFrame, length: int = 400, keep_first: bool = False) -> DataFrame:
-    """The columns of `docs` (doc_id, text and any others), spans (array of start, end: bytes to remove, maximal runs) and kept (the bytes left).
+    """The columns of `docs` (doc_id, text and any others), spans (array of start, end: bytes to remove, maximal runs), kept (the bytes left) and
+    kept_text (those as text, without characters that a cut splits; null if nothing goes).
 
     A byte goes if a `length`-byte string that covers it also starts at another place of any document's UTF-8 bytes
     (keep_first: at an earlier place, by doc_id, then place; so one copy stays). Matches don't cross documents; strings are
     judged on the input. Null and short texts (under `length` bytes) lose nothing; null text leaves empty bytes. Rows that
     repeat a text are copies of each other; rows that repeat doc_id and text get the same result (keep_first: they count as
-    one document). A null doc_id comes first. Columns named spans or kept are replaced. An empty table gives an empty table.
+    one document). A null doc_id comes first. Columns named spans, kept, kept_text, th or ranges are dropped. An empty table gives an empty table.
     """
     gram = min(GRAM, max(4, length // 4))
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("spans", "kept", "th", "ranges")])
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("spans", "kept", "kept_text", "th", "ranges")])
     keyed = docs.select("doc_id", "text").withColumn("th", F.xxhash64("text"))
     found = written(keyed.filter(F.octet_length("text") >= length).select("doc_id", "th", "text").mapInArrow(_runs(length, gram), RUNS), "runs")
 
@@ -332,7 +334,20 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep_first: bool = False)
     ranges = ranges.select(F.col("doc_id").alias("r_id"), F.col("th").alias("r_th"), "ranges")
     out = docs.withColumn("th", F.xxhash64("text")).join(ranges, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("th") == F.col("r_th")), "left").drop("r_id", "r_th", "th")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    return out.mapInArrow(_cut(length), T.StructType([*docs.schema.fields, T.StructField("spans", span), T.StructField("kept", T.BinaryType())]))
+    return out.mapInArrow(_cut(length), T.StructType([*docs.schema.fields, T.StructField("spans", span), T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType())]))
+
+
+def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
+    """`docs` with later copies of repeated byte strings taken out of text, and n_chars counted anew. The first copy stays.
+
+    A character that a cut splits is dropped. No row is dropped; null text stays null.
+    """
+    out = repeated_spans(docs, length, keep_first=True)
+    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.col("kept_text"))
+    out = out.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
