@@ -30,7 +30,7 @@ from tramline.session import written
 
 BANDS, ROWS, BATCH = 32, 4, 16
 #: The probability at which a pair at or over the threshold may be dropped in a batch.
-MISS = 1e-7
+MISS = 1e-6
 #: Members of a bucket that meet in one block, on either side.
 BLOCK = 512
 PERMS = BANDS * ROWS
@@ -101,17 +101,22 @@ def _sig_array(column: pa.Array) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint32)[offs[0] // 4 : offs[-1] // 4].reshape(len(column), PERMS)
 
 
+def _keys(sig: np.ndarray) -> np.ndarray:
+    """The bucket of each signature in each band."""
+    s = sig.astype(U64).reshape(-1, BANDS, ROWS)
+    h = np.broadcast_to(np.arange(BANDS, dtype=U64), s.shape[:2]).copy()
+    for r in range(ROWS):
+        h = mix64(h * U64(MULT) + s[:, :, r])
+    return h.view(np.int64)
+
+
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """nid, sig -> bucket, nid: one row a band."""
     for b in batches:
         if not b.num_rows:
             continue
-        s = _sig_array(b.column("sig")).astype(U64).reshape(-1, BANDS, ROWS)
-        h = np.broadcast_to(np.arange(BANDS, dtype=U64), s.shape[:2]).copy()
-        for r in range(ROWS):
-            h = mix64(h * U64(MULT) + s[:, :, r])
         nid = np.repeat(b.column("nid").to_numpy(), BANDS)
-        flat = h.reshape(-1).view(np.int64)
+        flat = _keys(_sig_array(b.column("sig"))).reshape(-1)
         for i in range(0, len(flat), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(flat[i : i + 100_000]), pa.array(nid[i : i + 100_000])], names=["bucket", "nid"])
 
@@ -175,9 +180,10 @@ def _verified(percent: int):
 
 
 def _block_pairs(need: list[int]):
-    """Rows sorted by (bucket, u, v) -> a, b: in each block, pairs of an outer member (side 0) and any member (side 1) of another component, that the bounds leave."""
+    """Rows sorted by (bucket, u, v) -> a, b: in each block, pairs of an outer member (side 0) and any member (side 1) of another component, that the bounds leave. A pair counts in the first bucket that it shares."""
 
-    def block(nid, comp, side, sig):
+    def block(bucket, nid, comp, side, sig):
+        keys = _keys(sig)
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         step = max(1, 200_000 // max(1, len(right)))
         for i in range(0, len(left), step):
@@ -186,7 +192,9 @@ def _block_pairs(need: list[int]):
             ok = comp[x] != comp[y]
             x, y = x[ok], y[ok]
             if len(x):
-                at = _survive(sig[x], sig[y], need) if len(x) * PERMS < 4_000_000 else np.concatenate([k + _survive(sig[x[k : k + 30_000]], sig[y[k : k + 30_000]], need) for k in range(0, len(x), 30_000)])
+                at = np.concatenate([k + _survive(sig[x[k : k + 30_000]], sig[y[k : k + 30_000]], need) for k in range(0, len(x), 30_000)])
+                shared = keys[x[at]] == keys[y[at]]
+                at = at[keys[x[at], shared.argmax(1)] == bucket]
                 yield np.minimum(nid[x[at]], nid[y[at]]), np.maximum(nid[x[at]], nid[y[at]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +203,7 @@ def _block_pairs(need: list[int]):
 
         def out(rows):
             nid, comp, side, sig = (np.concatenate(c) for c in zip(*rows, strict=True))
-            for a, b in block(nid, comp, side, sig):
+            for a, b in block(last[0], nid, comp, side, sig):
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 

@@ -7,11 +7,13 @@ from importlib import import_module
 #: Module, query function, name of its SQL in the module (or None).
 TABLE = [
     ("spm", "op1_sentencepiece", None),
+    ("topk", "op2_exact_topk", "OP2_SQL"),
     ("lang_id", "op3_language_id", None),
     ("mixing", "op5_source_mixing", "OP5_SQL"),
     ("minhash_dedup", "op6_minhash_dedup", None),
     ("chat_format", "op7_chat_formatting", "OP7_SQL"),
     ("suffix_dedup", "op8_suffix_dedup", None),
+    ("ann", "op9_nearest_neighbours", None),
     ("url_filters", "op10_url_filters", "OP10_SQL"),
 ]
 
