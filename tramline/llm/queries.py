@@ -9,6 +9,7 @@ TABLE = [
     ("spm", "op1_sentencepiece", None),
     ("topk", "op2_exact_topk", "OP2_SQL"),
     ("lang_id", "op3_language_id", None),
+    ("lm_score", "op4_lm_scoring", "OP4_SQL"),
     ("mixing", "op5_source_mixing", "OP5_SQL"),
     ("minhash_dedup", "op6_minhash_dedup", None),
     ("chat_format", "op7_chat_formatting", "OP7_SQL"),
