@@ -106,4 +106,6 @@ def with_views(names: list[str], sql: str) -> str:
     sql = sql.strip()
     if not head:
         return sql
+    if sql.lower().startswith("with recursive "):
+        return f"with recursive {head}, {sql[15:]}"
     return f"with {head}, {sql[5:]}" if sql.lower().startswith("with ") else f"with {head} {sql}"
