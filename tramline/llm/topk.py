@@ -113,7 +113,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: float = 256.0,
             for i in range(len(ids)):
                 b, above = found.get(i, (None, 0))
                 if b is None:  # fewer than k candidates: all of them
-                    enough[i], width[i] = False, 1.0
+                    enough[i], width[i], high[i] = False, 1.0, low[i]
                 else:
                     low[i], need[i] = low[i] + b * width[i], need[i] - above
                     high[i] = low[i] + width[i]
