@@ -278,3 +278,7 @@ def variant_resolve(variants: DataFrame, seen: DataFrame, group: list[str], end:
 
 def peak_flag(minute: Column) -> Column:
     return (minute >= AM_PEAK_HOUR[0]) & (minute < AM_PEAK_HOUR[1])
+
+
+def best_rows(df: DataFrame, keys: list[str], order: list[Column], k: int = 1) -> DataFrame:
+    return qualify(df, keys, order, k)
