@@ -169,70 +169,119 @@ def _verified(percent: int):
             for i, (x, y) in enumerate(zip(b.column("set_a"), b.column("set_b"), strict=True)):
                 x, y = (np.frombuffer(v.as_buffer(), U64) for v in (x, y))
                 # Sets of too different sizes can't reach the threshold.
-                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * both >= percent * (len(x) + len(y) - both):
-                        keep.append(i)
+                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) and _similar(x, y, percent):
+                    keep.append(i)
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("a").take(at), b.column("b").take(at)], names=["a", "b"])
 
     return run
 
 
-def _block_pairs(need: list[int]):
-    """Rows sorted by (bucket, u, v) -> a, b: in each block, pairs of an outer member (side 0) and any member (side 1) of another component, that the bounds leave. A pair counts in the first bucket that it shares."""
-
-    def block(bucket, nid, comp, side, sig):
-        keys = _keys(sig)
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        step = max(1, 200_000 // max(1, len(right)))
-        for i in range(0, len(left), step):
-            x = np.repeat(left[i : i + step], len(right))
-            y = np.tile(right, len(left[i : i + step]))
-            ok = comp[x] != comp[y]
-            x, y = x[ok], y[ok]
-            if len(x):
-                at = np.concatenate([k + _survive(sig[x[k : k + 30_000]], sig[y[k : k + 30_000]], need) for k in range(0, len(x), 30_000)])
-                shared = keys[x[at]] == keys[y[at]]
-                at = at[keys[x[at], shared.argmax(1)] == bucket]
-                yield np.minimum(nid[x[at]], nid[y[at]]), np.maximum(nid[x[at]], nid[y[at]])
+BLOCK_KEY = ("bucket", "u", "v")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[tuple, list]]:
+    """(key, columns) of each block, from rows sorted by (bucket, u, v): signatures as a matrix, sets as arrays, the rest as numpy."""
+    held: list = []
+    last = None
+
+    def made():
+        return last, [sum((c for c in col), []) if isinstance(col[0], list) else np.concatenate(col) for col in zip(*held, strict=True)]
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = np.stack([b.column(c).to_numpy() for c in BLOCK_KEY], 1)
+        cols = [_sig_array(b.column(c)) if c == "sig" else [np.frombuffer(x.as_buffer(), U64).copy() for x in b.column(c)] if c == "s" else b.column(c).to_numpy() for c in columns]
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            key = tuple(keys[s])
+            if held and key != last:
+                yield made()
+                held = []
+            last = key
+            held.append([c[s:e] if isinstance(c, list) else c[s:e].copy() for c in cols])
+    if held:
+        yield made()
+
+
+def _left_open(bucket: int, comp, side, sig, need: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of an outer member (side 0) and any member (side 1) of another component that the bounds leave. A pair counts in the first bucket that it shares."""
+    keys = _keys(sig)
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    step = max(1, 30_000 // max(1, len(right)))
+    for i in range(0, len(left), step):
+        some = left[i : i + step]
+        x, y = np.repeat(some, len(right)), np.tile(right, len(some))
+        ok = comp[x] != comp[y]
+        x, y = x[ok], y[ok]
+        at = _survive(sig[x], sig[y], need)
+        x, y = x[at], y[at]
+        ok = keys[x, (keys[x] == keys[y]).argmax(1)] == bucket
+        if ok.any():
+            yield x[ok], y[ok]
+
+
+def _concerned(need: list[int]):
+    """Blocks -> their rows that are in a pair which the bounds leave."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-        last = None
+        for key, (nid, comp, side, sig) in _blocks(batches, ["nid", "comp", "side", "sig"]):
+            hit = np.zeros(len(nid), bool)
+            for x, y in _left_open(key[0], comp, side, sig, need):
+                hit[x] = hit[y] = True
+            if hit.any():
+                n = int(hit.sum())
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(n, k), t) for k, t in zip(key, (pa.int64(), pa.int32(), pa.int32()), strict=True)), pa.array(nid[hit]), pa.array(comp[hit]), pa.array(side[hit], pa.int32())], names=[*BLOCK_KEY, "nid", "comp", "side"])
 
-        def out(rows):
-            nid, comp, side, sig = (np.concatenate(c) for c in zip(*rows, strict=True))
-            for a, b in block(last[0], nid, comp, side, sig):
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    return run
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            keys = np.stack([b.column(c).to_numpy() for c in ("bucket", "u", "v")], 1)
-            cols = [b.column(c).to_numpy() for c in ("nid", "comp", "side")] + [_sig_array(b.column("sig"))]
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
-            for s, e in zip(cuts, cuts[1:], strict=False):
-                key = tuple(keys[s])
-                if held and key != last:
-                    yield from out(held)
-                    held = []
-                last = key
-                held.append([c[s:e].copy() for c in cols])
-        if held:
-            yield from out(held)
+
+def _linked(need: list[int], percent: int):
+    """Blocks with full sets -> a, b: links between components, one of those that join the same two within a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, (nid, comp, side, sig, sets) in _blocks(batches, ["nid", "comp", "side", "sig", "s"]):
+            up: dict[int, int] = {}
+
+            def root(c: int) -> int:
+                while up.setdefault(c, c) != c:  # noqa: B023
+                    up[c] = up[up[c]]  # noqa: B023
+                    c = up[c]  # noqa: B023
+                return c
+
+            size, out = np.array([len(x) for x in sets]), []
+            for x, y in _left_open(key[0], comp, side, sig, need):
+                ok = 100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])
+                for i, j in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
+                    a, b = root(int(comp[i])), root(int(comp[j]))
+                    if a != b and _similar(sets[i], sets[j], percent):
+                        up[a] = b
+                        out.append((int(nid[i]), int(nid[j])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
     return run
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that hold on full shingle sets, which are made again for the classes in question alone."""
-    ids = pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).distinct()
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, of sorted distinct hashes."""
+    at = np.searchsorted(y, x)
+    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _sets_of(ids: DataFrame, docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """(nid, s) for the classes asked for (nid): their full shingle sets, made again from one document of each."""
     asked = classes.join(ids, "nid", "left_semi").select("nid", "cls", F.col("id").alias("w_id"))
     texts = docs.join(asked.select("w_id").distinct(), F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi").select("text")
-    sets = texts.mapInArrow(_sets(k), "cls binary, shingles binary").join(asked.select("nid", "cls"), "cls").groupBy("nid").agg(F.first("shingles").alias("s"))
-    sets = written(sets, "sets")
+    sets = texts.mapInArrow(_sets(k), "cls binary, shingles binary").join(asked.select("nid", "cls"), "cls")
+    return written(sets.groupBy("nid").agg(F.first("shingles").alias("s")), "sets")
+
+
+def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that hold on full shingle sets."""
+    sets = _sets_of(pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).distinct(), docs, classes, k)
     both = pairs.join(sets.select(F.col("nid").alias("a"), F.col("s").alias("set_a")), "a").join(sets.select(F.col("nid").alias("b"), F.col("s").alias("set_b")), "b")
     return both.select("a", "b", "set_a", "set_b").mapInArrow(_verified(percent), "a long, b long")
 
@@ -279,10 +328,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     outer = left.filter("comp <> major").select("bucket", F.pmod(F.xxhash64("nid"), "nu").cast("int").alias("u"), upto("nv").alias("v"), "nid", "comp", F.lit(0).alias("side"))
     inner = left.select("bucket", upto("nu").alias("u"), F.pmod(F.xxhash64("nid", F.lit(1)), "nv").cast("int").alias("v"), "nid", "comp", F.lit(1).alias("side"))
     blocks = outer.select("bucket", "u", "v", "nid", "comp", "side").union(inner.select("bucket", "u", "v", "nid", "comp", "side")).join(sig, "nid")
-    blocks = blocks.repartition("bucket", "u", "v").sortWithinPartitions("bucket", "u", "v")
-    more = blocks.select("bucket", "u", "v", "nid", "comp", "side", "sig").mapInArrow(_block_pairs(need), "a long, b long").distinct()
-    more = written(more.join(star, ["a", "b"], "left_anti"), "pairs")
-    found = written(_confirm(more, docs, classes, k, percent), "links")
+    dealt = lambda df: df.repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY)
+    cols = [*BLOCK_KEY, "nid", "comp", "side"]
+    # First the rows in question, by signatures; their full sets then go to the blocks, and only links come out.
+    open_ = written(dealt(blocks.select(*cols, "sig")).mapInArrow(_concerned(need), "bucket long, u int, v int, nid long, comp long, side int"), "open")
+    sets = _sets_of(open_.select("nid").distinct(), docs, classes, k)
+    full = open_.join(sig, "nid").join(sets, "nid").select(*cols, "sig", "s")
+    found = written(dealt(full).mapInArrow(_linked(need, percent), "a long, b long"), "links")
     # Components of components: the second links join what the first left apart.
     lab = lambda c: first.select(F.col("id").alias(c), F.col("component").alias(f"{c}_c"))
     lifted = found.join(lab("a"), "a", "left").join(lab("b"), "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))
