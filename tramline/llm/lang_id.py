@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tramline.llm.textops import MULT, U64, mix64, slices
+from tramline.llm.textops import MULT, U64, given_back, mix64, slices
 
 #: Bins of trigrams. With one float32 a bin and language, the model has 256 KB a language.
 BINS = 1 << 16
@@ -108,7 +108,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
         return [], np.zeros((BINS, 0), np.float32)
     share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, sample / sizes[x]))) for x in langs])
     draw = (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))) < share
-    got = docs.filter(draw).select("text", "lang").mapInArrow(_counted(langs), "k int, bin int, n double")
+    got = docs.filter(draw).select("text", "lang").mapInArrow(given_back(_counted(langs)), "k int, bin int, n double")
     got = got.groupBy("k", "bin").agg(F.sum("n").alias("n")).toPandas()  # at most BINS rows a language
     table = np.full((BINS, len(langs)), 0.1)
     table[got["bin"].to_numpy(), got["k"].to_numpy()] += got["n"].to_numpy()
@@ -210,7 +210,7 @@ def identify(docs: DataFrame, learn: DataFrame, sample: int = SAMPLE) -> DataFra
     table = docs.sparkSession.sparkContext.broadcast(log_p)  # BINS * 4 bytes a language
     shares = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())]))
     fields = [*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lang_set", shares)]
-    return docs.mapInArrow(_predicted(langs, table), T.StructType(fields))
+    return docs.mapInArrow(given_back(_predicted(langs, table)), T.StructType(fields))
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:

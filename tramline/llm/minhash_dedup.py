@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tramline.llm.textops import MULT, U64, mix64, shingle_sets, slices
+from tramline.llm.textops import MULT, U64, given_back, mix64, shingle_sets, slices
 from tramline.operators.components import components
 from tramline.session import written
 
@@ -209,7 +209,7 @@ def _left_open(bucket: int, comp, side, sig, need: list[int]) -> Iterator[tuple[
     """Pairs of an outer member (side 0) and any member (side 1) of another component that the bounds leave. A pair counts in the first bucket that it shares."""
     keys = _keys(sig)
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    step = max(1, 30_000 // max(1, len(right)))
+    step = max(1, 12_000 // max(1, len(right)))
     for i in range(0, len(left), step):
         some = left[i : i + step]
         x, y = np.repeat(some, len(right)), np.tile(right, len(some))
@@ -275,7 +275,7 @@ def _sets_of(ids: DataFrame, docs: DataFrame, classes: DataFrame, k: int) -> Dat
     """(nid, s) for the classes asked for (nid): their full shingle sets, made again from one document of each."""
     asked = classes.join(ids, "nid", "left_semi").select("nid", "cls", F.col("id").alias("w_id"))
     texts = docs.join(asked.select("w_id").distinct(), F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi").select("text")
-    sets = texts.mapInArrow(_sets(k), "cls binary, shingles binary").join(asked.select("nid", "cls"), "cls")
+    sets = texts.mapInArrow(given_back(_sets(k)), "cls binary, shingles binary").join(asked.select("nid", "cls"), "cls")
     return written(sets.groupBy("nid").agg(F.first("shingles").alias("s")), "sets")
 
 
@@ -283,7 +283,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, perc
     """The pairs (a, b) that hold on full shingle sets."""
     sets = _sets_of(pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).distinct(), docs, classes, k)
     both = pairs.join(sets.select(F.col("nid").alias("a"), F.col("s").alias("set_a")), "a").join(sets.select(F.col("nid").alias("b"), F.col("s").alias("set_b")), "b")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(_verified(percent), "a long, b long")
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(given_back(_verified(percent)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -298,13 +298,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     need = needed_matches(percent / 100)
     docs = docs.select("doc_id", "text")
-    signed = written(docs.withColumn("th", F.xxhash64("text")).mapInArrow(_signed(k), "doc_id long, th long, n_shingles long, cls binary, sig binary"), "signed")
+    signed = written(docs.withColumn("th", F.xxhash64("text")).mapInArrow(given_back(_signed(k)), "doc_id long, th long, n_shingles long, cls binary, sig binary"), "signed")
     # The signature is the same for all rows of a class. Numbered once written, so the numbers stay.
     own = signed.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"))
     classes = written(own.withColumn("nid", F.monotonically_increasing_id()), "classes")
     sig = classes.select("nid", "sig")
 
-    banded = sig.select("nid", "sig").mapInArrow(_banded, "bucket long, nid long")
+    banded = sig.select("nid", "sig").mapInArrow(given_back(_banded), "bucket long, nid long")
     shared = banded.groupBy("bucket").agg(F.min("nid").alias("low"), F.count("*").alias("n")).filter("n > 1")
     met = written(banded.join(shared, "bucket").select("bucket", "nid", "low"), "buckets")
 
@@ -314,7 +314,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         return pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b")
 
     star = met.filter("nid <> low").select(F.col("low").alias("a"), F.col("nid").alias("b")).distinct()
-    star = written(with_sigs(star).mapInArrow(_pruned(need), "a long, b long"), "pairs")
+    star = written(with_sigs(star).mapInArrow(given_back(_pruned(need)), "a long, b long"), "pairs")
     links = written(_confirm(star, docs, classes, k, percent), "links")
     first = written(components(links), "components")
 
@@ -331,10 +331,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     dealt = lambda df: df.repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY)
     cols = [*BLOCK_KEY, "nid", "comp", "side"]
     # First the rows in question, by signatures; their full sets then go to the blocks, and only links come out.
-    open_ = written(dealt(blocks.select(*cols, "sig")).mapInArrow(_concerned(need), "bucket long, u int, v int, nid long, comp long, side int"), "open")
+    open_ = written(dealt(blocks.select(*cols, "sig")).mapInArrow(given_back(_concerned(need)), "bucket long, u int, v int, nid long, comp long, side int"), "open")
     sets = _sets_of(open_.select("nid").distinct(), docs, classes, k)
     full = open_.join(sig, "nid").join(sets, "nid").select(*cols, "sig", "s")
-    found = written(dealt(full).mapInArrow(_linked(need, percent), "a long, b long"), "links")
+    found = written(dealt(full).mapInArrow(given_back(_linked(need, percent)), "a long, b long"), "links")
     # Components of components: the second links join what the first left apart.
     lab = lambda c: first.select(F.col("id").alias(c), F.col("component").alias(f"{c}_c"))
     lifted = found.join(lab("a"), "a", "left").join(lab("b"), "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))

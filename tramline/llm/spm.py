@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tramline.llm.textops import MULT, U64, mix64, slices
+from tramline.llm.textops import MULT, U64, given_back, mix64, slices
 
 SPACE = "▁"
 #: Bytes of text in a batch. One longer document is a batch of its own.
-BATCH_BYTES = 3 << 20
+BATCH_BYTES = 3 << 19
 #: Slots of the table of piece pairs, each for the last pair that fell in it.
-SLOTS = 1 << 21
+SLOTS = 1 << 20
 
 
 def read_vocabulary(path: str) -> list[tuple[str, float, int]]:
@@ -328,7 +328,7 @@ def encode(docs: DataFrame, path: str, column: str = "text") -> DataFrame:
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("ids", "n_ids", "round_trip")])
     fields = [*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_ids", T.LongType()), T.StructField("round_trip", T.BooleanType())]
-    return docs.mapInArrow(_encoded(*_shipped(docs, path), column), T.StructType(fields))
+    return docs.mapInArrow(given_back(_encoded(*_shipped(docs, path), column)), T.StructType(fields))
 
 
 def _decoded(vocabulary, tag: str, column: str):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tramline.llm.textops import MULT, U64, mix64, powers, range_hash, running, slices
+from tramline.llm.textops import MULT, U64, given_back, mix64, powers, range_hash, running, slices
 from tramline.session import written
 
 #: Bytes of an anchor.
@@ -296,7 +296,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep_first: bool = False)
     gram = min(GRAM, max(4, length // 4))
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("spans", "kept", "kept_text", "th", "ranges")])
     keyed = docs.select("doc_id", "text").withColumn("th", F.xxhash64("text"))
-    found = written(keyed.filter(F.octet_length("text") >= length).select("doc_id", "th", "text").mapInArrow(_runs(length, gram), RUNS), "runs")
+    found = written(keyed.filter(F.octet_length("text") >= length).select("doc_id", "th", "text").mapInArrow(given_back(_runs(length, gram)), RUNS), "runs")
 
     seg = found.groupBy("ah", "sh").agg(F.sum("reps").alias("c"))
     group = seg.groupBy("ah").agg(F.count("*").alias("segs"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("single"), F.sum("c").alias("all"))
@@ -313,9 +313,9 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep_first: bool = False)
     bytes_of = F.substring(F.col("text").cast("binary"), F.col("start") + 1, F.col("n") - 1 + length)
     texts = ask.join(keyed.filter(F.octet_length("text") >= length), F.col("doc_id").eqNullSafe(F.col("o_id")) & (F.col("th") == F.col("o_th")))
     texts = texts.select("ah", "sh", "doc_id", "start", "n", "place", "segs", bytes_of.alias("bytes"))
-    parts = texts.mapInArrow(_parts(length, gram), "key long, c int, doc_id long, start int, ah long, sh long, first int, core int, bytes binary")
+    parts = texts.mapInArrow(given_back(_parts(length, gram)), "key long, c int, doc_id long, start int, ah long, sh long, first int, core int, bytes binary")
     parts = parts.repartition("c", "key").sortWithinPartitions("c", "key", F.asc_nulls_first("doc_id"), "start", "ah", "sh")
-    windows = parts.mapInArrow(_matched(keep_first), "ah long, sh long, w_from int, w_to int")
+    windows = parts.mapInArrow(given_back(_matched(keep_first)), "ah long, sh long, w_from int, w_to int")
     windows = windows.groupBy("ah", "sh").agg(F.collect_set(F.struct("w_from", "w_to")).alias("w"))
 
     hit = hit.join(windows, ["ah", "sh"], "left")
@@ -334,7 +334,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep_first: bool = False)
     ranges = ranges.select(F.col("doc_id").alias("r_id"), F.col("th").alias("r_th"), "ranges")
     out = docs.withColumn("th", F.xxhash64("text")).join(ranges, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("th") == F.col("r_th")), "left").drop("r_id", "r_th", "th")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    return out.mapInArrow(_cut(length), T.StructType([*docs.schema.fields, T.StructField("spans", span), T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType())]))
+    return out.mapInArrow(given_back(_cut(length)), T.StructType([*docs.schema.fields, T.StructField("spans", span), T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType())]))
 
 
 def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:

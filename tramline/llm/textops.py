@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,13 +11,25 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text that are worked on at once; arrays of 8 bytes a text byte stay small. A longer document is one slice.
-SLICE = 1 << 20
+SLICE = 1 << 19
 MULT = 0x9E3779B97F4A7C15
 BASE = 0xD6E8FEB86659FD93  # odd, so it has an inverse modulo 2**64
 
 _powers: dict[str, np.ndarray] = {}
 
 
+def given_back(run):
+    """`run` (batches -> batches), after which the worker gives freed memory back to the system; workers outlive their tasks."""
+
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return outer
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
