@@ -51,10 +51,21 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Files of a written table for each core of the cluster, at most.
+FILES_A_CORE = 3
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet into the shared folder and read it back: cuts lineage once, computed once, safe against lost executors."""
+    """Write `df` as Parquet into the shared folder and read it back: cuts lineage once, computed once, safe against lost executors.
+
+    Partitions beyond FILES_A_CORE a core share files, one after the other in a task and without a shuffle: a file costs
+    its store several calls (a local one starts a process for each), however small it is. Where executors come and go by
+    demand, the cores of the moment say little, and partitions stay as they are.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if spark.sparkContext.getConf().get("spark.dynamicAllocation.enabled", "false").lower() != "true":
+        df = df.coalesce(FILES_A_CORE * max(1, spark.sparkContext.defaultParallelism))
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
