@@ -124,7 +124,7 @@ def hash_bytes(data: bytes, salt: int) -> int:
 
 
 def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Suffixes in order of their first `depth` symbols (ties by position), and ranks by the first 1, 2, 4, ... symbols."""
+    """Suffixes in order of their first `depth` symbols (ties in any order, which no shared length depends on), and ranks by the first 1, 2, 4, ... symbols."""
     n = len(text)
     rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
     levels, h = [(1, rank.astype(np.int32))], 1
@@ -133,13 +133,13 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[i
         nxt = np.zeros(n, np.int64)
         nxt[: n - shift] = rank[shift:] + 1
         key = first * (n + 1) + nxt
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         k = key[order]
         r = np.empty(n, np.int64)
         r[order] = np.cumsum(np.concatenate([[0], (k[1:] != k[:-1]).astype(np.int64)]))
         return order, r
 
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank)
     while h * 2 <= depth:
         order, rank = pair(rank, min(h, n))
         h *= 2
@@ -187,17 +187,23 @@ def _toward(order: np.ndarray, lcp: np.ndarray) -> np.ndarray:
 
 def longest_previous_factor(text: np.ndarray, depth: int, later: bool = False) -> np.ndarray:
     """At each position: the longest factor, up to `depth`, that also begins at an earlier position (or a later one, if so asked)."""
+    earlier, after = longest_factors(text, depth)
+    return after if later else earlier
+
+
+def longest_factors(text: np.ndarray, depth: int) -> Iterator[np.ndarray]:
+    """`longest_previous_factor` for earlier positions, then for later ones, from one suffix array."""
     n = len(text)
     if n == 0:
-        return np.zeros(0, np.int64)
+        yield from (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return
     order, levels = suffix_array(text, depth)
     lcp = adjacent_lcp(order, levels, depth)
-    place = n - 1 - order if later else order
     back = np.concatenate([[0], lcp[1:][::-1]])  # the same seen from the other end of the order
-    best = np.maximum(_toward(place, lcp), _toward(place[::-1], back)[::-1])
-    out = np.zeros(n, np.int64)
-    out[order] = best
-    return out
+    for place in (order, n - 1 - order):
+        out = np.zeros(n, np.int64)
+        out[order] = np.maximum(_toward(place, lcp), _toward(place[::-1], back)[::-1])
+        yield out
 
 
 def _matched(keep_first: bool):
@@ -215,9 +221,10 @@ def _matched(keep_first: bool):
             at += len(data) + 2
             mark += 1
         whole = np.concatenate(text)
-        dup = longest_previous_factor(whole, c) >= c
+        factors = longest_factors(whole, c)
+        dup = next(factors) >= c
         if not keep_first:
-            dup |= longest_previous_factor(whole, c, later=True) >= c
+            dup |= next(factors) >= c
         out = []
         for (_, _, _, _, ah, sh, first, _, _), (s, n) in zip(rows, spot, strict=True):
             w = np.concatenate([[False], dup[s : s + n - c + 1], [False]])
