@@ -51,6 +51,25 @@ def test_few_and_no_candidates(spark):
     assert topk.top_k(none, F.col("vec_id") % 50 == 0).count() == ann.nearest(none, F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("n", [900, 4000])
+def test_neighbours_of_copies_by_id(n):
+    """More copies than a shard scores: the ids are those of the tie rule, in whatever order the rows come."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=(n, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = r.permutation(n).astype(np.int64)
+    x[ids < n // 3] = x[0]
+    ids[ids == 9] = 8  # a repeated id counts with each of its rows, except for itself
+    query_ids = np.arange(0, n // 3, 20)
+    queries = np.repeat(x[:1], len(query_ids), 0)
+    pivots = x[r.choice(n, 64, replace=False)]
+    for order in (np.arange(n), np.argsort(ids, kind="stable"), np.argsort(-ids, kind="stable")):
+        q, i, s = ann._answer(ids[order], x[order], pivots, query_ids, queries, ann._orders(queries, pivots), 20, 16, 16, 0.08, 200)
+        for j, own in enumerate(query_ids):
+            assert i[q == j].tolist() == [v for v in sorted(ids) if v != own][:20]
+            assert np.allclose(s[q == j], queries[j] @ queries[j], atol=1e-12)
+
+
 def test_neighbours_recall_and_scores(vectors, monkeypatch):
     df, rows = vectors
     got = {}

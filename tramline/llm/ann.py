@@ -3,7 +3,7 @@
 A vector stands for the order of the pivots by nearness. Every partition posts its vectors in one inverted file a pivot,
 with the place the pivot has in each vector's order. A query goes through the files of its own NEAR first and FAR last
 pivots (the middle says little) and sums up the footrule distance, the differences of places. The nearest share of the
-partition's vectors by that distance is then scored exactly. Partitions index and answer apart, so no list of pairs is
+partition's vectors by that distance, copies of a vector taken as one, is then scored exactly. Partitions index and answer apart, so no list of pairs is
 shuffled; each sends its best k a query.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from tramline.llm.vectors import best_of, matrix, usable, waves
 
-#: Pivots: a bounded sample of the vectors, drawn by hash of the id.
+#: Pivots: a bounded sample of the distinct vectors, drawn by hash of the vector.
 PIVOTS = 256
 #: First and last pivots of a query's order whose files are gone through.
 NEAR, FAR = 32, 32
@@ -34,9 +34,20 @@ def _orders(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.argsort(-(x @ pivots.T), axis=1, kind="stable").astype(np.int16)
 
 
+def _copies(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct rows of x, ids by distinct row and value, where each distinct row's ids start, and the end)."""
+    x = np.ascontiguousarray(x + 0.0)  # a negative zero is a zero
+    _, first, own = np.unique(x.view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    start = np.append(0, np.cumsum(np.bincount(own, minlength=len(first))))
+    return x[first], ids[np.lexsort((ids, own))], start
+
+
 def _answer(ids, x, pivots, query_ids, queries, orders, k, near, far, share, least):
-    """(query, vec_id, score) of each query's k best in one shard."""
-    n, m = len(ids), len(pivots)
+    """(query, vec_id, score) of each query's k best in one shard. Copies are indexed and scored once, then stand for their ids."""
+    take = max(least, int(np.ceil(share * len(ids))))
+    x, ids, start = _copies(ids, x)
+    lowest, highest, single = ids[start[:-1]], ids[start[1:] - 1], np.diff(start) == 1
+    n, m = len(x), len(pivots)
     # The inverted files: for each pivot, the place it has in the order of every row.
     files = np.empty((m, n), np.int16)
     for i in range(0, n, 8192):
@@ -45,24 +56,30 @@ def _answer(ids, x, pivots, query_ids, queries, orders, k, near, far, share, lea
         np.put_along_axis(places, own, np.arange(m, dtype=np.int16)[None, :].repeat(len(own), 0), 1)
         files[:, i : i + len(own)] = places.T
     visits = list(range(min(near, m))) + list(range(max(near, m - far), m))
-    take = min(n, max(least, int(np.ceil(share * n))))
     q_out, id_out, s_out = [], [], []
     for q in range(len(query_ids)):
         if take < n:
             away = np.zeros(n, np.int32)
             for place in visits:
                 away += np.abs(files[orders[q, place]] - np.int16(place))
-            some = np.argpartition(away, take - 1)[:take]
+            some = np.flatnonzero(away <= np.partition(away, take - 1)[take - 1])  # all that tie at the cut
         else:
             some = np.arange(n)
-        some = some[ids[some] != query_ids[q]]
+        some = some[(lowest[some] != query_ids[q]) | (highest[some] != query_ids[q])]
         s = np.einsum("ij,j->i", x[some], queries[q])
         if len(s) > 2 * k:  # everything at or over the k-th score, ties included
             keep = s >= np.partition(s, len(s) - k)[len(s) - k]
             some, s = some[keep], s[keep]
-        q_out.append(np.full(len(some), q))
-        id_out.append(ids[some])
-        s_out.append(s)
+        one = single[some]
+        got, score = [lowest[some[one]]], [s[one]]
+        for g, v in zip(some[~one], s[~one], strict=True):
+            own = ids[start[g] : start[g + 1]]
+            lo, hi = np.searchsorted(own, query_ids[q]), np.searchsorted(own, query_ids[q], "right")
+            got.append(np.concatenate([own[: min(lo, k)], own[hi : hi + k]])[:k])
+            score.append(np.full(len(got[-1]), v))
+        id_out.append(np.concatenate(got))
+        s_out.append(np.concatenate(score))
+        q_out.append(np.full(len(id_out[-1]), q))
     q, i, s = np.concatenate(q_out), np.concatenate(id_out), np.concatenate(s_out)
     at = best_of(q, i, s, k)
     return q[at], i[at], s[at]
@@ -110,7 +127,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, pivots: int = PIVO
     for dim, ids, x in waves(rows, queries):
         own = rows.filter(F.col("dim") == dim).select("vec_id", "embedding")
         if dim not in made:
-            got = own.orderBy(F.xxhash64("vec_id", F.lit(9)), "vec_id", "embedding").limit(pivots).toArrow()
+            drawn = own.select(F.xxhash64("embedding", F.lit(9)).alias("h"), "vec_id", "embedding")
+            lowest = [r.h for r in drawn.select("h").distinct().orderBy("h").limit(pivots).collect()]
+            got = drawn.filter(F.col("h").isin(lowest)).groupBy("h").agg(F.min("vec_id").alias("vec_id"), F.min("embedding").alias("embedding")).orderBy("h").toArrow()
             made[dim] = matrix(got.column("vec_id").combine_chunks(), got.column("embedding").combine_chunks(), dim)[1]
         p = made[dim]
         orders = _orders(x, p)
