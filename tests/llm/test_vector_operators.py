@@ -70,6 +70,24 @@ def test_neighbours_of_copies_by_id(n):
             assert np.allclose(s[q == j], queries[j] @ queries[j], atol=1e-12)
 
 
+@pytest.mark.parametrize("spread", [0, 0.5, 1])
+def test_neighbours_of_varied_length(spread):
+    """Inner product grows with length: recall by id at the production sizes, with log-normal lengths."""
+    n, r = 8000, np.random.default_rng(3)
+    x = r.normal(size=(n, 64))
+    x *= np.exp(spread * r.normal(size=(n, 1))) / np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.arange(n)
+    asked = ids[::200]
+    pivots = x[r.choice(n, ann.PIVOTS, replace=False)]
+    q, i, _ = ann._answer(ids, x, pivots, asked, x[asked], ann._orders(x[asked], pivots), 20, ann.NEAR, ann.FAR, ann.SHARE, ann.LEAST)
+    hits = []
+    for j, own in enumerate(asked):
+        s = x @ x[own]
+        s[own] = -np.inf
+        hits.append(len(set(i[q == j]) & set(np.argsort(-s)[:20])) / 20)
+    assert np.mean(hits) >= 0.95
+
+
 def test_neighbours_recall_and_scores(vectors, monkeypatch):
     df, rows = vectors
     got = {}

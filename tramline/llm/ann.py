@@ -2,8 +2,9 @@
 
 A vector stands for the order of the pivots by nearness. Every partition posts its vectors in one inverted file a pivot,
 with the place the pivot has in each vector's order. A query goes through the files of its own NEAR first and FAR last
-pivots (the middle says little) and sums up the footrule distance, the differences of places. The nearest share of the
-partition's vectors by that distance, copies of a vector taken as one, is then scored exactly. Partitions index and answer apart, so no list of pairs is
+pivots (the middle says little) and sums up the footrule distance, the differences of places. How far that is under the
+distance of unrelated orders, times the length, estimates the inner product; the partition's best share of vectors by it,
+copies of a vector taken as one, is then scored exactly. Partitions index and answer apart, so no list of pairs is
 shuffled; each sends its best k a query.
 """
 
@@ -30,7 +31,8 @@ SHARD = 100_000
 
 
 def _orders(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """The pivots in order for each row, nearest first."""
+    """The pivots in order for each row, nearest in direction first."""
+    pivots = pivots / np.linalg.norm(pivots, axis=1, keepdims=True)
     return np.argsort(-(x @ pivots.T), axis=1, kind="stable").astype(np.int16)
 
 
@@ -56,13 +58,17 @@ def _answer(ids, x, pivots, query_ids, queries, orders, k, near, far, share, lea
         np.put_along_axis(places, own, np.arange(m, dtype=np.int16)[None, :].repeat(len(own), 0), 1)
         files[:, i : i + len(own)] = places.T
     visits = list(range(min(near, m))) + list(range(max(near, m - far), m))
+    # Orders tell directions alone; a long vector counts for more, the nearer it is than one of unrelated order.
+    length = np.linalg.norm(x, axis=1)
+    unrelated = sum(np.abs(np.arange(m) - v).mean() for v in visits)
     q_out, id_out, s_out = [], [], []
     for q in range(len(query_ids)):
         if take < n:
             away = np.zeros(n, np.int32)
             for place in visits:
                 away += np.abs(files[orders[q, place]] - np.int16(place))
-            some = np.flatnonzero(away <= np.partition(away, take - 1)[take - 1])  # all that tie at the cut
+            worth = (unrelated - away) * length
+            some = np.flatnonzero(worth >= np.partition(worth, n - take)[n - take])  # all that tie at the cut
         else:
             some = np.arange(n)
         some = some[(lowest[some] != query_ids[q]) | (highest[some] != query_ids[q])]
