@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 
 import numpy as np
@@ -88,6 +89,21 @@ def test_posterior_bounds_fall_with_the_miss_probability():
     assert all(a >= b for a, b in zip(minhash_dedup.needed_matches(0.8, 1e-3), minhash_dedup.needed_matches(0.8, 1e-6)))
 
 
+def test_pruning_loses_no_more_links_than_banding():
+    """Pairs at similarity exactly 0.8 dropped in any of the batches, summed exactly over the counts of matches."""
+    n, alive, lost = minhash_dedup.BATCH, {0: 1.0}, 0.0
+    step = [math.comb(n, i) * 0.8**i * 0.2 ** (n - i) for i in range(n + 1)]
+    for need in minhash_dedup.needed_matches(0.8):
+        after = {}
+        for m, p in alive.items():
+            for i, v in enumerate(step):
+                after[m + i] = after.get(m + i, 0.0) + p * v
+        lost += sum(p for m, p in after.items() if m < need)
+        alive = {m: p for m, p in after.items() if m >= need}
+    assert lost <= (1 - 0.8**minhash_dedup.ROWS) ** minhash_dedup.BANDS
+
+
+
 def brute_repeats(texts, n, keep_first):
     data = [(t or "").encode() for t in texts]
     first, seen = {}, collections.Counter()

@@ -30,7 +30,7 @@ from tramline.session import written
 
 BANDS, ROWS, BATCH = 32, 4, 16
 #: The probability at which a pair at or over the threshold may be dropped in a batch.
-MISS = 1e-6
+MISS = 1e-9
 #: Members of a bucket that meet in one block, on either side.
 BLOCK = 512
 PERMS = BANDS * ROWS
