@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tramline.session import written
+from tramline.session import forget, written
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +60,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         loose = ends.groupBy("v").agg(F.sum("hangs").alias("hangs"), F.max("roots").alias("roots")).filter("hangs > 1 or hangs = 1 and roots = 1")
         if loose.isEmpty():
             break
-        now = written(_star(_star(now, True), False).mapInArrow(_contract, "a long, b long"), "edges")
+        old, now = now, written(_star(_star(now, True), False).mapInArrow(_contract, "a long, b long"), "edges")
+        forget(old)
     else:
         raise RuntimeError(f"components did not settle within {max_rounds} rounds")
     return names.join(now.select(F.col("a").alias("id"), F.col("b").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))

@@ -51,21 +51,63 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-#: Files of a written table for each core of the cluster, at most.
+#: Bytes of a written table's plan, as Catalyst estimates them, that one task writes at most before tasks grow in number.
+TASK_BYTES = 64 << 20
+#: Files of a small written table for each core, at most.
 FILES_A_CORE = 3
 
 
+def tasks_for(df: DataFrame) -> int:
+    """Tasks that write `df`: enough that none holds more than TASK_BYTES of its estimated size, FILES_A_CORE a core at least."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    few = FILES_A_CORE * max(1, df.sparkSession.sparkContext.defaultParallelism)
+    return max(few, min(int(str(size)) // TASK_BYTES + 1, 1 << 30))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it back: cuts lineage once, computed once, safe against lost executors.
 
-    Partitions beyond FILES_A_CORE a core share files, one after the other in a task and without a shuffle: a file costs
-    its store several calls (a local one starts a process for each), however small it is. Where executors come and go by
-    demand, the cores of the moment say little, and partitions stay as they are.
+    Partitions beyond `tasks_for(df)` share files, one after the other in a task and without a shuffle, as a file costs its
+    store several calls however small it is; a task's share stays bounded, since the number follows the estimated size (for
+    joins an overestimate, which leaves the partitions as they are). The table goes with `forget`, or at exit.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if spark.sparkContext.getConf().get("spark.dynamicAllocation.enabled", "false").lower() != "true":
-        df = df.coalesce(FILES_A_CORE * max(1, spark.sparkContext.defaultParallelism))
-    df.write.parquet(path)
+    df.coalesce(tasks_for(df)).write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tramline_path = path
+    return out
+
+
+class Table:
+    """A table in the shared folder that several writes fill one after the other; read back as one scan."""
+
+    def __init__(self, spark: SparkSession, name: str, schema: str):
+        self.spark, self.schema, self.path, self.empty = spark, schema, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", True
+        atexit.register(_remove, spark, self.path)
+
+    def append(self, df: DataFrame) -> None:
+        df.coalesce(tasks_for(df)).write.mode("append").parquet(self.path)
+        self.empty = False
+
+    def read(self) -> DataFrame:
+        return self.spark.createDataFrame([], self.schema) if self.empty else self.spark.read.schema(self.schema).parquet(self.path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove tables made by `written` whose readers have all been written themselves; other DataFrames are left alone."""
+    for df in tables:
+        if path := getattr(df, "_tramline_path", None):
+            _remove(df.sparkSession, path)
+
+
+def fresh(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with underscores added until no column has it (case aside), so helper columns clash with nobody's."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
