@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 
 from tramline.llm import chat_format, lang_id, lm_score, minhash_dedup, mixing, queries, spm, suffix_dedup, textops, url_filters
 
@@ -85,6 +86,30 @@ def test_near_duplicates_on_odd_rows(odd, empty):
     assert one.columns == odd.columns and sorted(x for x in one.toPandas().doc_id.dropna()) == [1, 2, 3, 5, 6, 7, 8, 9]
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_built_to_collide_stay_apart(spark):
+    """Thue-Morse words collide under any polynomial hash modulo a power of two."""
+    a = thue_morse(4096)
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, a), (2, b), (3, " ".join([a] * 3 + [b] * 3)), (4, " ".join([b] * 3 + [a] * 3)), (5, a.upper())]
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).toPandas()
+    assert sorted(zip(got.doc_id, got.n_shingles, got.component_id)) == sorted(brute_components(rows, 2))
+    buf = np.frombuffer(f"{a} {b} {a}".encode(), np.uint8)
+    h = textops.word_hashes(buf, np.array([0, 4097, 8194]), np.array([4096, 8193, 12290]))
+    assert h[0] == h[2] != h[1]
+    g = textops.guard(buf)(np.array([0, 4097, 8194]), np.array([4096, 8193, 12290]))
+    assert g[0] == g[2] != g[1]
+
+
+def test_links_are_confirmed_on_words():
+    a, b = "a b c d e f", "A b\tc d e x"
+    assert minhash_dedup.word_shingles(b, 2) == {(b"a", b"b"), (b"b", b"c"), (b"c", b"d"), (b"d", b"e"), (b"e", b"x")}
+    assert minhash_dedup.confirmed(a, b, 2, 66) and not minhash_dedup.confirmed(a, b, 2, 67) and not minhash_dedup.confirmed("", "", 2, 80)
+
+
 def test_posterior_bounds_fall_with_the_miss_probability():
     assert all(a >= b for a, b in zip(minhash_dedup.needed_matches(0.8, 1e-3), minhash_dedup.needed_matches(0.8, 1e-6)))
 
@@ -153,7 +178,51 @@ def test_repeats_on_odd_rows(odd, empty):
 def test_op8_equals_brute_force(spark):
     got = suffix_dedup.op8_suffix_dedup(spark, SF).toPandas().sort_values("doc_id")
     docs = pd.read_parquet(f"{SF}/documents.parquet").sort_values("doc_id")
-    assert got.kept_sha256.tolist() == [hashlib.sha256(b).hexdigest() for b in brute_repeats(docs.text, 400, False)]
+    kept = brute_repeats(docs.text, 400, False)
+    assert got.kept_sha256.tolist() == [hashlib.sha256(b).hexdigest() for b in kept]
+    size = [len((t or "").encode()) for t in docs.text]
+    assert got.n_bytes.tolist() == size and got.n_removed.tolist() == [n - len(b) for n, b in zip(size, kept)]
+    assert [t or "" for t in got.text] == [b.decode("utf-8", "ignore") for b in kept]
+
+
+def test_helper_names_clash_with_nobody(odd, spark):
+    """Further columns may have the names of results (replaced) or of helpers (kept)."""
+    names = ["th", "k_id", "d_id", "d_th", "r_id", "r_th", "ranges", "r_n", "r_cdf", "r_source", "label", "a_id"]
+    wide = odd.withColumns({n: F.lit(n) for n in names})
+    one = minhash_dedup.one_of_each(wide, 2)
+    assert one.columns == wide.columns and {r.th for r in one.collect()} == {"th"}
+    spans = suffix_dedup.repeated_spans(wide.withColumn("spans", F.lit("old")), 20)
+    assert {(r.th, r.ranges, r.r_id) for r in spans.collect()} == {("th", "ranges", "r_id")} and spans.columns.count("spans") == 1
+    mixed = mixing.mix(wide.withColumn("copy", F.lit("old")))
+    assert {(r.r_n, r.r_source) for r in mixed.collect()} <= {("r_n", "r_source")} and dict(mixed.dtypes)["copy"] == "int"
+    assert dict(lang_id.identify(odd.withColumn("lang_pred", F.lit(1)), odd).dtypes)["lang_pred"] == "string"
+    assert dict(spm.encode(odd.withColumn("ids", F.lit("old")), spm.MODEL).dtypes)["ids"].startswith("array")
+    pages = spark.createDataFrame([(1, "http://a.b/c", "mine", "mine")], "page_id long, url string, b_host string, b_path string")
+    rules = spark.createDataFrame([("b", "/", "block")], url_filters.RULES)
+    assert [(r.b_host, r.b_path, r.verdict) for r in url_filters.judge(pages, rules).collect()] == [("mine", "mine", "block")]
+
+
+def test_languages_are_judged_alone_as_in_company(spark):
+    """The words' mixture of a document is the same whatever else is in the batch, and equals a plain EM."""
+    r = np.random.default_rng(2)
+    sizes = r.integers(1, 60, 40)
+    like = r.random((sizes.sum(), 4)).astype(np.float32) ** 4 + 1e-6
+    like[: sizes[0], 1:] *= 1e-4
+    rows = np.repeat(np.arange(40), sizes)
+    together, _ = lang_id.infer(rows, like, 40)
+    edge = np.concatenate([[0], np.cumsum(sizes)])
+    for i in range(40):
+        own = like[edge[i] : edge[i + 1]]
+        assert (lang_id.infer(np.zeros(sizes[i], int), own, 1)[0][0] == together[i]).all()
+        plain = np.full(4, 0.25)
+        for _ in range(lang_id.ROUNDS):
+            new = (plain * own / (plain * own).sum(1, keepdims=True)).mean(0)
+            done = np.abs(new - plain).max() <= lang_id.SETTLED
+            plain = new
+            if done:
+                break
+        assert np.allclose(lang_id._mixture(np.full((1, 4), 0.25, np.float32), own, sizes[i : i + 1])[0], plain, atol=1e-3)
+        assert together[i].sum() == pytest.approx(1, abs=1e-5)
 
 
 def test_languages_on_held_out_rows(spark):

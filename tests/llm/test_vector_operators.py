@@ -51,6 +51,25 @@ def test_few_and_no_candidates(spark):
     assert topk.top_k(none, F.col("vec_id") % 50 == 0).count() == ann.nearest(none, F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_scores_beyond_doubles_are_exact(spark):
+    """Components of a million: products no longer fit into a double's 53 bits."""
+    r = np.random.default_rng(8)
+    x = np.round(r.uniform(-1e6, 1e6, (60, 8)), 3)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, rank int")
+    ints = [[int(np.floor(256 * c)) for c in v] for v in x]
+    want = []
+    for q in (0, 50):
+        s = [(-sum(a * b for a, b in zip(ints[q], v)), i) for i, v in enumerate(ints) if i != q]
+        want += [(q, rank, i, -score) for rank, (score, i) in enumerate(sorted(s)[:5], 1)]
+    assert [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()] == want
+    with pytest.raises(ValueError):
+        topk.top_k(spark.createDataFrame([(0, [1e17], 0)], "vec_id long, embedding array<double>, rank int"), F.col("vec_id") % 50 == 0)
+
+
+def answer(ids, x, pivots, query_ids, queries, posted, depth, k=20):
+    return ann._answer(ann._posted(ids, x, pivots, posted), query_ids, queries, ann._orders(queries, pivots, posted), k, depth)
+
+
 @pytest.mark.parametrize("n", [900, 4000])
 def test_neighbours_of_copies_by_id(n):
     """More copies than a shard scores: the ids are those of the tie rule, in whatever order the rows come."""
@@ -64,7 +83,7 @@ def test_neighbours_of_copies_by_id(n):
     queries = np.repeat(x[:1], len(query_ids), 0)
     pivots = x[r.choice(n, 64, replace=False)]
     for order in (np.arange(n), np.argsort(ids, kind="stable"), np.argsort(-ids, kind="stable")):
-        q, i, s = ann._answer(ids[order], x[order], pivots, query_ids, queries, ann._orders(queries, pivots), 20, 16, 16, 0.08, 200)
+        q, i, s = answer(ids[order], x[order], pivots, query_ids, queries, 16, 200)
         for j, own in enumerate(query_ids):
             assert i[q == j].tolist() == [v for v in sorted(ids) if v != own][:20]
             assert np.allclose(s[q == j], queries[j] @ queries[j], atol=1e-12)
@@ -72,14 +91,14 @@ def test_neighbours_of_copies_by_id(n):
 
 @pytest.mark.parametrize("spread", [0, 0.5, 1])
 def test_neighbours_of_varied_length(spread):
-    """Inner product grows with length: recall by id at the production sizes, with log-normal lengths."""
-    n, r = 8000, np.random.default_rng(3)
+    """A full shard at the production sizes, with log-normal lengths: recall by id against brute force."""
+    n, r = ann.SHARD, np.random.default_rng(3)
     x = r.normal(size=(n, 64))
     x *= np.exp(spread * r.normal(size=(n, 1))) / np.linalg.norm(x, axis=1, keepdims=True)
     ids = np.arange(n)
     asked = ids[::200]
     pivots = x[r.choice(n, ann.PIVOTS, replace=False)]
-    q, i, _ = ann._answer(ids, x, pivots, asked, x[asked], ann._orders(x[asked], pivots), 20, ann.NEAR, ann.FAR, ann.SHARE, ann.LEAST)
+    q, i, _ = answer(ids, x, pivots, asked, x[asked], ann.POSTED, ann.DEPTH)
     hits = []
     for j, own in enumerate(asked):
         s = x @ x[own]
@@ -88,11 +107,25 @@ def test_neighbours_of_varied_length(spread):
     assert np.mean(hits) >= 0.95
 
 
-def test_neighbours_recall_and_scores(vectors, monkeypatch):
+def test_a_vector_is_posted_for_its_own_pivots_alone():
+    r = np.random.default_rng(6)
+    x, pivots = r.normal(size=(500, 16)), r.normal(size=(40, 16))
+    _, _, y, first, member, place = ann._posted(np.arange(500), x, pivots, 8)
+    assert len(member) == 500 * 8 and np.bincount(member, minlength=500).tolist() == [8] * 500
+    near = np.argsort(-(y @ (pivots / np.linalg.norm(pivots, axis=1, keepdims=True)).T), axis=1)
+    for p in (0, 17, 39):
+        own = slice(first[p], first[p + 1])
+        assert all(near[m, a] == p for m, a in zip(member[own], place[own]))
+
+
+def test_neighbours_recall_and_scores(vectors):
     df, rows = vectors
+    asked = lambda d: sorted(tuple(r) for r in ann.nearest(d, F.col("vec_id") % 20 == 0, shard=300, depth=60).collect())
+    found = asked(df.repartition(8))
+    assert found == asked(df.coalesce(1))  # partitions change nothing
     got = {}
-    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, least=60).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for q, _, v, s in found:
+        got.setdefault(q, []).append((v, s))
     want = best(*usable(rows, False), 20, 20, lambda v: v)
     assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
     # Ties make several right answers; a hit is a score at least as high as the twentieth.
@@ -101,3 +134,15 @@ def test_neighbours_recall_and_scores(vectors, monkeypatch):
     ids, x = usable(rows, False)
     at = {int(i): v for i, v in zip(ids, x)}
     assert all(abs(at[q] @ at[v] - s) < 1e-12 for q in got for v, s in got[q])
+
+
+def test_op9_recall_by_id(spark):
+    """The registered query on its whole table: 500 vectors and more, against brute force."""
+    at = "/root/testdata/sf0.1"
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{at}/embeddings.parquet").select("vec_id", "embedding").collect() if r.embedding]
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
+    want = best(ids, x, 20, 20, lambda v: v)
+    got = {}
+    for r in ann.op9_nearest_neighbours(spark, at).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert np.mean([len(got[q] & {v for v, _ in want[q]}) / 20 for q in want]) >= 0.9

@@ -1,11 +1,11 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector stands for the order of the pivots by nearness. Every partition posts its vectors in one inverted file a pivot,
-with the place the pivot has in each vector's order. A query goes through the files of its own NEAR first and FAR last
-pivots (the middle says little) and sums up the footrule distance, the differences of places. How far that is under the
-distance of unrelated orders, times the length, estimates the inner product; the partition's best share of vectors by it,
-copies of a vector taken as one, is then scored exactly. Partitions index and answer apart, so no list of pairs is
-shuffled; each sends its best k a query.
+A vector stands for the order of its POSTED nearest pivots. Vectors are dealt into shards by a hash of their id; a shard
+posts each distinct vector in the inverted files of these pivots alone, with the place that the pivot has in its order.
+The index is one table, a row a shard, made once. A query goes through the files of its own nearest pivots; a vector found
+there gains what it is nearer by the footrule distance of the two lists (a pivot at places a and b of lists of length l
+takes 2 * (l - max(a, b)) off it), and vectors that share no pivot are never touched. Orders tell directions alone, so the
+gain is weighed by the vector's length; the DEPTH best of a shard are then scored exactly, copies of a vector as one.
 """
 
 from __future__ import annotations
@@ -19,21 +19,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tramline.llm.vectors import best_of, matrix, usable, waves
+from tramline.session import Table, forget, written
 
-#: Pivots: a bounded sample of the distinct vectors, drawn by hash of the vector.
-PIVOTS = 256
-#: First and last pivots of a query's order whose files are gone through.
-NEAR, FAR = 32, 32
-#: Share of a partition's vectors that is scored exactly, and the least number of them.
-SHARE, LEAST = 0.08, 200
-#: Vectors that are indexed together at most.
-SHARD = 100_000
+#: Pivots: a bounded sample of the distinct vectors, drawn by hash of the vector. POSTED: a vector's nearest ones that stand for it.
+PIVOTS, POSTED = 384, 96
+#: Rows of a shard on average at most, and those of its distinct vectors that are scored exactly.
+SHARD, DEPTH = 8192, 820
+INDEX = "shard long, dim int, ids binary, starts binary, x binary, first binary, member binary, place binary"
 
 
-def _orders(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """The pivots in order for each row, nearest in direction first."""
+def _orders(x: np.ndarray, pivots: np.ndarray, posted: int) -> np.ndarray:
+    """The `posted` nearest pivots of each row in order, nearest in direction first."""
     pivots = pivots / np.linalg.norm(pivots, axis=1, keepdims=True)
-    return np.argsort(-(x @ pivots.T), axis=1, kind="stable").astype(np.int16)
+    return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :posted].astype(np.int16)
 
 
 def _copies(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -44,31 +42,31 @@ def _copies(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return x[first], ids[np.lexsort((ids, own))], start
 
 
-def _answer(ids, x, pivots, query_ids, queries, orders, k, near, far, share, least):
+def _posted(ids: np.ndarray, x: np.ndarray, pivots: np.ndarray, posted: int) -> tuple[np.ndarray, ...]:
+    """A shard's index: ids, where each distinct vector's start, the distinct vectors, and the inverted files: where each pivot's starts, its members and its place in each one's order."""
+    x, ids, starts = _copies(ids, x)
+    own = _orders(x, pivots, posted)
+    pivot = own.ravel()
+    by = np.argsort(pivot, kind="stable")
+    first = np.searchsorted(pivot[by], np.arange(len(pivots) + 1)).astype(np.int64)
+    return ids, starts.astype(np.int64), x, first, (by // own.shape[1]).astype(np.int32), (by % own.shape[1]).astype(np.uint8)
+
+
+def _answer(index: tuple[np.ndarray, ...], query_ids, queries, orders, k: int, depth: int):
     """(query, vec_id, score) of each query's k best in one shard. Copies are indexed and scored once, then stand for their ids."""
-    take = max(least, int(np.ceil(share * len(ids))))
-    x, ids, start = _copies(ids, x)
+    ids, start, x, first, member, place = index
     lowest, highest, single = ids[start[:-1]], ids[start[1:] - 1], np.diff(start) == 1
-    n, m = len(x), len(pivots)
-    # The inverted files: for each pivot, the place it has in the order of every row.
-    files = np.empty((m, n), np.int16)
-    for i in range(0, n, 8192):
-        own = _orders(x[i : i + 8192], pivots)
-        places = np.empty_like(own)
-        np.put_along_axis(places, own, np.arange(m, dtype=np.int16)[None, :].repeat(len(own), 0), 1)
-        files[:, i : i + len(own)] = places.T
-    visits = list(range(min(near, m))) + list(range(max(near, m - far), m))
-    # Orders tell directions alone; a long vector counts for more, the nearer it is than one of unrelated order.
+    n, posted = len(x), orders.shape[1]
     length = np.linalg.norm(x, axis=1)
-    unrelated = sum(np.abs(np.arange(m) - v).mean() for v in visits)
     q_out, id_out, s_out = [], [], []
     for q in range(len(query_ids)):
-        if take < n:
-            away = np.zeros(n, np.int32)
-            for place in visits:
-                away += np.abs(files[orders[q, place]] - np.int16(place))
-            worth = (unrelated - away) * length
-            some = np.flatnonzero(worth >= np.partition(worth, n - take)[n - take])  # all that tie at the cut
+        if depth < n:
+            gain = np.zeros(n, np.int32)
+            for a, p in enumerate(orders[q].tolist()):
+                own = slice(first[p], first[p + 1])
+                gain[member[own]] += posted - np.maximum(place[own], a).astype(np.int32)
+            worth = gain * length
+            some = np.flatnonzero(worth >= np.partition(worth, n - depth)[n - depth])  # all that tie at the cut
         else:
             some = np.arange(n)
         some = some[(lowest[some] != query_ids[q]) | (highest[some] != query_ids[q])]
@@ -91,61 +89,74 @@ def _answer(ids, x, pivots, query_ids, queries, orders, k, near, far, share, lea
     return q[at], i[at], s[at]
 
 
-def _searched(shared, dim: int, k: int, near: int, far: int, share: float, least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, queries, orders, pivots = shared.value
-        held: list = []
-        size = 0
+TYPES = (np.int64, np.int64, np.float64, np.int64, np.int32, np.uint8)
+
+
+def _built(pivots: dict[int, np.ndarray], posted: int):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        dim, shard = key[0].as_py(), key[1].as_py()
+        ids, x = matrix(table.column("vec_id").combine_chunks(), table.column("embedding").combine_chunks(), dim)
+        more = table.column("n").to_numpy()
+        at = np.repeat(np.arange(len(ids)), more)
+        parts = [np.ascontiguousarray(p).tobytes() for p in _posted(ids[at], x[at], pivots[dim], posted)]
+        return pa.table([pa.array([shard], pa.int64()), pa.array([dim], pa.int32()), *(pa.array([p], pa.binary()) for p in parts)], names=["shard", "dim", "ids", "starts", "x", "first", "member", "place"])
+
+    return run
 
-        def flush():
-            ids, x = (np.concatenate(c) for c in zip(*held, strict=True))
-            q, i, s = _answer(ids, x, pivots, query_ids, queries, orders, k, near, far, share, least)
-            for a in range(0, len(q), 100_000):
-                j = slice(a, a + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(query_ids[q[j]]), pa.array(i[j]), pa.array(s[j])], names=["query_id", "vec_id", "score"])
 
+def _searched(shared, dim: int, k: int, depth: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, queries, orders = shared.value
         for b in batches:
-            ids, x = matrix(b.column("vec_id"), b.column("embedding"), dim)
-            ok = (x != 0).any(1)
-            if ok.any():
-                held.append((ids[ok], x[ok]))
-                size += int(ok.sum())
-            if size >= SHARD:
-                yield from flush()
-                held, size = [], 0
-        if held:
-            yield from flush()
+            for row in range(b.num_rows):
+                index = [np.frombuffer(b.column(c)[row].as_buffer(), t) for c, t in zip(("ids", "starts", "x", "first", "member", "place"), TYPES, strict=True)]
+                index[2] = index[2].reshape(-1, dim)
+                q, i, s = _answer(tuple(index), query_ids, queries, orders, k, depth)
+                for a in range(0, len(q), 100_000):
+                    j = slice(a, a + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(query_ids[q[j]]), pa.array(i[j]), pa.array(s[j])], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 20, pivots: int = PIVOTS, near: int = NEAR, far: int = FAR, share: float = SHARE, least: int = LEAST, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def build(rows: DataFrame, dims: dict[int, int], pivots: int = PIVOTS, posted: int = POSTED, shard: int = SHARD) -> tuple[DataFrame, dict[int, np.ndarray]]:
+    """(the index table, each dimension's pivots) of rows (vec_id, embedding, dim); dims: rows of each dimension.
+
+    Rows are first counted by id and vector, up to what a shard holds of them is one row with a count. A shard's rows
+    follow from the ids alone, so the same table gives the same index however it is partitioned.
+    """
+    made = {}
+    for dim in dims:
+        drawn = rows.filter(F.col("dim") == dim).select(F.xxhash64("embedding", F.lit(9)).alias("h"), "vec_id", "embedding")
+        lowest = [r.h for r in drawn.select("h").distinct().orderBy("h").limit(pivots).collect()]
+        got = drawn.filter(F.col("h").isin(lowest)).groupBy("h").agg(F.min("vec_id").alias("vec_id"), F.min("embedding").alias("embedding")).orderBy("h").toArrow()
+        made[dim] = matrix(got.column("vec_id").combine_chunks(), got.column("embedding").combine_chunks(), dim)[1]
+    shards = F.coalesce(*[F.when(F.col("dim") == d, F.lit(max(1, -(-n // shard)))) for d, n in dims.items()])
+    dealt = rows.groupBy("vec_id", "embedding", "dim").agg(F.count("*").alias("n")).withColumn("shard", F.pmod(F.xxhash64("vec_id"), shards))
+    return written(dealt.groupBy("dim", "shard").applyInArrow(_built(made, posted), INDEX), "permutations"), made
+
+
+def nearest(vectors: DataFrame, queries: Column, k: int = 20, pivots: int = PIVOTS, posted: int = POSTED, shard: int = SHARD, depth: int = DEPTH, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k rows of largest inner product among those found.
 
     queries: a condition on vec_id that picks the queries. Candidates are all rows whose id is not the query's; ties go to
     the smaller id; fewer candidates than k give all of them. Rows without id, and vectors null, all zero, or holding null
     or non-finite components take no part; vectors meet only vectors of their dimension. A repeated id is one query (its
-    smallest vector) but as many candidates as it has rows. Empty tables give no rows.
+    smallest vector) but as many candidates as it has rows. A shard of up to `depth` vectors is scored whole. Empty tables
+    give no rows.
     """
     rows = usable(vectors, vec_id, vector).filter(F.exists("embedding", lambda v: v != 0))
     spark = vectors.sparkSession
-    out, made = None, {}
-    for dim, ids, x in waves(rows, queries):
-        own = rows.filter(F.col("dim") == dim).select("vec_id", "embedding")
-        if dim not in made:
-            drawn = own.select(F.xxhash64("embedding", F.lit(9)).alias("h"), "vec_id", "embedding")
-            lowest = [r.h for r in drawn.select("h").distinct().orderBy("h").limit(pivots).collect()]
-            got = drawn.filter(F.col("h").isin(lowest)).groupBy("h").agg(F.min("vec_id").alias("vec_id"), F.min("embedding").alias("embedding")).orderBy("h").toArrow()
-            made[dim] = matrix(got.column("vec_id").combine_chunks(), got.column("embedding").combine_chunks(), dim)[1]
-        p = made[dim]
-        orders = _orders(x, p)
-        shared = spark.sparkContext.broadcast((ids, x, orders, p))  # a wave of queries and the pivots
-        got = own.mapInArrow(_searched(shared, dim, k, near, far, share, least), "query_id long, vec_id long, score double")
-        out = got if out is None else out.union(got)
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, vec_id long, score double")
+    dims = {r[0]: r[1] for r in rows.groupBy("dim").count().collect()}  # one row a dimension
+    found = Table(spark, "neighbours", "query_id long, vec_id long, score double")
+    if dims:
+        index, made = build(rows, dims, pivots, posted, shard)
+        for dim, ids, x in waves(rows, queries):
+            shared = spark.sparkContext.broadcast((ids, x, _orders(x, made[dim], posted)))  # a wave of queries
+            found.append(index.filter(F.col("dim") == dim).mapInArrow(_searched(shared, dim, k, depth), found.schema))
+        forget(index)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    out = out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    out = found.read().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return out.select("query_id", "rank", "vec_id", "score")
 
 

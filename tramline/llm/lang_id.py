@@ -115,10 +115,31 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     return langs, np.log(table / table.sum(0)).astype(np.float32)
 
 
+def _mixture(pi: np.ndarray, like: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Proportions after expectation-maximisation from `pi` (documents x languages; zeros stay zero), for documents of n words each.
+
+    A document takes part until it has settled, whatever the others do, so company changes nothing.
+    """
+    pi, live, x = pi.copy(), np.arange(len(n)), like
+    for _ in range(ROUNDS):
+        at = np.concatenate([[0], np.cumsum(n[live])[:-1]])
+        r = np.repeat(pi[live], n[live], axis=0) * x
+        r /= r.sum(1, keepdims=True) + 1e-30
+        new = np.add.reduceat(r, at, axis=0) / n[live][:, None]
+        move = np.abs(new - pi[live]).max(1) > SETTLED
+        pi[live] = new
+        if not move.any():
+            break
+        if not move.all():
+            x, live = x[np.repeat(move, n[live])], live[move]
+    return pi
+
+
 def infer(rows: np.ndarray, like: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """(proportions n_rows x languages after selection, 0 outside the chosen set; number of words).
 
-    like: for each word (in order of rows) its likelihoods, scaled to a maximum of 1.
+    like: for each word (in order of rows) its likelihoods, scaled to a maximum of 1. Candidate sets are the s largest
+    languages of the mixture over all, for each s; each set of two or more gets its own expectation-maximisation.
     """
     k = like.shape[1]
     words = np.bincount(rows, minlength=n_rows)
@@ -126,44 +147,27 @@ def infer(rows: np.ndarray, like: np.ndarray, n_rows: int) -> tuple[np.ndarray,
     out = np.zeros((n_rows, k), np.float32)
     if not len(full):
         return out, words
-    first = np.concatenate([[0], np.cumsum(words[full])[:-1]])
-    pi = np.full((len(full), k), 1 / k, np.float32)
-    live, x, at, n = np.arange(len(full)), like, first, words[full]
-    for _ in range(ROUNDS):
-        r = np.repeat(pi[live], n, axis=0) * x
-        r /= r.sum(1, keepdims=True) + 1e-30
-        new = np.add.reduceat(r, at, axis=0) / n[:, None]
-        move = np.abs(new - pi[live]).max(1) > SETTLED
-        pi[live] = new
-        if not move.any():
-            break
-        if move.mean() < 0.7:  # settled documents take no further part
-            x = x[np.repeat(move, n)]
-            live, n = live[move], n[move]
-            at = np.concatenate([[0], np.cumsum(n)[:-1]])
-    order = np.argsort(-pi, axis=1, kind="stable")
     n = words[full]
-    best = np.full(len(full), -np.inf)
-    size = np.ones(len(full), np.int64)
-    weights = np.zeros_like(pi)
+    pi = _mixture(np.full((len(full), k), 1 / k, np.float32), like, n)
+    order = np.argsort(-pi, axis=1, kind="stable")
+    best, chosen = np.full(len(full), -np.inf), np.zeros_like(pi)
     for s in range(1, k + 1):
-        ask = np.flatnonzero(pi[np.arange(len(full)), order[:, s - 1]] > (0 if s == 1 else 1e-3))
+        pick = pi[np.arange(len(full)), order[:, s - 1]] > (0 if s == 1 else 1e-3)
+        ask = np.flatnonzero(pick)
         if not len(ask):
             break
-        weights[ask, order[ask, s - 1]] = pi[ask, order[ask, s - 1]]
-        w = weights[ask] / weights[ask].sum(1, keepdims=True)
-        pick = np.zeros(len(full), bool)
-        pick[ask] = True
-        p = (np.repeat(w, n[ask], axis=0) * like[np.repeat(pick, n)]).sum(1)
+        w = np.zeros((len(ask), k), np.float32)
+        np.put_along_axis(w, order[ask, :s], np.take_along_axis(pi[ask], order[ask, :s], 1), 1)
+        w /= w.sum(1, keepdims=True)
+        own = like[np.repeat(pick, n)]
+        if 1 < s < k:
+            w = _mixture(w, own, n[ask])
+        p = (np.repeat(w, n[ask], axis=0) * own).sum(1)
         at = np.concatenate([[0], np.cumsum(n[ask])[:-1]])
         value = np.add.reduceat(np.log(p + 1e-12, dtype=np.float64), at) - 0.5 * (s - 1) * np.log(n[ask] + 1.0)
         better = value > best[ask]
-        best[ask[better]], size[ask[better]] = value[better], s
-    chosen = np.arange(k)[None, :] < size[:, None]
-    mask = np.zeros((len(full), k), bool)
-    np.put_along_axis(mask, order, chosen, 1)
-    sel = pi * mask
-    out[full] = sel / sel.sum(1, keepdims=True)
+        best[ask[better]], chosen[ask[better]] = value[better], w[better]
+    out[full] = chosen / chosen.sum(1, keepdims=True)
     return out, words
 
 

@@ -5,8 +5,8 @@ BANDS x ROWS minima; classes that agree on a whole band meet in that band's buck
 similarity 0.8 misses every bucket with probability (1 - 0.8**4)**32 = 5e-8.
 
 A candidate pair's signatures are compared in batches of 16. After each batch the posterior of the similarity (uniform
-prior) says how likely it is still at or over the threshold; below MISS the pair is dropped. Survivors are confirmed on
-the full shingle sets.
+prior) says how likely it is still at or over the threshold; below MISS the pair is dropped. Survivors are verified on
+the full sets: first on 64-bit hashes of all shingles, then, before a link comes out, on the shingles' words themselves.
 
 Pairs within a bucket are not all listed. First every member meets the smallest one of its bucket. The links found give
 components; a pair within one component decides nothing more. Then, in buckets that still hold several components, the
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tramline.llm.textops import MULT, U64, given_back, mix64, shingle_sets, slices
 from tramline.operators.components import components
-from tramline.session import written
+from tramline.session import forget, fresh, written
 
 BANDS, ROWS, BATCH = 32, 4, 16
 #: The probability at which a pair at or over the threshold may be dropped in a batch.
@@ -83,19 +83,38 @@ def _signed(k: int):
     return run
 
 
-def _sets(k: int):
-    """text -> cls (digest), shingles (packed 64-bit hashes)."""
+def _classed(k: int):
+    """text -> cls (digest), text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, _, buf, offs in slices(b.column("text")):
+            for i, j, buf, offs in slices(b.column("text")):
                 vals, edge = shingle_sets(buf, offs, k)
-                packed = pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer((edge * 8).astype(np.int32)), pa.py_buffer(vals)])
-                yield pa.RecordBatch.from_arrays([_binary(_digest(vals, edge)), packed], names=["cls", "shingles"])
+                yield pa.RecordBatch.from_arrays([_binary(_digest(vals, edge)), b.column("text").slice(i, j - i).cast(pa.string())], names=["cls", "text"])
 
     return run
 
 
+def _hash_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """The sorted shingle hashes of each text."""
+    for _, _, buf, offs in slices(texts):
+        vals, edge = shingle_sets(buf, offs, k)
+        yield from (vals[x:y] for x, y in zip(edge, edge[1:], strict=False))
+
+
+def word_shingles(text: str, k: int) -> set[tuple[bytes, ...]]:
+    """The shingles of `shingle_sets` as words."""
+    w = text.encode().lower().split()  # of bytes: A-Z alone, and runs of 0x20 and 0x09-0x0D
+    return set(zip(*(w[i:] for i in range(k)), strict=False)) if len(w) >= k else {tuple(w)} if w else set()
+
+
+def confirmed(a: str, b: str, k: int, percent: int) -> bool:
+    """100 * intersection >= percent * union, of the shingles' words."""
+    x, y = word_shingles(a, k), word_shingles(b, k)
+    both = len(x & y)
+    return bool(x) and bool(y) and 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _sig_array(column: pa.Array) -> np.ndarray:
     offs = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
     return np.frombuffer(column.buffers()[2], np.uint32)[offs[0] // 4 : offs[-1] // 4].reshape(len(column), PERMS)
@@ -160,16 +179,15 @@ def _pruned(need: list[int]):
     return run
 
 
-def _verified(percent: int):
-    """a, b, set_a, set_b -> a, b: pairs with 100 * intersection >= percent * union."""
+def _verified(k: int, percent: int):
+    """a, b, text_a, text_b -> a, b: pairs with 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
-            for i, (x, y) in enumerate(zip(b.column("set_a"), b.column("set_b"), strict=True)):
-                x, y = (np.frombuffer(v.as_buffer(), U64) for v in (x, y))
+            for i, (x, y) in enumerate(zip(_hash_sets(b.column("text_a"), k), _hash_sets(b.column("text_b"), k), strict=True)):
                 # Sets of too different sizes can't reach the threshold.
-                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) and _similar(x, y, percent):
+                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) and _similar(x, y, percent) and confirmed(b.column("text_a")[i].as_py(), b.column("text_b")[i].as_py(), k, percent):
                     keep.append(i)
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("a").take(at), b.column("b").take(at)], names=["a", "b"])
@@ -181,7 +199,7 @@ BLOCK_KEY = ("bucket", "u", "v")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[tuple, list]]:
-    """(key, columns) of each block, from rows sorted by (bucket, u, v): signatures as a matrix, sets as arrays, the rest as numpy."""
+    """(key, columns) of each block, from rows sorted by (bucket, u, v): signatures as a matrix, texts as a list, the rest as numpy."""
     held: list = []
     last = None
 
@@ -192,7 +210,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[t
         if not b.num_rows:
             continue
         keys = np.stack([b.column(c).to_numpy() for c in BLOCK_KEY], 1)
-        cols = [_sig_array(b.column(c)) if c == "sig" else [np.frombuffer(x.as_buffer(), U64).copy() for x in b.column(c)] if c == "s" else b.column(c).to_numpy() for c in columns]
+        cols = [_sig_array(b.column(c)) if c == "sig" else b.column(c).to_pylist() if c == "text" else b.column(c).to_numpy() for c in columns]
         cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
         for s, e in zip(cuts, cuts[1:], strict=False):
             key = tuple(keys[s])
@@ -237,11 +255,12 @@ def _concerned(need: list[int]):
     return run
 
 
-def _linked(need: list[int], percent: int):
-    """Blocks with full sets -> a, b: links between components, one of those that join the same two within a block."""
+def _linked(need: list[int], k: int, percent: int):
+    """Blocks with texts -> a, b: links between components, one of those that join the same two within a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, (nid, comp, side, sig, sets) in _blocks(batches, ["nid", "comp", "side", "sig", "s"]):
+        for key, (nid, comp, side, sig, texts) in _blocks(batches, ["nid", "comp", "side", "sig", "text"]):
+            sets = list(_hash_sets(pa.array(texts, pa.large_string()), k))
             up: dict[int, int] = {}
 
             def root(c: int) -> int:
@@ -255,7 +274,7 @@ def _linked(need: list[int], percent: int):
                 ok = 100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])
                 for i, j in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
                     a, b = root(int(comp[i])), root(int(comp[j]))
-                    if a != b and _similar(sets[i], sets[j], percent):
+                    if a != b and _similar(sets[i], sets[j], percent) and confirmed(texts[i], texts[j], k, percent):
                         up[a] = b
                         out.append((int(nid[i]), int(nid[j])))
             if out:
@@ -271,19 +290,12 @@ def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _sets_of(ids: DataFrame, docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """(nid, s) for the classes asked for (nid): their full shingle sets, made again from one document of each."""
+def _texts_of(ids: DataFrame, docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """(nid, text) for the classes asked for (nid): the text of one document of each."""
     asked = classes.join(ids, "nid", "left_semi").select("nid", "cls", F.col("id").alias("w_id"))
     texts = docs.join(asked.select("w_id").distinct(), F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi").select("text")
-    sets = texts.mapInArrow(given_back(_sets(k)), "cls binary, shingles binary").join(asked.select("nid", "cls"), "cls")
-    return written(sets.groupBy("nid").agg(F.first("shingles").alias("s")), "sets")
-
-
-def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that hold on full shingle sets."""
-    sets = _sets_of(pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).distinct(), docs, classes, k)
-    both = pairs.join(sets.select(F.col("nid").alias("a"), F.col("s").alias("set_a")), "a").join(sets.select(F.col("nid").alias("b"), F.col("s").alias("set_b")), "b")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(given_back(_verified(percent)), "a long, b long")
+    found = texts.mapInArrow(given_back(_classed(k)), "cls binary, text string").join(asked.select("nid", "cls"), "cls")
+    return written(found.groupBy("nid").agg(F.min("text").alias("text")), "texts")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -315,8 +327,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     star = met.filter("nid <> low").select(F.col("low").alias("a"), F.col("nid").alias("b")).distinct()
     star = written(with_sigs(star).mapInArrow(given_back(_pruned(need)), "a long, b long"), "pairs")
-    links = written(_confirm(star, docs, classes, k, percent), "links")
+    texts = _texts_of(star.select(F.col("a").alias("nid")).union(star.select("b")).distinct(), docs, classes, k)
+    both = star.join(texts.select(F.col("nid").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("nid").alias("b"), F.col("text").alias("text_b")), "b")
+    links = written(both.select("a", "b", "text_a", "text_b").mapInArrow(given_back(_verified(k, percent)), "a long, b long"), "links")
+    forget(star, texts)
     first = written(components(links), "components")
+    forget(links)
 
     # Buckets that hold more than one component: every member outside the largest meets all members of others.
     tagged = met.join(first.select(F.col("id").alias("nid"), "component"), "nid", "left").select("bucket", "nid", F.coalesce("component", "nid").alias("comp"))
@@ -330,11 +346,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     blocks = outer.select("bucket", "u", "v", "nid", "comp", "side").union(inner.select("bucket", "u", "v", "nid", "comp", "side")).join(sig, "nid")
     dealt = lambda df: df.repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY)
     cols = [*BLOCK_KEY, "nid", "comp", "side"]
-    # First the rows in question, by signatures; their full sets then go to the blocks, and only links come out.
+    # First the rows in question, by signatures; their texts then go to the blocks, and only links come out.
     open_ = written(dealt(blocks.select(*cols, "sig")).mapInArrow(given_back(_concerned(need)), "bucket long, u int, v int, nid long, comp long, side int"), "open")
-    sets = _sets_of(open_.select("nid").distinct(), docs, classes, k)
-    full = open_.join(sig, "nid").join(sets, "nid").select(*cols, "sig", "s")
-    found = written(dealt(full).mapInArrow(given_back(_linked(need, percent)), "a long, b long"), "links")
+    forget(left, met)
+    texts = _texts_of(open_.select("nid").distinct(), docs, classes, k)
+    full = open_.join(sig, "nid").join(texts, "nid").select(*cols, "sig", "text")
+    found = written(dealt(full).mapInArrow(given_back(_linked(need, k, percent)), "a long, b long"), "links")
+    forget(open_, texts)
     # Components of components: the second links join what the first left apart.
     lab = lambda c: first.select(F.col("id").alias(c), F.col("component").alias(f"{c}_c"))
     lifted = found.join(lab("a"), "a", "left").join(lab("b"), "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))
@@ -343,6 +361,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     node = classes.select("nid", "cls", "id").join(first.select(F.col("id").alias("nid"), "component"), "nid", "left").withColumn("c1", F.coalesce("component", "nid")).drop("component")
     node = node.join(top.select(F.col("id").alias("c1"), "component"), "c1", "left").select("cls", "id", F.coalesce("component", "c1").alias("comp"))
     node = written(node, "nodes")
+    forget(first, found, classes)
     low = node.groupBy("comp").agg(F.min("id").alias("component_id"))
     node = node.join(low, "comp").select("cls", "component_id", F.col("comp").alias("group"))
     out = signed.select("doc_id", "th", "n_shingles", "cls").join(node, "cls", "left")
@@ -356,15 +375,16 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Rows without an id come after those with one. Equal rows count as one document. Documents without words stay.
     """
     found = written(near_duplicates(docs, k, percent), "near")
+    th, d_id, d_th = fresh(docs.columns, "th", "d_id", "d_th")
     best = found.filter("n_shingles > 0").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("b"))
-    keep = best.select(F.col("b.doc_id").alias("k_id"), F.col("b.th").alias("k_th"))
+    keep = best.select(F.col("b.doc_id").alias(d_id), F.col("b.th").alias(d_th))
     keep = keep.union(found.filter("n_shingles = 0").select("doc_id", "th").distinct())
-    rows = docs.withColumn("th", F.xxhash64("text"))
-    out = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("th") == F.col("k_th")), "left_semi")
-    again = found.filter("n_shingles > 0").groupBy("doc_id", "th").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("a_id"), F.col("th").alias("a_th"))
+    rows = docs.withColumn(th, F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col(d_id)) & (F.col(th) == F.col(d_th))
+    out = rows.join(keep, same, "left_semi")
+    again = found.filter("n_shingles > 0").groupBy("doc_id", "th").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias(d_id), F.col("th").alias(d_th))
     if not again.isEmpty():  # rows that repeat both: one of them stays
-        same = F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("th") == F.col("a_th"))
-        out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["doc_id", "th"]))
+        out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["doc_id", th]))
     return out.select(*docs.columns)
 
 
@@ -372,3 +392,32 @@ def op6_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents on 2-word shingles."""
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=2)
     return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+OP6_SQL = r"""
+with recursive d as (
+  select doc_id, string_split_regex(trim(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), 'abcdefghijklmnopqrstuvwxyz     '), ' '), ' +') as raw from documents
+), w as (
+  select doc_id, list_filter(raw, lambda x: x <> '') as w from d
+), s as (
+  select doc_id, case when len(w) = 0 then [] when len(w) = 1 then list_distinct([w[1]])
+    else list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) end as s from w
+), c as (
+  select s, min(doc_id) as id, len(s) as n from s where len(s) > 0 group by s
+), e as (
+  select id, n, unnest(s) as x from c
+), p as (
+  select a.id as a, b.id as b, count(*) as common, any_value(a.n) as an, any_value(b.n) as bn from e a join e b on a.x = b.x and a.id < b.id
+    and 5 * a.n >= 4 * b.n and 5 * b.n >= 4 * a.n group by 1, 2
+), l as (
+  select a, b from p where 100 * common >= 80 * (an + bn - common)
+), u as (
+  select a, b from l union all select b, a from l union all select id, id from c
+), r as (
+  select a as id, b as low from u union select r.id, u.b from r join u on u.a = r.low
+), m as (
+  select id, min(low) as component_id from r group by id
+)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, coalesce(m.component_id, s.doc_id) as component_id, s.doc_id = coalesce(m.component_id, s.doc_id) as kept
+from s left join c on c.s = s.s left join m on m.id = c.id
+"""

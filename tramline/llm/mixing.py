@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tramline.session import fresh
+
 
 def uniform(*parts: Column) -> Column:
     """A number in [0, 1) from the MD5 of the parts."""
@@ -52,12 +54,13 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, temperature: float =
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("copy", "mix_key")])
     cdf = F.when(F.col("rate") > 0, poisson_table(F.col("rate"))).otherwise(F.array(F.lit(1.0)))
-    rates = source_rates(docs, weights, temperature, out_share).select(F.col("source").alias("r_source"), cdf.alias("r_cdf"))
+    r_source, r_cdf, r_n = fresh(docs.columns, "r_source", "r_cdf", "r_n")
+    rates = source_rates(docs, weights, temperature, out_share).select(F.col("source").alias(r_source), cdf.alias(r_cdf))
     who = F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit(""))
     u = uniform(F.lit(f"{seed}"), F.lit("count"), who)
-    out = docs.join(rates, F.col("source").eqNullSafe(F.col("r_source")))
-    out = out.withColumn("r_n", F.size(F.filter("r_cdf", lambda c: c <= u))).drop("r_source", "r_cdf").filter("r_n > 0")
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("r_n") - 1))).drop("r_n")
+    out = docs.join(rates, F.col("source").eqNullSafe(F.col(r_source)))
+    out = out.withColumn(r_n, F.size(F.filter(r_cdf, lambda c: c <= u))).drop(r_source, r_cdf).filter(F.col(r_n) > 0)
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col(r_n) - 1))).drop(r_n)
     out = out.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(f"{seed}"), F.lit("place"), who, F.col("copy").cast("string"))))
     return out.repartition("mix_key").sortWithinPartitions("mix_key", "doc_id")
 

@@ -11,9 +11,9 @@ TABLE = [
     ("lang_id", "op3_language_id", None),
     ("lm_score", "op4_lm_scoring", "OP4_SQL"),
     ("mixing", "op5_source_mixing", "OP5_SQL"),
-    ("minhash_dedup", "op6_minhash_dedup", None),
+    ("minhash_dedup", "op6_minhash_dedup", "OP6_SQL"),
     ("chat_format", "op7_chat_formatting", "OP7_SQL"),
-    ("suffix_dedup", "op8_suffix_dedup", None),
+    ("suffix_dedup", "op8_suffix_dedup", "OP8_SQL"),
     ("ann", "op9_nearest_neighbours", None),
     ("url_filters", "op10_url_filters", "OP10_SQL"),
 ]

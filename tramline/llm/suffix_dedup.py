@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tramline.llm.textops import MULT, U64, given_back, mix64, powers, range_hash, running, slices
-from tramline.session import written
+from tramline.llm.textops import MULT, U64, given_back, guard, mix64, powers, range_hash, running, slices
+from tramline.session import forget, fresh, written
 
 #: Bytes of an anchor.
 GRAM = 64
@@ -67,7 +67,8 @@ def runs(buf: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np.
     n = np.diff(np.append(at, len(row)))
     s, a, row = start[at], a[at], row[at]
     ah = g[a]
-    sh = mix64(range_hash(c, s, s + n - 1 + length) + (a - s).astype(U64) * U64(MULT))
+    end = s + n - 1 + length
+    sh = mix64(range_hash(c, s, end) + (a - s).astype(U64) * U64(MULT) + mix64(guard(buf)(s, end) + U64(1)))
     same = np.zeros(len(at), bool)
     same[1:] = (row[1:] == row[:-1]) & (ah[1:] == ah[:-1]) & (sh[1:] == sh[:-1]) & (n[1:] == n[:-1]) & (s[1:] == s[:-1] + n[:-1])
     first = np.flatnonzero(~same)
@@ -262,14 +263,14 @@ def _matched(keep_first: bool):
     return run
 
 
-def _cut(length: int):
+def _cut(length: int, name: str):
     """Adds spans (maximal runs of removed bytes) and kept (the other bytes) from the windows' ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
             spans, kept, shown = [], [], []
-            for text, ranges in zip(b.column("text"), b.column("ranges").to_pylist(), strict=True):
+            for text, ranges in zip(b.column("text"), b.column(name).to_pylist(), strict=True):
                 data = b"" if not text.is_valid else bytes(text.as_buffer())
                 merged: list[list[int]] = []
                 for s, e in sorted((r["s"], r["e"] - 1 + length) for r in ranges or []):
@@ -284,7 +285,7 @@ def _cut(length: int):
                 spans.append([{"start": s, "end": e} for s, e in merged])
                 kept.append(b"".join(rest) + data[at:])
                 shown.append(kept[-1].decode("utf-8", "ignore") if merged else None)
-            keep = [i for i, n in enumerate(b.schema.names) if n != "ranges"]
+            keep = [i for i, n in enumerate(b.schema.names) if n != name]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(spans, kind), pa.array(kept, pa.binary()), pa.array(shown, pa.string())], names=[*(b.schema.names[i] for i in keep), "spans", "kept", "kept_text"])
 
     return run
@@ -298,10 +299,10 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep_first: bool = False)
     (keep_first: at an earlier place, by doc_id, then place; so one copy stays). Matches don't cross documents; strings are
     judged on the input. Null and short texts (under `length` bytes) lose nothing; null text leaves empty bytes. Rows that
     repeat a text are copies of each other; rows that repeat doc_id and text get the same result (keep_first: they count as
-    one document). A null doc_id comes first. Columns named spans, kept, kept_text, th or ranges are dropped. An empty table gives an empty table.
+    one document). A null doc_id comes first. Older columns named spans, kept or kept_text are replaced. An empty table gives an empty table.
     """
     gram = min(GRAM, max(4, length // 4))
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("spans", "kept", "kept_text", "th", "ranges")])
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("spans", "kept", "kept_text")])
     keyed = docs.select("doc_id", "text").withColumn("th", F.xxhash64("text"))
     found = written(keyed.filter(F.octet_length("text") >= length).select("doc_id", "th", "text").mapInArrow(given_back(_runs(length, gram)), RUNS), "runs")
 
@@ -312,6 +313,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep_first: bool = False)
     group = group.withColumn("open", (F.col("segs") > 1) & (F.lit(keep_first) | (F.col("single") > 0)))
     met = seg.join(group.select("ah", "segs", "open"), "ah").filter("c > 1 or open")
     hit = written(found.join(met, ["ah", "sh"]), "hits")
+    forget(found)
 
     low = F.min(F.struct("doc_id", "th", "start")).alias("low")
     one = hit.groupBy("ah", "sh").agg(low, F.max("n").alias("n"), F.max("place").alias("place"), F.max("segs").alias("segs"), F.max("open").alias("open"))
@@ -325,7 +327,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep_first: bool = False)
     windows = parts.mapInArrow(given_back(_matched(keep_first)), "ah long, sh long, w_from int, w_to int")
     windows = windows.groupBy("ah", "sh").agg(F.collect_set(F.struct("w_from", "w_to")).alias("w"))
 
-    hit = hit.join(windows, ["ah", "sh"], "left")
+    kept, hit = hit, hit.join(windows, ["ah", "sh"], "left")
     some = F.transform(F.coalesce("w", F.array().cast("array<struct<w_from:int,w_to:int>>")), lambda r: F.struct((F.col("start") + r["w_from"]).alias("s"), (F.col("start") + r["w_to"]).alias("e")))
     end = F.col("start") + F.col("n") * F.col("reps")
     whole = F.array(F.struct(F.col("start").alias("s"), end.alias("e")))
@@ -338,10 +340,13 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep_first: bool = False)
     else:
         ranges = F.when(F.col("c") > 1, whole).otherwise(some)
     ranges = hit.select("doc_id", "th", F.explode(ranges).alias("r")).groupBy("doc_id", "th").agg(F.collect_set("r").alias("ranges"))
-    ranges = ranges.select(F.col("doc_id").alias("r_id"), F.col("th").alias("r_th"), "ranges")
-    out = docs.withColumn("th", F.xxhash64("text")).join(ranges, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("th") == F.col("r_th")), "left").drop("r_id", "r_th", "th")
+    ranges = written(ranges, "ranges")
+    forget(kept, one)
+    th, r_id, r_th, name = fresh(docs.columns, "th", "r_id", "r_th", "ranges")
+    ranges = ranges.select(F.col("doc_id").alias(r_id), F.col("th").alias(r_th), F.col("ranges").alias(name))
+    out = docs.withColumn(th, F.xxhash64("text")).join(ranges, F.col("doc_id").eqNullSafe(F.col(r_id)) & (F.col(th) == F.col(r_th)), "left").drop(r_id, r_th, th)
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    return out.mapInArrow(given_back(_cut(length)), T.StructType([*docs.schema.fields, T.StructField("spans", span), T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType())]))
+    return out.mapInArrow(given_back(_cut(length, name)), T.StructType([*docs.schema.fields, T.StructField("spans", span), T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType())]))
 
 
 def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
@@ -358,10 +363,58 @@ def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    """What each document loses to 400-byte strings that also start elsewhere."""
+    """What each document loses to 400-byte strings that also start elsewhere; text: what is left of it."""
     out = repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), 400)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return out.select(
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), removed.alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        F.when(F.size("spans") == 0, F.col("text")).otherwise(F.col("kept_text")).alias("text"),
     )
+
+
+def _ranked(length: int) -> str:
+    """CTEs that number the windows of `length` bytes by content: ranks of 1, 2, 4, ... bytes, then of two that overlap."""
+    # A rank of n bytes joins two of h <= n bytes, at distance n - h.
+    out, last, h = [], "r0", 1
+    while h < length:
+        n = min(2 * h, length)
+        name = f"r{len(out) + 1}"
+        out.append(
+            f"{name} as (select doc_id, i, dense_rank() over (order by a, b) as r from (select doc_id, i, r as a, lead(r, {n - h}) over (partition by doc_id order by i) as b from {last}) where b is not null)"
+        )
+        last, h = name, n
+    return ",\n".join(out) + f",\nranked as (select * from {last})"
+
+
+OP8_LENGTH = 400
+OP8_SQL = f"""
+with d as (
+  select doc_id, text, encode(coalesce(text, '')) as data from documents
+), h as (
+  select doc_id, hex(data) as h, octet_length(data) as n from d
+), p as (
+  select doc_id, unnest(string_split_regex(regexp_replace(h, '(..)', '\\1,', 'g'), ',')) as x, generate_subscripts(string_split_regex(regexp_replace(h, '(..)', '\\1,', 'g'), ','), 1) - 1 as i from h
+), r0 as (
+  select doc_id, i, dense_rank() over (order by x) as r from p where x <> ''
+),
+{_ranked(OP8_LENGTH)}, t as (
+  select r from ranked group by r having count(*) > 1
+), w as (
+  select ranked.doc_id, ranked.i from ranked semi join t on ranked.r = t.r
+), g as (
+  select doc_id, i, case when i <= coalesce(lag(i) over (partition by doc_id order by i), -{OP8_LENGTH} - 1) + {OP8_LENGTH} then 0 else 1 end as first from w
+), k as (
+  select doc_id, i, sum(first) over (partition by doc_id order by i) as k from g
+), z as (
+  select doc_id, k, min(i) as s, max(i) + {OP8_LENGTH} as e from k group by doc_id, k
+), c as (
+  select doc_id, s, e, lag(e, 1, 0) over (partition by doc_id order by s) as f from z
+), o as (
+  select doc_id, sum(e - s) as n_removed, count(*) as n_spans, max(e) as last, string_agg(substring(h, cast(2 * f + 1 as bigint), cast(2 * (s - f) as bigint)), '' order by s) as a from c join h using (doc_id) group by doc_id
+), q as (
+  select h.doc_id, n, h, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, coalesce(a, '') || substring(h, cast(2 * coalesce(last, 0) + 1 as bigint)) as rest from h left join o using (doc_id)
+)
+select q.doc_id, cast(n as bigint) as n_bytes, cast(n_removed as bigint) as n_removed, cast(n_spans as bigint) as n_spans, sha256(unhex(rest)) as kept_sha256,
+  case when n_spans = 0 then text else try(decode(unhex(rest))) end as text from q join d using (doc_id) -- SQL gives null, the query drops the bytes, where a cut splits a character
+"""

@@ -67,6 +67,47 @@ def range_hash(c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return mix64((c[ends] - c[starts]) * down[starts] + (ends - starts).astype(U64) * U64(MULT))
 
 
+#: The prime of `guard`, and its base.
+P31, B31 = (1 << 31) - 1, 1_664_525_989
+
+
+def _powers31(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """B31**i and B31**-i modulo P31 for i up to n."""
+    if "up31" not in _powers or len(_powers["up31"]) <= n:
+        size = max(n + 1, SLICE + 1)
+        for key, b in (("up31", B31), ("down31", pow(B31, -1, P31))):
+            a = np.ones(size, U64)
+            k = 1
+            while k < size:
+                a[k : 2 * k] = a[: min(k, size - k)] * U64(pow(b, k, P31)) % U64(P31)
+                k *= 2
+            _powers[key] = a
+    return _powers["up31"], _powers["down31"]
+
+
+def guard(buf: np.ndarray):
+    """Hashes of ranges (starts, ends) of `buf` modulo a prime: beside `range_hash` for what a power of two can't tell apart."""
+    up, down = _powers31(len(buf) + 1)
+    c = np.zeros(len(buf) + 1, U64)
+    np.cumsum((byte_table() >> U64(34))[buf] * up[: len(buf)] % U64(P31), out=c[1:])
+    return lambda starts, ends: (c[ends] - c[starts]) % U64(P31) * down[starts] % U64(P31)
+
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words (disjoint ranges, in order): sums of a random value for each byte and place in the word.
+
+    No structure of the words (Thue-Morse ones, say, which polynomials modulo a power of two confuse) favours a collision.
+    """
+    if not len(starts):
+        return np.zeros(0, U64)
+    own = np.zeros(len(buf), np.int64)
+    own[starts] = starts
+    place = (np.arange(len(buf)) - np.maximum.accumulate(own)).astype(U64)
+    c = np.zeros(len(buf) + 1, U64)
+    np.cumsum(mix64(((place << U64(8)) | buf) * U64(MULT) + U64(BASE)), out=c[1:])
+    return mix64(c[ends] - c[starts] + (ends - starts).astype(U64) * U64(MULT))
+
+
 def slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of runs of rows with up to `limit` bytes, or one longer row. Nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -120,7 +161,7 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray,
     n = len(offs) - 1
     buf = lower_ascii(buf)
     starts, ends, row = words(buf, offs)
-    h = range_hash(running(buf), starts, ends)
+    h = word_hashes(buf, starts, ends)
     count = np.bincount(row, minlength=n)
     vals, rows = [], []
     for m in range(1, k + 1):  # m words make a shingle: k, or fewer where the row has no more

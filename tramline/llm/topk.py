@@ -3,7 +3,8 @@
 For a wave of queries everything is scored, and each partition counts its scores in bins, of which it sends the highest
 that hold k of its own (lower ones can't hold the k-th). Summed up, they say in which bin each query's k-th score lies;
 the next round counts within that bin alone, until it is one value wide. A last pass keeps the scores at or over it; at
-the k-th value itself each partition sends its k smallest ids. Scores are made again in each pass and never stored.
+the k-th value itself each partition sends its k smallest ids. Scores are made again in each pass and never stored. They
+are exact: in double precision while no product of norms reaches 2 ** 53, in 64-bit integers beyond.
 """
 
 from __future__ import annotations
@@ -17,20 +18,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tramline.llm.vectors import CELLS, best_of, matrix, own_cells, usable, waves
+from tramline.session import Table
 
 BINS = 1024
+#: Sums of products under EXACT are integers that a double holds; those over WIDE may not fit into 64 bits.
+EXACT, WIDE = 2.0**53, 2.0**62
 
 
 def _scored(batches: Iterator[pa.RecordBatch], dim: int, scale: float, query_ids: np.ndarray, queries: np.ndarray):
     """(ids, scores: rows x queries) block by block; a query's own row scores below everything."""
     step = max(1, CELLS // len(query_ids))
+    none = -np.inf if queries.dtype == np.float64 else np.iinfo(np.int64).min
     for b in batches:
         ids, x = matrix(b.column("vec_id"), b.column("embedding"), dim)
-        x = np.floor(scale * x)
+        x = np.floor(scale * x).astype(queries.dtype)
         for i in range(0, len(ids), step):
             s = x[i : i + step] @ queries.T
             row, col = own_cells(ids[i : i + step], query_ids)
-            s[row, col] = -np.inf
+            s[row, col] = none
             yield ids[i : i + step], s
 
 
@@ -40,7 +45,7 @@ def _histogram(shared, dim: int, scale: float, k: int):
         n = len(query_ids)
         total = np.zeros(n * (BINS + 1), np.int64)
         for _, s in _scored(batches, dim, scale, query_ids, queries):
-            b = np.floor((s - low) / width)  # -inf where it is the query itself
+            b = np.floor((s - low) / width) if s.dtype == np.float64 else (s - low) // width  # of the query itself, anything
             inside = (s >= low) & (s < high)
             b = np.where(inside, b, BINS).astype(np.int64) + np.arange(n) * (BINS + 1)
             total += np.bincount(b.ravel(), minlength=len(total))
@@ -57,7 +62,7 @@ def _histogram(shared, dim: int, scale: float, k: int):
 def _selected(shared, dim: int, scale: float, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, queries, least = shared.value
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, queries.dtype)]
         for ids, s in _scored(batches, dim, scale, query_ids, queries):
             row, q = np.nonzero(s >= least)
             held = [np.concatenate(x) for x in zip(held, (q, ids[row], s[row, q]), strict=True)]
@@ -92,14 +97,18 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: float = 256.0,
     """
     rows = usable(vectors, vec_id, vector)
     spark = vectors.sparkSession
-    out = None
+    found = Table(spark, "top", "query_id long, vec_id long, score long")
     for dim, ids, x in waves(rows, queries):
         own = rows.filter(F.col("dim") == dim).select("vec_id", "embedding")
         q = np.floor(scale * x)
         # No score is beyond the product of the norms.
         norm = own.select(F.max(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + F.pow(F.floor(v * scale), F.lit(2.0))))).first()[0]
-        top = np.ceil(np.sqrt((q * q).sum(1) * norm)) + 1
-        low, width, need = -top, np.maximum(1.0, np.ceil((2 * top + 1) / BINS)), np.full(len(ids), k)
+        top = np.ceil(np.sqrt((q * q).sum(1)) * np.sqrt(norm) * (1 + 1e-9)) + 1
+        if top.max() >= WIDE:
+            raise ValueError("scores may not fit into 64 bits")
+        if top.max() >= EXACT:
+            q, top = q.astype(np.int64), top.astype(np.int64)
+        low, width, need = -top, np.maximum(1, -(-(2 * top + 1) // BINS)), np.full(len(ids), k)
         high = low + BINS * width
         enough, done = np.ones(len(ids), bool), False
         while not done:
@@ -109,22 +118,19 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: float = 256.0,
             per = hist.groupBy("q").agg(F.collect_list(F.struct("bin", "n")).alias("bins"))
             needs = spark.createDataFrame(list(enumerate(need.tolist())), "q int, need long")
             per = per.join(needs, "q")
-            found = {r[0]: (r[1], r[2]) for r in per.select("q", _kth_bin(F.col("need")).alias("f")).select("q", "f.bin", "f.sum").collect()}  # one row a query of the wave
+            where = {r[0]: (r[1], r[2]) for r in per.select("q", _kth_bin(F.col("need")).alias("f")).select("q", "f.bin", "f.sum").collect()}  # one row a query of the wave
             for i in range(len(ids)):
-                b, above = found.get(i, (None, 0))
+                b, above = where.get(i, (None, 0))
                 if b is None:  # fewer than k candidates: all of them
-                    enough[i], width[i], high[i] = False, 1.0, low[i]
+                    enough[i], width[i], high[i] = False, 1, low[i]
                 else:
                     low[i], need[i] = low[i] + b * width[i], need[i] - above
                     high[i] = low[i] + width[i]
-                    width[i] = max(1.0, np.ceil(width[i] / BINS))
+                    width[i] = max(1, -(-width[i] // BINS))
         shared = spark.sparkContext.broadcast((ids, q, np.where(enough, low, -top)))
-        got = own.mapInArrow(_selected(shared, dim, scale, k), "query_id long, vec_id long, score long")
-        out = got if out is None else out.union(got)
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, vec_id long, score long")
+        found.append(own.mapInArrow(_selected(shared, dim, scale, k), found.schema))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    out = out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    out = found.read().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return out.select("query_id", "rank", "vec_id", "score")
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tramline.session import fresh
+
 RULES = T.StructType([T.StructField(n, T.StringType()) for n in ("host", "path", "verdict")])
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PREFIX = 8
@@ -66,8 +68,9 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     )
     rank = F.struct((F.length("r_host") + F.length("r_path")).alias("n"), F.length("r_host").alias("h"), F.col("verdict").alias("v"))
     best = met.groupBy("host", "path").agg(F.max(F.struct(rank.alias("rank"), F.concat("r_host", "r_path").alias("rule"), "verdict")).alias("best"))
-    best = best.select(F.col("host").alias("b_host"), F.col("path").alias("b_path"), F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
-    out = parts.join(best, (F.col("host") == F.col("b_host")) & (F.col("path") == F.col("b_path")), "left").drop("b_host", "b_path")
+    b_host, b_path = fresh(parts.columns, "b_host", "b_path")
+    best = best.select(F.col("host").alias(b_host), F.col("path").alias(b_path), F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
+    out = parts.join(best, (F.col("host") == F.col(b_host)) & (F.col("path") == F.col(b_path)), "left").drop(b_host, b_path)
     return out.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
 
 
