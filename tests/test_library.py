@@ -157,26 +157,26 @@ def test_governor_halts_and_slows():
 
 
 CAT = scenario.Catalogue({"R": ["a", "b", "c"]}, {"a": (0.0, 51.0), "b": (0.01, 51.0), "c": (0.02, 51.0)}, {("P", "Q")})
-LINE = {"route_id": "N", "name": "n", "mode": "tram", "alignment": [{"type": "surface", "line": [[0.0, 51.0], [0.02, 51.0]]}], "stops": [{"stop_id": "a", "lon": 0.0, "lat": 51.0, "existing": True}, {"stop_id": "n", "lon": 0.01, "lat": 51.0001}], "headways_min": {"AM": 15}, "span": "07:00-10:00", "speed_profile": {"max_kmh": 50, "acceleration": 1.0}}
+LINE = {"route_id": "N", "name": "n", "mode": "tram", "alignment": [{"type": "at_grade_street", "line": [[0.0, 51.0], [0.02, 51.0]]}], "stops": [{"stop_id": "a", "lon": 0.0, "lat": 51.0, "existing": True}, {"stop_id": "n", "lon": 0.01, "lat": 51.0001}], "headways_min": {"AM": 15}, "span": "07:00-10:00", "speed_profile": {"max_kmh": 50, "accel_ms2": 1.0, "dwell_s": 20}}
 
 
 @pytest.mark.parametrize("rule, op", [
-    ("unknown-op", {"fly": {}}), ("unknown-route", {"remove_route": {"route_id": "X"}}), ("empty-op", {"modify_route": {"route_id": "R"}}), ("headway", {"modify_route": {"route_id": "R", "headways_min": {"AM": True}}}),
-    ("headway", {"modify_route": {"route_id": "R", "headways_min": {"XX": 5}}}), ("span", {"modify_route": {"route_id": "R", "fill_span": "25:00-26:00"}}), ("stop-not-on-route", {"modify_route": {"route_id": "R", "truncate_at": {"stop": "q", "keep": "before"}}}),
+    ("op", {"fly": {}}), ("op", {"works": 3}), ("mode", {"add_line": LINE | {"mode": "ferry"}}), ("fare", {"fare_change": {"modes": ["bus"], "type": "per_km", "gbp": 1}}), ("alignment-type", {"add_line": LINE | {"alignment": [{"type": "street", "line": [[0.0, 51.0], [0.02, 51.0]]}]}}), ("truncate", {"modify_route": {"route_id": "R", "truncate_at": {"stop": "a", "tiploc": "Z", "keep": "before"}}}), ("required-field", {"modify_route": {"route_id": "R", "truncate_at": {"stop": "a", "keep": "before"}}}), ("route-ids", {"modify_route": {"route_ids": ["R"], "fill_span": "07:00-09:00"}}), ("works-complexity", {"works": {"name": "w", "electrify": [{"sections": ["P-Q"], "tracks": 1, "length_km": 1, "complexity": "medium"}]}}), ("existing-rail-section", {"add_line": LINE | {"alignment": [{"type": "existing_rail", "line": [[0.0, 51.0], [0.02, 51.0]]}]}}), ("unknown-route", {"remove_route": {"route_id": "X"}}), ("empty-op", {"modify_route": {"route_id": "R"}}), ("headway", {"modify_route": {"route_id": "R", "headways_min": {"AM": True}}}),
+    ("headway", {"modify_route": {"route_id": "R", "headways_min": {"XX": 5}}}), ("span", {"modify_route": {"route_id": "R", "fill_span": "25:00-26:00"}}), ("stop-not-on-route", {"modify_route": {"route_id": "R", "truncate_at": {"stop": "q", "tiploc": "P", "keep": "before"}}}),
     ("duplicate-route", {"add_line": LINE | {"route_id": "R"}}), ("mode", {"add_line": LINE | {"mode": "zeppelin"}}), ("required-field", {"add_line": {k: v for k, v in LINE.items() if k != "speed_profile"}}), ("unknown-key", {"add_line": LINE | {"colour": 1}}),
     ("stop-off-alignment", {"add_line": LINE | {"stops": [LINE["stops"][0], {"stop_id": "n", "lon": 0.01, "lat": 51.01}]}}), ("stop-id", {"add_line": LINE | {"stops": [LINE["stops"][0] | {"existing": False}, LINE["stops"][1]]}}),
     ("works-section", {"works": {"name": "w", "track": [{"sections": ["P-X"], "was": 1, "tracks": 2, "length_km": 1}]}}), ("works-tracks", {"works": {"name": "w", "track": [{"sections": ["P-Q"], "was": 2, "tracks": 2, "length_km": 1}]}}), ("fare", {"fare_change": {"modes": ["bus"], "type": "flat", "gbp": -1}}),
 ])
 def test_rules_reject(rule, op):
     with pytest.raises(scenario.ScenarioError) as e:
-        scenario.load({"id": "S1", "description": "d", "ops": [op]}, CAT)
+        scenario.load({"id": "S1", "parent": "B0", "description": "d", "ops": [op]}, CAT)
     assert e.value.rule == rule
 
 
 def test_scenarios_chain_and_apply(spark):
-    docs = {"A1": {"id": "A1", "description": "d", "ops": [{"add_line": LINE}]}, "B1": {"id": "B1", "parent": "A1", "description": "d", "ops": [{"remove_route": {"route_id": "N"}}]}, "L1": {"id": "L1", "parent": "L2", "description": "d", "ops": []}, "L2": {"id": "L2", "parent": "L1", "description": "d", "ops": []}}
+    docs = {"B0": {"id": "B0", "parent": None, "description": "d"}, "A1": {"id": "A1", "parent": "B0", "description": "d", "ops": [{"add_line": LINE}]}, "B1": {"id": "B1", "parent": "A1", "description": "d", "ops": [{"remove_route": {"route_id": "N"}}]}, "L1": {"id": "L1", "parent": "L2", "description": "d", "ops": []}, "L2": {"id": "L2", "parent": "L1", "description": "d", "ops": []}}
     chain = scenario.load_chain(docs, "B1", CAT)
-    assert [s.id for s in chain] == ["A1", "B1"]
+    assert [s.id for s in chain] == ["B0", "A1", "B1"]
     with pytest.raises(scenario.ScenarioError) as e:
         scenario.load_chain(docs, "L1", CAT)
     assert e.value.rule == "parent-loop"
@@ -187,12 +187,36 @@ def test_scenarios_chain_and_apply(spark):
     assert times(same) == times(net)  # the same headway changes nothing
     half, _ = scenario.apply(net, [("modify_route", {"route_id": "R", "headways_min": {"AM": 30}})])
     assert half.calls.select("trip").distinct().count() == 12
-    added, report = scenario.apply(net, chain[0].ops + chain[1].ops)
+    added, report = scenario.apply(net, chain[1].ops + chain[2].ops)
     assert times(added) == times(net) and added.calls.count() == net.calls.count() and [r["op"] for r in report] == ["add_line", "remove_route"]
-    cut, _ = scenario.apply(net, [("modify_route", {"route_id": "R", "truncate_at": {"stop": "b", "keep": "before"}, "extend_to": {"from_stop": "b", "alignment": [], "stops": [{"stop_id": "b", "lon": 0.01, "lat": 51.0}, {"stop_id": "n", "lon": 0.01, "lat": 51.01}], "speed_profile": {"max_kmh": 60, "acceleration": 1.0}}})])
+    cut, _ = scenario.apply(net, [("modify_route", {"route_id": "R", "truncate_at": {"stop": "b", "tiploc": "P", "keep": "before"}, "extend_to": {"from_stop": "b", "alignment": [], "stops": [{"stop_id": "b", "lon": 0.01, "lat": 51.0}, {"stop_id": "n", "lon": 0.01, "lat": 51.01}], "speed_profile": {"max_kmh": 60, "accel_ms2": 1.0, "dwell_s": 20}}})])
     assert {r.stop for r in cut.calls.collect()} >= {"n"}
 
 
+def test_a_replacement_keeps_the_phase_that_its_headway_divides(spark):
+    """Old: every 30 minutes from a at :07, nothing from the other end. New: every 15."""
+    rows = [("Q", f"q{i}", f"q{i}", s + 1, x, 427.0 + 30 * i + 9 * s, 427.0 + 30 * i + 9 * s) for i in range(6) for s, x in enumerate("an")]
+    net = scenario.Network(spark.createDataFrame(rows, "route string, trip string, journey string, seq int, stop string, arr double, dep double"), {"AM": (420.0, 600.0), "IP": (600.0, 960.0)})
+    op = {k: v for k, v in LINE.items() if k != "name"} | {"route_id": "Q", "new_route_id": "Q2", "headways_min": {"AM": 15}}
+    for offset in (0.0, 1 / 3):
+        out, _ = scenario.apply(net, [("replace_route", op)], offset)
+        first = out.calls.filter("seq = 1").orderBy("dep").collect()
+        assert [r.dep for r in first if r.stop == "a"] == [427.0 + 15 * i for i in range(12)]
+        assert [r.dep for r in first if r.stop == "n"][0] == pytest.approx(420 + offset * 15)
+    out, _ = scenario.apply(net, [("replace_route", op | {"headways_min": {"AM": 20}})], 0.25)
+    assert [r.dep for r in out.calls.filter("seq = 1 and stop = 'a'").orderBy("dep").collect()][0] == 425.0  # 20 does not divide 30
+
+
+def test_one_op_over_several_routes_is_one_each():
+    cat = scenario.Catalogue({"R": ["a", "b"], "S": ["a", "b"]}, CAT.stops)
+    s, _ = scenario.load({"id": "S1", "parent": "B0", "description": "d", "ops": [{"modify_route": {"route_ids": ["R", "S"], "headways_min": {"AM": 10}}}]}, cat)
+    assert [(k, b["route_id"]) for k, b in s.ops] == [("modify_route", "R"), ("modify_route", "S")]
+    for doc, rule in (({"id": "S1", "description": "d"}, "required-field"), ({"id": "S1", "parent": None, "description": "d", "ops": [{"works": {}}]}, "parent"), ({"id": "s", "parent": None, "description": "d"}, "id")):
+        with pytest.raises(scenario.ScenarioError) as e:
+            scenario.load(doc, cat)
+        assert e.value.rule == rule
+
+
 def test_fits_recover_what_made_the_data():
     import numpy as np
 
