@@ -71,17 +71,25 @@ def test_access_classes_by_hand(spark):
     assert (r.a, r.b, r.c, r.d) == (1, None, "A", "B")
 
 
-def test_legal_copies_admit_no_illegal_journey():
+def test_legal_copies_admit_every_legal_journey_and_no_other(spark):
     import itertools
 
-    for flags in itertools.product([(True, True), (True, False), (False, True)], repeat=5):
-        calls = [(i + 1, *f) for i, f in enumerate(flags)]
-        copies, _ = feeds.legal_copies(calls)
-        may = {s: (b, a) for s, b, a in calls}
-        for c in copies:
-            for i, x in enumerate(c):
-                for y in c[i + 1 :]:
-                    assert may[x][0] and may[y][1]
+    kinds = [(True, True), (True, False), (False, True)]
+    rows, may = [], {}
+    for n, flags in enumerate(itertools.product(kinds, repeat=5)):
+        may[str(n)] = {i + 1: f for i, f in enumerate(flags)}
+        rows += [(str(n), str(i + 1), None if on else "1", "0" if off else "1") for i, (on, off) in enumerate(flags)]
+    calls = spark.createDataFrame(rows, "trip_id string, stop_sequence string, pickup_type string, drop_off_type string")
+    for r in feeds.legal_copies(calls).collect():
+        ok = may[r.trip_id]
+        ridden = {(x, y) for c in r.copies for i, x in enumerate(c) for y in c[i + 1 :]}
+        usable = {x for x in ok if (ok[x][0] if x == 1 else ok[x][1] if x == 5 else any(ok[x]))}
+        assert ridden == {(x, y) for x in usable for y in usable if x < y and ok[x][0] and ok[y][1]} and r.left_out == 0
+    many = [("t", str(i), "0" if i <= 7 or i == 20 else "1", "1" if 1 < i <= 7 else "0") for i in (*range(1, 8), *range(8, 15), 20)]
+    out, left = feeds.split_restricted(spark.createDataFrame(many + [("p", "1", None, None), ("p", "2", None, None)], calls.schema))
+    assert [tuple(r) for r in left.collect()] == [("t", 42)]
+    names = {r.trip_id for r in out.collect()}
+    assert "p" in names and len(names) == 1 + 1 + 6 + 7 and {r.source_trip for r in out.collect()} == {"p", "t"}
 
 
 FEED = {
@@ -124,7 +132,12 @@ def test_vehicle_stream_keeps_newer_rows_across_restarts(spark, tmp_path):
     put(2, ("10:00:30", "v1"), ("10:00:50", "v2"))  # v1 is repeated; v2 is newer, but recorded before the last response
     run()
     got = sorted((r.vehicle_ref, str(r.recorded_at)[11:], r.stale) for r in spark.read.parquet(str(out)).collect())
-    assert got == [("v1", "10:00:30", False), ("v2", "10:00:40", False), ("v2", "10:00:50", True)]
+    # The first snapshot was sent at 10:01 and held to follow one of 10:00:50, so what it has is stale; the second follows 10:01.
+    assert got == [("v1", "10:00:30", True), ("v2", "10:00:40", True), ("v2", "10:00:50", True)]
+    put(4, ("10:03:30", "v3"), ("10:01:59", "v2"))  # no vehicle of it was in the second, sent at 10:02
+    run()
+    late = {(r.vehicle_ref, str(r.recorded_at)[11:], r.stale) for r in spark.read.parquet(str(out)).filter("recorded_at > '2024-01-01 10:01:00'").collect()}
+    assert late == {("v3", "10:03:30", False), ("v2", "10:01:59", True)}
 
 
 def test_timetable_points_and_calls(spark, tmp_path):

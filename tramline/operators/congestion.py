@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -98,27 +99,27 @@ def folds(lon: Column, lat: Column, km: float, k: int, seed: int = 0) -> Column:
 
 
 def corridors(cells: DataFrame, by: list[str], min_m: float = 1000.0) -> DataFrame:
-    """Stretches of connected segments within each group, at least min_m long: length-weighted harmonic speeds observed and predicted. cells: u, v, length_m, obs, pred."""
-    schema = ", ".join(f"{c} {cells.schema[c].dataType.simpleString()}" for c in by) + ", corridor long, length_m double, obs double, pred double"
-
-    def group(pdf):
-        up: dict = {}
-
-        def root(x):
-            while up.setdefault(x, x) != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
-
-        for u, v in zip(pdf.u, pdf.v, strict=True):
-            a, b = root(u), root(v)
-            up[max(a, b)] = min(a, b)
-        pdf = pdf.assign(corridor=[root(u) for u in pdf.u], t_o=pdf.length_m / pdf.obs, t_p=pdf.length_m / pdf.pred)
-        g = pdf.groupby([*by, "corridor"], as_index=False)[["length_m", "t_o", "t_p"]].sum()
-        g = g[g.length_m >= min_m]
-        return g.assign(obs=g.length_m / g.t_o, pred=g.length_m / g.t_p)[[*by, "corridor", "length_m", "obs", "pred"]]
-
-    return cells.groupBy(*by).applyInPandas(group, schema)
+    """Stretches of connected segments within each group, at least min_m long: length-weighted harmonic speeds observed and predicted. cells: u, v, length_m, obs, pred.
+
+    A stretch has the smallest of its nodes as corridor. Nodes of all groups are numbered together and one run of components joins them.
+    """
+    from tramline.operators.components import components
+    from tramline.session import written
+
+    ends = cells.select(*by, F.col("u").alias("_node")).union(cells.select(*by, "v")).distinct()
+    ends = written(ends, "nodes").withColumn("_id", F.monotonically_increasing_id())  # numbered once written, so the numbers stay
+
+    def numbered(df: DataFrame, node: str, out: str) -> DataFrame:
+        n = ends.select(*[F.col(c).alias(f"_{out}_{c}") for c in by], F.col("_node").alias(f"_{out}_node"), F.col("_id").alias(out))
+        on = [F.col(c).eqNullSafe(F.col(f"_{out}_{c}")) for c in by] + [F.col(node) == F.col(f"_{out}_node")]
+        return df.join(n, reduce(lambda a, b: a & b, on)).drop(*[f"_{out}_{c}" for c in by], f"_{out}_node")
+
+    rows = numbered(numbered(cells, "u", "_a"), "v", "_b")
+    part = components(rows.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    low = ends.join(part, ends["_id"] == part["id"]).groupBy("component").agg(F.min("_node").alias("corridor"))
+    rows = rows.join(part, rows["_a"] == part["id"]).join(low, "component")
+    g = rows.groupBy(*by, "corridor").agg(F.sum("length_m").alias("length_m"), F.sum(F.col("length_m") / F.col("obs")).alias("_o"), F.sum(F.col("length_m") / F.col("pred")).alias("_p"))
+    return g.filter(F.col("length_m") >= min_m).select(*by, "corridor", "length_m", (F.col("length_m") / F.col("_o")).alias("obs"), (F.col("length_m") / F.col("_p")).alias("pred"))
 
 
 def propagate_class(edges: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -139,3 +139,45 @@ def gateway_demand(journeys: DataFrame, pattern: DataFrame, size: DataFrame, fac
     b = size.withColumn("w", share_in_group(F.col("size") * F.exp(-F.col("km") / decay_km), keys)).select(*keys, "zone", "w")
     put = lambda known, w, basis: j.filter(F.col("_known") == known).join(w, keys).select(*keys, "zone", (F.col("j") * factor * F.col("w")).alias("trips"), F.lit(basis).alias("basis"))
     return put(True, a, "pattern").unionByName(put(False, b, "gravity"))
+
+
+# Country codes that stand for zones beyond the classification, by the first letter of an area's code.
+COUNTRY = {"S": "S92000003", "N": "N92000002"}
+#: Share of journeys at stations without a place beyond which gateway flows are no use.
+MOST_UNLOCATED = 0.05
+
+
+def country_default(zone: Column, code: Column) -> Column:
+    """The zone, else the country that the code's first letter names, else null."""
+    out = zone
+    for letter, country in COUNTRY.items():
+        out = F.coalesce(out, F.when(code.startswith(letter), F.lit(country)))
+    return out
+
+
+def fixed_place_flows(flows: DataFrame, zones: DataFrame) -> DataFrame:
+    """Flows (o, d, place, n) to a fixed workplace (place 3) that touch the zones (code) at either end."""
+    known = lambda c: zones.select(F.col("code").alias(c)).distinct().withColumn(f"_{c}", F.lit(True))
+    rows = flows.filter("place = 3").join(known("o"), "o", "left").join(known("d"), "d", "left")
+    return rows.filter("_o or _d").select("o", "d", "n")
+
+
+def no_fixed_place(workers: DataFrame, parent: DataFrame, share_at_home: float) -> DataFrame:
+    """zone, nofixed: workers without a fixed place or offshore, less those at home. workers: code, nofixed_offshore; parent: code, zone."""
+    return workers.join(parent.select("code", "zone").distinct(), "code").groupBy("zone").agg(F.sum(F.col("nofixed_offshore") * F.lit(1 - share_at_home)).alias("nofixed"))
+
+
+def jobs_by_parent(jobs: DataFrame, parent: DataFrame, internal: DataFrame) -> DataFrame:
+    """parent, jobs: jobs (zone, jobs) of internal zones (zone) by their parent (zone, parent)."""
+    return jobs.join(internal.select("zone").distinct(), "zone", "left_semi").join(parent.select("zone", "parent").distinct(), "zone").groupBy("parent").agg(F.sum("jobs").alias("jobs"))
+
+
+def unlocated_share(flows: DataFrame, stations: DataFrame, most: float = MOST_UNLOCATED) -> DataFrame:
+    """One row: journeys, share at stations (station) without a place, how many those are. More than `most` of them, or no journeys, raise when the row is read."""
+    rows = flows.join(stations.select("station").distinct().withColumn("_known", F.lit(True)), "station", "left")
+    lost = F.col("_known").isNull()
+    one = rows.agg(F.sum("j").alias("journeys"), F.coalesce(F.sum(F.when(lost, F.col("j"))), F.lit(0)).alias("_l"), F.countDistinct(F.when(lost, F.col("station"))).alias("unlocated"))
+    share = F.col("_l") / F.col("journeys")
+    bad = F.coalesce(F.col("journeys"), F.lit(0)) == 0
+    checked = F.when(bad, F.raise_error(F.lit("no journey has exactly one end at a gateway")).cast("double")).when(share > most, F.raise_error(F.lit("too many journeys at stations without a place")).cast("double")).otherwise(share)
+    return one.select("journeys", checked.alias("share"), "unlocated")

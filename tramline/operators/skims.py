@@ -218,3 +218,22 @@ def spot_checks(checks: DataFrame) -> DataFrame:
 
 def best_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int = 1) -> DataFrame:
     return qualify(df, keys, order, k)
+
+
+def metric_changes(a: DataFrame, b: DataFrame) -> DataFrame:
+    """metric, change: b less a to four places, for metrics in both. Each has metric, value."""
+    j = a.select("metric", F.col("value").alias("_a")).join(b.select("metric", F.col("value").alias("_b")), "metric")
+    return j.select("metric", F.round(F.col("_b") - F.col("_a"), 4).alias("change"))
+
+
+def offset_pairs(scenario: list, parent: list) -> list[tuple]:
+    """(parent's, scenario's) skims to compare: offset by offset where both have as many, all against the parent's one, else an error."""
+    if len(parent) not in (1, len(scenario)):
+        raise ValueError(f"{len(scenario)} offsets of a scenario can't be paired with {len(parent)} of its parent")
+    return list(zip(parent * len(scenario) if len(parent) == 1 else parent, scenario, strict=False))
+
+
+def top_overlap(df: DataFrame, key: str, a: str, b: str, k: int) -> DataFrame:
+    """One row: how many keys are among the k largest by both columns (ties to the smaller key), and the share of k."""
+    top = lambda c: df.filter(F.col(c).isNotNull()).orderBy(F.desc(c), key).limit(k).select(key)
+    return top(a).intersect(top(b)).agg(F.count("*").alias("shared")).withColumn("share", F.col("shared") / F.lit(float(k)))

@@ -153,3 +153,28 @@ def nearest_on_side(segments: DataFrame, sites: DataFrame, by: str, km: float, m
 
     p = near_pairs(sites, segments, km).filter((F.col(f"a_{by}") == F.col(f"b_{by}")) & (angle_between(F.col("a_bearing"), F.col("b_bearing")) < max_turn))
     return qualify(p, ["a_id"], [F.asc("dist_km"), F.asc("b_id")])
+
+
+def walkable(pairs: DataFrame, walks: DataFrame, most_min: float) -> tuple[DataFrame, DataFrame]:
+    """(pairs that hold, pairs that are cut) by the worse of the walking times between a and b. pairs: a, b; walks: from, to, minutes.
+
+    A pair is cut where the longer of its two walks is over most_min, or where neither is known.
+    """
+    way = lambda x, y, out: walks.groupBy(F.col("from").alias(x), F.col("to").alias(y)).agg(F.min("minutes").alias(out))
+    j = pairs.join(way("a", "b", "_there"), ["a", "b"], "left").join(way("b", "a", "_back"), ["a", "b"], "left")
+    worse = F.greatest("_there", "_back")  # nulls are passed over
+    j = j.withColumn("walk_min", worse).drop("_there", "_back")
+    good = F.col("walk_min").isNotNull() & (F.col("walk_min") <= most_min)
+    return j.filter(good).select(*pairs.columns), j.filter(~good)
+
+
+def touching_components(rings: DataFrame, digits: int = 7) -> DataFrame:
+    """(id, component) of polygons that share a vertex, directly or over others; component is the smallest id. rings: id (long), ring (array of lon, lat).
+
+    Vertices are met on their coordinates to `digits` places. Each vertex hangs its polygons on the smallest one, so a vertex that many share costs one row each.
+    """
+    from tramline.operators.components import components
+
+    at = rings.select("id", F.explode("ring").alias("p")).select("id", F.round("p.lon", digits).alias("x"), F.round("p.lat", digits).alias("y")).distinct()
+    low = at.groupBy("x", "y").agg(F.min("id").alias("b"))
+    return components(at.join(low, ["x", "y"]).select(F.col("id").alias("a"), "b").distinct())

@@ -282,3 +282,40 @@ def peak_flag(minute: Column) -> Column:
 
 def best_rows(df: DataFrame, keys: list[str], order: list[Column], k: int = 1) -> DataFrame:
     return qualify(df, keys, order, k)
+
+
+# Mode classes by route type, basic and extended: (first, last, class); a route may be named bus rapid transit whatever its type.
+ROUTE_TYPES = [(0, 0, "tram"), (5, 5, "tram"), (900, 999, "tram"), (1, 1, "metro"), (400, 499, "metro"), (2, 2, "rail"), (100, 199, "rail"), (4, 4, "ferry"), (1000, 1099, "ferry"), (1200, 1200, "ferry"), (200, 299, "coach"), (3, 3, "bus"), (11, 11, "bus"), (700, 799, "bus")]
+
+
+def mode_class(route_type: Column, brt: Column) -> Column:
+    """The mode class of a route; brt: whether it is named one. A type without a class raises."""
+    out = F.when(F.coalesce(brt, F.lit(False)), "brt")
+    for first, last, name in ROUTE_TYPES:
+        out = out.when(route_type.cast("int").between(first, last), name)
+    return out.otherwise(F.raise_error(F.concat(F.lit("no mode class for route type "), F.coalesce(route_type.cast("string"), F.lit("null")))))
+
+
+def exclude_variants(trips: DataFrame, excluded: DataFrame, trip: str, pattern: str) -> DataFrame:
+    """Trips without those of an excluded trip's pattern, so copies under other ids go too."""
+    gone = trips.join(excluded.select(trip).distinct(), trip, "left_semi").select(pattern).distinct()
+    return trips.join(gone, pattern, "left_anti").select(*trips.columns)
+
+
+def at_or_after(slot: Column, clock: Column, day: float = 720.0) -> Column:
+    """The first time at or after the slot that a 12-hour clock shows so (minutes)."""
+    return F.ceil((slot - clock) / F.lit(day)) * F.lit(day) + clock
+
+
+def previous_snapshots(rows: DataFrame, response: str, nominal_s: float, last: Column | None = None) -> DataFrame:
+    """response, cut: for each snapshot when the one before it was sent, whatever vehicles it held; the first has `last`, else its own time less nominal_s."""
+    times = rows.select(response).distinct()
+    # One row a snapshot; those of a day at a poll every ten seconds are under ten thousand.
+    before = F.lag(response).over(Window.orderBy(response))
+    first = F.col(response) - F.make_interval(secs=F.lit(float(nominal_s)))
+    return times.select(response, F.coalesce(before, last if last is not None else F.lit(None), first).alias("cut"))
+
+
+def flagged_stale(rows: DataFrame, snapshots: DataFrame, response: str, recorded: str) -> DataFrame:
+    """Adds stale: recorded before the previous snapshot was sent."""
+    return rows.join(snapshots, response, "left").withColumn("stale", F.coalesce(F.col(recorded) < F.col("cut"), F.lit(False))).drop("cut")

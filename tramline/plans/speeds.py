@@ -103,23 +103,46 @@ def directed_ways(t):
     return op.directed(w).select("id", "forward")
 
 
-@query("spatial_folds")
+def _crc(text: str) -> str:
+    """CRC-32 of a text's characters (ASCII), which SQL has no function for: its eight shifts folded over the bytes."""
+    shifts = "list_reduce(list_prepend(xor(a, ch), range(8)::ubigint[]), lambda v, k: case when v & 1 = 1 then xor(v >> 1, 3988292384::ubigint) else v >> 1 end)"
+    return f"xor(4294967295::ubigint, list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split({text}, ''), lambda ch: ascii(ch)::ubigint)), lambda a, ch: {shifts}))"
+
+
+@query("spatial_folds", f"with b as (select id, cast(floor(lon * cast(69.4 as double) / 2) as bigint) || ':' || cast(floor(lat * cast(111.3 as double) / 2) as bigint) || ':0' as k from zones) select id, cast({_crc('k')} % 5 as int) as fold from b", "zones")
 def spatial_folds(t):
     return t.zones.select("id", op.folds(F.col("lon"), F.col("lat"), 2.0, 5).alias("fold"))
 
 
-@query("noise_floor")
+@query("noise_floor", f"""
+with s as (select *, cast({_crc('cast(leg as varchar)')} % 2 as int) as side from probe where kmh > 0),
+  h as (select road_class, period, count(*) as n, count(*) filter (where side = 0) / sum(1 / kmh) filter (where side = 0) as h0, count(*) filter (where side = 1) / sum(1 / kmh) filter (where side = 1) as h1 from s group by all)
+select road_class, period, n, round(abs(h0 - h1) / ((h0 + h1) / 2), 6) as disagreement from h where n >= 20 and h0 is not null and h1 is not null
+""", "probe")
 def noise_floor(t):
     return tidy(op.noise_floor(t.probe, ["road_class", "period"], "leg"))
 
 
-@query("corridors")
+_ROADS = "c as (select p_partkey // 90 as ref, p_partkey as u, p_partkey + 1 + p_partkey % 3 as v, p_retailprice - 800 as length_m, p_size + cast(20 as double) as obs, p_size % 17 + cast(22 as double) as pred from part where p_partkey % 11 <> 10)"
+
+
+@query("corridors", f"""
+with recursive {_ROADS}, u as (select ref, u as a, v as b from c union select ref, v, u from c), r as (select ref, a as id, a as low from u union select r.ref, r.id, u.b from r join u on u.ref = r.ref and u.a = r.low),
+  m as (select ref, id, min(low) as corridor from r group by all), g as (select c.ref, corridor, sum(length_m) as length_m, sum(length_m / obs) as o, sum(length_m / pred) as p from c join m on m.ref = c.ref and m.id = c.u group by all)
+select ref, corridor, round(length_m, 6) as length_m, round(length_m / o, 6) as obs, round(length_m / p, 6) as pred from g where length_m >= 700
+""")
 def corridors(t):
-    c = t.zones.select(F.col("name").cast("string").alias("ref"), F.col("id").alias("u"), (F.col("id") + 1).alias("v"), F.lit(700.0).alias("length_m"), (F.col("id") % 30 + 20.0).alias("obs"), (F.col("id") % 25 + 22.0).alias("pred"))
+    k = F.col("p_partkey")
+    c = t.part.filter("p_partkey % 11 <> 10").select(F.floor(k / 90).alias("ref"), k.alias("u"), (k + 1 + k % 3).alias("v"), (F.col("p_retailprice") - 800).alias("length_m"), (F.col("p_size") + 20.0).alias("obs"), (F.col("p_size") % 17 + 22.0).alias("pred"))
     return tidy(op.corridors(c, ["ref"], 700.0))
 
 
-@query("road_class_propagate")
+@query("road_class_propagate", """
+with e as (select id % 5 as ref, id as u, id + 5 as v, id % 7 * 10 + cast(10 as double) as m from zones), n as (select ref, u as node from e union select ref, v from e),
+  p as (select n.ref, node, coalesce(sum(m), 0) as at from n left join e on e.ref = n.ref and e.u < n.node group by all), s as (select id % 5 as ref, id as node, case when id < 30 then 'A' else 'B' end as cls from zones where id % 30 < 5),
+  d as (select p.ref, p.node, abs(p.at - q.at) as dist, s.cls, row_number() over (partition by p.ref, p.node order by abs(p.at - q.at), s.node) as k from p join s on s.ref = p.ref join p q on q.ref = s.ref and q.node = s.node)
+select cast(ref as varchar) as ref, node, dist as dist_m, cls from d where k = 1
+""", "zones")
 def road_class_propagate(t):
     e = t.zones.select((F.col("id") % 5).cast("string").alias("ref"), F.col("id").alias("u"), (F.col("id") + 5).alias("v"), (F.col("id") % 7 * 10 + 10.0).alias("length_m"))
     s = t.zones.filter("id % 30 < 5").select((F.col("id") % 5).cast("string").alias("ref"), F.col("id").alias("node"), F.when(F.col("id") < 30, "A").otherwise("B").alias("cls"))

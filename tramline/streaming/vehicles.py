@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tramline.operators.timetable import flagged_stale, previous_snapshots
 from tramline.sources.documents import read_vehicles
 
 KEY = ["operator_ref", "vehicle_ref"]
@@ -23,40 +24,53 @@ def snapshot_stream(spark: SparkSession, folder: str, per_trigger: int = 50) ->
     return read_vehicles(files)
 
 
+#: Seconds between snapshots that the first one of an archive is held to be behind its predecessor.
+NOMINAL_S = 10.0
+
+
 def _keep_newer(schema: T.StructType):
     names = schema.fieldNames()
 
     def keep(key: tuple, frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        (last, previous) = state.get if state.exists else (None, None)
-        rows = pd.concat(list(frames)).sort_values(["response_ts", "recorded_at"])
-        out = []
-        for r in rows.itertuples(index=False):
-            at, seen = r.recorded_at.value, r.response_ts.value
-            if last is None or at > last:
-                # Stale: recorded before the vehicle's previous snapshot was sent.
-                out.append((*r, previous is not None and previous < seen and at < previous))
-                last = at
-            previous = seen if previous is None else max(previous, seen)
-        state.update((last, previous))
-        yield pd.DataFrame(out, columns=[*names, "stale"])
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(frames)).sort_values(["response_ts", "recorded_at"], kind="stable")
+        at = rows.recorded_at.astype("int64")
+        top = at.cummax().shift()
+        if last is not None:
+            top = top.fillna(last).clip(lower=last)
+        kept = ~(at <= top)  # nothing before: kept
+        state.update((int(at.max()) if last is None else max(int(at.max()), last),))
+        yield rows[names].assign(kept=kept)
 
     return keep
 
 
 def newer_stream(rows: DataFrame) -> DataFrame:
-    """Valid rows that are strictly newer than all kept before of their vehicle, with stale; state is one pair of times a vehicle, kept in the checkpoint."""
+    """Valid rows with kept: strictly newer than all kept before of their vehicle. Repeats stay, as they show which snapshots there were; state is one time a vehicle, in the checkpoint."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     rows = rows.filter("not invalid")
-    out = T.StructType([*rows.schema.fields, T.StructField("stale", T.BooleanType())])
-    return rows.groupBy(*KEY).applyInPandasWithState(_keep_newer(rows.schema), out, "last long, previous long", "append", GroupStateTimeout.NoTimeout)
+    out = T.StructType([*rows.schema.fields, T.StructField("kept", T.BooleanType())])
+    return rows.groupBy(*KEY).applyInPandasWithState(_keep_newer(rows.schema), out, "last long", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_to_folder(rows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Writes what there is, each micro-batch to a place of its own number, so that a replayed batch replaces itself."""
+def run_to_folder(rows: DataFrame, out: str, checkpoint: str, nominal_s: float = NOMINAL_S) -> StreamingQuery:
+    """Writes the kept rows of what there is, with stale: recorded before the previous snapshot (of whatever vehicles) was sent.
+
+    Each micro-batch goes to a place of its own number, and so does the time of its last snapshot, so that a replayed batch
+    replaces itself and looks at what came before it alone.
+    """
+    times = f"{checkpoint}/snapshots"
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.withColumn("day", F.to_date("recorded_at")).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        spark = batch.sparkSession
+        batch = batch.persist()
+        batch.agg(F.max("response_ts").alias("last")).write.mode("overwrite").parquet(f"{times}/batch={number}")
+        (last,) = spark.read.parquet(times).filter(F.col("batch") < number).agg(F.max("last")).first()
+        cuts = previous_snapshots(batch, "response_ts", nominal_s, F.lit(last))
+        fresh = flagged_stale(batch.filter("kept").drop("kept"), cuts, "response_ts", "recorded_at")
+        fresh.withColumn("day", F.to_date("recorded_at")).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        batch.unpersist()
 
     return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
