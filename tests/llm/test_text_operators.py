@@ -307,6 +307,22 @@ def test_scores_of_odd_rows(odd, empty):
     assert got[got.n_words == 0].score.isna().all() and got[got.n_words > 0].score.notna().all()
 
 
+def test_scores_do_not_depend_on_batches(spark, duck):
+    """Many batches and parts of the n-gram space give what SQL gives, at every order."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(3)
+    want = duck.execute(queries.oracle_sql()["op4_lm_scoring"]).df().set_index("doc_id").score
+    got = lm_score.score(docs, waves=3, batch_bytes=20_000).toPandas().set_index("doc_id").score
+    assert (got - want.reindex(got.index)).abs().max() < 1e-6 and (got.isna() == want.reindex(got.index).isna()).all()
+    one = lm_score.score(docs, order=1, batch_bytes=20_000).toPandas().set_index("doc_id").score
+    assert (one < 0).sum() == one.notna().sum() and (one - got).abs().max() > 0.1
+
+
+def test_the_count_table_equals_a_count(spark):
+    rows = spark.createDataFrame([(1, 0, 2), (1, 1, 3), (2, 0, 1)], "gram long, batch long, n long")
+    _, counts = lm_score.counted(rows)
+    assert sorted(tuple(r) for r in counts.collect()) == [(1, 5, 2), (2, 1, 1)]
+
+
 def test_packed_lists_come_back():
     r = np.random.default_rng(0)
     for u in (np.unique(r.integers(0, 1 << 62, 500).astype(np.uint64)), np.array([7], np.uint64), np.arange(300, dtype=np.uint64)):

@@ -133,6 +133,7 @@ def build(rows: DataFrame, dims: dict[int, int], pivots: int = PIVOTS, posted: i
         made[dim] = matrix(got.column("vec_id").combine_chunks(), got.column("embedding").combine_chunks(), dim)[1]
     shards = F.coalesce(*[F.when(F.col("dim") == d, F.lit(max(1, -(-n // shard)))) for d, n in dims.items()])
     dealt = rows.groupBy("vec_id", "embedding", "dim").agg(F.count("*").alias("n")).withColumn("shard", F.pmod(F.xxhash64("vec_id"), shards))
+    dealt = dealt.repartition(sum(max(1, -(-n // shard)) for n in dims.values()), "dim", "shard")  # about a shard a task, however small
     return written(dealt.groupBy("dim", "shard").applyInArrow(_built(made, posted), INDEX), "permutations"), made
 
 

@@ -172,26 +172,32 @@ def infer(rows: np.ndarray, like: np.ndarray, n_rows: int) -> tuple[np.ndarray,
 
 
 def _predicted(langs: list[str], table):
+    """Adds lang_pred, score, lang_set and evidence to rows with a text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log_p = table.value
         names = np.array([*langs, "und"], object)
         for b in batches:
-            pred, score, shares = [], [], []
+            pred, score, shares, proof = [], [], [], []
             for _, _, buf, offs in slices(b.column("text")):
                 n = len(offs) - 1
                 rows, which, _, bins, first = word_bins(buf.tobytes(), np.diff(offs))
-                best, top, pi = np.full(n, len(langs)), np.zeros(n), np.zeros((n, len(langs)))
+                best, top, pi, gain = np.full(n, len(langs)), np.zeros(n), np.zeros((n, len(langs))), np.zeros(n)
                 if len(rows) and langs:
                     ll = np.add.reduceat(log_p[bins], first, axis=0)
                     like = np.exp(ll - ll.max(1, keepdims=True))
                     pi, words = infer(rows, like[which], n)
+                    fit_ = ll.max(1)[which] + np.log((pi[rows] * like[which]).sum(1) + 1e-12)
+                    grams = np.bincount(rows, np.diff(np.append(first, len(bins)))[which], n)
+                    gain = np.where(words > 0, np.bincount(rows, fit_, n) / np.maximum(grams, 1) + np.log(BINS), 0.0)
                     best = np.where(words > 0, pi.argmax(1), len(langs))
                     top = np.where(words > 0, pi.max(1), 0.0)
                 pred += names[best].tolist()
                 score += np.minimum(top, 1.0).astype(float).tolist()
+                proof += gain.tolist()
                 shares += [[{"lang": langs[j], "share": float(p[j])} for j in np.flatnonzero(p)] for p in pi]
             kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(shares, kind)], names=[*b.schema.names, "lang_pred", "score", "lang_set"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(shares, kind), pa.array(proof, pa.float64())], names=[*b.schema.names, "lang_pred", "score", "lang_set", "evidence"])
 
     return run
 
@@ -202,18 +208,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def identify(docs: DataFrame, learn: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The columns of `docs` (text and any others), lang_pred, score (the proportion of lang_pred) and lang_set (array of lang, share).
+    """The columns of `docs` (text and any others), lang_pred, score (the proportion of lang_pred), lang_set (array of lang, share) and
+    evidence (mean log likelihood of a trigram under that mixture, over that of bins drawn at random; 0 or less: no language at all).
 
     learn: doc_id, text, lang; rows with a null among them teach nothing. Null text and text without a letter: `und`, 0,
-    empty set; so is everything where nothing was learned. Each row is judged by itself, so repeated rows agree. Ties go
-    to the language that sorts first. Columns of the three names made here are replaced.
+    empty set, evidence 0; so is everything where nothing was learned. Each row is judged by itself, so repeated rows agree.
+    Ties go to the language that sorts first. Columns of the four names made here are replaced.
     """
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("lang_pred", "score", "lang_set")])
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("lang_pred", "score", "lang_set", "evidence")])
     learn = learn.select("doc_id", "text", "lang").filter("doc_id is not null and text is not null and lang is not null")
     langs, log_p = fit(learn, sample)
     table = docs.sparkSession.sparkContext.broadcast(log_p)  # BINS * 4 bytes a language
     shares = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())]))
-    fields = [*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lang_set", shares)]
+    fields = [*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lang_set", shares), T.StructField("evidence", T.DoubleType())]
     return docs.mapInArrow(given_back(_predicted(langs, table)), T.StructType(fields))
 
 
@@ -222,4 +229,4 @@ def op3_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     learn = docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     out = identify(docs.select("doc_id", "text"), learn)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "lang_set")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "lang_set", "evidence")

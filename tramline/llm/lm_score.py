@@ -1,11 +1,13 @@
-"""Stupid-backoff scores, computed as joins of count tables that are partitioned by n-gram hash.
-
-Documents are dealt into batches by hash. A batch lists its distinct n-grams of every order (64-bit hashes, with their
-counts in it) and sends them, cut by leading bits of the hash, to the parts of the count table; a part adds up all
-batches' counts and answers each list in place. The answers meet their batch again, where each document's words are scored
-and summed. Lists travel packed (sorted hashes as differences, counts as bytes), one row for a batch and part: never more
-rows than n-grams, and a frequent n-gram is one entry a batch. Counts are those of the whole corpus less the document's
-own, so a document does not vouch for itself.
+"""Stupid-backoff scores, computed relationally from n-gram count tables.
+
+Documents are dealt into batches. A batch's n-grams of every order explode into rows (gram, batch, n), one for each 64-bit
+hash with its count in the batch, so that a frequent n-gram is a row a batch. Dealt by hash, they are summed into the count
+table (gram, total), and that is joined back to them: each batch learns what the other batches hold of its n-grams, and
+n-grams of one batch alone, which no other can tell it about, drop out before the join. Each document's words are then
+scored from the counts and summed. Counts are those of the whole corpus less the document's own, so a document does not
+vouch for itself.
+
+The n-gram space is worked off in WAVES parts by hash, one after the other: the rows of one are in shuffles at a time.
 """
 
 from __future__ import annotations
@@ -17,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tramline.llm.textops import MULT, SLICE, U64, lower_ascii, mix64, range_hash, running, slices, words
+from tramline.llm.textops import MULT, SLICE, U64, given_back, lower_ascii, mix64, slices, word_hashes, words
+from tramline.session import Table, forget, release, written
 
-#: Bytes of text in a batch and behind a part of the count table, about.
-BATCH_BYTES, PART_BYTES = 6 << 20, 3 << 20
-ORDER, ALPHA = 2, 0.4
+#: Bytes of text in a batch, about, and parts of the n-gram space.
+BATCH_BYTES, WAVES = 12 << 20, 4
+ORDER, ALPHA = 3, 0.4
 
 
 def grams(table: pa.Table, order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -33,7 +36,7 @@ def grams(table: pa.Table, order: int) -> tuple[np.ndarray, list[np.ndarray], np
         for i, _, buf, offs in slices(chunk, SLICE):
             low = lower_ascii(buf)
             s, e, r = words(low, offs)
-            hashes.append(range_hash(running(low), s, e) if len(s) else np.zeros(0, U64))
+            hashes.append(word_hashes(low, s, e))
             rows.append(r + at + i)
         at += len(chunk)
     h = np.concatenate([np.zeros(0, U64), *hashes])
@@ -64,6 +67,7 @@ def distinct(by_order: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[n
 
 
 def pack_hashes(u: np.ndarray) -> bytes:
+    """Sorted hashes as differences."""
     d = np.concatenate([u[:1], np.diff(u)])
     width = max(1, (int(d[1:].max()).bit_length() + 7) // 8) if len(d) > 1 else 1
     return bytes([width]) + u[:1].tobytes() + np.ascontiguousarray(d[1:].view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
@@ -93,40 +97,67 @@ def unpack_counts(data: bytes) -> np.ndarray:
     return out
 
 
-def _asked(order: int, bits: int):
-    """A batch's documents -> batch, part, hashes, counts."""
+def _bundled(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """A batch's documents -> batch, docs (a compressed Arrow stream of doc_id, text)."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.select(["doc_id", "text"]).schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table.select(["doc_id", "text"]))
+    return pa.table({"batch": pa.array([key[0].as_py()], pa.int64()), "docs": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+
+def _unbundled(data: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(data.as_buffer()).read_all()
+
 
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        _, by_order, _ = grams(table, order)
-        u, n, _ = distinct(by_order)
-        part = (u >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(u), np.int64)
-        cut = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(u)]
-        rows = [(int(part[s]), pack_hashes(u[s:e]), pack_counts(n[s:e])) for s, e in zip(cut, cut[1:], strict=False)]
-        p, h, c = zip(*rows, strict=True)
-        return pa.table({"batch": pa.array([key[0].as_py()] * len(p), pa.int64()), "part": pa.array(p, pa.int64()), "hashes": pa.array(h, pa.binary()), "counts": pa.array(c, pa.binary())})
+def _exploded(order: int, wave: int, waves: int):
+    """batch, docs -> gram, batch, n: the batch's distinct n-grams of the wave."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for number, docs in zip(b.column("batch").to_pylist(), b.column("docs"), strict=True):
+                _, by_order, _ = grams(_unbundled(docs), order)
+                every = np.concatenate([np.full(len(by_order[0]), 1, U64), *by_order])  # the empty gram occurs once a word
+                u, n = np.unique(every[(every != 0) & ((every >> U64(32)) % U64(waves) == wave)], return_counts=True)
+                for i in range(0, len(u), 100_000):
+                    own = u[i : i + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.full(len(own), number)), pa.array(n[i : i + 100_000])], names=["gram", "batch", "n"])
 
     return run
 
 
-def _added(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """A part's lists -> batch, part, totals: the corpus counts in each list's own order."""
-    lists = [unpack_hashes(x.as_py()) for x in table.column("hashes")]
-    n = np.concatenate([unpack_counts(x.as_py()) for x in table.column("counts")])
-    u, back = np.unique(np.concatenate(lists), return_inverse=True)
-    total = np.bincount(back, n, len(u)).astype(np.int64)[back]
-    edge = np.cumsum([0, *map(len, lists)])
-    return pa.table({"batch": table.column("batch"), "part": table.column("part"), "totals": pa.array([pack_counts(total[s:e]) for s, e in zip(edge, edge[1:], strict=False)], pa.binary())})
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (batch, gram, others), sorted by batch and gram as unsigned -> batch, grams, others: a row for each run of one batch."""
+    held: list[list[np.ndarray]] = []
+    last = None
+
+    def made() -> pa.RecordBatch:
+        g, n = (np.concatenate(c) for c in zip(*held, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([pack_hashes(g)], pa.binary()), pa.array([pack_counts(n)], pa.binary())], names=["batch", "grams", "others"])
+
+    for b in batches:
+        number, g, n = b.column("batch").to_numpy(), b.column("gram").to_numpy().view(U64), b.column("others").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            if s == e:
+                continue
+            if held and number[s] != last:
+                yield made()
+                held = []
+            last = int(number[s])
+            held.append([g[s:e].copy(), n[s:e].copy()])
+    if held:
+        yield made()
 
 
 def _scored(order: int, alpha: float):
-    """A batch's documents and answers -> doc_id, n_words, log10."""
+    """A batch's documents and what others hold of its n-grams -> doc_id, n_words, log10."""
 
-    def run(key: tuple[pa.Scalar, ...], docs: pa.Table, answers: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], bundle: pa.Table, told: pa.Table) -> pa.Table:
+        docs = _unbundled(bundle.column("docs")[0])
         row, by_order, size = grams(docs, order)
-        u, _, places = distinct(by_order)
-        sort = np.argsort(answers.column("part").to_numpy())
-        packed = answers.column("totals").to_pylist()
-        total = np.concatenate([unpack_counts(packed[i]) for i in sort])
+        u, total, places = distinct(by_order)
+        for g, n in zip(told.column("grams"), told.column("others"), strict=True):
+            total[np.searchsorted(u, unpack_hashes(g.as_py()))] += unpack_counts(n.as_py())
         every = total[0] - size[row]  # words of all other documents
         counts = []
         for place in places:
@@ -152,7 +183,13 @@ def _scored(order: int, alpha: float):
     return run
 
 
-def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> DataFrame:
+def counted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows dealt by gram, the count table: gram, total, batches) of rows (gram, batch, n)."""
+    dealt = rows.repartition("gram")
+    return dealt, dealt.groupBy("gram").agg(F.sum("n").alias("total"), F.count("batch").alias("batches"))
+
+
+def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, waves: int = WAVES, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """doc_id, n_words, log10 (sum of the words' log scores) and score (their mean; null without words).
 
     Words: A-Z lower-cased, runs of other than 0x20 and 0x09-0x0D. A word scores count(gram) / count(its first words) at
@@ -160,18 +197,29 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> DataFram
     scores alpha / (their words + 1). Null text: no words. Every row is a document, repeated ones too, and other rows with
     the same text do count. An empty table gives an empty table; further columns are ignored.
     """
-    docs = docs.select("doc_id", "text")
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    batches, bits = max(1, -(-size // BATCH_BYTES)), max(0, (-(-size // PART_BYTES) - 1).bit_length()) if size else 0
-    docs = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)))
-    asked = docs.groupBy("batch").applyInArrow(_asked(order, bits), "batch long, part long, hashes binary, counts binary")
-    answers = asked.groupBy("part").applyInArrow(_added, "batch long, part long, totals binary")
-    out = docs.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_scored(order, alpha), "doc_id long, n_words long, log10 double")
+    # By place in the table, so that rows that repeat are dealt out like any others; written at once, so the deal stands.
+    dealt = docs.withColumn("batch", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(-(-size // batch_bytes) or 1)))
+    held = written(dealt.groupBy("batch").applyInArrow(_bundled, "batch long, docs binary"), "batches")
+    told = Table(spark, "counts", "batch long, grams binary, others binary")
+    for wave in range(waves):
+        rows, counts = counted(held.mapInArrow(given_back(_exploded(order, wave, waves)), "gram long, batch long, n long"))
+        shared = counts.filter("batches > 1").select("gram", "total")
+        met = rows.join(shared, "gram").select("batch", "gram", (F.col("total") - F.col("n")).alias("others"))
+        # Unsigned order of the hashes: those that are negative as signed numbers come last.
+        told.append(met.sortWithinPartitions("batch", F.col("gram") < 0, "gram").mapInArrow(_told, told.schema))
+        release(spark)
+    out = held.groupBy("batch").cogroup(told.read().groupBy("batch")).applyInArrow(_scored(order, alpha), "doc_id long, n_words long, log10 double")
+    out = written(out, "scores")
+    forget(held)
+    told.forget()
     return out.withColumn("score", F.when(F.col("n_words") > 0, F.col("log10") / F.col("n_words")))
 
 
 def op4_lm_scoring(spark, sf_dir: str) -> DataFrame:
-    """The mean log score of every document's words under the bigrams of all other documents."""
+    """The mean log score of every document's words under the trigrams of all other documents."""
     out = score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", F.round("score", 6).alias("score"))
 
@@ -182,23 +230,31 @@ with d as (
 ), t as (
   select doc_id, unnest(words) as w, generate_subscripts(words, 1) as i from d
 ), b as (
-  select *, lag(w) over (partition by doc_id order by i) as p from t
+  select *, lag(w) over q as p, lag(w, 2) over q as o from t window q as (partition by doc_id order by i)
 ), u as (
-  select w, count(*) as c from t group by w
+  select w, count(*) as c from b group by w
 ), ud as (
-  select doc_id, w, count(*) as c from t group by doc_id, w
+  select doc_id, w, count(*) as c from b group by doc_id, w
 ), g as (
   select p, w, count(*) as c from b where p is not null group by p, w
 ), gd as (
   select doc_id, p, w, count(*) as c from b where p is not null group by doc_id, p, w
+), h as (
+  select o, p, w, count(*) as c from b where o is not null group by o, p, w
+), hd as (
+  select doc_id, o, p, w, count(*) as c from b where o is not null group by doc_id, o, p, w
 ), s as (
-  select b.doc_id, (select count(*) from t) - len(d.words) as every, b.p is not null as has, coalesce(g.c - gd.c, 0) as c2, p.c - pd.c as c1, u.c - ud.c as c0
+  select b.doc_id, (select count(*) from t) - len(d.words) as every, b.p is not null as has2, b.o is not null as has3,
+    coalesce(h.c - hd.c, 0) as c3, before.c - befored.c as d3, coalesce(g.c - gd.c, 0) as c2, first.c - firstd.c as d2, u.c - ud.c as c1
   from b join d using (doc_id) join u on u.w = b.w join ud on ud.doc_id = b.doc_id and ud.w = b.w
   left join g on g.p = b.p and g.w = b.w left join gd on gd.doc_id = b.doc_id and gd.p = b.p and gd.w = b.w
-  left join u p on p.w = b.p left join ud pd on pd.doc_id = b.doc_id and pd.w = b.p
+  left join h on h.o = b.o and h.p = b.p and h.w = b.w left join hd on hd.doc_id = b.doc_id and hd.o = b.o and hd.p = b.p and hd.w = b.w
+  left join g before on before.p = b.o and before.w = b.p left join gd befored on befored.doc_id = b.doc_id and befored.p = b.o and befored.w = b.p
+  left join u first on first.w = b.p left join ud firstd on firstd.doc_id = b.doc_id and firstd.w = b.p
 ), v as (
-  select doc_id, case when c2 > 0 then log10(c2 / c1) else (case when has then log10(0.4::double) else 0 end)
-    + case when c0 > 0 then log10(c0 / every) else log10(0.4::double / (every + 1)) end end as x from s
+  select doc_id, case when c3 > 0 then log10(c3 / d3) else (case when has3 then log10(0.4::double) else 0 end)
+    + case when c2 > 0 then log10(c2 / d2) else (case when has2 then log10(0.4::double) else 0 end)
+    + case when c1 > 0 then log10(c1 / every) else log10(0.4::double / (every + 1)) end end end as x from s
 ), a as (
   select doc_id, sum(x) / count(*) as m from v group by doc_id
 )
