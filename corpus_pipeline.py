@@ -7,18 +7,18 @@ and read again as the next one's docs. All but the last return the columns of do
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tramline.llm import lang_id, minhash_dedup, mixing, spm, suffix_dedup
-from tramline.session import written
-
-#: Documents whose largest language has a smaller share than this are rejected, as are those without a letter.
-LEAST_SHARE = 0.4
+from tramline.session import fresh, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled ones teach."""
-    found = lang_id.identify(docs.withColumnRenamed("lang", "label"), docs)
-    return found.filter((found["lang_pred"] != "und") & (found["score"] >= LEAST_SHARE)).withColumnRenamed("label", "lang").select(*docs.columns)
+    """Documents in a language, or a mixture of languages, that the labelled ones teach: those go that have no letter, or whose trigrams no mixture explains better than chance."""
+    made = ["lang_pred", "score", "lang_set", "evidence"]
+    aside = {c: fresh([*docs.columns, *made], f"{c}_own")[0] for c in docs.columns if c.lower() in made}
+    found = lang_id.identify(docs.withColumnsRenamed(aside), docs)
+    return found.filter((F.col("lang_pred") != "und") & (F.col("evidence") > 0)).select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
