@@ -35,28 +35,39 @@ def weighted_median(df: DataFrame, keys: list[str], x: str, w: str, out: str) ->
 
 def nearest_rank(x: str, p: float, slots: Column) -> Column:
     """Aggregate: the ceil(p * slots)-th smallest of x, missing slots counting as infinite; null beyond what there is."""
-    return F.get(F.sort_array(F.collect_list(x)), (F.ceil(F.lit(float(p)) * slots) - 1).cast("int"))
+    return ranked(F.sort_array(F.collect_list(x)), p, slots)
 
 
-def average_rank(df: DataFrame, column: str, out: str, keys: list[str] | None = None) -> DataFrame:
-    """Ranks with ties at their mean, from counts by value, so no value's rows need one task; nulls have none.
+def ranked(values: Column | str, p: float, slots: Column) -> Column:
+    """The ceil(p * slots)-th of sorted values; null beyond what there is."""
+    return F.get(values, (F.ceil(F.lit(float(p)) * slots) - 1).cast("int"))
+
 
-    Running counts go over distinct values in range partitions: a first pass sums each partition, its sums (one row a
-    partition) are added up, and values are numbered within theirs.
+def sum_before(rows: DataFrame, column: str, weight: str, out: str, descending: bool = False) -> DataFrame:
+    """Adds the sum of `weight` over all rows before each in order of `column` (one row a value), without a window over all.
+
+    Rows go over range partitions: a first pass sums each partition, its sums (one row a partition) are added up, and rows
+    are summed within theirs.
     """
+    from tramline.session import written
+
+    order = F.desc(column) if descending else F.asc(column)
+    held = written(rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()), "ranks")
+    first = held.groupBy("_p").agg(F.sum(weight).alias("_s"))
+    first = first.withColumn("_b", F.sum("_s").over(Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).select("_p", F.coalesce("_b", F.lit(0)).alias("_b"))
+    w = Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return held.withColumn("_o", F.coalesce(F.sum(weight).over(w), F.lit(0))).join(first, "_p").withColumn(out, F.col("_o") + F.col("_b")).drop("_p", "_o", "_b")
+
+
+def average_rank(df: DataFrame, column: str, out: str, keys: list[str] | None = None) -> DataFrame:
+    """Ranks with ties at their mean, from counts by value, so no value's rows need one task; nulls have none."""
     keys = keys or []
     value = df.filter(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("_n"))
     if keys:
         w = Window.partitionBy(*keys).orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
         ranked = value.withColumn("_c", F.sum("_n").over(w))
     else:
-        from tramline.session import written
-
-        value = written(value.repartitionByRange(column).sortWithinPartitions(column).withColumn("_p", F.spark_partition_id()), "ranks")
-        before = value.groupBy("_p").agg(F.sum("_n").alias("_s"))
-        before = before.withColumn("_b", F.sum("_s").over(Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).select("_p", F.coalesce("_b", F.lit(0)).alias("_b"))
-        w = Window.partitionBy("_p").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
-        ranked = value.withColumn("_c", F.sum("_n").over(w)).join(before, "_p").withColumn("_c", F.col("_c") + F.col("_b")).drop("_p", "_b")
+        ranked = sum_before(value, column, "_n", "_c").withColumn("_c", F.col("_c") + F.col("_n"))
     ranked = ranked.withColumn(out, F.col("_c") - (F.col("_n") - 1) / F.lit(2.0)).drop("_n", "_c")
     return df.join(ranked, [*keys, column], "left")
 

@@ -6,11 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tramline.config import DECAY_BETA, GC_WEIGHTS, REACH_SHARE, WAIT_CURVE
 from tramline.functions.curves import interpolate
-from tramline.functions.stats import average_rank, nearest_rank, qualify, top_names
+from tramline.functions.stats import average_rank, qualify, ranked, sum_before, top_names
 
 PAIR = ["from_id", "to_id"]
 
@@ -24,12 +23,13 @@ def skim_summary(rows: DataFrame, slots: int, routes: bool = True) -> DataFrame:
     rides = F.col("n_rides") >= 1
     over = lambda c: F.avg(F.when(rides, F.col(c)))
     out = rows.groupBy(*PAIR).agg(
-        F.avg("total_time").alias("total"), F.min("total_time").alias("best"), *[nearest_rank("total_time", p / 100, F.lit(slots)).alias(f"p{p}") for p in (25, 50, 75)],
+        F.avg("total_time").alias("total"), F.min("total_time").alias("best"), F.sort_array(F.collect_list("total_time")).alias("_t"),
         F.avg("wait").alias("wait"), F.avg("walk").alias("walk"), F.avg("ride").alias("ride"), F.avg("n_rides").alias("rides"),
         over("wait").alias("r_wait"), over("walk").alias("r_walk"), over("ride").alias("r_ride"), F.avg(rides.cast("double")).alias("ride_share"),
         (F.count("*") / F.lit(slots)).alias("reach_share"), F.avg((~rides).cast("double")).alias("walk_only_share"),
     )
-    out = out.withColumn("unreachable", F.col("reach_share") < REACH_SHARE)
+    # A pair has a row a minute, so its list is no longer than the slots.
+    out = out.withColumns({f"p{p}": ranked("_t", p / 100, F.lit(slots)) for p in (25, 50, 75)} | {"unreachable": F.col("reach_share") < REACH_SHARE}).drop("_t")
     return out.join(top_names(rows.filter(rides), PAIR, "route"), PAIR, "left") if routes else out
 
 
@@ -131,8 +131,7 @@ def people_headline(oas: DataFrame, total_jobs: DataFrame, by_min: float = 2.0)
     )
     # The origins in descending order of weighted pairs up to half of all: one more than those whose running sum is within half.
     v = oas.select("zone", (F.col("faster") * r).cast("long").alias("v")).groupBy("v").agg(F.count("*").alias("n"))
-    run = Window.orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, -1)
-    v = v.withColumn("before", F.coalesce(F.sum(F.col("v") * F.col("n")).over(run), F.lit(0)))  # distinct values, summed up before
+    v = sum_before(v.withColumn("vn", F.col("v") * F.col("n")), "v", "vn", "before", descending=True)
     half = v.join(out.select((F.col("weighted_pairs") / 2).alias("h")).withColumn("_k", F.lit(1)), F.lit(1) == F.col("_k"))
     n = F.when(F.col("v") > 0, F.greatest(F.lit(0), F.least(F.col("n"), F.floor((F.col("h") - F.col("before")) / F.col("v"))))).otherwise(F.when(F.col("before") <= F.col("h"), F.col("n")).otherwise(F.lit(0)))
     half = half.agg((F.sum(n) + 1).cast("long").alias("origins_with_half")).withColumn("_k", F.lit(1))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tramline.config import AM_PEAK_HOUR, DIRECTION_MIN_SHARE, PERIODS
-from tramline.functions.stats import gap_with_edges, qualify
+from tramline.functions.clock import period
+from tramline.functions.stats import qualify
 
 
 def active_services(calendar: DataFrame, dates: DataFrame, day: str) -> DataFrame:
@@ -54,14 +55,26 @@ def departures(calls: DataFrame, keys: list[str], order: str = "seq", stop: str
     return qualify(out, [*keys, stop, minute], [F.asc(order)])
 
 
+def in_periods(dep: DataFrame, minute: str, periods: dict[str, tuple[float, float]]) -> DataFrame:
+    """Rows within a period, with period; where periods overlap, the first that holds the time."""
+    return dep.withColumn("period", period(F.col(minute), periods, other=None)).filter(F.col("period").isNotNull())
+
+
+def _edges(periods: dict[str, tuple[float, float]]) -> tuple[Column, Column]:
+    """Where a row's period begins and ends."""
+    at = [F.create_map(*[F.lit(x) for k, v in periods.items() for x in (k, float(v[i]))]) for i in (0, 1)]
+    return F.element_at(at[0], F.col("period")), F.element_at(at[1], F.col("period"))
+
+
 def service_levels(dep: DataFrame, keys: list[str], minute: str = "minute", periods: dict[str, tuple[float, float]] = PERIODS) -> DataFrame:
     """Per key and period: departures_per_hour, mean_headway_min, max_headway_min (the longest gap, from the period's start and to its end)."""
-    out = None
-    for name, (lo, hi) in periods.items():
-        rows = gap_with_edges(dep.filter((F.col(minute) >= lo) & (F.col(minute) < hi)), keys, minute, lo, hi)
-        rows = rows.select(*keys, F.lit(name).alias("period"), (F.col("n") / F.lit((hi - lo) / 60)).alias("departures_per_hour"), (F.lit(hi - lo) / F.col("n")).alias("mean_headway_min"), F.col("max_gap").alias("max_headway_min"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    by = [*keys, "period"]
+    rows = in_periods(dep, minute, periods)
+    gap = F.col(minute) - F.lag(minute).over(Window.partitionBy(*by).orderBy(minute))
+    g = rows.withColumn("_g", gap).groupBy(*by).agg(F.count("*").alias("_n"), F.max("_g").alias("_g"), F.min(minute).alias("_a"), F.max(minute).alias("_z"))
+    lo, hi = _edges(periods)
+    longest = F.greatest(F.coalesce("_g", F.lit(0.0)), F.col("_a") - lo, hi - F.col("_z"))
+    return g.select(*by, (F.col("_n") / ((hi - lo) / 60)).alias("departures_per_hour"), ((hi - lo) / F.col("_n")).alias("mean_headway_min"), longest.alias("max_headway_min"))
 
 
 def sides(dep: DataFrame, keys: list[str], direction: str, min_share: float = DIRECTION_MIN_SHARE) -> DataFrame:
@@ -77,10 +90,7 @@ def sides(dep: DataFrame, keys: list[str], direction: str, min_share: float = DI
 def cluster_service(dep: DataFrame, keys: list[str], direction: str, minute: str = "minute", periods: dict[str, tuple[float, float]] = PERIODS, min_share: float = DIRECTION_MIN_SHARE) -> DataFrame:
     """Service levels with directions, sides, dph_one_way and headway_min."""
     level = service_levels(dep, keys, minute, periods)
-    both = None
-    for name, (lo, hi) in periods.items():
-        rows = sides(dep.filter((F.col(minute) >= lo) & (F.col(minute) < hi)), keys, direction, min_share).withColumn("period", F.lit(name))
-        both = rows if both is None else both.unionByName(rows)
+    both = sides(in_periods(dep, minute, periods), [*keys, "period"], direction, min_share)
     out = level.join(both, [*keys, "period"])
     out = out.withColumn("dph_one_way", F.col("departures_per_hour") / F.col("sides"))
     return out.withColumn("headway_min", F.lit(60.0) / F.col("dph_one_way"))
