@@ -244,3 +244,74 @@ def test_fits_recover_what_made_the_data():
     y[:10] *= 5  # outliers
     x = congestion.soft_l1(lambda p: np.log(t / p[0] + p[1] * n) - np.log(y), np.array([1.0, 5.0]), np.array([0.3, 0.0]), np.array([1.5, 120.0]), scale=0.05)
     assert x == pytest.approx([0.8, 12], rel=0.03)
+
+
+def test_track_paths_take_the_shortest_choice_of_nodes():
+    from tramline.operators.paths import track_path
+
+    # Two parallel tracks a few metres apart; only the second goes through to the end.
+    nodes = {1: (0.0, 51.0), 2: (0.01, 51.0), 3: (0.0, 51.0001), 4: (0.01, 51.0001), 5: (0.02, 51.0001)}
+    tracks = [{"u": 1, "v": 2, "m": 700.0, "kind": "rail", "kmh": 60}, {"u": 3, "v": 4, "m": 710.0, "kind": "rail", "kmh": 100}, {"u": 4, "v": 5, "m": 690.0, "kind": "disused", "kmh": None}]
+    got = track_path(nodes, tracks, [(0.0, 51.0), (0.01, 51.0), (0.02, 51.0)], 100.0)
+    assert got["nodes"] == [3, 4, 5] and got["length_m"] == 1400 and got["kinds_m"] == {"rail": 710.0, "disused": 690.0}
+    assert got["maxspeed_tagged_m"] == 710 and got["maxspeed_kmh"] == pytest.approx(100) and all(5 < x < 15 for x in got["snap_m"])
+    with pytest.raises(ValueError):
+        track_path(nodes, tracks, [(1.0, 51.0), (0.0, 51.0)], 100.0)
+
+
+def test_tables_as_files(spark, tmp_path):
+    from tramline.sources import tables
+
+    (tmp_path / "c.csv").write_text('"Area of residence","All, of them"\nE1,3\nE2,4\n')
+    got = tables.read_csv(spark, str(tmp_path / "c.csv"))
+    assert got.columns == ["Area of residence", "All, of them"] and dict(got.dtypes)["All, of them"] == "int" and got.count() == 2
+    (tmp_path / "p.csv").write_text("ATCOCode,CommonName,Longitude,Latitude,Status\n9100ABC,Abc,-2.5,51.4,Active\n0100X,Bus,-2.5,51.4,active\n9100DEF,Def,,51.4,active\n")
+    assert [tuple(r) for r in tables.read_places(spark, str(tmp_path / "p.csv")).collect()] == [("ABC", -2.5, 51.4, "Abc", "active")]
+    spark.range(3).write.parquet(str(tmp_path / "their.parquet"))
+    theirs = tables.Attached(spark, str(tmp_path), {"adjusted"})
+    assert theirs.table("their").count() == 3
+    for bad in (lambda: theirs.table("adjusted"), theirs.write):
+        with pytest.raises(PermissionError):
+            bad()
+    tables.write_report(spark.range(2), str(tmp_path / "r"), header=False)
+    assert sorted(next((tmp_path / "r").glob("*.csv")).read_text().split()) == ["0", "1"]
+
+
+def test_run_records_and_the_command_line(tmp_path, capsys):
+    import json
+
+    from tramline import record
+    from tramline.__main__ import main
+
+    made = record.finish(record.begin("q", {"folder": "x"}), ["out"], str(tmp_path / "r.json"))
+    assert json.loads((tmp_path / "r.json").read_text()) == made and made["run_id"].startswith("q-")
+    with pytest.raises(ValueError):
+        record.check({"query": "q"})
+    assert main(["queries"]) == 0 and "stop_service" in capsys.readouterr().out
+    assert main(["sql", "mode_class"]) == 0 and "select" in capsys.readouterr().out
+    cat = {"routes": {"R": ["a"]}, "stops": {"a": [0.0, 51.0]}, "sections": [["P", "Q"]]}
+    (tmp_path / "c.json").write_text(json.dumps(cat))
+    for op, code in (({"remove_route": {"route_id": "R"}}, 0), ({"remove_route": {"route_id": "X"}}, 1)):
+        (tmp_path / "s.json").write_text(json.dumps({"id": "S1", "parent": "B0", "description": "d", "ops": [op]}))
+        assert main(["validate", str(tmp_path / "s.json"), str(tmp_path / "c.json")]) == code
+
+
+def test_what_must_not_be_raises(spark):
+    from tramline.operators import calibration, demand, rail, relational, skims
+
+    one = spark.createDataFrame([(1, 2), (1, 3)], "k int, v int")
+    with pytest.raises(Exception, match="repeats"):
+        relational.join_one_to_one(one, one.groupBy("k").agg(F.max("v").alias("w")), ["k"]).collect()
+    with pytest.raises(Exception, match="take tracks away"):
+        rail.works_on_track(spark.createDataFrame([("a", "b", 2)], "from string, to string, tracks int"), spark.createDataFrame([(1, "b", "a", 1)], "number int, from string, to string, tracks int")).collect()
+    with pytest.raises(Exception, match="no mode class"):
+        spark.range(1).select(timetable.mode_class(F.lit("6000"), F.lit(False))).collect()
+    flows, known = spark.createDataFrame([("a", 90.0), ("b", 10.0)], "station string, j double"), spark.createDataFrame([("a",)], "station string")
+    assert demand.unlocated_share(flows, known, 0.2).first().share == 0.1
+    with pytest.raises(Exception, match="too many journeys"):
+        demand.unlocated_share(flows, known).collect()
+    with pytest.raises(ValueError):
+        calibration.plate_observations(flows, stamp="middle")
+    assert skims.offset_pairs([1, 2], [3]) == [(3, 1), (3, 2)] and skims.offset_pairs([1, 2], [3, 4]) == [(3, 1), (4, 2)]
+    with pytest.raises(ValueError):
+        skims.offset_pairs([1, 2, 3], [4, 5])

@@ -150,3 +150,34 @@ def free_flow_ladder(limit_kmh: Column, area: Column, highway: Column, wales: Co
     main = F.regexp_replace(highway, "_link", "").isin("motorway", "trunk", "primary", "secondary", "tertiary")
     ladder = F.when(highway.isin("service", "living_street"), service).when(built_up & wales, urban_wales).when(built_up, urban).when(main, rural_main).otherwise(rural_minor)
     return F.coalesce(limit_kmh.cast("double"), ladder.cast("double"))
+
+
+def site_factors(segments: DataFrame, sites: DataFrame, km: float = 10.0, at_site_m: float = 50.0) -> DataFrame:
+    """id, factor, source of trunk segments: the factor of the nearest site of their road, of like bearing and within km (`site` under at_site_m, else `nearest_site`), else the median of all sites (`mean`).
+
+    segments, sites: id, ref, lon, lat, bearing; sites also factor. The nearest is found over grid cells, not all pairs.
+    """
+    from tramline.functions.geo import angle_between
+    from tramline.functions.stats import qualify
+    from tramline.operators.spatial import near_pairs
+
+    near = near_pairs(segments, sites, km).filter((F.col("a_ref") == F.col("b_ref")) & (angle_between(F.col("a_bearing"), F.col("b_bearing")) < 90))
+    near = qualify(near, ["a_id"], [F.asc("dist_km"), F.asc("b_id")])
+    near = near.select(F.col("a_id").alias("id"), F.col("b_factor").alias("_f"), "dist_km")
+    every = sites.agg(F.percentile("factor", F.lit(0.5)).alias("_m")).withColumn("_k", F.lit(1))
+    rows = segments.select("id").withColumn("_k", F.lit(1)).join(every, "_k").join(near, "id", "left")
+    source = F.when(F.col("dist_km") * 1000 < at_site_m, "site").when(F.col("_f").isNotNull(), "nearest_site").otherwise("mean")
+    return rows.select("id", F.coalesce("_f", "_m").alias("factor"), source.alias("source"))
+
+
+def sensor_speeds(rows: DataFrame, day_kinds: DataFrame, periods: dict[str, tuple[float, float]] = PERIODS) -> DataFrame:
+    """site, period, kmh (harmonic, weighted by volume), rows of quarter-hour sensor rows (site, ts, mph, volume), each in the period of its start.
+
+    Neutral days alone count for weekday periods (others: none), weekends are WE; 8 h within AM counts as AMPH too.
+    day_kinds: day, day_type.
+    """
+    x = rows.filter((F.col("mph") > 0) & (F.col("volume") > 0)).withColumn("day", F.to_date("ts")).join(day_kinds, "day")
+    own = F.when(F.col("day_type") == "weekend", "WE").when(F.col("day_type") == "neutral", period(F.hour("ts") * 60 + F.minute("ts"), periods))
+    x = x.withColumn("period", F.explode(F.filter(F.array(own, F.when((own == "AM") & (F.hour("ts") == 8), "AMPH")), lambda p: p.isNotNull())))
+    kmh = F.sum("volume") / F.sum(F.col("volume") / (F.col("mph") * KMH_PER_MPH))
+    return x.groupBy("site", "period").agg(kmh.alias("kmh"), F.count("*").alias("rows"))

@@ -132,3 +132,17 @@ def capital_lines(spec: dict[str, Any]) -> list[dict[str, Any]]:
 
 def operating_cost(extra_km: float, days: float, rate: float, fixed: dict[str, float]) -> float:
     return extra_km * days * rate + sum(fixed.values())
+
+
+def opex_lines(before: DataFrame, after: DataFrame, days: float, rate: str = "rate") -> DataFrame:
+    """mode, extra_km (a weekday), yearly, cost of the change in vehicle-km. before, after: mode, km; after also holds a rate by mode (null: no cost, the line stays). Modes without a change give no line."""
+    j = after.select("mode", F.col("km").alias("_a"), rate).join(before.select("mode", F.col("km").alias("_b")), "mode", "full")
+    extra = F.coalesce("_a", F.lit(0.0)) - F.coalesce("_b", F.lit(0.0))
+    return j.withColumn("extra_km", extra).filter(F.abs("extra_km") >= 1e-6).select("mode", "extra_km", (F.col("extra_km") * days).alias("yearly"), (F.col("extra_km") * days * F.col(rate)).alias("cost"))
+
+
+def completeness(lines: DataFrame, item: str, tag: str) -> DataFrame:
+    """By tag: lines, those without a cost (upper bounds aside), and their items in order; a scheme is complete where none are."""
+    open_ = F.col("cost_high").isNull() & ~F.coalesce(F.col("bound") == "upper", F.lit(False))
+    g = lines.groupBy(tag).agg(F.count("*").alias("lines"), F.sum(open_.cast("long")).alias("not_costed"), F.sort_array(F.collect_set(F.when(open_, F.col(item)))).alias("items"))
+    return g.withColumn("complete", F.col("not_costed") == 0)

@@ -181,3 +181,13 @@ def unlocated_share(flows: DataFrame, stations: DataFrame, most: float = MOST_UN
     bad = F.coalesce(F.col("journeys"), F.lit(0)) == 0
     checked = F.when(bad, F.raise_error(F.lit("no journey has exactly one end at a gateway")).cast("double")).when(share > most, F.raise_error(F.lit("too many journeys at stations without a place")).cast("double")).otherwise(share)
     return one.select("journeys", checked.alias("share"), "unlocated")
+
+
+def matrix_steps(steps: list[DataFrame]) -> DataFrame:
+    """step (from 1), total, change: what each cumulative step of a correction leaves of all trips, and its change. Each holds trips."""
+    one = [s.agg(F.sum("trips").alias("total")).withColumn("step", F.lit(i)) for i, s in enumerate(steps, 1)]
+    rows = one[0]
+    for s in one[1:]:
+        rows = rows.unionByName(s)
+    before = rows.select((F.col("step") + 1).alias("step"), F.col("total").alias("_b"))
+    return rows.join(before, "step", "left").select("step", "total", F.coalesce(F.col("total") - F.col("_b"), F.lit(0.0)).alias("change"))

@@ -178,3 +178,18 @@ def touching_components(rings: DataFrame, digits: int = 7) -> DataFrame:
     at = rings.select("id", F.explode("ring").alias("p")).select("id", F.round("p.lon", digits).alias("x"), F.round("p.lat", digits).alias("y")).distinct()
     low = at.groupBy("x", "y").agg(F.min("id").alias("b"))
     return components(at.join(low, ["x", "y"]).select(F.col("id").alias("a"), "b").distinct())
+
+
+def odd_origins(pairs: DataFrame, near_m: float = 400.0) -> DataFrame:
+    """Origins whose nearest target is at most near_m away in a straight line, but whose walk there is missing or far longer (minutes x 80 over 3 x metres + 240). pairs: id, target, straight_m, walk_min."""
+    one = qualify(pairs, ["id"], [F.asc("straight_m"), F.asc("target")]).filter(F.col("straight_m") <= near_m)
+    return one.filter(F.col("walk_min").isNull() | (F.col("walk_min") * 80 > 3 * F.col("straight_m") + 240))
+
+
+def score_sweep(base: DataFrame, reach: DataFrame, level: DataFrame, scales: dict[str, float], tau: float, key: str, cap: float = SCORE_CAP_DPH) -> DataFrame:
+    """variant, key, score for each way of walking: times over a scale (0.5: half as fast) in exp(-minutes / tau). One pass: rows open into a row a variant, a handful."""
+    ways = F.array(*[F.struct(F.lit(n).alias("variant"), F.lit(float(s)).alias("scale")) for n, s in scales.items()])
+    m = reach.join(level, "cluster_id").withColumn("_v", F.explode(ways))
+    worth = F.exp(-(F.col("walk_min") / F.col("_v.scale")) / tau) * F.least("dph_one_way", F.lit(cap))
+    g = m.groupBy(F.col("_v.variant").alias("variant"), key).agg(F.sum(worth).alias("score"))
+    return base.select(key).withColumn("variant", F.explode(F.array(*map(F.lit, scales)))).join(g, ["variant", key], "left").fillna(0.0, ["score"]).select("variant", key, "score")
