@@ -315,3 +315,29 @@ def test_what_must_not_be_raises(spark):
     assert skims.offset_pairs([1, 2], [3]) == [(3, 1), (3, 2)] and skims.offset_pairs([1, 2], [3, 4]) == [(3, 1), (4, 2)]
     with pytest.raises(ValueError):
         skims.offset_pairs([1, 2, 3], [4, 5])
+
+
+def test_layers_are_found_again():
+    import numpy as np
+
+    from tramline.operators.calibration import fit_layer
+
+    r = np.random.default_rng(1)
+    n = 300
+    period_of = r.integers(0, 2, n)
+    parts = {"t_centre": r.uniform(20, 200, n), "t_urban": r.uniform(20, 200, n), "s_centre": r.integers(0, 5, n), "s_urban": r.integers(0, 5, n), "t_other": r.uniform(10, 50, n)}
+    k, d = np.array([[0.6, 0.8], [0.9, 1.1]]), (20.0, 8.0)
+    seen = parts["t_other"] + parts["t_centre"] / k[0][period_of] + parts["t_urban"] / k[1][period_of] + parts["s_centre"] * d[0] + parts["s_urban"] * d[1]
+    got = fit_layer(parts, seen, period_of, ["centre", "urban"], ["AM", "IP"])
+    assert [got["k"][a, p] for a in ("centre", "urban") for p in ("AM", "IP")] == pytest.approx(k.ravel().tolist(), rel=0.01) and list(got["d"].values()) == pytest.approx(d, rel=0.02)
+
+
+def test_parameters(spark, tmp_path):
+    from tramline.params import Params
+
+    (tmp_path / "p.json").write_text('{"a": {"b": {"value": 3, "tag": "sourced", "unit": "min"}, "c": {"value": null, "tag": "placeholder"}}}')
+    p = Params(str(tmp_path / "p.json"))
+    assert p["a.b"] == 3 and p.placeholders() == ["a.c"] and [tuple(r) for r in p.table(spark).collect()] == [("a.b", "3", "sourced", "min"), ("a.c", "null", "placeholder", None)]
+    (tmp_path / "q.json").write_text('{"a": 3}')
+    with pytest.raises(ValueError):
+        Params(str(tmp_path / "q.json"))

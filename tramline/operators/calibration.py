@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tramline.config import PERIODS
+from tramline.config import ANPR_DELAY, ANPR_K, ANPR_SOFT_SCALE, PERIODS
 from tramline.functions.clock import period
 
 # Fixed values: (first month and day, last month and day) of what counts as holidays where no calendar is at hand.
@@ -181,3 +182,41 @@ def sensor_speeds(rows: DataFrame, day_kinds: DataFrame, periods: dict[str, tupl
     x = x.withColumn("period", F.explode(F.filter(F.array(own, F.when((own == "AM") & (F.hour("ts") == 8), "AMPH")), lambda p: p.isNotNull())))
     kmh = F.sum("volume") / F.sum(F.col("volume") / (F.col("mph") * KMH_PER_MPH))
     return x.groupBy("site", "period").agg(kmh.alias("kmh"), F.count("*").alias("rows"))
+
+
+def pair_fold(a: Column, b: Column, k: int) -> Column:
+    """Fold of an unordered pair of places, by hash."""
+    return F.pmod(F.crc32(F.concat_ws("|", F.least(a, b), F.greatest(a, b)).cast("binary")), F.lit(k)).cast("int")
+
+
+def profile_folds(rows: DataFrame, fold: str) -> DataFrame:
+    """Per fold: (k, b) of the other folds that minimise sum w (t - k profile - b junctions)^2 with b >= 0, from sums of the whole less the fold's own; and the fold's relative error in all its time. rows: t, profile, junctions, w."""
+    w, p, j, t = (F.col(c) for c in ("w", "profile", "junctions", "t"))
+    names = {"pp": w * p * p, "pj": w * p * j, "jj": w * j * j, "pt": w * p * t, "jt": w * j * t}
+    own = rows.groupBy(fold).agg(*[F.sum(x).alias(n) for n, x in names.items()], F.sum(w * p).alias("_p"), F.sum(w * j).alias("_j"), F.sum(w * t).alias("_t")).withColumn("_k", F.lit(1))
+    whole = own.groupBy("_k").agg(*[F.sum(n).alias(f"all_{n}") for n in names])
+    rest = own.join(whole, "_k").withColumns({n: F.col(f"all_{n}") - F.col(n) for n in names})
+    det = F.col("pp") * F.col("jj") - F.col("pj") * F.col("pj")
+    b = (F.col("jt") * F.col("pp") - F.col("pt") * F.col("pj")) / det
+    k = F.when(b >= 0, (F.col("pt") * F.col("jj") - F.col("jt") * F.col("pj")) / det).otherwise(F.col("pt") / F.col("pp"))
+    fit = rest.withColumns({"k": k, "b": F.greatest(b, F.lit(0.0))})
+    return fit.select(fold, "k", "b", ((F.col("k") * F.col("_p") + F.col("b") * F.col("_j")) / F.col("_t") - 1).alias("error"))
+
+
+def fit_layer(components: dict[str, np.ndarray], observed: np.ndarray, period_of: np.ndarray, areas: list[str], periods: list[str], k_range: tuple[float, float] = ANPR_K, d_range: tuple[float, float] = ANPR_DELAY) -> dict:
+    """{"k": {(area, period): k}, "d": {area: seconds}} that bring links' modelled times nearest to observed ones, by a soft-L1 loss on their log ratio.
+
+    components: t_<area>, s_<area>, t_other as arrays, one value a link and period (a few thousand rows, on the driver).
+    """
+    from tramline.operators.congestion import soft_l1
+
+    n, m = len(areas), len(periods)
+    t, s = (np.stack([components[f"{c}_{a}"] for a in areas]) for c in "ts")
+
+    def residual(x: np.ndarray) -> np.ndarray:
+        k = x[: n * m].reshape(n, m)[:, period_of]
+        return np.log(components["t_other"] + (t / k).sum(0) + (s * x[n * m :, None]).sum(0)) - np.log(observed)
+
+    low, high = (np.concatenate([np.full(n * m, k_range[i]), np.full(n, d_range[i])]) for i in (0, 1))
+    x = soft_l1(residual, np.concatenate([np.full(n * m, 0.9), np.full(n, 10.0)]), low, high, scale=ANPR_SOFT_SCALE)
+    return {"k": {(a, p): float(x[i * m + j]) for i, a in enumerate(areas) for j, p in enumerate(periods)}, "d": {a: float(x[n * m + i]) for i, a in enumerate(areas)}}

@@ -191,3 +191,12 @@ def matrix_steps(steps: list[DataFrame]) -> DataFrame:
         rows = rows.unionByName(s)
     before = rows.select((F.col("step") + 1).alias("step"), F.col("total").alias("_b"))
     return rows.join(before, "step", "left").select("step", "total", F.coalesce(F.col("total") - F.col("_b"), F.lit(0.0)).alias("change"))
+
+
+def land_use(zones: DataFrame, residents: DataFrame, jobs: DataFrame, version: str) -> DataFrame:
+    """zone, parent, residents, jobs, version: one row a zone. A zone without residents raises when its row is read. zones: zone, parent, weight; residents: zone, residents; jobs: parent, jobs, dealt by weight."""
+    from tramline.operators.spatial import split_jobs
+
+    j = split_jobs(zones, "parent", "weight", jobs).join(residents.select("zone", F.col("residents").alias("_r")), "zone", "left")
+    known = F.coalesce("_r", F.raise_error(F.concat(F.lit("no residents for zone "), F.col("zone").cast("string"))).cast("long"))
+    return j.select("zone", "parent", known.alias("residents"), "jobs", F.lit(version).alias("version"))

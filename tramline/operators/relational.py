@@ -50,3 +50,13 @@ def gaps_with_edges(polls: DataFrame, windows: DataFrame, key: str, ts: str, lim
     gap = (F.unix_micros(F.col("t")) - F.unix_micros(F.lag("t").over(w))) / F.lit(1e6)
     rows = ends.unionByName(inside).withColumn("_g", gap)
     return rows.groupBy(key).agg(F.sum("n").alias("polls"), F.sum(F.when(F.col("_g") > limit_s, F.col("_g") / 60).otherwise(0.0)).alias("gap_min"))
+
+
+def comparison(a: DataFrame, b: DataFrame, chain_a: list[str], chain_b: list[str], anyway: bool = False) -> DataFrame:
+    """metric, a, b, change (four places) of two evaluated scenarios, of which one must be the other's ancestor unless `anyway`; a metric that one lacks has nulls. Each has metric, value."""
+    from tramline.operators.scenario import related
+
+    if not anyway and not related(chain_a, chain_b):
+        raise ValueError("neither scenario is an ancestor of the other")
+    j = a.select("metric", F.col("value").alias("a")).join(b.select("metric", F.col("value").alias("b")), "metric", "full")
+    return j.withColumn("change", F.round(F.col("b") - F.col("a"), 4))

@@ -116,3 +116,54 @@ def matrix_steps(t):
     f = t.flows.select("o", "d", F.col("trips").cast("double").alias("trips"))
     inside = f.filter("o <> d")
     return tidy(demand.matrix_steps([f, inside, inside.withColumn("trips", F.col("trips") * 0.9)]), 4)
+
+
+_KB = "k, b from (select *, case when (jt * pp - pt * pj) / det >= 0 then (pt * jj - jt * pj) / det else pt / pp end as k, greatest((jt * pp - pt * pj) / det, 0) as b from (select *, pp * jj - pj * pj as det from o))"
+
+
+@query("profile_folds", f"""
+with r as (select p_partkey % 4 as fold, {D('p_size * 2 + p_partkey % 7')} as t, {D('p_size')} as p, {D('p_partkey % 9')} as j, {D('p_partkey % 3 + 1')} as w from part), f as (select distinct fold from r),
+  o as (select f.fold, sum(w * p * p) as pp, sum(w * p * j) as pj, sum(w * j * j) as jj, sum(w * p * t) as pt, sum(w * j * t) as jt from f join r on r.fold <> f.fold group by all), k as (select fold, {_KB}), e as (select fold, sum(w * p) as p, sum(w * j) as j, sum(w * t) as t from r group by fold)
+select fold, round(k, 6) as k, round(b, 6) as b, round((k * p + b * j) / t - 1, 6) as error from k join e using (fold)
+""")
+def profile_folds(t):
+    p = F.col("p_partkey")
+    rows = t.part.select((p % 4).alias("fold"), (F.col("p_size") * 2 + p % 7).cast("double").alias("t"), F.col("p_size").cast("double").alias("profile"), (p % 9).cast("double").alias("junctions"), (p % 3 + 1).cast("double").alias("w"))
+    return tidy(calibration.profile_folds(rows, "fold"))
+
+
+@query("comparison", "with a as (select p_brand as metric, avg(p_size) as value from part where p_brand <> 'Brand#2' group by 1), b as (select p_brand as metric, avg(p_retailprice) as value from part where p_brand <> 'Brand#7' group by 1) select metric, round(a.value, 6) as a, round(b.value, 6) as b, round(b.value - a.value, 4) as change from a full join b using (metric)")
+def comparison(t):
+    m = lambda c, no: t.part.filter(F.col("p_brand") != no).groupBy(F.col("p_brand").alias("metric")).agg(F.avg(c).alias("value"))
+    return tidy(relational.comparison(m("p_size", "Brand#2"), m("p_retailprice", "Brand#7"), ["B0"], ["B0", "S1"]))
+
+
+@query("land_use", f"""
+with z as (select c_custkey as zone, c_nationkey as parent, c_custkey % 5 as w from customer), j as (select s_nationkey as parent, count(*) * 100 as jobs from supplier group by 1), x as (select *, sum(w) over (partition by parent) as t, count(*) over (partition by parent) as n from z)
+select zone, parent::bigint as parent, zone % 300 as residents, round(coalesce(jobs, 0) * case when t > 0 then w / {D('t')} else {D(1)} / n end, 6) as jobs, 'v1' as version from x left join j using (parent)
+""")
+def land_use(t):
+    k = F.col("c_custkey")
+    z = t.customer.select(k.alias("zone"), F.col("c_nationkey").alias("parent"), (k % 5).alias("weight"))
+    jobs = t.supplier.groupBy(F.col("s_nationkey").alias("parent")).agg((F.count("*") * 100).alias("jobs"))
+    return tidy(demand.land_use(z, t.customer.select(k.alias("zone"), (k % 300).alias("residents")), jobs, "v1"))
+
+
+@query("event_json", "select event_id, cast(json_extract(props, '$.k') as bigint) as k, cast(regexp_extract(props, '([0-9]+)', 1) as bigint) as digits, '{\"e\":\"' || event_type || '\",\"k\":' || cast(json_extract(props, '$.k') as bigint) || '}' as back from events")
+def event_json(t):
+    k = F.from_json("props", "k bigint")["k"]
+    back = F.to_json(F.struct(F.col("event_type").alias("e"), k.alias("k")))
+    return t.events.select("event_id", k.alias("k"), F.regexp_extract("props", "([0-9]+)", 1).cast("long").alias("digits"), back.alias("back"))
+
+
+@query("line_calls", """
+with s as (select 0 as dir, range as n, 425 + range * 15 as start from range(12) union all select 1, range, 425 + range * 15 from range(12)), p as (select * from (values (0, 1, 'a', 0, 0), (0, 2, 'b', 4, 4.5), (0, 3, 'c', 10.5, 10.5), (1, 1, 'c', 0, 0), (1, 2, 'b', 6, 6.5), (1, 3, 'a', 10.5, 10.5)) v(dir, seq, stop, a, b))
+select 'N:' || dir || ':' || n as trip, seq::bigint as seq, stop, cast(start + a as double) as arr, cast(start + b as double) as dep from s join p using (dir)
+""")
+def line_calls(t):
+    from tramline.operators import scenario
+
+    none = t.spark.createDataFrame([], "route string, trip string, journey string, seq int, stop string, arr double, dep double")
+    net = scenario.Network(none, {"AM": (420.0, 600.0)})
+    op = {"span": "07:00-10:00", "headways_min": {"AM": 15.0}, "stops": [{"stop_id": x, "lon": 0.0, "lat": 51.0} for x in "abc"], "speed_profile": {"dwell_s": 30.0}}
+    return tidy(scenario.line_calls(net, op, "N", 1 / 3, legs_min=[4.0, 6.0]).select("trip", "seq", "stop", "arr", "dep"))
