@@ -8,8 +8,8 @@ A candidate pair's signatures are compared in batches of 16. After each batch th
 prior) says how likely it is still at or over the threshold; below MISS the pair is dropped. Survivors are verified on
 the full sets: first on 64-bit hashes of all shingles, then, before a link comes out, on the shingles' words themselves.
 
-Pairs within a bucket are not all listed. First every member meets the smallest one of its bucket. The links found give
-components; a pair within one component decides nothing more. Then, in buckets that still hold several components, the
+Pairs within a bucket are not all listed. First every member meets the smallest one of its bucket (of all its buckets, the
+one that most meet before the others). The links found give components; a pair within one component decides nothing more. Then, in buckets that still hold several components, the
 members outside the bucket's largest component meet all members of other components, in blocks of bounded size. Every
 bucket pair is so compared, or is already connected.
 """
@@ -327,12 +327,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     star = met.filter("nid <> low").select(F.col("low").alias("a"), F.col("nid").alias("b")).distinct()
     star = written(with_sigs(star).mapInArrow(given_back(_pruned(need)), "a long, b long"), "pairs")
-    texts = _texts_of(star.select(F.col("a").alias("nid")).union(star.select("b")).distinct(), docs, classes, k)
-    both = star.join(texts.select(F.col("nid").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("nid").alias("b"), F.col("text").alias("text_b")), "b")
-    links = written(both.select("a", "b", "text_a", "text_b").mapInArrow(given_back(_verified(k, percent)), "a long, b long"), "links")
-    forget(star, texts)
+
+    def confirmed_links(pairs: DataFrame) -> DataFrame:
+        texts = _texts_of(pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).distinct(), docs, classes, k)
+        both = pairs.join(texts.select(F.col("nid").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("nid").alias("b"), F.col("text").alias("text_b")), "b")
+        out = written(both.select("a", "b", "text_a", "text_b").mapInArrow(given_back(_verified(k, percent)), "a long, b long"), "links")
+        forget(texts)
+        return out
+
+    # A class first meets the one of its buckets' smallest that most classes meet; texts of the other pairs travel only where that left the two apart.
+    hubs = star.groupBy("a").agg(F.count("*").alias("n"))
+    chosen = written(star.join(hubs, "a").groupBy("b").agg(F.min(F.struct((-F.col("n")).alias("n"), "a")).alias("m")).select(F.col("m.a").alias("a"), "b"), "chosen")
+    links = confirmed_links(chosen)
     first = written(components(links), "components")
-    forget(links)
+    part = lambda c: first.select(F.col("id").alias(c), F.col("component").alias(f"{c}_c"))
+    rest = star.join(chosen, ["a", "b"], "left_anti").join(part("a"), "a", "left").join(part("b"), "b", "left")
+    rest = written(rest.filter(F.coalesce("a_c", "a") != F.coalesce("b_c", "b")).select("a", "b"), "pairs")
+    more = confirmed_links(rest)
+    old, first = first, written(components(links.union(more)), "components")
+    forget(star, chosen, rest, links, more, old)
 
     # Buckets that hold more than one component: every member outside the largest meets all members of others.
     tagged = met.join(first.select(F.col("id").alias("nid"), "component"), "nid", "left").select("bucket", "nid", F.coalesce("component", "nid").alias("comp"))
