@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tramline.session import fresh
+from tramline.session import fresh, written
 
 
 def uniform(*parts: Column) -> Column:
@@ -19,12 +20,18 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
-def poisson_table(rate: Column) -> Column:
-    """P(count <= j) for j = 0 up to where the rest is beyond double precision; in logarithms, so large rates don't underflow."""
-    top = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    first = F.struct((-rate).alias("l"), F.exp(-rate).alias("sum"), F.array(F.exp(-rate)).alias("cdf"))
-    step = lambda a, j: F.struct((l := a["l"] + F.log(rate) - F.log(j.cast("double"))).alias("l"), (s := a["sum"] + F.exp(l)).alias("sum"), F.concat(a["cdf"], F.array(s)).alias("cdf"))
-    return F.aggregate(F.sequence(F.lit(1), top), first, step, lambda a: a["cdf"])
+def poisson_tables(rates: DataFrame) -> DataFrame:
+    """source, cdf: P(count <= j) for j = 0 up to where the rest is beyond double precision, of rates (source, rate; one row a source).
+
+    In logarithms, so large rates don't underflow; running sums over j, so a table costs as much as it is long. A rate of 0 has P(count <= 0) = 1.
+    """
+    w = Window.partitionBy("source").orderBy("j")
+    top = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 30).cast("int")
+    rows = rates.filter("rate > 0").select("source", "rate", F.explode(F.sequence(F.lit(0), top)).alias("j"))
+    step = F.when(F.col("j") > 0, F.log("rate") - F.log(F.col("j").cast("double"))).otherwise(-F.col("rate"))
+    rows = rows.withColumn("l", F.sum(step).over(w)).withColumn("p", F.sum(F.exp("l")).over(w))
+    some = rows.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("j", "p"))).alias("t")).select("source", F.transform("t", lambda x: x["p"]).alias("cdf"))
+    return some.unionByName(rates.filter("not (rate > 0)").select("source", F.array(F.lit(1.0)).alias("cdf")))
 
 
 def source_rates(docs: DataFrame, weights: DataFrame | None = None, temperature: float = 0.7, out_share: float = 1.0) -> DataFrame:
@@ -53,13 +60,15 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, temperature: float =
     gives an empty table. Older columns named copy or mix_key are replaced.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("copy", "mix_key")])
-    cdf = F.when(F.col("rate") > 0, poisson_table(F.col("rate"))).otherwise(F.array(F.lit(1.0)))
     r_source, r_cdf, r_n = fresh(docs.columns, "r_source", "r_cdf", "r_n")
-    rates = source_rates(docs, weights, temperature, out_share).select(F.col("source").alias(r_source), cdf.alias(r_cdf))
+    # Written, so that Spark knows its size: within the session's limit it is broadcast and no document moves, else both sides are sorted.
+    rates = written(poisson_tables(source_rates(docs, weights, temperature, out_share)), "rates").select(F.col("source").alias(r_source), F.col("cdf").alias(r_cdf))
     who = F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit(""))
     u = uniform(F.lit(f"{seed}"), F.lit("count"), who)
     out = docs.join(rates, F.col("source").eqNullSafe(F.col(r_source)))
-    out = out.withColumn(r_n, F.size(F.filter(r_cdf, lambda c: c <= u))).drop(r_source, r_cdf).filter(F.col(r_n) > 0)
+    # The number stands in an array of one, so that it is hashed once a row and not once a comparison.
+    below = F.transform(F.array(u), lambda x: F.size(F.filter(r_cdf, lambda c: c <= x)))
+    out = out.withColumn(r_n, F.get(below, F.lit(0))).drop(r_source, r_cdf).filter(F.col(r_n) > 0)
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col(r_n) - 1))).drop(r_n)
     out = out.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(f"{seed}"), F.lit("place"), who, F.col("copy").cast("string"))))
     return out.repartition("mix_key").sortWithinPartitions("mix_key", "doc_id")
