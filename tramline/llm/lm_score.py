@@ -23,7 +23,7 @@ from tramline.llm.textops import MULT, SLICE, U64, given_back, lower_ascii, mix6
 from tramline.session import Table, forget, release, written
 
 #: Bytes of text in a batch, about, and parts of the n-gram space.
-BATCH_BYTES, WAVES = 12 << 20, 4
+BATCH_BYTES, WAVES = 8 << 20, 3
 ORDER, ALPHA = 3, 0.4
 
 
@@ -189,6 +189,16 @@ def counted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return dealt, dealt.groupBy("gram").agg(F.sum("n").alias("total"), F.count("batch").alias("batches"))
 
 
+def _one_wave(held: DataFrame, told: Table, order: int, wave: int, waves: int) -> None:
+    """What each batch learns of its n-grams in one part of the n-gram space."""
+    rows, counts = counted(held.mapInArrow(given_back(_exploded(order, wave, waves)), "gram long, batch long, n long"))
+    # The count table's side is the smaller one by far: it is hashed, and the n-grams stream past it unsorted.
+    shared = counts.filter("batches > 1").select("gram", "total").hint("shuffle_hash")
+    met = rows.join(shared, "gram").select("batch", "gram", (F.col("total") - F.col("n")).alias("others"))
+    # Unsigned order of the hashes: those that are negative as signed numbers come last.
+    told.append(met.sortWithinPartitions("batch", F.col("gram") < 0, "gram").mapInArrow(given_back(_told), told.schema))
+
+
 def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, waves: int = WAVES, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """doc_id, n_words, log10 (sum of the words' log scores) and score (their mean; null without words).
 
@@ -203,13 +213,10 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, waves: int
     # By place in the table, so that rows that repeat are dealt out like any others; written at once, so the deal stands.
     dealt = docs.withColumn("batch", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(-(-size // batch_bytes) or 1)))
     held = written(dealt.groupBy("batch").applyInArrow(_bundled, "batch long, docs binary"), "batches")
+    release(spark)
     told = Table(spark, "counts", "batch long, grams binary, others binary")
     for wave in range(waves):
-        rows, counts = counted(held.mapInArrow(given_back(_exploded(order, wave, waves)), "gram long, batch long, n long"))
-        shared = counts.filter("batches > 1").select("gram", "total")
-        met = rows.join(shared, "gram").select("batch", "gram", (F.col("total") - F.col("n")).alias("others"))
-        # Unsigned order of the hashes: those that are negative as signed numbers come last.
-        told.append(met.sortWithinPartitions("batch", F.col("gram") < 0, "gram").mapInArrow(_told, told.schema))
+        _one_wave(held, told, order, wave, waves)
         release(spark)
     out = held.groupBy("batch").cogroup(told.read().groupBy("batch")).applyInArrow(_scored(order, alpha), "doc_id long, n_words long, log10 double")
     out = written(out, "scores")
