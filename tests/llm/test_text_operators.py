@@ -293,6 +293,14 @@ def test_ids_equal_the_library(library):
     assert enc.decode(ids, n) == [t.replace("▁", " ").encode() for t in texts]
 
 
+def test_op1_equals_the_library(spark, library):
+    """The registered query on its whole table."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = spm.op1_sentencepiece(spark, SF).collect()
+    assert len(rows) == len(texts) and all(r.round_trip for r in rows)
+    assert all((r.ids or []) == library.encode(texts[r.doc_id] or "") and r.n_ids == len(r.ids or []) for r in rows)
+
+
 def test_encoding_odd_rows(odd, empty, library):
     got = spm.encode(odd, spm.MODEL)
     rows = got.collect()
