@@ -326,7 +326,7 @@ def test_scores_do_not_depend_on_batches(spark, duck):
 
 
 def test_the_count_table_equals_a_count(spark):
-    rows = spark.createDataFrame([(1, 0, 2), (1, 1, 3), (2, 0, 1)], "gram long, batch long, n long")
+    rows = spark.createDataFrame([(1, 0, 2), (1, 1, 3), (2, 0, 1)], "gram long, who long, n long")
     _, counts = lm_score.counted(rows)
     assert sorted(tuple(r) for r in counts.collect()) == [(1, 5, 2), (2, 1, 1)]
 

@@ -1,10 +1,10 @@
 """Stupid-backoff scores, computed relationally from n-gram count tables.
 
-Documents are dealt into batches. A batch's n-grams of every order explode into rows (gram, batch, n), one for each 64-bit
-hash with its count in the batch, so that a frequent n-gram is a row a batch. Dealt by hash, they are summed into the count
-table (gram, total), and that is joined back to them: each batch learns what the other batches hold of its n-grams, and
-n-grams of one batch alone, which no other can tell it about, drop out before the join. Each document's words are then
-scored from the counts and summed. Counts are those of the whole corpus less the document's own, so a document does not
+Documents are dealt into batches. A batch's n-grams of every order explode into rows (gram, who, n), one for each 64-bit
+hash with its count in the batch, so that a frequent n-gram is a row a batch; `who` is the batch and the n-gram's place in
+the batch's sorted list. Dealt by hash, they are summed into the count table (gram, total), and that is joined back to them:
+each batch learns what the other batches hold of its n-grams, and n-grams of one batch alone, which no other can tell it
+about, drop out before the join. Each document's words are then scored from the counts and summed. Counts are those of the whole corpus less the document's own, so a document does not
 vouch for itself.
 
 The n-gram space is worked off in WAVES parts by hash, one after the other: the rows of one are in shuffles at a time.
@@ -23,7 +23,7 @@ from tramline.llm.textops import MULT, SLICE, U64, given_back, lower_ascii, mix6
 from tramline.session import Table, forget, release, written
 
 #: Bytes of text in a batch, about, and parts of the n-gram space.
-BATCH_BYTES, WAVES = 8 << 20, 3
+BATCH_BYTES, WAVES = 5 << 20, 4
 ORDER, ALPHA = 3, 0.4
 
 
@@ -109,55 +109,67 @@ def _unbundled(data: pa.Scalar) -> pa.Table:
     return pa.ipc.open_stream(data.as_buffer()).read_all()
 
 
+def _of_wave(u: np.ndarray, wave: int, waves: int) -> np.ndarray:
+    return (u >> U64(32)) % U64(waves) == wave
+
+
 def _exploded(order: int, wave: int, waves: int):
-    """batch, docs -> gram, batch, n: the batch's distinct n-grams of the wave."""
+    """batch, docs -> gram, who, n: the batch's distinct n-grams of the wave."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for number, docs in zip(b.column("batch").to_pylist(), b.column("docs"), strict=True):
                 _, by_order, _ = grams(_unbundled(docs), order)
                 every = np.concatenate([np.full(len(by_order[0]), 1, U64), *by_order])  # the empty gram occurs once a word
-                u, n = np.unique(every[(every != 0) & ((every >> U64(32)) % U64(waves) == wave)], return_counts=True)
+                u, n = np.unique(every[(every != 0) & _of_wave(every, wave, waves)], return_counts=True)
+                del every
                 for i in range(0, len(u), 100_000):
                     own = u[i : i + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.full(len(own), number)), pa.array(n[i : i + 100_000])], names=["gram", "batch", "n"])
+                    who = (number << 32) + np.arange(i, i + len(own))
+                    yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(who), pa.array(n[i : i + 100_000])], names=["gram", "who", "n"])
 
     return run
 
 
-def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (batch, gram, others), sorted by batch and gram as unsigned -> batch, grams, others: a row for each run of one batch."""
-    held: list[list[np.ndarray]] = []
-    last = None
+def _told(wave: int):
+    """Rows (who, others) sorted by who -> batch, wave, places, others: a row for each batch in the partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        last = None
 
-    def made() -> pa.RecordBatch:
-        g, n = (np.concatenate(c) for c in zip(*held, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([pack_hashes(g)], pa.binary()), pa.array([pack_counts(n)], pa.binary())], names=["batch", "grams", "others"])
+        def made() -> pa.RecordBatch:
+            at, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([wave], pa.int32()), pa.array([pack_hashes(at)], pa.binary()), pa.array([pack_counts(n)], pa.binary())], names=["batch", "wave", "places", "others"])
 
-    for b in batches:
-        number, g, n = b.column("batch").to_numpy(), b.column("gram").to_numpy().view(U64), b.column("others").to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)]
-        for s, e in zip(cuts, cuts[1:], strict=False):
-            if s == e:
-                continue
-            if held and number[s] != last:
-                yield made()
-                held = []
-            last = int(number[s])
-            held.append([g[s:e].copy(), n[s:e].copy()])
-    if held:
-        yield made()
+        for b in batches:
+            who, n = b.column("who").to_numpy(), b.column("others").to_numpy()
+            number, at = who >> 32, (who & 0xFFFFFFFF).astype(U64)
+            cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)]
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                if s == e:
+                    continue
+                if held and number[s] != last:
+                    yield made()
+                    held = []
+                last = int(number[s])
+                held.append([at[s:e], n[s:e].copy()])
+        if held:
+            yield made()
+
+    return run
 
 
-def _scored(order: int, alpha: float):
+def _scored(order: int, alpha: float, waves: int):
     """A batch's documents and what others hold of its n-grams -> doc_id, n_words, log10."""
 
     def run(key: tuple[pa.Scalar, ...], bundle: pa.Table, told: pa.Table) -> pa.Table:
         docs = _unbundled(bundle.column("docs")[0])
         row, by_order, size = grams(docs, order)
         u, total, places = distinct(by_order)
-        for g, n in zip(told.column("grams"), told.column("others"), strict=True):
-            total[np.searchsorted(u, unpack_hashes(g.as_py()))] += unpack_counts(n.as_py())
+        own = [np.flatnonzero(_of_wave(u, w, waves)) for w in range(waves)]
+        for w, at, n in zip(told.column("wave").to_pylist(), told.column("places"), told.column("others"), strict=True):
+            total[own[w][unpack_hashes(at.as_py()).astype(np.int64)]] += unpack_counts(n.as_py())
         every = total[0] - size[row]  # words of all other documents
         counts = []
         for place in places:
@@ -184,19 +196,18 @@ def _scored(order: int, alpha: float):
 
 
 def counted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows dealt by gram, the count table: gram, total, batches) of rows (gram, batch, n)."""
+    """(rows dealt by gram, the count table: gram, total, batches) of rows (gram, who, n)."""
     dealt = rows.repartition("gram")
-    return dealt, dealt.groupBy("gram").agg(F.sum("n").alias("total"), F.count("batch").alias("batches"))
+    return dealt, dealt.groupBy("gram").agg(F.sum("n").alias("total"), F.count("who").alias("batches"))
 
 
 def _one_wave(held: DataFrame, told: Table, order: int, wave: int, waves: int) -> None:
     """What each batch learns of its n-grams in one part of the n-gram space."""
-    rows, counts = counted(held.mapInArrow(given_back(_exploded(order, wave, waves)), "gram long, batch long, n long"))
+    rows, counts = counted(held.mapInArrow(given_back(_exploded(order, wave, waves)), "gram long, who long, n long"))
     # The count table's side is the smaller one by far: it is hashed, and the n-grams stream past it unsorted.
     shared = counts.filter("batches > 1").select("gram", "total").hint("shuffle_hash")
-    met = rows.join(shared, "gram").select("batch", "gram", (F.col("total") - F.col("n")).alias("others"))
-    # Unsigned order of the hashes: those that are negative as signed numbers come last.
-    told.append(met.sortWithinPartitions("batch", F.col("gram") < 0, "gram").mapInArrow(given_back(_told), told.schema))
+    met = rows.join(shared, "gram").select("who", (F.col("total") - F.col("n")).alias("others"))
+    told.append(met.sortWithinPartitions("who").mapInArrow(given_back(_told(wave)), told.schema))
 
 
 def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, waves: int = WAVES, batch_bytes: int = BATCH_BYTES) -> DataFrame:
@@ -214,11 +225,11 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, waves: int
     dealt = docs.withColumn("batch", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(-(-size // batch_bytes) or 1)))
     held = written(dealt.groupBy("batch").applyInArrow(_bundled, "batch long, docs binary"), "batches")
     release(spark)
-    told = Table(spark, "counts", "batch long, grams binary, others binary")
+    told = Table(spark, "counts", "batch long, wave int, places binary, others binary")
     for wave in range(waves):
         _one_wave(held, told, order, wave, waves)
         release(spark)
-    out = held.groupBy("batch").cogroup(told.read().groupBy("batch")).applyInArrow(_scored(order, alpha), "doc_id long, n_words long, log10 double")
+    out = held.groupBy("batch").cogroup(told.read().groupBy("batch")).applyInArrow(_scored(order, alpha, waves), "doc_id long, n_words long, log10 double")
     out = written(out, "scores")
     forget(held)
     told.forget()
