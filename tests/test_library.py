@@ -341,3 +341,10 @@ def test_parameters(spark, tmp_path):
     (tmp_path / "q.json").write_text('{"a": 3}')
     with pytest.raises(ValueError):
         Params(str(tmp_path / "q.json"))
+
+
+def test_unnamed_roads_have_no_class(spark):
+    edges = spark.createDataFrame([("A1", 1, 2, 10.0), ("A1", 2, 3, 5.0), (None, 7, 8, 1.0)], "ref string, u long, v long, length_m double")
+    seeds = spark.createDataFrame([("A1", 1, "x"), ("A1", 3, "y"), (None, 7, "z")], "ref string, node long, cls string")
+    got = {(r.ref, r.node): (r.dist_m, r.cls) for r in congestion.propagate_class(edges, seeds).collect()}
+    assert got == {("A1", 1): (0.0, "x"), ("A1", 2): (5.0, "y"), ("A1", 3): (0.0, "y"), (None, 7): (None, None), (None, 8): (None, None)}

@@ -125,7 +125,8 @@ def corridors(cells: DataFrame, by: list[str], min_m: float = 1000.0) -> DataFra
 def propagate_class(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Per road: the class of the nearest seed along the road for every node; ties to the lower seed node; nodes that no seed reaches have none.
 
-    edges: ref, u, v, length_m; seeds: ref, node, cls. A road's edges meet in one task: a road is a bounded thing.
+    edges: ref, u, v, length_m; seeds: ref, node, cls. A road's edges meet in one task: a road is a bounded thing. Edges
+    without a ref belong to no road, however many they are: their nodes have no class, and they meet nowhere.
     """
 
     def group(key, e, s):
@@ -149,7 +150,11 @@ def propagate_class(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         rows = [(key[0], n, *best.get(n, (None, None))) for n in sorted(near)]
         return pd.DataFrame(rows, columns=["ref", "node", "dist_m", "cls"])
 
-    return edges.groupBy("ref").cogroup(seeds.groupBy("ref")).applyInPandas(group, "ref string, node long, dist_m double, cls string")
+    named = edges.filter("ref is not null").groupBy("ref").cogroup(seeds.filter("ref is not null").groupBy("ref")).applyInPandas(group, "ref string, node long, dist_m double, cls string")
+    loose = edges.filter("ref is null")
+    nodes = loose.select(F.col("u").alias("node")).union(loose.select("v")).distinct()
+    none = F.lit(None)
+    return named.unionByName(nodes.select(none.cast("string").alias("ref"), "node", none.cast("double").alias("dist_m"), none.cast("string").alias("cls")))
 
 
 def profile_fit(rows: DataFrame, k_only: bool = False) -> tuple[float, float]:
