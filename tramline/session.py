@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -100,6 +101,25 @@ class Table:
         return self.spark.createDataFrame([], self.schema) if self.empty else self.spark.read.schema(self.schema).parquet(self.path)
 
 
+def release(spark: SparkSession, pause: float = 1.0) -> None:
+    """Let the shuffle files of finished passes go: Spark removes them once the driver's JVM has collected what refers to them, which it may otherwise leave for long.
+
+    Listeners of a query hold on to its plan a moment longer than the query runs, so it takes a second try after a pause.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
+
+
+def forget(self) -> None:
+        """Remove the table; its readers must have been written."""
+        _remove(self.spark, self.path)
+
+    def read(self) -> DataFrame:
+        return self.spark.createDataFrame([], self.schema) if self.empty else self.spark.read.schema(self.schema).parquet(self.path)
+
+
 def release(spark: SparkSession) -> None:
     """Let the shuffle files of finished passes go: Spark removes them once the driver's JVM has collected what refers to them, which it may otherwise leave for long."""
     gc.collect()
