@@ -23,7 +23,7 @@ from tramline.llm.textops import MULT, SLICE, U64, given_back, lower_ascii, mix6
 from tramline.session import Table, forget, release, written
 
 #: Bytes of text in a batch, about, and parts of the n-gram space.
-BATCH_BYTES, WAVES = 5 << 20, 4
+BATCH_BYTES, WAVES = 5 << 20, 5
 ORDER, ALPHA = 3, 0.4
 
 
