@@ -112,20 +112,6 @@ def release(spark: SparkSession, pause: float = 1.0) -> None:
         time.sleep(pause)
 
 
-def forget(self) -> None:
-        """Remove the table; its readers must have been written."""
-        _remove(self.spark, self.path)
-
-    def read(self) -> DataFrame:
-        return self.spark.createDataFrame([], self.schema) if self.empty else self.spark.read.schema(self.schema).parquet(self.path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let the shuffle files of finished passes go: Spark removes them once the driver's JVM has collected what refers to them, which it may otherwise leave for long."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def forget(*tables: DataFrame) -> None:
     """Remove tables made by `written` whose readers have all been written themselves; other DataFrames are left alone."""
     for df in tables:
