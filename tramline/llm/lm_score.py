@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tramline.llm.textops import MULT, SLICE, U64, given_back, lower_ascii, mix64, slices, word_hashes, words
+from tramline.llm.textops import MULT, SLICE, U64, give_back, given_back, lower_ascii, mix64, slices, word_hashes, words
 from tramline.session import Table, forget, release, written
 
 #: Bytes of text in a batch, about, and parts of the n-gram space.
-BATCH_BYTES, WAVES = 5 << 20, 5
+BATCH_BYTES, WAVES = 3 << 20, 5
 ORDER, ALPHA = 3, 0.4
 
 
@@ -190,7 +190,10 @@ def _scored(order: int, alpha: float, waves: int):
         value[ok] += np.log10(counts[0][ok] / every[ok])
         open_ &= ~ok
         value[open_] += np.log10(alpha / (every[open_] + 1))
-        return pa.table({"doc_id": docs.column("doc_id"), "n_words": pa.array(size.astype(np.int64)), "log10": pa.array(np.bincount(row, value, docs.num_rows))})
+        out = pa.table({"doc_id": docs.column("doc_id"), "n_words": pa.array(size.astype(np.int64)), "log10": pa.array(np.bincount(row, value, docs.num_rows))})
+        del docs, row, by_order, u, total, places, own, counts, every, value, open_, ok
+        give_back()
+        return out
 
     return run
 

@@ -18,14 +18,19 @@ BASE = 0xD6E8FEB86659FD93  # odd, so it has an inverse modulo 2**64
 _powers: dict[str, np.ndarray] = {}
 
 
+def give_back() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def given_back(run):
     """`run` (batches -> batches), after which the worker gives freed memory back to the system; workers outlive their tasks."""
 
     def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
     return outer
 
