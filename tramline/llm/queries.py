@@ -16,6 +16,9 @@ TABLE = [
     ("suffix_dedup", "op8_suffix_dedup", "OP8_SQL"),
     ("ann", "op9_nearest_neighbours", None),
     ("url_filters", "op10_url_filters", "OP10_SQL"),
+    ("merkle", "op11_merkle_manifest", "OP11_SQL"),
+    ("fingerprints", "op12_document_fingerprints", None),
+    ("runs", "op13_periodic_runs", None),
 ]
 
 
