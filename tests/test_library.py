@@ -5,13 +5,13 @@ from pyspark.sql import functions as F
 
 from tramline import plans
 from tramline.functions import clock, curves, geo
-from tramline.operators import congestion, scenario, spatial, timetable
+from tramline.operators import congestion, roads, scenario, spatial, timetable
 from tramline.operators.components import components
 from tramline.sources import documents, feeds, registry
 from tramline.streaming.vehicles import Governor, newer_stream, run_to_folder, snapshot_stream
 
 
-@pytest.mark.parametrize("name", sorted(n for n in plans.SQL if not n.endswith("_all")))
+@pytest.mark.parametrize("name", sorted(plans.SQL))
 def test_queries_equal_their_sql(name, same):
     same(plans.QUERIES[name], plans.SQL[name])
 
@@ -230,22 +230,6 @@ def test_one_op_over_several_routes_is_one_each():
         assert e.value.rule == rule
 
 
-def test_fits_recover_what_made_the_data():
-    import numpy as np
-
-    r = np.random.default_rng(0)
-    area, auth, road = r.integers(0, 2, 400), r.integers(0, 3, 400), r.integers(0, 20, 400)
-    obs = 30 * np.array([1.0, 0.8])[area] * np.exp(r.normal(0, 0.02, 400))
-    f = congestion.fit_level(area, auth, road, obs, np.full(400, 30.0))
-    assert f["area"][1] / f["area"][0] == pytest.approx(0.8, rel=0.02) and 0 < f["edf"] < 25
-    assert np.abs(congestion.leave_one_road_out(area, auth, road, obs, np.full(400, 30.0)) / obs - 1).mean() < 0.05
-    t, n = r.uniform(60, 600, 200), r.integers(0, 6, 200)
-    y = t / 0.8 + 12 * n
-    y[:10] *= 5  # outliers
-    x = congestion.soft_l1(lambda p: np.log(t / p[0] + p[1] * n) - np.log(y), np.array([1.0, 5.0]), np.array([0.3, 0.0]), np.array([1.5, 120.0]), scale=0.05)
-    assert x == pytest.approx([0.8, 12], rel=0.03)
-
-
 def test_track_paths_take_the_shortest_choice_of_nodes():
     from tramline.operators.paths import track_path
 
@@ -317,21 +301,6 @@ def test_what_must_not_be_raises(spark):
         skims.offset_pairs([1, 2, 3], [4, 5])
 
 
-def test_layers_are_found_again():
-    import numpy as np
-
-    from tramline.operators.calibration import fit_layer
-
-    r = np.random.default_rng(1)
-    n = 300
-    period_of = r.integers(0, 2, n)
-    parts = {"t_centre": r.uniform(20, 200, n), "t_urban": r.uniform(20, 200, n), "s_centre": r.integers(0, 5, n), "s_urban": r.integers(0, 5, n), "t_other": r.uniform(10, 50, n)}
-    k, d = np.array([[0.6, 0.8], [0.9, 1.1]]), (20.0, 8.0)
-    seen = parts["t_other"] + parts["t_centre"] / k[0][period_of] + parts["t_urban"] / k[1][period_of] + parts["s_centre"] * d[0] + parts["s_urban"] * d[1]
-    got = fit_layer(parts, seen, period_of, ["centre", "urban"], ["AM", "IP"])
-    assert [got["k"][a, p] for a in ("centre", "urban") for p in ("AM", "IP")] == pytest.approx(k.ravel().tolist(), rel=0.01) and list(got["d"].values()) == pytest.approx(d, rel=0.02)
-
-
 def test_parameters(spark, tmp_path):
     from tramline.params import Params
 
@@ -346,5 +315,5 @@ def test_parameters(spark, tmp_path):
 def test_unnamed_roads_have_no_class(spark):
     edges = spark.createDataFrame([("A1", 1, 2, 10.0), ("A1", 2, 3, 5.0), (None, 7, 8, 1.0)], "ref string, u long, v long, length_m double")
     seeds = spark.createDataFrame([("A1", 1, "x"), ("A1", 3, "y"), (None, 7, "z")], "ref string, node long, cls string")
-    got = {(r.ref, r.node): (r.dist_m, r.cls) for r in congestion.propagate_class(edges, seeds).collect()}
+    got = {(r.ref, r.node): (r.dist_m, r.cls) for r in roads.propagate_class(edges, seeds).collect()}
     assert got == {("A1", 1): (0.0, "x"), ("A1", 2): (5.0, "y"), ("A1", 3): (0.0, "y"), (None, 7): (None, None), (None, 8): (None, None)}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -73,6 +73,49 @@ def half_weight(a: float, b: float) -> float:
     return a + b * math.log(1 + 2 * math.exp(-a / b)) if -a / b < 700 else 0.0
 
 
+def decay_curves(walked: DataFrame, between: dict[str, float], alike: dict[str, str] | None = None) -> DataFrame:
+    """mode, mean_m, p85_m, a_m, b_m: a logistic curve for each mode that was walked to, for modes between bus (0) and rail (1), and for modes that take another's curve.
+
+    walked: mode, metres. Mean and 85th percentile come from the rows; those of a mode between are weighed between bus's and
+    rail's. Metro takes rail's curve where nobody was seen to walk to it, ferry takes bus's, as `alike` may say of others. The
+    handful of curves is fitted on the driver. A mode without rows that another needs raises.
+    """
+    seen = {r[0]: (r[1], r[2]) for r in walked.filter("metres is not null").groupBy("mode").agg(F.avg("metres"), F.percentile("metres", F.lit(0.85))).collect()}
+    missing = {"bus", "rail"} - set(seen) if between else set()
+    if missing:
+        raise ValueError(f"nobody walked to {', '.join(sorted(missing))}")
+    for mode, w in between.items():
+        seen[mode] = tuple((1 - w) * x + w * y for x, y in zip(seen["bus"], seen["rail"], strict=True))
+    for mode, like in ({"metro": "rail", "ferry": "bus"} | (alike or {})).items():
+        if like in seen and (mode not in seen or mode != "metro"):
+            seen[mode] = seen[like]
+    rows = [(m, float(x), float(p), *map(float, fit_logistic(x, p))) for m, (x, p) in sorted(seen.items())]
+    return walked.sparkSession.createDataFrame(rows, "mode string, mean_m double, p85_m double, a_m double, b_m double")
+
+
+def survival(metres: Column, a: float, b: float) -> Column:
+    """Share who walk at least so far by a logistic curve: 1 at 0."""
+    return F.lit(1 + math.exp(-a / b)) / (F.lit(1.0) + F.exp((metres - a) / b))
+
+
+def ring_field(spark: SparkSession, most_m: float = 3000.0, rings: int = 6000) -> DataFrame:
+    """metres, w: origins spread evenly over the plane around a stop, as rings (more of them further out)."""
+    return spark.range(rings).select(((F.col("id") + 0.5) * most_m / rings).alias("metres")).withColumn("w", F.col("metres"))
+
+
+def whole_minutes(origins: DataFrame, a: float, b: float, walk_kmh: float, threshold_m: float) -> DataFrame:
+    """What whole-minute walking times do: minutes (exact, truncated, rounded half to even), weight (mean decay weight), within (share inside threshold_m), and each over the exact one in percent. origins: metres, w."""
+    speed = walk_kmh * 1000 / 60
+    exact = F.col("metres") / speed
+    ways = F.array(*[F.struct(F.lit(n).alias("minutes"), v.cast("double").alias("t")) for n, v in (("exact", exact), ("truncated", F.floor(exact)), ("rounded", F.bround(exact, 0)))])
+    x = origins.select("w", F.explode(ways).alias("x")).select("w", "x.minutes", "x.t")
+    w = F.col("w")
+    g = x.groupBy("minutes").agg((F.sum(w * survival(F.col("t") * speed, a, b)) / F.sum(w)).alias("weight"), (F.sum(F.when(F.col("t") <= threshold_m / speed, w).otherwise(0.0)) / F.sum(w)).alias("within"))
+    one = g.filter("minutes = 'exact'").select(F.col("weight").alias("_w"), F.col("within").alias("_s"), F.lit(1).alias("_k"))
+    pct = lambda c, e: F.round(100 * (F.col(c) / F.col(e) - 1), 1).alias(f"{c}_pct")
+    return g.join(one, F.lit(1) == F.col("_k")).select("minutes", "weight", "within", pct("weight", "_w"), pct("within", "_s"))
+
+
 def run_seconds(metres: Column, v: Column, acc: Column) -> Column:
     """Time over a distance from rest to rest: trapezoid of speeds where top speed v is reached, else triangle."""
     return F.when(metres >= v * v / acc, metres / v + v / acc).otherwise(F.lit(2.0) * F.sqrt(metres / acc))

@@ -105,3 +105,49 @@ def gap_with_edges(df: DataFrame, keys: list[str], t: str, lo: float, hi: float)
     return gaps.groupBy(*keys).agg(
         F.count("*").alias("n"), F.greatest(F.coalesce(F.max("_g"), F.lit(0.0)), F.min(t) - F.lit(float(lo)), F.lit(float(hi)) - F.max(t)).alias("max_gap")
     )
+
+
+def running_sums(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """`df` with <column>_to for each column: its sum within the keys up to the row by a total order, itself included.
+
+    Runs over range partitions: sums by key and range first, then within a range, so no key's rows need one task. Rows with a
+    null key go.
+    """
+    from functools import reduce
+
+    from tramline.session import written
+
+    df = df.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
+    held = written(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_p", F.spark_partition_id()), "running")
+    parts = held.groupBy(*keys, "_p").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
+    before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*keys, "_p", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in columns])
+    own = Window.partitionBy(*keys, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = held.withColumns({f"{c}_to": F.sum(c).over(own) for c in columns}).join(parts, [*keys, "_p"])
+    return out.select(*df.columns, *[(F.col(f"{c}_to") + F.col(f"_{c}")).alias(f"{c}_to") for c in columns])
+
+
+def medians_without_fold(df: DataFrame, keys: list[str], fold: str, value: str, out: str = "median") -> DataFrame:
+    """keys, fold, `out`, n: for every group and every fold of the table, the exact median (midway between two) of the group's values in other folds, and how many there are; a group with none there has no row.
+
+    One pass for all folds: counts by value and fold are summed up in the order of values, and a fold's complement is the
+    whole less the fold. Folds are a handful: each is a column. Nulls are no values, and a null key is no group.
+    """
+    rows = df.filter(F.col(value).isNotNull() & F.col(fold).isNotNull())
+    folds = sorted(r[0] for r in rows.select(fold).distinct().collect())
+    none = df.select(*keys, fold, F.lit(0.0).alias(out), F.lit(0).cast("long").alias("n")).filter("false")
+    if not folds:
+        return none
+    n = lambda i: F.sum(F.when(F.col(fold) == F.lit(folds[i]), 1).otherwise(0))
+    names = [f"_n{i}" for i in range(len(folds))]
+    by = rows.groupBy(*keys, value).agg(F.count("*").alias("_n"), *[n(i).alias(c) for i, c in enumerate(names)])
+    run = running_sums(by, keys, [value], ["_n", *names])
+    total = by.groupBy(*keys).agg(F.sum("_n").alias("_t"), *[F.sum(c).alias(f"{c}_t") for c in names])
+    j = run.join(total, keys)
+    low, high = [], []
+    for c in names:
+        rest, up = F.col("_t") - F.col(f"{c}_t"), F.col("_n_to") - F.col(f"{c}_to")
+        low.append(F.min(F.when(up >= F.floor((rest + 1) / 2), F.col(value))))
+        high.append(F.min(F.when(up >= F.floor((rest + 2) / 2), F.col(value))))
+    found = j.groupBy(*keys).agg(F.array(*[F.struct(F.lit(f).alias(fold), ((a + b) / 2).alias(out), F.max(F.col("_t") - F.col(f"{c}_t")).alias("n")) for f, c, a, b in zip(folds, names, low, high)]).alias("_m"))
+    return found.select(*keys, F.explode("_m").alias("_m")).select(*keys, f"_m.{fold}", f"_m.{out}", "_m.n").filter("n > 0")

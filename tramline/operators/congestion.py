@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from functools import reduce
 
 import numpy as np
@@ -10,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tramline.config import MAX_KMH, MIN_CELLS, MIN_OBS
-from tramline.functions.stats import harmonic_mean
+from tramline.functions.stats import harmonic_mean, medians_without_fold
 
 
 def harmonic_cells(legs: DataFrame, keys: list[str], kmh: str = "kmh", min_obs: int = 1) -> DataFrame:
@@ -98,6 +97,84 @@ def folds(lon: Column, lat: Column, km: float, k: int, seed: int = 0) -> Column:
     return F.pmod(F.crc32(block.cast("binary")), F.lit(k)).cast("int")
 
 
+def bus_hold_out(cells: DataFrame, keys: list[str], fold: str, seen: str, modelled: str) -> DataFrame:
+    """cells with ratio, fallback, pred and error: each cell's speed predicted from the model's by the median of seen over modelled in its group, over the other folds alone; where these have none of the group, over all their cells.
+
+    A fold's complement is the whole less the fold (`stats.medians_without_fold`), so nothing is fitted fold by fold. Cells
+    without a speed on either side tell nothing and have no prediction where the model has none.
+    """
+    ratio = F.when((F.col(seen) > 0) & (F.col(modelled) > 0), F.col(seen) / F.col(modelled))
+    rows = cells.withColumns({"_ratio": ratio, "_all": F.lit(1)})
+    own = medians_without_fold(rows, keys, fold, "_ratio", "_own").drop("n")
+    every = medians_without_fold(rows, ["_all"], fold, "_ratio", "_every").drop("n")
+    j = rows.join(own, [*keys, fold], "left").join(every, ["_all", fold], "left")
+    j = j.withColumns({"ratio": F.coalesce("_own", "_every"), "fallback": F.col("_own").isNull()}).withColumn("pred", F.col(modelled) * F.col("ratio"))
+    return j.withColumn("error", F.col("pred") / F.col(seen) - 1).select(*cells.columns, "ratio", "fallback", "pred", "error")
+
+
+def _dealt(sizes: np.ndarray, start: int) -> np.ndarray:
+    """Which half each block goes to (0 calibration), given how many more links that half already has."""
+    out, more = np.zeros(len(sizes), np.int8), start
+    for i, n in enumerate(sizes.tolist()):
+        out[i] = more > 0
+        more += -n if more > 0 else n
+    return out
+
+
+def _transfer(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """What dealing the blocks does to any difference from -most to most: the first difference of each stretch, and the stretch's shift."""
+    first, shift = np.array([-most]), np.array([0])
+    for n in sizes.tolist():
+        last = np.append(first[1:], most + 1) - 1
+        cut = 1 - shift  # from this difference on the image is over 0
+        split = (cut > first) & (cut <= last)
+        first, shift = np.concatenate([first, cut[split]]), np.concatenate([shift, shift[split]])
+        order = np.argsort(first, kind="stable")
+        first, shift = first[order], shift[order]
+        shift = shift + np.where(first + shift > 0, -n, n)
+        keep = np.append(True, shift[1:] != shift[:-1])
+        first, shift = first[keep], shift[keep]
+    return first, shift
+
+
+def balanced_halves(links: DataFrame, block_km: float, seed: int = 0) -> DataFrame:
+    """link_id, half: calibration or validation. Whole blocks of ground go to one half; within an area, blocks are dealt in a seeded order to whichever half has fewer links so far, calibration first.
+
+    links: link_id, area (null: rural), lon, lat. The deal is a scan over range partitions of the blocks: each range says what
+    it does to any lead that one half may have on entry (no more than the largest block), ranges are put together in order, and
+    each is then dealt from its own entry. The halves of an area differ by one block's links at most.
+    """
+    import pandas as pd
+
+    from tramline.session import written
+
+    at = lambda c, per: F.floor(F.col(c) * per / block_km).cast("long")
+    rows = links.select("link_id", F.coalesce("area", F.lit("rural")).alias("area"), at("lon", 69.4).alias("bx"), at("lat", 111.3).alias("by"))
+    rows = rows.withColumn("o", F.xxhash64("area", "bx", "by", F.lit(seed)))
+    key = ["area", "o", "bx", "by"]
+    blocks = rows.groupBy(*key).agg(F.count("*").alias("n"))
+    held = written(blocks.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("part", F.spark_partition_id()), "blocks")
+    most = {r[0]: int(r[1]) for r in held.groupBy("area").agg(F.max("n")).collect()}  # a row an area
+
+    def moves(key, pdf):
+        first, shift = _transfer(pdf.sort_values(["o", "bx", "by"]).n.to_numpy(), most[key[0]])
+        return pd.DataFrame({"area": [key[0]], "part": [key[1]], "first": [first.tolist()], "shift": [shift.tolist()]})
+
+    entry, lead = {}, dict.fromkeys(most, 0)
+    steps = held.groupBy("area", "part").applyInPandas(moves, "area string, part int, first array<long>, shift array<long>")
+    for r in sorted(steps.collect(), key=lambda r: (r.area, r.part)):  # a row a range and area
+        entry[r.area, r.part] = lead[r.area]
+        lead[r.area] += r["shift"][int(np.searchsorted(r["first"], lead[r.area], "right")) - 1]
+
+    def deal(key, pdf):
+        pdf = pdf.sort_values(["o", "bx", "by"])
+        pdf["half"] = np.array(["calibration", "validation"])[_dealt(pdf.n.to_numpy(), entry[key[0], key[1]])]
+        return pdf[["area", "bx", "by", "half"]]
+
+    dealt = held.groupBy("area", "part").applyInPandas(deal, "area string, bx long, by long, half string")
+    return rows.join(dealt, ["area", "bx", "by"]).select("link_id", "half")
+
+
 def corridors(cells: DataFrame, by: list[str], min_m: float = 1000.0) -> DataFrame:
     """Stretches of connected segments within each group, at least min_m long: length-weighted harmonic speeds observed and predicted. cells: u, v, length_m, obs, pred.
 
@@ -122,41 +199,6 @@ def corridors(cells: DataFrame, by: list[str], min_m: float = 1000.0) -> DataFra
     return g.filter(F.col("length_m") >= min_m).select(*by, "corridor", "length_m", (F.col("length_m") / F.col("_o")).alias("obs"), (F.col("length_m") / F.col("_p")).alias("pred"))
 
 
-def propagate_class(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Per road: the class of the nearest seed along the road for every node; ties to the lower seed node; nodes that no seed reaches have none.
-
-    edges: ref, u, v, length_m; seeds: ref, node, cls. A road's edges meet in one task: a road is a bounded thing. Edges
-    without a ref belong to no road, however many they are: their nodes have no class, and they meet nowhere.
-    """
-
-    def group(key, e, s):
-        import pandas as pd
-
-        near: dict = {}
-        for u, v, m in zip(e.u, e.v, e.length_m, strict=True):
-            near.setdefault(u, []).append((v, m))
-            near.setdefault(v, []).append((u, m))
-        best: dict = {}
-        heap = [(0.0, n, n, c) for n, c in sorted(zip(s.node, s.cls, strict=True))]
-        heapq.heapify(heap)
-        while heap:
-            d, seed, n, c = heapq.heappop(heap)
-            if n in best:
-                continue
-            best[n] = (d, c)
-            for m, step in near.get(n, ()):
-                if m not in best:
-                    heapq.heappush(heap, (d + step, seed, m, c))
-        rows = [(key[0], n, *best.get(n, (None, None))) for n in sorted(near)]
-        return pd.DataFrame(rows, columns=["ref", "node", "dist_m", "cls"])
-
-    named = edges.filter("ref is not null").groupBy("ref").cogroup(seeds.filter("ref is not null").groupBy("ref")).applyInPandas(group, "ref string, node long, dist_m double, cls string")
-    loose = edges.filter("ref is null")
-    nodes = loose.select(F.col("u").alias("node")).union(loose.select("v")).distinct()
-    none = F.lit(None)
-    return named.unionByName(nodes.select(none.cast("string").alias("ref"), "node", none.cast("double").alias("dist_m"), none.cast("string").alias("cls")))
-
-
 def profile_fit(rows: DataFrame, k_only: bool = False) -> tuple[float, float]:
     """(k, b) that minimise sum w (t - k profile - b junctions)^2 with b >= 0; the sums come from Spark. rows: t, profile, junctions, w."""
     w = F.col("w")
@@ -168,55 +210,6 @@ def profile_fit(rows: DataFrame, k_only: bool = False) -> tuple[float, float]:
     return (k, b) if b >= 0 else (s.pt / s.pp, 0.0)
 
 
-def fit_level(area: np.ndarray, authority: np.ndarray, road: np.ndarray, obs: np.ndarray, base: np.ndarray, ridge: tuple[float, float] = (1.0, 0.1)) -> dict[str, np.ndarray | float]:
-    """Ridge least squares of log(obs / base) on log levels of area, authority and road; with effective degrees of freedom trace(J (J'J + L)^+ J').
-
-    The few hundred parameters are solved on the driver from rows that are already one a road and authority.
-    """
-    na, nb, nc = (int(x.max()) + 1 for x in (area, authority, road))
-    j = np.zeros((len(obs), na + nb + nc))
-    r = np.arange(len(obs))
-    j[r, area] = j[r, na + authority] = j[r, na + nb + road] = 1
-    lam = np.diag(np.concatenate([np.zeros(na), np.full(nb, ridge[0]), np.full(nc, ridge[1])]))
-    inv = np.linalg.pinv(j.T @ j + lam)
-    x = inv @ j.T @ np.log(obs / base)
-    return {"area": np.exp(x[:na]), "authority": np.exp(x[na : na + nb]), "road": np.exp(x[na + nb :]), "edf": float(np.trace(j @ inv @ j.T)), "residual": np.log(obs / base) - j @ x}
-
-
-def leave_one_road_out(area, authority, road, obs, base, ridge=(1.0, 0.1)) -> np.ndarray:
-    """Each observation predicted from a fit without its road (whose own level is then 1)."""
-    out = np.empty(len(obs))
-    for k in np.unique(road):
-        rest = road != k
-        f = fit_level(area[rest], authority[rest], road[rest], obs[rest], base[rest], ridge)
-        level = lambda v, i: np.array([v[n] if n < len(v) else 1.0 for n in i])
-        out[~rest] = base[~rest] * level(f["area"], area[~rest]) * level(f["authority"], authority[~rest])
-    return out
-
-
-def soft_l1(residual, x0: np.ndarray, low: np.ndarray, high: np.ndarray, scale: float = 0.3, rounds: int = 60) -> np.ndarray:
-    """Bounded robust least squares: reweighted Gauss-Newton with a damped, projected step; numeric Jacobian. For a handful of parameters on the driver."""
-    x, damp = x0.astype(float), 1e-3
-    cost = lambda r: float((2 * scale**2 * (np.sqrt(1 + (r / scale) ** 2) - 1)).sum())
-    r = residual(x)
-    for _ in range(rounds):
-        jac = np.stack([(residual(x + h) - r) / h[i] for i, h in enumerate(np.diag(1e-6 * np.maximum(1, np.abs(x))))], 1)
-        w = 1 / np.sqrt(1 + (r / scale) ** 2)
-        g, a = jac.T @ (w * r), jac.T @ (jac * w[:, None])
-        new = np.clip(x - np.linalg.solve(a + damp * np.diag(np.diag(a) + 1e-12), g), low, high)
-        s = residual(new)
-        if cost(s) < cost(r):
-            done = cost(r) - cost(s) < 1e-12
-            x, r, damp = new, s, damp / 3
-            if done:
-                break
-        else:
-            damp *= 4
-            if damp > 1e12:
-                break
-    return x
-
-
 def national_fallback(rows: DataFrame, keys: list[str], value: str, min_n: int) -> DataFrame:
     """Median by key where min_n rows hold it, else over all; with its basis."""
     own = rows.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("_m"), F.count("*").alias("_n"))

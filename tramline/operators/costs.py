@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,14 +11,22 @@ from pyspark.sql.window import Window
 from tramline.functions.geo import haversine_km
 
 
-def rebase(year: int, to: int, index: dict[int, float], deflator: dict[int, float] | None = None, real_growth: float = 0.0) -> float:
-    """Factor from one price year to another: the construction index, and before it begins the deflator with real growth."""
-    first = min(index)
-    if year >= first:
-        return index[to] / index[year]
-    if not deflator:
-        raise ValueError(f"no deflator for {year}")
-    return deflator[first] / deflator[year] * (1 + real_growth) ** (first - year) * index[to] / index[first]
+def rebased(lines: DataFrame, index: DataFrame, deflator: DataFrame, to: int, real_growth: float = 0.0, year: str = "year") -> DataFrame:
+    """lines with factor: from the price year of each to year `to` by the construction index, and before that begins by the deflator to its first year, with real growth.
+
+    index, deflator: year, value (one a year). A year that neither holds, or a missing year `to`, raises when rows are read.
+    """
+    first = index.agg(F.min("year").alias("_first"))
+    at = index.filter(F.col("year") == to).select(F.col("value").alias("_to"))
+    ends = first.join(index.select("year", F.col("value").alias("_start")), F.col("_first") == F.col("year")).drop("year").join(deflator.select("year", F.col("value").alias("_d_start")), F.col("_first") == F.col("year"), "left").drop("year")
+    one = ends.withColumn("_k", F.lit(1)).join(at.withColumn("_k", F.lit(1)), "_k", "left")
+    j = lines.withColumn("_k", F.lit(1)).join(one, "_k", "left")
+    j = j.join(index.select(F.col("year").alias(year), F.col("value").alias("_i")), year, "left").join(deflator.select(F.col("year").alias(year), F.col("value").alias("_d")), year, "left")
+    before = F.col(year) < F.col("_first")
+    grown = F.col("_d_start") / F.col("_d") * F.pow(F.lit(1.0 + real_growth), F.col("_first") - F.col(year)) * F.col("_to") / F.col("_start")
+    factor = F.when(before, grown).otherwise(F.col("_to") / F.col("_i"))
+    known = F.when(factor.isNull() & F.col(year).isNotNull(), F.raise_error(F.lit("no index for a price year")).cast("double")).otherwise(factor)
+    return j.select(*lines.columns, known.alias("factor"))
 
 
 def cost_lines(lines: DataFrame, factor: float = 1.0, bias: float = 0.0) -> DataFrame:
@@ -104,11 +111,21 @@ def capacity_check(use: DataFrame, added: DataFrame, limits: DataFrame) -> DataF
     return all_.join(limits, ["from", "to"]).withColumn("over", F.col("trains") > F.col("limit"))
 
 
-def copied_use(points: DataFrame, rid: str, order: str, place: str, dep_s: str, journey: str, shift_s: int) -> DataFrame:
-    """The section use of one journey's copy, shifted in time."""
+def copied_use(points: DataFrame, copies: DataFrame, rid: str, order: str, place: str, dep_s: str) -> DataFrame:
+    """The section use of journeys' copies, each shifted in time and, where it is cut short, kept up to or from a place.
+
+    copies: journey, shift_s, trim_at (place or null), keep (`before` or `after`); a journey may be copied several times. A
+    copy of a journey that there is not, or that does not pass the place, raises. The first passing of the place counts.
+    """
     from tramline.operators.timetable import section_use
 
-    return section_use(points.filter(F.col(rid) == journey).withColumn(dep_s, F.col(dep_s) + shift_s), [rid], order, place, dep_s)
+    c = copies.select(F.col("journey").alias(rid), "shift_s", "trim_at", "keep").withColumn("_copy", F.monotonically_increasing_id())
+    rows = c.join(points.select(rid, order, place, dep_s).withColumn("_there", F.lit(True)), rid, "left")
+    cut = F.min(F.when(F.col(place) == F.col("trim_at"), F.col(order))).over(Window.partitionBy("_copy"))
+    wrong = F.when(F.col("_there").isNull(), "a copied journey is not there").when(F.col("trim_at").isNotNull() & F.col("_cut").isNull(), "a copied journey does not pass the place that it is cut at")
+    stays = F.when(F.col("trim_at").isNull(), True).when(F.col("keep") == "before", F.col(order) <= F.col("_cut")).otherwise(F.col(order) >= F.col("_cut"))
+    rows = rows.withColumn("_cut", cut).withColumn("_stays", F.when(wrong.isNotNull(), F.raise_error(wrong).cast("boolean")).otherwise(stays)).filter("_stays")
+    return section_use(rows.withColumn(dep_s, F.col(dep_s) + F.col("shift_s")), ["_copy"], order, place, dep_s)
 
 
 def scenario_use(legs: DataFrame, trips_per_hour: DataFrame) -> DataFrame:
@@ -118,16 +135,21 @@ def scenario_use(legs: DataFrame, trips_per_hour: DataFrame) -> DataFrame:
     return j.groupBy("from", "to", hour.alias("hour")).agg(F.sum("trips").alias("trains"))
 
 
-def capital_lines(spec: dict[str, Any]) -> list[dict[str, Any]]:
-    """Cost lines of a line's build: way by type, tunnel parts, stations, vehicles, depots. Quantities that are 0 give no line."""
-    lines = [{"item": f"way_{k}", "qty": m / 1000} for k, m in spec.get("way_m", {}).items()]
-    runs = spec.get("tunnel_runs", [])
-    km = sum(r["km"] for r in runs)
-    lines += [{"item": "tunnel_km", "qty": km}, {"item": "tunnel_machines", "qty": 2.0 if km else 0.0}, {"item": "tunnel_portals", "qty": float(sum(r["portals"] for r in runs))}]
-    lines += [{"item": f"station_{k}", "qty": float(n)} for k, n in spec.get("stations", {}).items()]
-    lines += [{"item": f"vehicle_{m}", "qty": float(n)} for m, n in spec.get("vehicles", {}).items()]
-    lines += [{"item": f"depot_{m}", "qty": 1.0} for m, n in spec.get("vehicles", {}).items() if n]
-    return [x for x in lines if x["qty"]]
+def capital_lines(way: DataFrame, runs: DataFrame, stations: DataFrame, vehicles: DataFrame) -> DataFrame:
+    """line, item, qty of lines' builds: km of way by type, km, machines (two where there is a tunnel) and portals of tunnels, stations and vehicles by kind, a depot for each kind of vehicle. Quantities of 0 give no line.
+
+    way: line, type, m; runs: line, km, portals; stations: line, kind, n; vehicles: line, mode, n.
+    """
+    named = lambda prefix, kind: F.concat(F.lit(prefix), F.col(kind))
+    tunnel = runs.groupBy("line").agg(F.sum("km").alias("km"), F.sum("portals").cast("double").alias("portals"))
+    parts = F.array(*[F.struct(F.lit(n).alias("item"), q.alias("qty")) for n, q in (("tunnel_km", F.col("km")), ("tunnel_machines", F.when(F.col("km") > 0, 2.0).otherwise(0.0)), ("tunnel_portals", F.col("portals")))])
+    fleets = vehicles.groupBy("line", "mode").agg(F.sum("n").cast("double").alias("n"))
+    out = way.groupBy("line", named("way_", "type").alias("item")).agg((F.sum("m") / 1000).alias("qty"))
+    out = out.unionByName(tunnel.select("line", F.explode(parts).alias("p")).select("line", "p.item", "p.qty"))
+    out = out.unionByName(stations.groupBy("line", named("station_", "kind").alias("item")).agg(F.sum("n").cast("double").alias("qty")))
+    out = out.unionByName(fleets.select("line", named("vehicle_", "mode").alias("item"), F.col("n").alias("qty")))
+    out = out.unionByName(fleets.filter("n > 0").select("line", named("depot_", "mode").alias("item"), F.lit(1.0).alias("qty")))
+    return out.filter("qty <> 0")
 
 
 def operating_cost(extra_km: float, days: float, rate: float, fixed: dict[str, float]) -> float:

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from tramline.config import GRAVITY_KM, RAIL_SHARE_BANDS_KM, RAIL_SHARE_MIN_N, STATION_COUNT, STATION_OFFSET_KM
 from tramline.functions.curves import band_index
 from tramline.functions.stats import share_in_group
-from tramline.operators.spatial import nearest_small
+from tramline.operators.nearest import nearest
 
 
 def flow_tag(o_in: Column, d_in: Column) -> Column:
@@ -30,7 +30,7 @@ def base_matrix(flows: DataFrame, internal: DataFrame, parent: DataFrame) -> Dat
 
 def external_distance(outside: DataFrame, inside: DataFrame, key: str) -> DataFrame:
     """Distance from each outside point to the nearest inside one (cosine at the outside point)."""
-    return nearest_small(outside.select(key, "lon", "lat"), inside.select(F.col(key).alias("target"), "lon", "lat"), key, "target").select(key, "km")
+    return nearest(outside.select(key, "lon", "lat"), inside.select(F.col(key).alias("target"), "lon", "lat"), "target").select(key, "km")
 
 
 def split_destinations(matrix: DataFrame, jobs: DataFrame, parent: str = "d_parent") -> DataFrame:
@@ -85,9 +85,9 @@ def reconcile(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return j.agg(F.sum("a").alias("total_a"), F.sum("b").alias("total_b"), F.max(F.abs(F.col("a") - F.col("b"))).alias("worst"))
 
 
-def discount(attendance_high: float, attendance_survey: float) -> dict[str, float]:
-    """Low, central and high workplace discounts from two attendance shares."""
-    return {"low": 1 - attendance_high, "central": 1 - (attendance_high + attendance_survey) / 2, "high": 1 - attendance_survey}
+def discount(high: Column, survey: Column) -> dict[str, Column]:
+    """Low, central and high workplace discounts from two attendance shares, the higher one and the survey's."""
+    return {"low": 1 - high, "central": 1 - (high + survey) / 2, "high": 1 - survey}
 
 
 def correct(matrix: DataFrame, no_fixed: DataFrame, jobs: DataFrame, d: float) -> DataFrame:
@@ -121,7 +121,7 @@ def rail_share(flows: DataFrame, min_n: int = RAIL_SHARE_MIN_N, cuts: list[float
 
 def station_weights(zones: DataFrame, stations: DataFrame, key: str, k: int = STATION_COUNT, offset_km: float = STATION_OFFSET_KM) -> DataFrame:
     """The k nearest stations with flow of each zone, weights flow / (km + offset)^2 that sum to 1. stations: station, lon, lat, flow."""
-    near = nearest_small(zones.select(key, "lon", "lat"), stations.filter("flow > 0").select("station", "lon", "lat"), key, "station", k)
+    near = nearest(zones.select(key, "lon", "lat"), stations.filter("flow > 0").select("station", "lon", "lat"), "station", k)
     near = near.join(stations.select("station", "flow"), "station")
     w = F.col("flow") / F.pow(F.col("km") + offset_km, F.lit(2.0))
     return near.withColumn("_w", w).select(key, "station", "km", (F.col("_w") / F.sum("_w").over(Window.partitionBy(key))).alias("weight"))

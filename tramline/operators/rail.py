@@ -83,16 +83,20 @@ def single_track_blocks(points: DataFrame, sections: DataFrame, loops: DataFrame
     return legs.select("block", F.col("part").cast("int").alias("part"), names.alias("points"))
 
 
-def works_lines(works: list[dict]) -> list[dict]:
-    """Quantities that works are priced by: (name, item, qty). Electrification by single-track km at its complexity, added track by km, loops, junctions and platforms each."""
-    rules = {
-        "electrify": lambda g: (f"electrification_{g['complexity']}", g["tracks"] * g["length_km"]),
-        "track": lambda g: ("track_doubling", (g["tracks"] - g["was"]) * g["length_km"]),
-        "loops": lambda g: ("passing_loop", 1),
-        "junctions": lambda g: ("grade_separated_junction", 1),
-        "platforms": lambda g: ("bay_platform", g["count"]),
-    }
-    return [{"works": w["name"], "item": item, "qty": float(qty)} for w in works for group, rule in rules.items() for item, qty in (rule(g) for g in w.get(group) or [])]
+def works_lines(works: DataFrame) -> DataFrame:
+    """works, item, qty that works are priced by: electrification by single-track km at its complexity, added track by km, loops, junctions and platforms each.
+
+    works: works, kind (electrify, track, loops, junctions, platforms), complexity, was, tracks, length_km, n; a row a piece of
+    work, of which those of one item are summed. Another kind raises when rows are read.
+    """
+    kind = F.col("kind")
+    item = (
+        F.when(kind == "electrify", F.concat(F.lit("electrification_"), "complexity")).when(kind == "track", "track_doubling").when(kind == "loops", "passing_loop")
+        .when(kind == "junctions", "grade_separated_junction").when(kind == "platforms", "bay_platform").otherwise(F.raise_error(F.lit("no such kind of work")))
+    )
+    km = F.col("length_km")
+    qty = F.when(kind == "electrify", F.col("tracks") * km).when(kind == "track", (F.col("tracks") - F.col("was")) * km).when(kind == "platforms", F.col("n")).otherwise(F.lit(1))
+    return works.select("works", item.alias("item"), qty.cast("double").alias("qty")).groupBy("works", "item").agg(F.sum("qty").alias("qty"))
 
 
 def service_quantities(legs: DataFrame, stops: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -47,21 +47,6 @@ def count_within(left: DataFrame, right: DataFrame, km: float, key: str, out: st
     return left.join(n, key, "left").withColumn(out, F.coalesce(out, F.lit(0)))
 
 
-def nearest_small(left: DataFrame, right: DataFrame, key: str, target: str, k: int = 1, at_left: bool = True) -> DataFrame:
-    """The k nearest targets of each left row, ties to the smaller target, by the flat formula (cosine at the left point, or midway).
-
-    The targets are held as one array a row by a join on a constant: they must be few (stations, gateways), which is
-    checked against 20,000.
-    """
-    pack = right.groupBy(F.lit(1).alias("_k")).agg(F.collect_list(F.struct(F.col(target).alias("t"), F.col("lon").alias("x"), F.col("lat").alias("y"))).alias("_p"))
-    if right.limit(20_001).count() > 20_000:
-        raise ValueError("too many targets to hold in a row; use near_pairs with a radius")
-    d = lambda s: flat_km(F.col("lon"), F.col("lat"), s["x"], s["y"], F.col("lat") if at_left else None)
-    best = F.slice(F.array_sort(F.transform("_p", lambda s: F.struct(d(s).alias("km"), s["t"].alias("t")))), 1, k)
-    rows = left.withColumn("_k", F.lit(1)).join(F.broadcast(pack), "_k").select(*left.columns, F.posexplode(best).alias("_i", "_b"))
-    return rows.select(*left.columns, (F.col("_i") + 1).alias("rank"), F.col("_b.t").alias(target), F.col("_b.km").alias("km"))
-
-
 def in_polygon(points: DataFrame, polygons: DataFrame, key: str, name: str) -> DataFrame:
     """(key, name) of points inside polygons (name, ring: array of struct lon, lat) by even-odd parity of crossed edges; cells of each polygon's box meet the points' cells."""
     size = 0.05
@@ -168,16 +153,79 @@ def walkable(pairs: DataFrame, walks: DataFrame, most_min: float) -> tuple[DataF
     return j.filter(good).select(*pairs.columns), j.filter(~good)
 
 
-def touching_components(rings: DataFrame, digits: int = 7) -> DataFrame:
-    """(id, component) of polygons that share a vertex, directly or over others; component is the smallest id. rings: id (long), ring (array of lon, lat).
+#: Coordinates of rings are whole numbers of this many to a degree (about a centimetre), so that touching is exact.
+RING_UNITS = 10_000_000
+
+
+def _sides(rings: DataFrame) -> DataFrame:
+    """id, ax, ay, bx, by: the sides of rings in whole units, left end first; closing sides included, points without length not."""
+    unit = lambda c: F.round(c * RING_UNITS).cast("long")
+    at = F.transform("ring", lambda p: F.struct(unit(p["lon"]).alias("x"), unit(p["lat"]).alias("y")))
+    rows = rings.select("id", at.alias("p")).select("id", F.explode(F.arrays_zip(F.col("p").alias("a"), F.concat(F.slice("p", 2, F.size("p")), F.slice("p", 1, 1)).alias("b"))).alias("s"))
+    rows = rows.select("id", F.least("s.a", "s.b").alias("l"), F.greatest("s.a", "s.b").alias("r")).filter("l <> r")
+    return rows.select("id", F.col("l.x").alias("ax"), F.col("l.y").alias("ay"), F.col("r.x").alias("bx"), F.col("r.y").alias("by")).distinct()
+
 
-    Vertices are met on their coordinates to `digits` places. Each vertex hangs its polygons on the smallest one, so a vertex that many share costs one row each.
+def _meet() -> Column:
+    """Whether sides a-b and c-d (whole numbers) have a point in common, ends and stretches in line included."""
+
+    def turn(px, py, qx, qy, rx, ry):
+        p, q, r = ((F.col(x), F.col(y)) for x, y in ((px, py), (qx, qy), (rx, ry)))
+        return F.signum((q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0]))
+
+    a, b, c, d = (("ax", "ay"), ("bx", "by"), ("cx", "cy"), ("dx", "dy"))
+    apart = (turn(*a, *b, *c) * turn(*a, *b, *d) > 0) | (turn(*c, *d, *a) * turn(*c, *d, *b) > 0)
+    box = (F.col("ax") <= F.col("dx")) & (F.col("cx") <= F.col("bx")) & (F.least("ay", "by") <= F.greatest("cy", "dy")) & (F.least("cy", "dy") <= F.greatest("ay", "by"))
+    return box & ~apart
+
+
+def touching_components(rings: DataFrame) -> DataFrame:
+    """(id, component) of polygons that touch, cross or contain each other, directly or over others; component is the smallest id. rings: id (long), ring (array of lon, lat; closed or not).
+
+    Equal rings count once. Polygons hang on the smallest one at each corner and each side that they share; sides of what is
+    still apart then meet in grid cells and are tested exactly on whole units; last, of what is still apart, a corner of one
+    is looked for inside the other. A ring of fewer than three corners touches as the line or point that it is.
     """
     from tramline.operators.components import components
-
-    at = rings.select("id", F.explode("ring").alias("p")).select("id", F.round("p.lon", digits).alias("x"), F.round("p.lat", digits).alias("y")).distinct()
-    low = at.groupBy("x", "y").agg(F.min("id").alias("b"))
-    return components(at.join(low, ["x", "y"]).select(F.col("id").alias("a"), "b").distinct())
+    from tramline.session import written
+
+    rings = rings.filter("size(ring) > 0").select(F.col("id").cast("long").alias("id"), F.transform("ring", lambda p: F.struct(p["lon"].cast("double").alias("lon"), p["lat"].cast("double").alias("lat"))).alias("ring"))
+    first = rings.groupBy("ring").agg(F.min("id").alias("one"))
+    copies = written(rings.join(first, "ring").select("id", "one"), "ring-copies")
+    kept = written(first.select(F.col("one").alias("id"), "ring"), "rings")
+    unit = lambda c: F.round(c * RING_UNITS).cast("long")
+    corners = kept.select("id", F.explode("ring").alias("p")).select("id", unit(F.col("p.lon")).alias("x"), unit(F.col("p.lat")).alias("y")).distinct()
+    hung = corners.join(corners.groupBy("x", "y").agg(F.min("id").alias("b")), ["x", "y"]).select(F.col("id").alias("a"), "b").distinct()
+    near = written(components(hung), "ring-corners")
+
+    # A point is a side too where its ring has no other.
+    points = corners.groupBy("id").agg(F.count("*").alias("n"), F.min("x").alias("ax"), F.min("y").alias("ay")).filter("n = 1").select("id", "ax", "ay", F.col("ax").alias("bx"), F.col("ay").alias("by"))
+    sides = written(_sides(kept).unionByName(points).join(near, "id").groupBy("ax", "ay", "bx", "by", "component").agg(F.min("id").alias("id")), "ring-sides")
+    wide = sides.agg(F.avg(F.greatest(F.col("bx") - F.col("ax"), F.abs(F.col("by") - F.col("ay"))))).first()[0] or 0.0
+    cell = max(1000, int(2 * wide))
+    # The cells that a side passes, column by column, with a cell to spare above and below for rounding.
+    column = F.explode(F.sequence(F.floor(F.col("ax") / cell), F.floor(F.col("bx") / cell)))
+    lo_x, hi_x = F.greatest(F.col("ax"), F.col("i") * cell), F.least(F.col("bx"), (F.col("i") + 1) * cell)
+    y_at = lambda x: F.when(F.col("bx") == F.col("ax"), F.col("ay").cast("double")).otherwise(F.col("ay") + (F.col("by") - F.col("ay")) * ((x - F.col("ax")) / (F.col("bx") - F.col("ax"))))
+    steep = F.col("bx") == F.col("ax")
+    y0 = F.when(steep, F.least("ay", "by").cast("double")).otherwise(F.least(y_at(lo_x), y_at(hi_x))) - 2
+    y1 = F.when(steep, F.greatest("ay", "by").cast("double")).otherwise(F.greatest(y_at(lo_x), y_at(hi_x))) + 2
+    posted = sides.withColumn("i", column).withColumn("j", F.explode(F.sequence(F.floor(y0 / cell), F.floor(y1 / cell))))
+    other = posted.select("i", "j", F.col("ax").alias("cx"), F.col("ay").alias("cy"), F.col("bx").alias("dx"), F.col("by").alias("dy"), F.col("component").alias("b"))
+    crossing = posted.withColumnRenamed("component", "a").join(other, ["i", "j"]).filter("a < b").filter(_meet()).select("a", "b").distinct()
+    over = components(crossing).select(F.col("id").alias("component"), F.col("component").alias("top"))
+    joined = written(near.join(over, "component", "left").select("id", F.coalesce("top", "component").alias("component")), "ring-crossings")
+
+    # What neither shares a corner nor crosses either lies apart or within: one corner of each piece tells.
+    label = joined.select(F.col("id").alias("of"), "component")
+    at = corners.join(joined, "id").groupBy("component").agg(F.min(F.struct("x", "y")).alias("p"))
+    at = at.select(F.col("component").alias("piece"), (F.col("p.x") / F.lit(float(RING_UNITS))).alias("lon"), (F.col("p.y") / F.lit(float(RING_UNITS))).alias("lat"))
+    inside = in_polygon(at, kept.filter("size(ring) > 2").select(F.col("id").alias("of"), "ring"), "piece", "of").join(label, "of").filter("piece <> component")
+    last = components(inside.select(F.col("piece").alias("a"), F.col("component").alias("b")).distinct()).select(F.col("id").alias("component"), F.col("component").alias("top"))
+    one = joined.join(last, "component", "left").select(F.col("id").alias("one"), F.coalesce("top", "component").alias("component"))
+    low = copies.join(one, "one")
+    names = low.groupBy("component").agg(F.min("id").alias("low"))
+    return low.join(names, "component").select("id", F.col("low").alias("component"))
 
 
 def odd_origins(pairs: DataFrame, near_m: float = 400.0) -> DataFrame:

@@ -35,16 +35,6 @@ def near_pairs(t):
     return tidy(op.near_pairs(z, z, 1.2).filter("a_id < b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col("dist_km").alias("km")))
 
 
-@query("near_points", f"select a.id, count(b.id) > 0 as near from zones a left join (select * from zones where id % 9 = 4) b on {_KM} <= cast(0.9 as double) group by a.id", "zones")
-def near_points(t):
-    return op.near_flag(t.zones, t.zones.filter("id % 9 = 4"), 0.9, "id").select("id", "near")
-
-
-@query("count_within", f"select a.id, count(b.id) as n_near from zones a left join (select * from zones where id % 3 = 1) b on {_KM} <= cast(1.5 as double) group by a.id", "zones")
-def count_within(t):
-    return op.count_within(t.zones, t.zones.filter("id % 3 = 1"), 1.5, "id").select("id", "n_near")
-
-
 @query("candidate_pairs", f"select a.id as a, b.id as b, round({_KM} * 1000, 6) as dist_m from zones a join zones b on a.id < b.id where {_KM} * 1000 <= 800 or (a.name = b.name and {_KM} * 1000 <= 2500)", "zones")
 def candidate_pairs(t):
     return tidy(op.candidate_pairs(t.zones, "id", "name", 2500.0, 800.0))
@@ -60,35 +50,6 @@ def clusters(t):
     return op.clusters(p, z, "id")
 
 
-@query("point_in_polygon", """
-with p as (select id as poly, lon, lat from zones where id % 17 = 3), v as (select poly, lon - cast(0.013 as double) as x0, lat - cast(0.007 as double) as y0, lon + cast(0.021 as double) as x1, lat + cast(0.016 as double) as y1 from p)
-select z.id, v.poly as name from zones z join v on z.lon > x0 and z.lon < x1 and z.lat > y0 and z.lat < y1 and (z.lon - x0) / (x1 - x0) + (z.lat - y0) / (y1 - y0) < 1
-""", "zones")
-def point_in_polygon(t):
-    pt = lambda x, y: F.struct((F.col("lon") + x).alias("lon"), (F.col("lat") + y).alias("lat"))
-    ring = F.array(pt(-0.013, -0.007), pt(0.021, -0.007), pt(-0.013, 0.016))
-    return op.in_polygon(t.zones, t.zones.filter("id % 17 = 3").select(F.col("id").alias("name"), ring.alias("ring")), "id", "name")
-
-
-@query("ext_distance", "with k as (select a.id, cast(111.32 as double) * sqrt(pow((a.lon - b.lon) * cos(radians(a.lat)), 2) + pow(a.lat - b.lat, 2)) as km from zones a, zones b where a.id >= 60 and b.id < 60 and b.id % 5 = 0) select id, round(min(km), 6) as km from k group by id", "zones")
-def ext_distance(t):
-    from tramline.operators.demand import external_distance
-
-    return tidy(external_distance(t.zones.filter("id >= 60"), t.zones.filter("id < 60 and id % 5 = 0"), "id"))
-
-
-@query("knn_weights", """
-with s as (select id as station, lon, lat, (id % 6) * 10 as flow from zones where id % 11 = 2), d as (select z.id, s.station, s.flow, cast(111.32 as double) * sqrt(pow((z.lon - s.lon) * cos(radians(z.lat)), 2) + pow(z.lat - s.lat, 2)) as km from zones z, s where s.flow > 0),
-  r as (select *, row_number() over (partition by id order by km, station) as k from d), w as (select *, flow / pow(km + 1, 2) as w from r where k <= 3)
-select id, station, round(km, 6) as km, round(w / sum(w) over (partition by id), 6) as weight from w
-""", "zones")
-def knn_weights(t):
-    from tramline.operators.demand import station_weights
-
-    s = t.zones.filter("id % 11 = 2").select(F.col("id").alias("station"), "lon", "lat", (F.col("id") % 6 * 10).alias("flow"))
-    return tidy(station_weights(t.zones, s, "id"))
-
-
 @query("decay_weight", "select p_partkey as id, round(cast(1 as double) / (cast(1 as double) + exp((p_size - 20) / cast(6 as double))), 6) as w from part")
 def decay_weight(t):
     return tidy(t.part.select(F.col("p_partkey").alias("id"), logistic(F.col("p_size").cast("double"), 20.0, 6.0).alias("w")))
@@ -106,35 +67,6 @@ def are_class(t):
     return tidy(t.part.select(F.col("p_partkey").alias("id"), cat.alias("category"), op.access_class(cat, F.col("p_retailprice") % 1200).alias("class")))
 
 
-def _coverage(t):
-    base = t.residents.select(F.col("zone").alias("oa"), "residents", (F.col("zone") * 3 % 11).alias("jobs"))
-    reach = t.minutes.filter("from_id % 7 <> 0 and to_id < 20").groupBy(F.col("from_id").alias("oa"), F.col("to_id").alias("cluster_id")).agg(F.min("wait").alias("walk_min"))
-    level = t.supplier.filter("s_suppkey < 20").select(F.col("s_suppkey").alias("cluster_id"), ((F.col("s_suppkey") % 9) + 1.0).alias("dph_one_way"), (F.col("s_suppkey") % 3 + 1).alias("directions"))
-    return op.coverage_score(base, reach, level, F.exp(F.col("walk_min") / -10.0), "oa", [10.0, 15.0])
-
-
-_COVER = """
-  base as (select zone as oa, residents, zone * 3 % 11 as jobs from residents), rc as (select from_id as oa, to_id as cluster_id, min(wait) as walk_min from minutes where from_id % 7 <> 0 and to_id < 20 group by all),
-  lv as (select s_suppkey as cluster_id, (s_suppkey % 9) + cast(1 as double) as dph, s_suppkey % 3 + 1 as directions from supplier where s_suppkey < 20),
-  m as (select *, 60 / dph as h, walk_min * 80 as d from rc join lv using (cluster_id)),
-  m2 as (select *, case when h < 5 then 1 when h < 10 then 2 when h < 20 then 3 when h < 40 then 4 when h < 60 then 5 end as cat, case when d <= 300 then 0 when d <= 500 then 1 when d <= 750 then 2 when d <= 1000 then 3 end as band from m),
-  g as (select oa, min(['A', 'B', 'C', 'D'][greatest(cat - 2, 0) + band + 1]) as class, sum(exp(walk_min / cast(-10 as double)) * least(dph, 12)) as score, bool_or(dph >= 6) as f10, min(walk_min) filter (dph >= 6) as w10, bool_or(dph >= 4) as f15, min(walk_min) filter (dph >= 4) as w15 from m2 group by oa),
-  cov as (select base.*, coalesce(class, 'none') as class, coalesce(score, 0) as score, coalesce(f10, false) as frequent_10, w10 as walk_10, coalesce(f15, false) as frequent_15, w15 as walk_15 from base left join g using (oa))
-"""
-
-
-@query("coverage_score", f"with {_COVER} select oa, residents, jobs, class, round(score, 6) as score, frequent_10, walk_10, frequent_15, walk_15 from cov", "minutes residents")
-def coverage_score(t):
-    return tidy(_coverage(t))
-
-
-@query("coverage_summary", f"""
-with {_COVER} select class, count(*) as zones, sum(residents)::bigint as residents, sum(jobs)::bigint as jobs, round(sum(score * residents) / sum(residents), 6) as mean_score, sum(case when frequent_10 then residents else 0 end)::bigint as served_frequent_10, sum(case when frequent_15 then residents else 0 end)::bigint as served_frequent_15 from cov group by class
-""", "minutes residents")
-def coverage_summary(t):
-    return tidy(op.coverage_summary(_coverage(t), "class", ["frequent_10", "frequent_15"]))
-
-
 @query("oa_jobs_split", """
 with z as (select c_custkey as oa, c_nationkey as parent, case when c_nationkey % 6 = 0 then 0 else c_custkey % 5 end as w from customer), j as (select s_nationkey as parent, count(*) * 100 as jobs from supplier where s_nationkey % 4 <> 3 group by all), t as (select *, sum(w) over (partition by parent) as t, count(*) over (partition by parent) as n from z)
 select oa, round(coalesce(jobs, 0) * case when t > 0 then w / cast(t as double) else cast(1 as double) / n end, 6) as jobs, t = 0 as equal_split from t left join j using (parent)

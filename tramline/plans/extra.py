@@ -94,9 +94,9 @@ def sensor_speeds(t):
     return tidy(calibration.sensor_speeds(e, days.withColumn("day_type", kind)))
 
 
-@query("odd_origins", f"with p as (select l_suppkey as id, l_partkey as target, l_quantity * 30 as m, case when l_linenumber % 3 > 0 then l_quantity * l_linenumber / 2 end as w, row_number() over (partition by l_suppkey order by l_quantity * 30, l_partkey, l_orderkey, l_linenumber, l_extendedprice) as k from lineitem where l_linenumber < 4) select id, target, m as straight_m, w as walk_min from p where k = 1 and m <= {D(90)} and (w is null or w * 80 > 3 * m + 240)")
+@query("odd_origins", f"with p as (select l_suppkey as id, l_partkey as target, l_quantity * 30 as m, case when l_linenumber % 3 > 0 then l_quantity * l_linenumber / 2 end as w, row_number() over (partition by l_suppkey order by l_quantity * 30, l_partkey, l_orderkey, l_linenumber, l_extendedprice) as k from lineitem) select id, target, m as straight_m, w as walk_min from p where k = 1 and m <= {D(90)} and (w is null or w * 80 > 3 * m + 240)")
 def odd_origins(t):
-    x = t.lineitem.filter("l_linenumber < 4").select(F.col("l_suppkey").alias("id"), F.col("l_partkey").alias("target"), (F.col("l_quantity") * 30).alias("straight_m"), F.when(F.col("l_linenumber") % 3 > 0, F.col("l_quantity") * F.col("l_linenumber") / 2).alias("walk_min"))
+    x = t.lineitem.select(F.col("l_suppkey").alias("id"), F.col("l_partkey").alias("target"), (F.col("l_quantity") * 30).alias("straight_m"), F.when(F.col("l_linenumber") % 3 > 0, F.col("l_quantity") * F.col("l_linenumber") / 2).alias("walk_min"))
     return spatial.odd_origins(x, 90.0)
 
 
@@ -154,16 +154,3 @@ def event_json(t):
     k = F.from_json("props", "k bigint")["k"]
     back = F.to_json(F.struct(F.col("event_type").alias("e"), k.alias("k")))
     return t.events.select("event_id", k.alias("k"), F.regexp_extract("props", "([0-9]+)", 1).cast("long").alias("digits"), back.alias("back"))
-
-
-@query("line_calls", """
-with s as (select 0 as dir, range as n, 425 + range * 15 as start from range(12) union all select 1, range, 425 + range * 15 from range(12)), p as (select * from (values (0, 1, 'a', 0, 0), (0, 2, 'b', 4, 4.5), (0, 3, 'c', 10.5, 10.5), (1, 1, 'c', 0, 0), (1, 2, 'b', 6, 6.5), (1, 3, 'a', 10.5, 10.5)) v(dir, seq, stop, a, b))
-select 'N:' || dir || ':' || n as trip, seq::bigint as seq, stop, cast(start + a as double) as arr, cast(start + b as double) as dep from s join p using (dir)
-""")
-def line_calls(t):
-    from tramline.operators import scenario
-
-    none = t.spark.createDataFrame([], "route string, trip string, journey string, seq int, stop string, arr double, dep double")
-    net = scenario.Network(none, {"AM": (420.0, 600.0)})
-    op = {"span": "07:00-10:00", "headways_min": {"AM": 15.0}, "stops": [{"stop_id": x, "lon": 0.0, "lat": 51.0} for x in "abc"], "speed_profile": {"dwell_s": 30.0}}
-    return tidy(scenario.line_calls(net, op, "N", 1 / 3, legs_min=[4.0, 6.0]).select("trip", "seq", "stop", "arr", "dep"))

@@ -164,19 +164,6 @@ def once_per_build(t):
     return tidy(costs.once_per_build(p, ["p_brand", "p_size"], ["item"], "qty").select("item", "qty"))
 
 
-_CALLS = "cl as (select c.trip, c.day, c.seq, z.lon, z.lat, c.trip % 3 as mode, c.trip // 2 as journey from calls c join zones z on z.id = c.event_id % 50 where c.day = date '2024-01-05')"
-
-
-@query("feed_km", f"""
-with {_CALLS}, o as (select journey, min(trip) as trip from cl group by 1), k as (select cl.* from cl join o using (journey, trip)), s as (select *, lag(lon) over (partition by trip order by seq) as lon0, lag(lat) over (partition by trip order by seq) as lat0 from k)
-select mode, round(coalesce(sum(2 * cast(6371.0088 as double) * asin(sqrt(pow(sin(radians(lat - lat0) / 2), 2) + cos(radians(lat0)) * cos(radians(lat)) * pow(sin(radians(lon - lon0) / 2), 2)))), 0), 5) as km, count(distinct trip) as journeys from s group by mode
-""", "calls zones")
-def feed_km(t):
-    c = t.calls.filter("day = date '2024-01-05'").withColumn("id", F.col("event_id") % 50).join(t.zones.select("id", "lon", "lat"), "id")
-    c = c.withColumns({"mode": F.col("trip") % 3, "journey": F.floor(F.col("trip") / 2)})
-    return tidy(costs.feed_km(c, "trip", "journey", "seq", "mode"), 5)
-
-
 _USE = "legs as (select *, lead(stop) over (partition by trip, day order by seq) as nxt, lead(minute) over (partition by trip, day order by seq) as nm from calls), use as (select stop as f, nxt as t, cast(floor(minute / 60) as int) % 24 as hour, count(*) as trains from legs where nxt is not null and nxt <> stop group by all), rt as (select stop as f, nxt as t, quantile_cont(nm - minute, 0.5) as r from legs where nxt is not null and nxt <> stop group by all)"
 _LIMIT = f"{_USE}, b as (select f, t, max(trains) as busy from use group by all), m as (select a.f, a.t, (a.r + coalesce(z.r, a.r)) / 2 as r from rt a left join rt z on z.f = a.t and z.t = a.f), lim as (select b.f, b.t, greatest(case when b.f = 'click' then 20 when b.f < b.t then floor(60 / (2 * (r + 1) + 2) + 1e-9)::bigint else 12 end, busy + 1) as lim from b join m using (f, t))"
 

@@ -147,12 +147,6 @@ def new_stops(t):
     return tidy(rail.service_quantities(*_legs(t))[1])
 
 
-@query("works_lines", "select * from (values ('w', 'electrification_simple', cast(12 as double)), ('w', 'track_doubling', cast(2.5 as double)), ('w', 'passing_loop', cast(1 as double)), ('w', 'bay_platform', cast(2 as double))) v(works, item, qty)")
-def works_lines(t):
-    w = {"name": "w", "electrify": [{"sections": ["P-Q"], "tracks": 2, "length_km": 6, "complexity": "simple"}], "track": [{"sections": ["P-Q"], "was": 1, "tracks": 2, "length_km": 2.5}], "loops": [{"at": "P"}], "platforms": [{"at": "Q", "kind": "bay", "count": 2}]}
-    return t.spark.createDataFrame([(x["works"], x["item"], x["qty"]) for x in rail.works_lines([w])], "works string, item string, qty double")
-
-
 _HOL = "(month({0}) = 8 or (month({0}) = 12 and day({0}) >= 18) or (month({0}) = 1 and day({0}) <= 4) or (month({0}) = 7 and day({0}) >= 22) or (month({0}) = 9 and day({0}) <= 3))"
 
 
@@ -182,17 +176,17 @@ def plate_observations(t):
     return tidy(calibration.plate_observations(rows))
 
 
-_LINKS = """pa as (select distinct l_orderkey % 60 as link_id, l_partkey % 300 as u, l_partkey % 300 + 1 as v from lineitem), sp as (select p_partkey as u, p_partkey + 1 as v, {0} as speed_kmh, {1} as length_m from part where p_partkey < 299),
-  sg as (select p_partkey as u, p_partkey + 1 as v, case when p_size % 5 = 0 then null else ['centre', 'urban', 'rural'][p_size % 3 + 1] end as area, p_size % 7 = 0 as srn, p_partkey % 6 = 0 as signal from part where p_partkey < 300),
+_LINKS = """pa as (select distinct l_suppkey as link_id, l_partkey as u, l_partkey + 1 as v from lineitem), sp as (select p_partkey as u, p_partkey + 1 as v, {0} as speed_kmh, {1} as length_m from part where p_partkey % 37 <> 5),
+  sg as (select p_partkey as u, p_partkey + 1 as v, case when p_size % 5 = 0 then null else ['centre', 'urban', 'rural'][p_size % 3 + 1] end as area, p_size % 7 = 0 as srn, p_partkey % 6 = 0 as signal from part),
   ls as (select pa.*, speed_kmh, length_m, area, coalesce(srn, false) as srn, coalesce(signal, false) as signal, length_m / (speed_kmh / {2}) as t from pa left join sp using (u, v) left join sg using (u, v))""".format(D("p_size + 10"), D("p_retailprice"), D(3.6))
 
 
 def _links(t):
     k, size = F.col("p_partkey"), F.col("p_size")
-    paths = t.lineitem.select((F.col("l_orderkey") % 60).alias("link_id"), (F.col("l_partkey") % 300).alias("u"), (F.col("l_partkey") % 300 + 1).alias("v")).distinct()
-    speeds = t.part.filter("p_partkey < 299").select(k.alias("u"), (k + 1).alias("v"), (size + 10).cast("double").alias("speed_kmh"), F.col("p_retailprice").alias("length_m"))
+    paths = t.lineitem.select(F.col("l_suppkey").alias("link_id"), F.col("l_partkey").alias("u"), (F.col("l_partkey") + 1).alias("v")).distinct()
+    speeds = t.part.filter("p_partkey % 37 <> 5").select(k.alias("u"), (k + 1).alias("v"), (size + 10).cast("double").alias("speed_kmh"), F.col("p_retailprice").alias("length_m"))
     area = F.when(size % 5 != 0, F.get(F.array(F.lit("centre"), F.lit("urban"), F.lit("rural")), size % 3))
-    return paths, speeds, t.part.filter("p_partkey < 300").select(k.alias("u"), (k + 1).alias("v"), area.alias("area"), (size % 7 == 0).alias("srn"), (k % 6 == 0).alias("signal"))
+    return paths, speeds, t.part.select(k.alias("u"), (k + 1).alias("v"), area.alias("area"), (size % 7 == 0).alias("srn"), (k % 6 == 0).alias("signal"))
 
 
 @query("link_times", f"with {_LINKS} select link_id, round(coalesce(sum(t), 0) + sum(case when signal then case area when 'centre' then 20 when 'urban' then 12 when 'rural' then 12 else 12 end else 0 end), 6) as model_s from ls group by link_id having avg(case when t is null then 1 else 0 end) < {D(0.05)}")
@@ -293,10 +287,10 @@ def no_fixed_place(t):
     return tidy(demand.no_fixed_place(t.customer.select(F.col("c_custkey").alias("code"), F.col("c_acctbal").alias("nofixed_offshore")), t.customer.select(F.col("c_custkey").alias("code"), F.col("c_nationkey").alias("zone")), 0.25), 4)
 
 
-@query("jobs_by_parent", "select n_regionkey::bigint as parent, count(*) as jobs from supplier join nation on s_nationkey = n_nationkey where n_nationkey < 12 group by 1")
+@query("jobs_by_parent", "select n_regionkey::bigint as parent, count(*) as jobs from supplier join nation on s_nationkey = n_nationkey where n_regionkey <> 3 group by 1")
 def jobs_by_parent(t):
     n = t.nation.select(F.col("n_nationkey").alias("zone"), F.col("n_regionkey").alias("parent"))
-    return tidy(demand.jobs_by_parent(t.supplier.select(F.col("s_nationkey").alias("zone"), F.lit(1).alias("jobs")), n, n.filter("zone < 12")))
+    return tidy(demand.jobs_by_parent(t.supplier.select(F.col("s_nationkey").alias("zone"), F.lit(1).alias("jobs")), n, n.filter("parent <> 3")))
 
 
 @query("unlocated_share", "select cast(sum(trips) as bigint) as journeys, round(cast(coalesce(sum(trips) filter (where d = 24), 0) as double) / sum(trips), 6) as share, count(distinct d) filter (where d = 24) as unlocated from flows", "flows")
@@ -315,12 +309,6 @@ def demand_correct(t):
     return tidy(demand.correct(m, w, j, 0.2).select(F.col("o_zone").alias("o"), F.col("d_zone").alias("d"), "trips"))
 
 
-@query("discounts", f"select round(1 - {D(0.8)}, 9) as low, round(1 - ({D(0.8)} + {D(0.6)}) / 2, 9) as central, round(1 - {D(0.6)}, 9) as high")
-def discounts(t):
-    d = demand.discount(0.8, 0.6)
-    return tidy(t.spark.createDataFrame([(d["low"], d["central"], d["high"])], "low double, central double, high double"), 9)
-
-
 @query("masked_skim", f"select from_id, to_id, case when unreachable then null else ride end as gc_min, case when not unreachable and n % 10 / {D(10)} >= {D(0.5)} then wait end as gc_ride_min from skim_a", "skim_a")
 def masked_skim(t):
     s = t.skim_a.withColumns({"gc_min": F.col("ride"), "gc_ride_min": F.col("wait"), "ride_share": F.col("n") % 10 / F.lit(10.0)})
@@ -352,14 +340,15 @@ def walkable_pairs(t):
 
 
 @query("touching_components", """
-with recursive v as (select s_suppkey as id, unnest([s_suppkey // 2 * 2, s_suppkey // 2 * 2 + 1, case when s_suppkey % 6 = 0 then s_suppkey + 2 else 10000 + s_suppkey end]) as p from supplier), e as (select distinct a.id as a, b.id as b from v a join v b using (p)), r as (select a as id, a as low from e union select r.id, e.b from r join e on e.a = r.low)
+with recursive b as (select id, lon - (2 + id % 5) * cast(0.001 as double) as x0, lon + (3 + id % 3) * cast(0.001 as double) as x1, lat - (1 + id % 4) * cast(0.001 as double) as y0, lat + (2 + id % 7) * cast(0.001 as double) as y1 from zones),
+  i as (select id, round(x0 * 10000000) as x0, round(x1 * 10000000) as x1, round(y0 * 10000000) as y0, round(y1 * 10000000) as y1 from b), e as (select a.id as a, b.id as b from i a join i b on a.x0 <= b.x1 and b.x0 <= a.x1 and a.y0 <= b.y1 and b.y0 <= a.y1), r as (select a as id, a as low from e union select r.id, e.b from r join e on e.a = r.low)
 select id, min(low) as component from r group by id
-""")
+""", "zones")
 def touching_components(t):
-    k = F.col("s_suppkey")
-    at = lambda x: F.struct(x.cast("double").alias("lon"), F.lit(1.0).alias("lat"))
-    two = F.floor(k / 2) * 2
-    return spatial.touching_components(t.supplier.select(k.alias("id"), F.array(at(two), at(two + 1), at(F.when(k % 6 == 0, k + 2).otherwise(10000 + k))).alias("ring")))
+    k, m = F.col("id"), F.lit(0.001)
+    x0, x1, y0, y1 = F.col("lon") - (2 + k % 5) * m, F.col("lon") + (3 + k % 3) * m, F.col("lat") - (1 + k % 4) * m, F.col("lat") + (2 + k % 7) * m
+    at = lambda x, y: F.struct(x.alias("lon"), y.alias("lat"))
+    return spatial.touching_components(t.zones.select("id", F.array(at(x0, y0), at(x1, y0), at(x1, y1), at(x0, y1)).alias("ring")))
 
 
 @query("clock_12h", f"select l_orderkey as id, l_linenumber::bigint as line, l_suppkey as k, ceil(({D('l_quantity')} * 25 - l_suppkey % 720) / 720) * 720 + l_suppkey % 720 as at from lineitem")
@@ -419,12 +408,6 @@ def scenario_use(t):
     return tidy(costs.scenario_use(t.supplier.select(line, k.alias("from"), (k + 1).alias("to"), (k * 7 % 200).alias("offset_min")), trips))
 
 
-@query("copied_use", "with p as (select seq, stop, minute * 60 + 1800 as s from calls where trip = 8), l as (select stop as f, lead(stop) over (order by day, seq) as g, s from (select day, seq, stop, minute * 60 + 1800 as s from calls where trip = 8)) select f as \"from\", g as \"to\", cast(floor(s / 3600) % 24 as bigint) as hour, count(*) as trains from l where g is not null and f <> g group by all", "calls")
-def copied_use(t):
-    c = t.calls.withColumn("o", F.unix_micros(F.col("ts").cast("timestamp"))).select("trip", "o", F.col("stop").alias("tpl"), (F.col("minute") * 60).alias("dep_s"))
-    return tidy(costs.copied_use(c, "trip", "o", "tpl", "dep_s", 8, 1800))
-
-
 @query("latest_per_bucket", "select user_id as vehicle_ref, time_bucket(interval 30 minute, ts) as bucket, max_by(event_id, ts) as event_id from events group by all")
 def latest_per_bucket(t):
     from tramline.streaming.vehicles import latest_per_bucket as op
@@ -433,25 +416,13 @@ def latest_per_bucket(t):
     return op(rows, 1800).select("vehicle_ref", F.col("bucket.start").cast("timestamp_ntz").alias("bucket"), "event_id")
 
 
-@query("registry_upsert", "select s_suppkey as feed, case when s_suppkey % 3 = 0 then 'new' else s_name end as digest from supplier where s_suppkey < 50 union all select s_suppkey, 'new' from supplier where s_suppkey >= 50 and s_suppkey % 3 = 0")
+@query("registry_upsert", "select s_suppkey as feed, case when s_suppkey % 3 = 0 then 'new' else s_name end as digest from supplier where s_acctbal >= 2000 union all select s_suppkey, 'new' from supplier where s_acctbal < 2000 and s_suppkey % 3 = 0")
 def registry_upsert(t):
     s = t.supplier.select(F.col("s_suppkey").alias("feed"), F.col("s_name").alias("digest"))
-    return registry.upsert(s.filter("feed < 50"), s.filter("feed % 3 = 0").withColumn("digest", F.lit("new")), "feed")
+    return registry.upsert(t.supplier.filter("s_acctbal >= 2000").select(F.col("s_suppkey").alias("feed"), F.col("s_name").alias("digest")), s.filter("feed % 3 = 0").withColumn("digest", F.lit("new")), "feed")
 
 
 @query("registry_drift", "select s_suppkey as feed, s_name as digest from supplier where s_suppkey % 3 = 0")
 def registry_drift(t):
     s = t.supplier.select(F.col("s_suppkey").alias("feed"), F.col("s_name").alias("digest"))
     return registry.drifted(s, s.filter("feed % 3 = 0").withColumn("digest", F.lit("new")), "feed", "digest")
-
-
-@query("price_rebase", f"select {D(1.5)} / {D(1.2)} as later, {D(110)} / {D(100)} * pow({D(1.02)}, 2) * {D(1.5)} / {D(1.0)} as earlier")
-def price_rebase(t):
-    index, deflator = {2015: 1.0, 2020: 1.2, 2023: 1.5}, {2013: 100.0, 2015: 110.0}
-    return t.spark.createDataFrame([(costs.rebase(2020, 2023, index), costs.rebase(2013, 2023, index, deflator, 0.02))], "later double, earlier double")
-
-
-@query("capital_lines", "select * from (values ('way_tunnel', cast(1.5 as double)), ('tunnel_km', cast(1.5 as double)), ('tunnel_machines', cast(2 as double)), ('tunnel_portals', cast(1 as double)), ('station_surface', cast(3 as double)), ('vehicle_tram', cast(8 as double)), ('depot_tram', cast(1 as double))) v(item, qty)")
-def capital_lines(t):
-    lines = costs.capital_lines({"way_m": {"tunnel": 1500, "elevated": 0}, "tunnel_runs": [{"km": 1.5, "portals": 1}], "stations": {"surface": 3}, "vehicles": {"tram": 8}})
-    return t.spark.createDataFrame([(x["item"], float(x["qty"])) for x in lines], "item string, qty double")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tramline.config import PERIODS
 from tramline.operators import congestion as op
+from tramline.operators import roads
 from tramline.plans.registry import query
 from tramline.plans.tidy import tidy
 
@@ -139,11 +140,11 @@ def corridors(t):
 
 @query("road_class_propagate", """
 with e as (select id % 5 as ref, id as u, id + 5 as v, id % 7 * 10 + cast(10 as double) as m from zones), n as (select ref, u as node from e union select ref, v from e),
-  p as (select n.ref, node, coalesce(sum(m), 0) as at from n left join e on e.ref = n.ref and e.u < n.node group by all), s as (select id % 5 as ref, id as node, case when id < 30 then 'A' else 'B' end as cls from zones where id % 30 < 5),
+  p as (select n.ref, node, coalesce(sum(m), 0) as at from n left join e on e.ref = n.ref and e.u < n.node group by all), s as (select s_suppkey % 5 as ref, s_suppkey as node, case when s_acctbal > 6000 then 'A' else 'B' end as cls from supplier where s_acctbal > 3000),
   d as (select p.ref, p.node, abs(p.at - q.at) as dist, s.cls, row_number() over (partition by p.ref, p.node order by abs(p.at - q.at), s.node) as k from p join s on s.ref = p.ref join p q on q.ref = s.ref and q.node = s.node)
-select cast(ref as varchar) as ref, node, dist as dist_m, cls from d where k = 1
+select cast(p.ref as varchar) as ref, p.node, dist as dist_m, cls from p left join d on d.ref = p.ref and d.node = p.node and k = 1
 """, "zones")
 def road_class_propagate(t):
     e = t.zones.select((F.col("id") % 5).cast("string").alias("ref"), F.col("id").alias("u"), (F.col("id") + 5).alias("v"), (F.col("id") % 7 * 10 + 10.0).alias("length_m"))
-    s = t.zones.filter("id % 30 < 5").select((F.col("id") % 5).cast("string").alias("ref"), F.col("id").alias("node"), F.when(F.col("id") < 30, "A").otherwise("B").alias("cls"))
-    return op.propagate_class(e, s)
+    s = t.supplier.filter("s_acctbal > 3000").select((F.col("s_suppkey") % 5).cast("string").alias("ref"), F.col("s_suppkey").alias("node"), F.when(F.col("s_acctbal") > 6000, "A").otherwise("B").alias("cls"))
+    return roads.propagate_class(e, s)

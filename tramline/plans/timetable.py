@@ -233,26 +233,6 @@ def extend_trips(t):
     return tidy(out.select("trip", F.col("day").cast("string").alias("day"), "seq", "stop", "arr", "dep"))
 
 
-@query("retime_nearest", """
-with tp as (select stop, minute as t0, min(trip) as trip from calls where trip % 2 = 0 group by all), w as (select distinct stop, cast(h * 60 as double) as want from calls, range(24) r(h)),
-  j as (select w.stop, want, trip, t0, row_number() over (partition by w.stop, want order by abs(t0 - want), t0) as k from w join tp using (stop))
-select stop, want, trip::bigint as template, round(want - t0, 6) as shift from j where k = 1
-""", "calls")
-def retime_nearest(t):
-    wanted = t.calls.select("stop").distinct().withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(23)))).select("stop", (F.col("h") * 60.0).alias("want"))
-    return tidy(op.retime_nearest(wanted, t.calls.filter("trip % 2 = 0"), ["stop"], "want", "minute", "trip"))
-
-
-@query("fill_span", """
-with s as (select distinct stop, cast(floor(minute / 30) * 30 as double) as start from calls where minute between 420 and 1100 and trip < 20), d as (select stop, start, start - lag(start) over (partition by stop order by start) as h from s),
-  g as (select stop, min(start) as f, max(start) as l, quantile_cont(h, 0.5) as hw from d group by stop)
-select stop, round(f - i * hw, 6) as start from g, range(1, 200) r(i) where hw > 0 and i <= floor((f - 300) / hw + 1e-9) union all select stop, round(l + i * hw, 6) from g, range(1, 200) r(i) where hw > 0 and i <= ceil((1380 - l) / hw - 1e-9) - 1
-""", "calls")
-def fill_span(t):
-    s = t.calls.filter("minute between 420 and 1100 and trip < 20").select("stop", (F.floor(F.col("minute") / 30) * 30.0).alias("start")).distinct()
-    return tidy(op.fill_span(s, ["stop"], "start", 300.0, 1380.0))
-
-
 @query("working_times", f"with {_TIMED}, l as (select stop, dep, lead(stop) over (partition by trip, day order by seq) as nxt, lead(arr) over (partition by trip, day order by seq) as na from timed) select stop as \"from\", nxt as \"to\", round(quantile_cont(na - dep, 0.5), 6) as run, count(*) as n from l where nxt is not null group by all", "calls")
 def working_times(t):
     rows = _timed(t).withColumn("operator", F.col("trip") % 4)
