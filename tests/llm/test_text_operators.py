@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
@@ -104,6 +105,47 @@ def test_words_built_to_collide_stay_apart(spark):
     assert g[0] == g[2] != g[1]
 
 
+# Two words built so that sums of a value for each byte and place agree.
+SUMMED = (
+    "aaaaabaaaababbbaaabbaaaabaababbbaabbababaaaabaabbabaabbaaaaaaaaabbaaaabbbbbbaabbbabbbbabaabaabbaaabaabbbabbbaaabbaabbaaabaabbbaabbabaaabbabbbaaabbabaaaabbabababababaaaababababaabaaabbaabaaabaaababbaaba",
+    "aaabbbaaabaaabababaabbabbbaaaabaaaaabababaaababbabbaababaaaabbbbbaababbbbbaababbabaaaabaaababababbabbaababbbbbabbbbbbbaabbbaabbaabbabaaabaabbbbabbbbbbbbbbabbaaababbbbaaabbbbabbaabababbbbabaabb",
+)
+
+
+def test_words_with_equal_sums_stay_apart(spark):
+    """Documents of such words share nothing: no class, no link, and every shingle counts."""
+    a, b = SUMMED
+    rows = [(1, a), (2, b), (3, f"{a} {b} {b} {a}"), (4, f"{b} {a} {b} {a}"), (5, f"{a} {a}"), (6, f"{b} {b}"), (7, a)]
+    for k in (2, 5):
+        got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k).toPandas()
+        assert sorted(zip(got.doc_id, got.n_shingles, got.component_id)) == sorted(brute_components(rows, k))
+
+
+def test_digests_tell_sets_word_by_word(monkeypatch):
+    """Equal digests where the sets of words are equal and only there, whatever is laid out at once; counts are those of the sets."""
+    r = np.random.default_rng(8)
+    pool = ["a", "bb", "Ab", "\t", "longwordlongword1", "longwordlongword2", "x" * 8, "x" * 9, "ß"]
+    texts = [" ".join(pool[i] for i in r.integers(0, len(pool), r.integers(0, 25))) for _ in range(400)] + [None, "", " \n"]
+    monkeypatch.setattr(textops, "LAID_OUT", 150)
+    for k in (1, 2, 5):
+        sets, digests = {}, {}
+        for i, j, buf, offs in textops.slices(pa.array(texts + texts[:50]), 3000):
+            _, edge, made = textops.set_digests(buf, offs, k, 99)
+            for q in range(i, j):
+                s = frozenset(shingles((texts + texts[:50])[q], k))
+                assert edge[q - i + 1] - edge[q - i] == len(s)
+                assert sets.setdefault(made[q - i], s) == s and digests.setdefault(s, made[q - i]) == made[q - i]
+
+
+def test_word_hashes_depend_on_key_length_and_every_byte():
+    words = [b"", b"a", b"a\0", b"aaaaaaaa", b"aaaaaaaab", b"aaaaaaab", b"baaaaaaa", *(w.encode() for w in SUMMED)]
+    buf, ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(w) for w in words])
+    h = [textops.word_hashes(buf, ends - [len(w) for w in words], ends, key) for key in (1, 2)]
+    assert len({*h[0].tolist(), *h[1].tolist()}) == 2 * len(words)
+    again = np.concatenate([np.frombuffer(b"zz", np.uint8), buf])
+    assert (textops.word_hashes(again, ends - [len(w) for w in words] + 2, ends + 2, 1) == h[0]).all()
+
+
 def test_links_are_confirmed_on_words():
     a, b = "a b c d e f", "A b\tc d e x"
     assert minhash_dedup.word_shingles(b, 2) == {(b"a", b"b"), (b"b", b"c"), (b"c", b"d"), (b"d", b"e"), (b"e", b"x")}

@@ -12,6 +12,7 @@ The n-gram space is worked off in WAVES parts by hash, one after the other: the
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ BATCH_BYTES, WAVES = 3 << 20, 5
 ORDER, ALPHA = 3, 0.4
 
 
-def grams(table: pa.Table, order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+def grams(table: pa.Table, order: int, key: int = 0) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """Words of all rows: row of each; for m = 1 to order the hash of the m words that end at each (0 where the row has
     fewer before it); and how many words each row has."""
     hashes, rows = [], []
@@ -36,7 +37,7 @@ def grams(table: pa.Table, order: int) -> tuple[np.ndarray, list[np.ndarray], np
         for i, _, buf, offs in slices(chunk, SLICE):
             low = lower_ascii(buf)
             s, e, r = words(low, offs)
-            hashes.append(word_hashes(low, s, e))
+            hashes.append(word_hashes(low, s, e, key))
             rows.append(r + at + i)
         at += len(chunk)
     h = np.concatenate([np.zeros(0, U64), *hashes])
@@ -113,13 +114,13 @@ def _of_wave(u: np.ndarray, wave: int, waves: int) -> np.ndarray:
     return (u >> U64(32)) % U64(waves) == wave
 
 
-def _exploded(order: int, wave: int, waves: int):
+def _exploded(order: int, wave: int, waves: int, key: int):
     """batch, docs -> gram, who, n: the batch's distinct n-grams of the wave."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for number, docs in zip(b.column("batch").to_pylist(), b.column("docs"), strict=True):
-                _, by_order, _ = grams(_unbundled(docs), order)
+                _, by_order, _ = grams(_unbundled(docs), order, key)
                 every = np.concatenate([np.full(len(by_order[0]), 1, U64), *by_order])  # the empty gram occurs once a word
                 u, n = np.unique(every[(every != 0) & _of_wave(every, wave, waves)], return_counts=True)
                 del every
@@ -160,12 +161,12 @@ def _told(wave: int):
     return run
 
 
-def _scored(order: int, alpha: float, waves: int):
+def _scored(order: int, alpha: float, waves: int, key: int):
     """A batch's documents and what others hold of its n-grams -> doc_id, n_words, log10."""
 
-    def run(key: tuple[pa.Scalar, ...], bundle: pa.Table, told: pa.Table) -> pa.Table:
+    def run(_: tuple[pa.Scalar, ...], bundle: pa.Table, told: pa.Table) -> pa.Table:
         docs = _unbundled(bundle.column("docs")[0])
-        row, by_order, size = grams(docs, order)
+        row, by_order, size = grams(docs, order, key)
         u, total, places = distinct(by_order)
         own = [np.flatnonzero(_of_wave(u, w, waves)) for w in range(waves)]
         for w, at, n in zip(told.column("wave").to_pylist(), told.column("places"), told.column("others"), strict=True):
@@ -204,9 +205,9 @@ def counted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return dealt, dealt.groupBy("gram").agg(F.sum("n").alias("total"), F.count("who").alias("batches"))
 
 
-def _one_wave(held: DataFrame, told: Table, order: int, wave: int, waves: int) -> None:
+def _one_wave(held: DataFrame, told: Table, order: int, wave: int, waves: int, key: int) -> None:
     """What each batch learns of its n-grams in one part of the n-gram space."""
-    rows, counts = counted(held.mapInArrow(given_back(_exploded(order, wave, waves)), "gram long, who long, n long"))
+    rows, counts = counted(held.mapInArrow(given_back(_exploded(order, wave, waves, key)), "gram long, who long, n long"))
     # The count table's side is the smaller one by far: it is hashed, and the n-grams stream past it unsorted.
     shared = counts.filter("batches > 1").select("gram", "total").hint("shuffle_hash")
     met = rows.join(shared, "gram").select("who", (F.col("total") - F.col("n")).alias("others"))
@@ -221,7 +222,7 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, waves: int
     scores alpha / (their words + 1). Null text: no words. Every row is a document, repeated ones too, and other rows with
     the same text do count. An empty table gives an empty table; further columns are ignored.
     """
-    spark = docs.sparkSession
+    spark, key = docs.sparkSession, int.from_bytes(os.urandom(8), "little")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # By place in the table, so that rows that repeat are dealt out like any others; written at once, so the deal stands.
@@ -230,9 +231,9 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, waves: int
     release(spark)
     told = Table(spark, "counts", "batch long, wave int, places binary, others binary")
     for wave in range(waves):
-        _one_wave(held, told, order, wave, waves)
+        _one_wave(held, told, order, wave, waves, key)
         release(spark)
-    out = held.groupBy("batch").cogroup(told.read().groupBy("batch")).applyInArrow(_scored(order, alpha, waves), "doc_id long, n_words long, log10 double")
+    out = held.groupBy("batch").cogroup(told.read().groupBy("batch")).applyInArrow(_scored(order, alpha, waves, key), "doc_id long, n_words long, log10 double")
     out = written(out, "scores")
     forget(held)
     told.forget()

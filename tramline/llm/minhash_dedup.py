@@ -1,7 +1,7 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
-Documents with equal shingle sets form a class; classes are compared, so copies cost nothing. A class has a signature of
-BANDS x ROWS minima; classes that agree on a whole band meet in that band's bucket. With 32 bands of 4 rows a pair of
+Documents with equal shingle sets form a class, told by the SHA-256 of all the set's words; classes are compared, so copies
+cost nothing. Shingles are hashed under a key drawn for each run. A class has a signature of BANDS x ROWS minima; classes that agree on a whole band meet in that band's bucket. With 32 bands of 4 rows a pair of
 similarity 0.8 misses every bucket with probability (1 - 0.8**4)**32 = 5e-8.
 
 A candidate pair's signatures are compared in batches of 16. After each batch the posterior of the similarity (uniform
@@ -17,6 +17,7 @@ bucket pair is so compared, or is already connected.
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tramline.llm.textops import MULT, U64, given_back, mix64, shingle_sets, slices
+from tramline.llm.textops import MULT, U64, given_back, mix64, set_digests, shingle_sets, slices
 from tramline.operators.components import components
 from tramline.session import forget, fresh, written
 
@@ -51,17 +52,6 @@ def _signatures(vals: np.ndarray, edge: np.ndarray) -> np.ndarray:
     return out
 
 
-def _digest(vals: np.ndarray, edge: np.ndarray) -> np.ndarray:
-    """16 bytes for each set: the sums of two hashes of its members, with its size."""
-    n = np.diff(edge)
-    out = np.zeros((len(n), 2), U64)
-    full = np.flatnonzero(n)
-    if len(full):
-        for j, salt in enumerate((11, 12)):
-            out[full, j] = mix64(np.add.reduceat(mix64(vals + U64(salt * MULT & 0xFFFFFFFFFFFFFFFF)), edge[:-1][full]) + n[full].astype(U64))
-    return out
-
-
 def _binary(a: np.ndarray) -> pa.Array:
     """A binary value for each row of a 2-d array."""
     a = np.ascontiguousarray(a)
@@ -70,35 +60,35 @@ def _binary(a: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(offs), pa.py_buffer(a)])
 
 
-def _signed(k: int):
-    """doc_id, th, text -> doc_id, th, n_shingles, cls (digest), sig."""
+def _signed(k: int, key: int):
+    """doc_id, th, text -> doc_id, th, n_shingles, cls (digest of the set's words), sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, buf, offs in slices(b.column("text")):
-                vals, edge = shingle_sets(buf, offs, k)
-                cols = [b.column("doc_id").slice(i, j - i), b.column("th").slice(i, j - i), pa.array(np.diff(edge)), _binary(_digest(vals, edge)), _binary(_signatures(vals, edge))]
+                vals, edge, digests = set_digests(buf, offs, k, key)
+                cols = [b.column("doc_id").slice(i, j - i), b.column("th").slice(i, j - i), pa.array(np.diff(edge)), pa.array(digests, pa.binary()), _binary(_signatures(vals, edge))]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "n_shingles", "cls", "sig"])
 
     return run
 
 
-def _classed(k: int):
-    """text -> cls (digest), text."""
+def _classed(k: int, key: int):
+    """text -> cls (digest of the set's words), text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, buf, offs in slices(b.column("text")):
-                vals, edge = shingle_sets(buf, offs, k)
-                yield pa.RecordBatch.from_arrays([_binary(_digest(vals, edge)), b.column("text").slice(i, j - i).cast(pa.string())], names=["cls", "text"])
+                digests = set_digests(buf, offs, k, key)[2]
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), b.column("text").slice(i, j - i).cast(pa.string())], names=["cls", "text"])
 
     return run
 
 
-def _hash_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
+def _hash_sets(texts: pa.Array, k: int, key: int) -> Iterator[np.ndarray]:
     """The sorted shingle hashes of each text."""
     for _, _, buf, offs in slices(texts):
-        vals, edge = shingle_sets(buf, offs, k)
+        vals, edge = shingle_sets(buf, offs, k, key)
         yield from (vals[x:y] for x, y in zip(edge, edge[1:], strict=False))
 
 
@@ -179,13 +169,13 @@ def _pruned(need: list[int]):
     return run
 
 
-def _verified(k: int, percent: int):
+def _verified(k: int, percent: int, key: int):
     """a, b, text_a, text_b -> a, b: pairs with 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
-            for i, (x, y) in enumerate(zip(_hash_sets(b.column("text_a"), k), _hash_sets(b.column("text_b"), k), strict=True)):
+            for i, (x, y) in enumerate(zip(_hash_sets(b.column("text_a"), k, key), _hash_sets(b.column("text_b"), k, key), strict=True)):
                 # Sets of too different sizes can't reach the threshold.
                 if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) and _similar(x, y, percent) and confirmed(b.column("text_a")[i].as_py(), b.column("text_b")[i].as_py(), k, percent):
                     keep.append(i)
@@ -255,12 +245,12 @@ def _concerned(need: list[int]):
     return run
 
 
-def _linked(need: list[int], k: int, percent: int):
+def _linked(need: list[int], k: int, percent: int, key: int):
     """Blocks with texts -> a, b: links between components, one of those that join the same two within a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, (nid, comp, side, sig, texts) in _blocks(batches, ["nid", "comp", "side", "sig", "text"]):
-            sets = list(_hash_sets(pa.array(texts, pa.large_string()), k))
+        for block, (nid, comp, side, sig, texts) in _blocks(batches, ["nid", "comp", "side", "sig", "text"]):
+            sets = list(_hash_sets(pa.array(texts, pa.large_string()), k, key))
             up: dict[int, int] = {}
 
             def root(c: int) -> int:
@@ -270,7 +260,7 @@ def _linked(need: list[int], k: int, percent: int):
                 return c
 
             size, out = np.array([len(x) for x in sets]), []
-            for x, y in _left_open(key[0], comp, side, sig, need):
+            for x, y in _left_open(block[0], comp, side, sig, need):
                 ok = 100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])
                 for i, j in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
                     a, b = root(int(comp[i])), root(int(comp[j]))
@@ -290,11 +280,11 @@ def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _texts_of(ids: DataFrame, docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+def _texts_of(ids: DataFrame, docs: DataFrame, classes: DataFrame, k: int, key: int) -> DataFrame:
     """(nid, text) for the classes asked for (nid): the text of one document of each."""
     asked = classes.join(ids, "nid", "left_semi").select("nid", "cls", F.col("id").alias("w_id"))
     texts = docs.join(asked.select("w_id").distinct(), F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi").select("text")
-    found = texts.mapInArrow(given_back(_classed(k)), "cls binary, text string").join(asked.select("nid", "cls"), "cls")
+    found = texts.mapInArrow(given_back(_classed(k, key)), "cls binary, text string").join(asked.select("nid", "cls"), "cls")
     return written(found.groupBy("nid").agg(F.min("text").alias("text")), "texts")
 
 
@@ -309,8 +299,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     kept, only where no member has an id. An empty table gives an empty table; further columns are ignored.
     """
     need = needed_matches(percent / 100)
+    key = int.from_bytes(os.urandom(8), "little")
     docs = docs.select("doc_id", "text")
-    signed = written(docs.withColumn("th", F.xxhash64("text")).mapInArrow(given_back(_signed(k)), "doc_id long, th long, n_shingles long, cls binary, sig binary"), "signed")
+    signed = written(docs.withColumn("th", F.xxhash64("text")).mapInArrow(given_back(_signed(k, key)), "doc_id long, th long, n_shingles long, cls binary, sig binary"), "signed")
     # The signature is the same for all rows of a class. Numbered once written, so the numbers stay.
     own = signed.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"))
     classes = written(own.withColumn("nid", F.monotonically_increasing_id()), "classes")
@@ -329,9 +320,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     star = written(with_sigs(star).mapInArrow(given_back(_pruned(need)), "a long, b long"), "pairs")
 
     def confirmed_links(pairs: DataFrame) -> DataFrame:
-        texts = _texts_of(pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).distinct(), docs, classes, k)
+        texts = _texts_of(pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).distinct(), docs, classes, k, key)
         both = pairs.join(texts.select(F.col("nid").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("nid").alias("b"), F.col("text").alias("text_b")), "b")
-        out = written(both.select("a", "b", "text_a", "text_b").mapInArrow(given_back(_verified(k, percent)), "a long, b long"), "links")
+        out = written(both.select("a", "b", "text_a", "text_b").mapInArrow(given_back(_verified(k, percent, key)), "a long, b long"), "links")
         forget(texts)
         return out
 
@@ -362,9 +353,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # First the rows in question, by signatures; their texts then go to the blocks, and only links come out.
     open_ = written(dealt(blocks.select(*cols, "sig")).mapInArrow(given_back(_concerned(need)), "bucket long, u int, v int, nid long, comp long, side int"), "open")
     forget(left, met)
-    texts = _texts_of(open_.select("nid").distinct(), docs, classes, k)
+    texts = _texts_of(open_.select("nid").distinct(), docs, classes, k, key)
     full = open_.join(sig, "nid").join(texts, "nid").select(*cols, "sig", "text")
-    found = written(dealt(full).mapInArrow(given_back(_linked(need, k, percent)), "a long, b long"), "links")
+    found = written(dealt(full).mapInArrow(given_back(_linked(need, k, percent, key)), "a long, b long"), "links")
     forget(open_, texts)
     # Components of components: the second links join what the first left apart.
     lab = lambda c: first.select(F.col("id").alias(c), F.col("component").alias(f"{c}_c"))

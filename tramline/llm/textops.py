@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,19 +99,28 @@ def guard(buf: np.ndarray):
     return lambda starts, ends: (c[ends] - c[starts]) % U64(P31) * down[starts] % U64(P31)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words (disjoint ranges, in order): sums of a random value for each byte and place in the word.
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = 0) -> np.ndarray:
+    """64-bit hashes of the words (ranges of bytes): a state from the key and the length takes in eight bytes at a time and is mixed after each.
 
-    No structure of the words (Thue-Morse ones, say, which polynomials modulo a power of two confuse) favours a collision.
+    Not linear in anything, so no sums of bytes or places can be solved for; words that collide can't be built beforehand
+    for a key that is drawn at the time.
     """
+    size = ends - starts
+    h = mix64(size.astype(U64) * U64(MULT) + U64(key & 0xFFFFFFFFFFFFFFFF))
     if not len(starts):
-        return np.zeros(0, U64)
-    own = np.zeros(len(buf), np.int64)
-    own[starts] = starts
-    place = (np.arange(len(buf)) - np.maximum.accumulate(own)).astype(U64)
-    c = np.zeros(len(buf) + 1, U64)
-    np.cumsum(mix64(((place << U64(8)) | buf) * U64(MULT) + U64(BASE)), out=c[1:])
-    return mix64(c[ends] - c[starts] + (ends - starts).astype(U64) * U64(MULT))
+        return h
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    blocks = np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    at, left = starts.copy(), size.copy()
+    going = np.arange(len(starts))
+    while len(going):
+        part = blocks[at]
+        short = left < 8
+        part[short] &= (U64(1) << (left[short].astype(U64) * U64(8))) - U64(1)
+        h[going] = mix64((h[going] ^ part) * U64(MULT) + U64(BASE))
+        on = left > 8
+        going, at, left = going[on], at[on] + 8, left[on] - 8
+    return h
 
 
 def slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -158,17 +168,13 @@ def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(offs, starts, "right") - 1
 
 
-def shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct k-word shingles of each row as sorted 64-bit hashes, one row after the other, and where each row's begin.
-
-    A row with 1 to k - 1 words has its whole sequence as its one shingle; a row without words has none. A-Z are lower-cased.
-    """
+def _shingled(buf: np.ndarray, offs: np.ndarray, k: int, key: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, edges, first word, words, starts, ends): each row's distinct shingles by their hash, with the words that the first of each is made of. `buf` has A-Z in lower case."""
     n = len(offs) - 1
-    buf = lower_ascii(buf)
     starts, ends, row = words(buf, offs)
-    h = word_hashes(buf, starts, ends)
+    h = word_hashes(buf, starts, ends, key)
     count = np.bincount(row, minlength=n)
-    vals, rows = [], []
+    vals, rows, first, many = [], [], [], []
     for m in range(1, k + 1):  # m words make a shingle: k, or fewer where the row has no more
         if len(h) < m:
             break
@@ -181,15 +187,57 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray,
             s = mix64(s * U64(MULT) + h[at + j])
         vals.append(s)
         rows.append(row[at])
+        first.append(at)
+        many.append(np.full(len(at), m))
     if not vals:
-        return np.zeros(0, U64), np.zeros(n + 1, np.int64)
-    v, r = np.concatenate(vals), np.concatenate(rows)
-    if len(vals) > 1:
-        o = np.argsort(r, kind="stable")
-        v, r = v[o], r[o]
-    edge = np.searchsorted(r, np.arange(n + 1))
-    for i in np.flatnonzero(np.diff(edge) > 1):
-        v[edge[i] : edge[i + 1]].sort()
+        return np.zeros(0, U64), np.zeros(n + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), starts, ends
+    v, r, f, c = (np.concatenate(x) for x in (vals, rows, first, many))
+    o = np.argsort(v, kind="stable")
+    o = o[np.argsort(r[o], kind="stable")]
+    v, r, f, c = v[o], r[o], f[o], c[o]
     new = np.ones(len(v), bool)
     new[1:] = (v[1:] != v[:-1]) | (r[1:] != r[:-1])
-    return v[new], np.searchsorted(r[new], np.arange(n + 1))
+    return v[new], np.searchsorted(r[new], np.arange(n + 1)), f[new], c[new], starts, ends
+
+
+def shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int, key: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct k-word shingles of each row as sorted 64-bit hashes, one row after the other, and where each row's begin.
+
+    A row with 1 to k - 1 words has its whole sequence as its one shingle; a row without words has none. A-Z are lower-cased.
+    """
+    return _shingled(lower_ascii(buf), offs, k, key)[:2]
+
+
+#: Bytes of shingles' words that are laid out at once.
+LAID_OUT = 1 << 20
+
+
+def set_digests(buf: np.ndarray, offs: np.ndarray, k: int, key: int = 0) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """What `shingle_sets` gives, and for each row the SHA-256 of its distinct shingles' words, in the order of their hashes: rows of equal digest have equal sets, word by word."""
+    buf = lower_ascii(buf)
+    vals, edge, first, many, starts, ends = _shingled(buf, offs, k, key)
+    made = [hashlib.sha256() for _ in range(len(edge) - 1)]
+    # Every word of every shingle, and the byte after it: a space, or a line feed after a shingle's last.
+    total = np.concatenate([[0], np.cumsum(many)])
+    size = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts + 1, out=size[1:])
+    upto = np.concatenate([[0], np.cumsum(size[first + many] - size[first])]) if len(first) else np.zeros(1, np.int64)
+    s = 0
+    while s < len(first):
+        e = max(s + 1, int(np.searchsorted(upto, upto[s] + LAID_OUT, "right")) - 1)
+        n = total[e] - total[s]
+        word = np.arange(n) - np.repeat(total[s:e] - total[s], many[s:e]) + np.repeat(first[s:e], many[s:e])
+        long = ends[word] - starts[word] + 1
+        begin = np.cumsum(long) - long
+        src = np.arange(int(long.sum())) + np.repeat(starts[word] - begin, long)
+        out = buf[np.minimum(src, len(buf) - 1)]
+        stop = begin + long - 1
+        out[stop] = 0x20
+        out[stop[total[s + 1 : e + 1] - total[s] - 1]] = 0x0A
+        data = out.tobytes()
+        for row in range(int(np.searchsorted(edge, s, "right")) - 1, int(np.searchsorted(edge, e, "left"))):
+            a, b = max(int(edge[row]), s), min(int(edge[row + 1]), e)
+            if a < b:
+                made[row].update(data[upto[a] - upto[s] : upto[b] - upto[s]])
+        s = e
+    return vals, edge, [m.digest() if edge[i] < edge[i + 1] else b"" for i, m in enumerate(made)]
