@@ -144,7 +144,7 @@ def test_timetable_points_and_calls(spark, tmp_path):
     xml = """<P><Journey rid="1" ssd="2024-01-01" toc="X"><OR tpl="A" wtd="23:50" ptd="23:50"/><PP tpl="J" wtp="23:58:30"/><IP tpl="B" wta="00:05" wtd="00:06" pta="00:05" ptd="00:06"/><DT tpl="C" wta="00:20" pta="00:20"/></Journey>
     <Journey rid="2" can="true"><OR tpl="A" wtd="10:00" ptd="10:00"/><DT tpl="B" wta="10:10" pta="10:10"/></Journey></P>"""
     (tmp_path / "t.xml").write_text(xml)
-    pts = documents.read_timing_points(spark.read.format("binaryFile").load(str(tmp_path / "t.xml")))
+    pts = documents.read_timing_points(spark, str(tmp_path / "t.xml"))
     got = {(r.rid, r.tpl): r for r in pts.collect()}
     assert got["1", "B"].arr_s == 86_400 + 300 and got["1", "C"].pta_min == 1460 and got["2", "A"].exclusion == "cancelled_journey" and got["1", "J"].dep_s == 23 * 3600 + 58 * 60 + 30
     places = spark.createDataFrame([("A", "AAA", 0.0, 0.0), ("B", "BBB", 0.1, 0.1), ("C", "CCC", 9.0, 9.0)], "tpl string, crs string, lon double, lat double")
@@ -169,7 +169,7 @@ def test_governor_halts_and_slows():
     assert g.halted == "failures in a row" and g.wait(3, retry_after=30) == 30
 
 
-CAT = scenario.Catalogue({"R": ["a", "b", "c"]}, {"a": (0.0, 51.0), "b": (0.01, 51.0), "c": (0.02, 51.0)}, {("P", "Q")})
+CAT = scenario.Catalogue.of({"R": ["a", "b", "c"]}, {"a": (0.0, 51.0), "b": (0.01, 51.0), "c": (0.02, 51.0)}, {("P", "Q")})
 LINE = {"route_id": "N", "name": "n", "mode": "tram", "alignment": [{"type": "at_grade_street", "line": [[0.0, 51.0], [0.02, 51.0]]}], "stops": [{"stop_id": "a", "lon": 0.0, "lat": 51.0, "existing": True}, {"stop_id": "n", "lon": 0.01, "lat": 51.0001}], "headways_min": {"AM": 15}, "span": "07:00-10:00", "speed_profile": {"max_kmh": 50, "accel_ms2": 1.0, "dwell_s": 20}}
 
 
@@ -221,7 +221,7 @@ def test_a_replacement_keeps_the_phase_that_its_headway_divides(spark):
 
 
 def test_one_op_over_several_routes_is_one_each():
-    cat = scenario.Catalogue({"R": ["a", "b"], "S": ["a", "b"]}, CAT.stops)
+    cat = scenario.Catalogue.of({"R": ["a", "b"], "S": ["a", "b"]}, {k: p.at for k, p in CAT.places.items()})
     s, _ = scenario.load({"id": "S1", "parent": "B0", "description": "d", "ops": [{"modify_route": {"route_ids": ["R", "S"], "headways_min": {"AM": 10}}}]}, cat)
     assert [(k, b["route_id"]) for k, b in s.ops] == [("modify_route", "R"), ("modify_route", "S")]
     for doc, rule in (({"id": "S1", "description": "d"}, "required-field"), ({"id": "S1", "parent": None, "description": "d", "ops": [{"works": {}}]}, "parent"), ({"id": "s", "parent": None, "description": "d"}, "id")):

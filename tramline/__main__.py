@@ -31,7 +31,7 @@ def main(argv: list[str] | None = None) -> int:
         print(plans.SQL[a.query])
     elif a.command == "validate":
         c = json.loads(Path(a.catalogue).read_text())
-        cat = scenario.Catalogue(c["routes"], {k: tuple(v) for k, v in c["stops"].items()}, {tuple(s) for s in c.get("sections", [])})
+        cat = scenario.Catalogue.of(c["routes"], c["stops"], c.get("sections", []))
         try:
             s, _ = scenario.load(json.loads(Path(a.scenario).read_text()), cat)
         except scenario.ScenarioError as e:

@@ -65,8 +65,9 @@ def nearest(left: DataFrame, right: DataFrame, target: str, k: int = 1, at_left:
     spots = written(qualify(here, ["x", "y"], [F.asc("t")], k), "nearest-targets")
     n, west, east, south, north = spots.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     out = [*left.columns, "rank", target, "km"]
+    nothing = left.withColumns({"rank": F.lit(0), target: F.lit(None).cast(right.schema[target].dataType), "km": F.lit(0.0)}).filter("false").select(*out)
     if not n:
-        return left.withColumns({"rank": F.lit(0), target: F.lit(None).cast(right.schema[target].dataType), "km": F.lit(0.0)}).filter("false").select(*out)
+        return nothing
     # Wider by a part in a million, so the last target lies in the last cell.
     width, height = max((east - west) * (1 + 1e-6), 1e-9), max((north - south) * (1 + 1e-6), 1e-9)
     deepest = min(13, max(1, ceil(log(n, 16)) + DEEPER))
@@ -91,8 +92,10 @@ def nearest(left: DataFrame, right: DataFrame, target: str, k: int = 1, at_left:
     begun = written(points.join(start, q, "left").withColumn("first", F.coalesce("first", F.lit(0))), "nearest-starts")
 
     starts = {r[0] for r in begun.select("first").distinct().collect()}  # a row a level at most
+    if not starts:
+        return nothing
     open_ = None
-    for d in range(min(starts, default=finest), finest + 1):
+    for d in range(min(starts), finest + 1):
         reach = F.col("bound") * (1 + SLACK) / KM_PER_DEGREE + SLACK
         # Where the bound reaches in longitude: by the least cosine that a distance within it can have.
         least = F.cos(F.radians(F.least(F.abs(F.col(la)) + reach, F.lit(90.0)))) if not at_left else F.cos(F.radians(F.col(la)))

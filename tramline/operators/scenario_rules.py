@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 from typing import Any
 
 from tramline.functions.clock import parse_span
@@ -28,11 +28,14 @@ SPAN = r"([01]\d|2[0-3]):([0-5]\d)-(\d\d):([0-5]\d)"
 
 
 class ScenarioError(ValueError):
-    """A document broke a rule; `rule` names it."""
+    """A document broke a rule: its arguments are the rule's name and what is wrong."""
 
-    def __init__(self, rule: str, message: str):
-        super().__init__(f"[{rule}] {message}")
-        self.rule = rule
+    @property
+    def rule(self) -> str:
+        return self.args[0]
+
+    def __str__(self) -> str:
+        return "{0}: {1}".format(*self.args)
 
 
 def need(ok: Any, rule: str, message: str) -> None:
@@ -40,32 +43,76 @@ def need(ok: Any, rule: str, message: str) -> None:
         raise ScenarioError(rule, message)
 
 
-@dataclass
-class Catalogue:
-    """What a document may refer to: the network its parent leaves."""
+@dataclass(frozen=True)
+class Place:
+    """A stop: where it is, and the routes that call there."""
+
+    at: tuple[float, float]
+    routes: frozenset[str] = frozenset()
+
 
-    routes: dict[str, list[str]]
-    stops: dict[str, tuple[float, float]]
-    sections: set[tuple[str, str]] = field(default_factory=set)
-    periods: set[str] = field(default_factory=lambda: {"AM", "IP", "PM", "OP"})
+@dataclass(frozen=True)
+class Bounds:
+    """What a project allows: the names of its periods, its extent, the accelerations with a fitted allowance (none: any), and how far a stop may lie off its line."""
+
+    periods: frozenset[str] = frozenset({"AM", "IP", "PM", "OP"})
     extent: tuple[float, float, float, float] | None = None
     accelerations: tuple[float, ...] = ()
-    tolerance_m: float = 50.0
+    off_m: float = 50.0
+
 
-    def copy(self) -> Catalogue:
-        return replace(self, routes={k: list(v) for k, v in self.routes.items()}, stops=dict(self.stops), sections=set(self.sections))
+class Catalogue:
+    """What a document may refer to, the network its parent leaves: places by stop, names of routes, and pairs of timing points that rail runs between.
+
+    Ops leave a catalogue for the ops behind them by `put` and `drop`; a `branch` changes on its own.
+    """
+
+    def __init__(self, places: dict[str, Place], routes: set[str], rail: frozenset[frozenset[str]] = frozenset(), bounds: Bounds = Bounds()):
+        self.places, self.names, self.rail, self.bounds = places, routes, rail, bounds
+
+    @classmethod
+    def of(cls, routes: dict[str, list[str]], stops: dict[str, tuple[float, float]], sections: Any = (), bounds: Bounds = Bounds()) -> Catalogue:
+        """From stops by route and places by stop."""
+        made = cls({k: Place(tuple(at)) for k, at in stops.items()}, set(), frozenset(map(frozenset, sections)), bounds)
+        for route, called in routes.items():
+            made.put(route, called)
+        return made
+
+    def branch(self) -> Catalogue:
+        return Catalogue(dict(self.places), set(self.names), self.rail, self.bounds)
+
+    def knows(self, stop: Any) -> bool:
+        """Whether the stop is there, and it is known where."""
+        return stop in self.places and not math.isnan(self.places[stop].at[0])
+
+    def calls(self, route: str, stop: str) -> bool:
+        return stop in self.places and route in self.places[stop].routes
+
+    def put(self, route: str, stops: Any, where: dict[str, tuple[float, float]] | None = None) -> None:
+        """The route calls at the stops as well; `where` says where new ones are."""
+        self.names.add(route)
+        for stop in stops:
+            old = self.places.get(stop)
+            at = (where or {}).get(stop) or (old.at if old else (math.nan, math.nan))
+            self.places[stop] = Place(at, (old.routes if old else frozenset()) | {route})
+
+    def drop(self, route: str, stops: Any = None) -> None:
+        """The route no longer calls at the stops; without stops, it goes."""
+        for stop in list(self.places) if stops is None else stops:
+            if stop in self.places:
+                self.places[stop] = replace(self.places[stop], routes=self.places[stop].routes - {route})
+        if stops is None:
+            self.names.discard(route)
 
     def section(self, a: str, b: str) -> bool:
-        return (a, b) in self.sections or (b, a) in self.sections
+        return frozenset((a, b)) in self.rail
 
     def timing_point(self, p: Any) -> bool:
-        return any(p in s for s in self.sections)
+        return any(p in pair for pair in self.rail)
 
     def covers(self, points: list) -> bool:
-        if self.extent is None:
-            return True
-        w, s, e, n = self.extent
-        return all(w <= x <= e and s <= y <= n for x, y in points)
+        box = self.bounds.extent
+        return box is None or all(box[0] <= x <= box[2] and box[1] <= y <= box[3] for x, y in points)
 
 
 def metres(a: tuple[float, float], b: tuple[float, float]) -> float:
@@ -109,7 +156,7 @@ def span(v: Any, c: Catalogue) -> bool:
 
 
 def headways(v: Any, c: Catalogue) -> bool:
-    return isinstance(v, dict) and bool(v) and set(v) <= c.periods and all(number(m, above=0) for m in v.values())
+    return isinstance(v, dict) and bool(v) and set(v) <= c.bounds.periods and all(number(m, above=0) for m in v.values())
 
 
 def pairs(v: Any, c: Catalogue) -> bool:
@@ -163,14 +210,14 @@ VALUES: dict[str, list[tuple[str, Callable]]] = {
     "headways_min": [("headway", headways)],
     "span": [("span", span)],
     "fill_span": [("span", span)],
-    "periods": [("headway", lambda v, c: isinstance(v, list) and set(v) <= c.periods)],
+    "periods": [("headway", lambda v, c: isinstance(v, list) and set(v) <= c.bounds.periods)],
     "alignment": [("geometry", some)],
     "stops": [("stop-id", lambda v, c: isinstance(v, list) and len({s.get("stop_id") for s in v if isinstance(s, dict)}) == len(v))],
     "feature.line": [("geometry", lambda v, c: isinstance(v, list) and len(v) >= 2), ("outside-extent", lambda v, c: c.covers(v))],
     "feature.type": [("alignment-type", among(ALIGNMENT_TYPES))],
     "feature.timing_points": [("existing-rail-section", timing_points)],
     "speed_profile.max_kmh": [("speed-profile", positive)],
-    "speed_profile.accel_ms2": [("speed-profile", positive), ("acceleration", lambda v, c: not c.accelerations or any(math.isclose(v, a, abs_tol=1e-9) for a in c.accelerations))],
+    "speed_profile.accel_ms2": [("speed-profile", positive), ("acceleration", lambda v, c: not c.bounds.accelerations or any(math.isclose(v, a, abs_tol=1e-9) for a in c.bounds.accelerations))],
     "speed_profile.dwell_s": [("speed-profile", positive)],
     "vehicle.capacity": [("vehicle", lambda v, c: v is None or count(v, c))],
     "fare.type": [("fare", among(FARE_TYPES))],
@@ -191,7 +238,7 @@ VALUES: dict[str, list[tuple[str, Callable]]] = {
     "loops.at": [("works-point", lambda v, c: c.timing_point(v))],
     "junctions.at": [("works-point", lambda v, c: c.timing_point(v))],
     "junctions.type": [("works-kind", among(JUNCTION_TYPES))],
-    "platforms.at": [("works-point", lambda v, c: c.timing_point(v) or v in c.stops)],
+    "platforms.at": [("works-point", lambda v, c: c.timing_point(v) or c.knows(v))],
     "platforms.kind": [("works-kind", among(PLATFORM_KINDS))],
     "platforms.count": [("works-kind", count)],
 }
@@ -207,23 +254,23 @@ def built(b: dict) -> bool:
 
 
 def near(b: dict, c: Catalogue) -> bool:
-    return all(min(off_line((s["lon"], s["lat"]), f["line"]) for f in b["alignment"]) <= c.tolerance_m for s in b["stops"])
+    return all(min(off_line((s["lon"], s["lat"]), f["line"]) for f in b["alignment"]) <= c.bounds.off_m for s in b["stops"])
 
 
 def ends_at(b: dict, c: Catalogue) -> bool:
     ends = [tuple(b["alignment"][0]["line"][0]), tuple(b["alignment"][-1]["line"][-1])]
-    return all(min(metres(c.stops[b[k]], e) for e in ends) <= c.tolerance_m for k in ("from_stop", "to_stop"))
+    return all(min(metres(c.places[b[k]].at, e) for e in ends) <= c.bounds.off_m for k in ("from_stop", "to_stop"))
 
 
 def joined(b: dict, c: Catalogue) -> bool:
-    return all(metres(tuple(x["line"][-1]), tuple(y["line"][0])) <= c.tolerance_m for x, y in zip(b["alignment"], b["alignment"][1:], strict=False))
+    return all(metres(tuple(x["line"][-1]), tuple(y["line"][0])) <= c.bounds.off_m for x, y in zip(b["alignment"], b["alignment"][1:], strict=False))
 
 
-on_route = lambda key, route="route_id": ("stop-not-on-route", lambda b, c: b[key] in c.routes[b[route]])
-known_route = ("unknown-route", lambda b, c: b["route_id"] in c.routes)
+on_route = lambda key, route="route_id": ("stop-not-on-route", lambda b, c: c.calls(b[route], b[key]))
+known_route = ("unknown-route", lambda b, c: b["route_id"] in c.names)
 new_stretch = [
     ("stop-id", lambda b, c: len(b["stops"]) >= 2),
-    ("stop-id", lambda b, c: all(bool(s.get("existing")) == (s["stop_id"] in c.stops) for s in b["stops"])),
+    ("stop-id", lambda b, c: all(bool(s.get("existing")) == c.knows(s["stop_id"]) for s in b["stops"])),
     ("existing-rail-section", lambda b, c: all(f.get("timing_points") for f in b["alignment"] if f["type"] == "existing_rail")),
     ("stop-off-alignment", near),
     ("required-field", lambda b, c: b.get("speed_profile") is not None or not built(b)),
@@ -231,24 +278,24 @@ new_stretch = [
 changes = lambda *keys: ("empty-op", lambda b, c: any(k in b for k in keys))
 #: By record, after its values: (rule, test of mapping and catalogue). A dotted name is a part of an op, whose mapping also has the op's route_id.
 RELATIONS: dict[str, list[tuple[str, Callable]]] = {
-    "add_line": [("duplicate-route", lambda b, c: b["route_id"] not in c.routes), *new_stretch],
+    "add_line": [("duplicate-route", lambda b, c: b["route_id"] not in c.names), *new_stretch],
     "replace_route": [
         ("route-ids", lambda b, c: ("route_id" in b) != ("route_ids" in b)),
         ("route-ids", lambda b, c: isinstance(replaced(b), list) and len(set(replaced(b))) == len(replaced(b)) > 0),
-        ("unknown-route", lambda b, c: set(replaced(b)) <= set(c.routes)),
-        ("duplicate-route", lambda b, c: b["new_route_id"] not in c.routes),
+        ("unknown-route", lambda b, c: set(replaced(b)) <= c.names),
+        ("duplicate-route", lambda b, c: b["new_route_id"] not in c.names),
         *new_stretch,
     ],
     "modify_route": [known_route, changes("fill_span", "truncate_at", "stopping_pattern", "extend_to", "headways_min")],
     "truncate_at": [on_route("stop")],
     "stopping_pattern": [
-        ("stop-not-on-route", lambda b, c: set(b.get("remove", [])) <= set(c.routes[b["route_id"]])),
-        ("stop-id", lambda b, c: set(b.get("add", [])) <= set(c.stops) and not set(b.get("add", [])) & set(c.routes[b["route_id"]])),
+        ("stop-not-on-route", lambda b, c: all(c.calls(b["route_id"], s) for s in b.get("remove", []))),
+        ("stop-id", lambda b, c: all(c.knows(s) and not c.calls(b["route_id"], s) for s in b.get("add", []))),
     ],
     "extend_to": [on_route("from_stop"), *new_stretch, ("stop-off-alignment", lambda b, c: b["from_stop"] in {s["stop_id"] for s in b["stops"]})],
     "remove_route": [known_route],
     "add_stop": [
-        known_route, on_route("after_stop"), ("stop-id", lambda b, c: b["stop"]["stop_id"] not in c.stops),
+        known_route, on_route("after_stop"), ("stop-id", lambda b, c: not c.knows(b["stop"]["stop_id"])),
         ("outside-extent", lambda b, c: c.covers([(b["stop"]["lon"], b["stop"]["lat"])])),
     ],
     "reroute": [
@@ -261,34 +308,33 @@ RELATIONS: dict[str, list[tuple[str, Callable]]] = {
 
 
 def _add(c: Catalogue, route: str, stops: list[dict]) -> None:
-    c.routes[route] = [s["stop_id"] for s in stops]
-    c.stops |= {s["stop_id"]: (s["lon"], s["lat"]) for s in stops}
+    c.put(route, [s["stop_id"] for s in stops], {s["stop_id"]: (s["lon"], s["lat"]) for s in stops})
 
 
 def _replace(b: dict, c: Catalogue) -> None:
     for r in [] if b.get("periods") else replaced(b):
-        del c.routes[r]
+        c.drop(r)
     _add(c, b["new_route_id"], b["stops"])
 
 
 def _pattern(b: dict, c: Catalogue) -> None:
-    c.routes[b["route_id"]] = [s for s in c.routes[b["route_id"]] if s not in b.get("remove", [])] + b.get("add", [])
+    c.drop(b["route_id"], b.get("remove", []))
+    c.put(b["route_id"], b.get("add", []))
 
 
 def _extend(b: dict, c: Catalogue) -> None:
-    c.routes[b["route_id"]] += [s["stop_id"] for s in b["stops"] if s["stop_id"] not in c.routes[b["route_id"]]]
-    c.stops |= {s["stop_id"]: (s["lon"], s["lat"]) for s in b["stops"]}
+    c.put(b["route_id"], [s["stop_id"] for s in b["stops"]], {s["stop_id"]: (s["lon"], s["lat"]) for s in b["stops"]})
 
 
 def _stop(b: dict, c: Catalogue) -> None:
-    c.routes[b["route_id"]].append(b["stop"]["stop_id"])
-    c.stops[b["stop"]["stop_id"]] = (b["stop"]["lon"], b["stop"]["lat"])
+    stop = b["stop"]
+    c.put(b["route_id"], [stop["stop_id"]], {stop["stop_id"]: (stop["lon"], stop["lat"])})
 
 
 #: What a record does to the catalogue once it holds.
 EFFECTS: dict[str, Callable[[dict, Catalogue], None]] = {
     "add_line": lambda b, c: _add(c, b["route_id"], b["stops"]), "replace_route": _replace, "stopping_pattern": _pattern, "extend_to": _extend, "add_stop": _stop,
-    "remove_route": lambda b, c: c.routes.pop(b["route_id"]) and None,
+    "remove_route": lambda b, c: c.drop(b["route_id"]),
 }
 OPS = {"add_line", "modify_route", "replace_route", "reroute", "remove_route", "add_stop", "road_speed_factor", "fare_change", "landuse_delta", "works"}
 #: Parts of an op whose relations need its route.

@@ -106,8 +106,93 @@ _CELLS = """cell as (select l_orderkey as id, l_linenumber as line, l_returnflag
 @query("bus_hold_out", f"""
 with {_CELLS}, f as (select distinct fold from cell), k as (select f.fold, road_class, area, quantile_cont(bus / {D('speed')}, 0.5) as kappa from f join cell c on c.fold <> f.fold group by all),
   a as (select f.fold, quantile_cont(bus / {D('speed')}, 0.5) as kappa from f join cell c on c.fold <> f.fold group by all)
-select id, line, round(speed * coalesce(k.kappa, a.kappa), 6) as pred, round(speed * coalesce(k.kappa, a.kappa) / bus - 1, 6) as error from cell c left join k on k.fold = c.fold and k.road_class = c.road_class and k.area = c.area join a on a.fold = c.fold
+select id, line, round(speed * coalesce(k.kappa, a.kappa), 6) as pred, round(speed * coalesce(k.kappa, a.kappa) / bus - 1, 6) + 0 as error from cell c left join k on k.fold = c.fold and k.road_class = c.road_class and k.area = c.area join a on a.fold = c.fold
 """)
 def bus_hold_out(t):
     c = t.lineitem.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("road_class"), F.col("l_linestatus").alias("area"), (F.col("l_suppkey") % 4).alias("fold"), (F.col("l_quantity") + 5).alias("bus"), (F.col("l_quantity") / 2 + F.col("l_linenumber") * 3 + 4).alias("speed"))
     return tidy(congestion.bus_hold_out(c, ["road_class", "area"], "fold", "bus", "speed").select("id", "line", "pred", "error"))
+
+
+@query("balanced_halves", f"""
+with l as (select id as link_id, case when name % 3 = 0 then 'centre' when name % 3 = 1 then 'urban' else 'rural' end as area, cast(floor(lon * {D(69.4)} / 2) as bigint) as b1, cast(floor(lat * {D(111.3)} / 2) as bigint) as b2 from zones),
+  b as (select area, b1, b2, count(*) as n from l group by all)
+select area, count(*) as links, (select count(*) from b where b.area = l.area) as blocks, true as balanced from l group by area
+""", "zones")
+def balanced_halves(t):
+    """Links dealt in halves by blocks of ground: links and blocks by area, and whether the halves differ by no more than a block."""
+    area = F.when(F.col("name") % 3 == 0, "centre").when(F.col("name") % 3 == 1, "urban").otherwise("rural")
+    links = t.zones.select(F.col("id").alias("link_id"), area.alias("area"), "lon", "lat")
+    halves = congestion.balanced_halves(links, 2.0, 7).join(links, "link_id")
+    at = lambda c, per: F.floor(F.col(c) * per / 2.0).alias(f"b{c}")
+    blocks = halves.groupBy("area", "half", at("lon", 69.4), at("lat", 111.3)).agg(F.count("*").alias("n"))
+    more = F.abs(F.sum(F.when(F.col("half") == "calibration", F.col("n")).otherwise(-F.col("n"))))
+    return blocks.groupBy("area").agg(F.sum("n").alias("links"), F.countDistinct("blon", "blat").alias("blocks"), (more <= F.max("n")).alias("balanced"))
+
+
+@query("sensor_sites", """
+with s as (select event_id as site, 'M' || (user_id % 9 + 1) || '/' || event_id as name, user_id % 9 + 1 as road, event_id % 5 as k, ['Northbound', 'Eastbound', 'Southbound', 'Westbound', 'Clockwise'][event_id % 5 + 1] as direction, event_type from events)
+select site, name, 'M' || road || case when k = 3 then '(M)' else '' end as road, case when event_type = 'view' then 'midas' else 'tmu' end as kind, direction, (k * 90)::int as bearing from s where direction <> 'Clockwise' and event_type in ('view', 'click') and (event_type <> 'view' or k <> 3)
+union all select site, name, 'M' || road, 'midas', direction, (k * 90)::int from s where event_type = 'view' and k = 3
+""")
+def sensor_sites(t):
+    from tramline.operators import scope
+
+    k, road = F.col("event_id") % 5, F.concat(F.lit("M"), (F.col("user_id") % 9 + 1).cast("string"))
+    direction = F.get(F.array(*map(F.lit, ("Northbound", "Eastbound", "Southbound", "Westbound", "Clockwise"))), k.cast("int"))
+    name = F.concat(road, F.lit("/"), F.col("event_id").cast("string"))
+    on = F.concat(F.lit("TMU Site on "), road, F.when(k == 3, "(M)").otherwise(""))
+    text = F.when(F.col("event_type") == "view", F.concat(F.lit("MIDAS site at "), name)).when(F.col("event_type") == "click", F.concat(on, F.lit(" between J2 and J3"))).otherwise(F.concat(on, F.lit(" J2 exit")))
+    s = t.events.select(F.col("event_id").alias("site"), name.alias("name"), F.concat_ws("; ", text, direction).alias("description"), F.lit("Active").alias("status"), F.lit(-2.5).alias("lon"), F.lit(51.5).alias("lat"))
+    return scope.sensor_sites(s, (-3.0, 51.0, -2.0, 52.0)).select("site", "name", "road", "kind", "direction", "bearing")
+
+
+@query("signal_delays", f"""
+with d as (select n_regionkey as period, ['centre', 'urban', 'rural'][n_nationkey % 3 + 1] as area, max(n_nationkey)::double as s from nation where n_regionkey < 3 group by all), p as (select unnest([0, 1, 2, 3]) as period),
+  g as (select p_partkey as id, period, case p_size % 4 when 0 then 'centre' when 1 then 'urban' else 'rural' end as area, p_partkey % 6 = 0 as sig from part cross join p)
+select id, g.period::varchar as period, case when sig then coalesce((select s from d where d.period = case when g.period = 3 then 1 else g.period end and d.area = g.area), (select s from d where d.period = case when g.period = 3 then 1 else g.period end and d.area = 'urban'), 0) else {D(0)} end as delay_s from g
+""")
+def signal_delays(t):
+    from tramline.operators import scope
+
+    three = F.array(F.lit("centre"), F.lit("urban"), F.lit("rural"))
+    delays = t.nation.filter("n_regionkey < 3").groupBy(F.col("n_regionkey").cast("string").alias("period"), F.get(three, F.col("n_nationkey") % 3).alias("area")).agg(F.max("n_nationkey").cast("double").alias("delay_s"))
+    kind = F.when(F.col("p_size") % 4 == 0, "centre").when(F.col("p_size") % 4 == 1, "urban").when(F.col("p_size") % 4 == 2, "buffer").otherwise("rural")
+    seg = t.part.select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("v"), kind.alias("area_type"))
+    return scope.signal_delays(seg, seg.filter("id % 6 = 0").select(F.col("v").alias("node")), delays, ["0", "1", "2", "3"], "1").select("id", "period", "delay_s")
+
+
+_BOXES = "bx as (select id, name, lon - (2 + id % 5) * cast(0.001 as double) as x0, lon + (3 + id % 3) * cast(0.001 as double) as x1, lat - (1 + id % 4) * cast(0.001 as double) as y0, lat + (2 + id % 7) * cast(0.001 as double) as y1 from zones)"
+
+
+def _boxes(t):
+    k, m = F.col("id"), F.lit(0.001)
+    x0, x1, y0, y1 = F.col("lon") - (2 + k % 5) * m, F.col("lon") + (3 + k % 3) * m, F.col("lat") - (1 + k % 4) * m, F.col("lat") + (2 + k % 7) * m
+    at = lambda x, y: F.struct(x.alias("lon"), y.alias("lat"))
+    return t.zones.withColumn("ring", F.array(at(x0, y0), at(x1, y0), at(x1, y1), at(x0, y1)))
+
+
+@query("central_zones", f"""
+with recursive {_BOXES}, d as (select bx.* from bx join supplier on s_suppkey = id where name % 4 <> 1 and s_acctbal >= 1500), i as (select id, round(x0 * 10000000) as x0, round(x1 * 10000000) as x1, round(y0 * 10000000) as y0, round(y1 * 10000000) as y1 from d),
+  e as (select a.id as a, b.id as b from i a join i b on a.x0 <= b.x1 and b.x0 <= a.x1 and a.y0 <= b.y1 and b.y0 <= a.y1), r as (select a as id, a as low from e union select r.id, e.b from r join e on e.a = r.low), c as (select id, min(low) as cluster from r group by id)
+select id as zone, cluster from c where cluster in (select cluster from c group by 1 having count(*) >= 3)
+""", "zones")
+def central_zones(t):
+    from tramline.operators import scope
+
+    z = _boxes(t).join(t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("jobs")), "id")
+    return scope.central_zones(z.select(F.col("id").alias("zone"), "ring", "jobs", F.lit(1.5).alias("km2"), (F.col("name") % 4 != 1).alias("urban")), 1000.0, 3)
+
+
+@query("built_up_scope", f"""
+with recursive {_BOXES}, i as (select id, round(x0 * 10000000) as x0, round(x1 * 10000000) as x1, round(y0 * 10000000) as y0, round(y1 * 10000000) as y1 from bx),
+  e as (select a.id as a, b.id as b from i a join i b on a.x0 <= b.x1 and b.x0 <= a.x1 and a.y0 <= b.y1 and b.y0 <= a.y1), r as (select a as id, a as low from e union select r.id, e.b from r join e on e.a = r.low), c as (select id, min(low) as low from r group by id),
+  m as (select bx.* from bx join c using (id) where low = (select low from c where id = 0)), z as (select c_custkey as zone, ['core', 'ring', 'far'][c_nationkey % 3 + 1] as district, ['centre', 'urban', 'rural'][c_custkey % 3 + 1] as area_type, {D(-2.61)} + c_custkey % 97 * {D(0.00113)} as lon, {D(51.39)} + c_custkey % 89 * {D(0.00107)} as lat from customer)
+select zone, district, area_type, area_type <> 'rural' and (district = 'core' or exists (select 1 from m where z.lon > x0 and z.lon < x1 and z.lat > y0 and z.lat < y1)) as in_scope from z where district <> 'far'
+""", "zones")
+def built_up_scope(t):
+    from tramline.operators import scope
+
+    three = lambda c, *names: F.get(F.array(*map(F.lit, names)), (F.col(c) % 3).cast("int"))
+    k = F.col("c_custkey")
+    z = t.customer.select(k.alias("zone"), three("c_nationkey", "core", "ring", "far").alias("district"), three("c_custkey", "centre", "urban", "rural").alias("area_type"), (F.lit(-2.61) + k % 97 * F.lit(0.00113)).alias("lon"), (F.lit(51.39) + k % 89 * F.lit(0.00107)).alias("lat"))
+    return scope.built_up_scope(_boxes(t).select("id", "ring"), z, 0, "core", ["ring"])

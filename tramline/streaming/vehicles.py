@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from tramline.operators.timetable import flagged_stale, previous_snapshots
 from tramline.sources.documents import read_vehicles
@@ -28,30 +29,44 @@ def snapshot_stream(spark: SparkSession, folder: str, per_trigger: int = 50) ->
 NOMINAL_S = 10.0
 
 
-def _keep_newer(schema: T.StructType):
-    names = schema.fieldNames()
+#: Seconds after which a vehicle that is not heard of is forgotten.
+FORGOTTEN_S = 2 * 86_400.0
 
-    def keep(key: tuple, frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["response_ts", "recorded_at"], kind="stable")
-        at = rows.recorded_at.astype("int64")
+
+class Newest(StatefulProcessor):
+    """Marks a vehicle's rows that are strictly newer than all before. Its state is one time, which goes after `ttl_s` seconds without a row of the vehicle."""
+
+    def __init__(self, names: list[str], ttl_s: float):
+        self.names, self.ttl_ms = names, int(ttl_s * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "at long", self.ttl_ms)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last = self.last.get()[0] if self.last.exists() else None
+        frame = pd.concat(list(rows)).sort_values(["response_ts", "recorded_at"], kind="stable")
+        at = frame.recorded_at.astype("int64")
         top = at.cummax().shift()
         if last is not None:
             top = top.fillna(last).clip(lower=last)
-        kept = ~(at <= top)  # nothing before: kept
-        state.update((int(at.max()) if last is None else max(int(at.max()), last),))
-        yield rows[names].assign(kept=kept)
+        self.last.update((int(at.max()) if last is None else max(int(at.max()), last),))
+        yield frame[self.names].assign(kept=~(at <= top))  # nothing before: kept
 
-    return keep
+    def close(self) -> None:
+        pass
 
 
-def newer_stream(rows: DataFrame) -> DataFrame:
-    """Valid rows with kept: strictly newer than all kept before of their vehicle. Repeats stay, as they show which snapshots there were; state is one time a vehicle, in the checkpoint."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
+def newer_stream(rows: DataFrame, ttl_s: float = FORGOTTEN_S) -> DataFrame:
+    """Valid rows with kept: strictly newer than all kept before of their vehicle. Repeats stay, as they show which snapshots there were.
 
+    State is one time a vehicle, in the checkpoint, and goes ttl_s seconds after the vehicle was last heard of (by the clock
+    of the run, so nothing is dropped for being late); a vehicle that comes back later begins anew. Needs the RocksDB state
+    store, which is set for the session.
+    """
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = rows.filter("not invalid")
     out = T.StructType([*rows.schema.fields, T.StructField("kept", T.BooleanType())])
-    return rows.groupBy(*KEY).applyInPandasWithState(_keep_newer(rows.schema), out, "last long", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(*KEY).transformWithStateInPandas(Newest(rows.schema.fieldNames(), ttl_s), out, "append", "processingTime")
 
 
 def run_to_folder(rows: DataFrame, out: str, checkpoint: str, nominal_s: float = NOMINAL_S) -> StreamingQuery:
@@ -72,7 +87,14 @@ def run_to_folder(rows: DataFrame, out: str, checkpoint: str, nominal_s: float =
         fresh.withColumn("day", F.to_date("recorded_at")).write.mode("overwrite").parquet(f"{out}/batch={number}")
         batch.unpersist()
 
-    return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    # State that ends by the clock would ask for batches without data for ever; a query takes its settings when it starts.
+    spark, setting = rows.sparkSession, "spark.sql.streaming.noDataMicroBatches.enabled"
+    was = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(setting, was)
 
 
 def close_day(spark: SparkSession, parts: str, out: str, day: str) -> None:
