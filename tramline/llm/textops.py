@@ -192,8 +192,11 @@ def _shingled(buf: np.ndarray, offs: np.ndarray, k: int, key: int) -> tuple[np.n
     if not vals:
         return np.zeros(0, U64), np.zeros(n + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), starts, ends
     v, r, f, c = (np.concatenate(x) for x in (vals, rows, first, many))
-    o = np.argsort(v, kind="stable")
-    o = o[np.argsort(r[o], kind="stable")]
+    o = np.argsort(r, kind="stable") if len(vals) > 1 else np.arange(len(r))
+    edge = np.searchsorted(r[o], np.arange(n + 1))
+    for i in np.flatnonzero(np.diff(edge) > 1).tolist():
+        own = o[edge[i] : edge[i + 1]]
+        o[edge[i] : edge[i + 1]] = own[np.argsort(v[own])]
     v, r, f, c = v[o], r[o], f[o], c[o]
     new = np.ones(len(v), bool)
     new[1:] = (v[1:] != v[:-1]) | (r[1:] != r[:-1])
@@ -222,16 +225,19 @@ def set_digests(buf: np.ndarray, offs: np.ndarray, k: int, key: int = 0) -> tupl
     size = np.zeros(len(starts) + 1, np.int64)
     np.cumsum(ends - starts + 1, out=size[1:])
     upto = np.concatenate([[0], np.cumsum(size[first + many] - size[first])]) if len(first) else np.zeros(1, np.int64)
+    padded = np.append(buf, np.uint8(0))
+    kind = np.int32 if len(buf) < 1 << 30 else np.int64
+    begin, long = starts.astype(kind), (ends - starts + 1).astype(kind)
     s = 0
     while s < len(first):
         e = max(s + 1, int(np.searchsorted(upto, upto[s] + LAID_OUT, "right")) - 1)
-        n = total[e] - total[s]
-        word = np.arange(n) - np.repeat(total[s:e] - total[s], many[s:e]) + np.repeat(first[s:e], many[s:e])
-        long = ends[word] - starts[word] + 1
-        begin = np.cumsum(long) - long
-        src = np.arange(int(long.sum())) + np.repeat(starts[word] - begin, long)
-        out = buf[np.minimum(src, len(buf) - 1)]
-        stop = begin + long - 1
+        lead = np.repeat((first[s:e] - (total[s:e] - total[s])).astype(kind), many[s:e])
+        word = lead + np.arange(len(lead), dtype=kind)
+        stop = np.cumsum(long[word], dtype=kind)  # where each word's last byte is, and one
+        src = np.repeat(begin[word] - stop + long[word], long[word])
+        src += np.arange(len(src), dtype=kind)
+        out = padded[src]
+        stop -= 1
         out[stop] = 0x20
         out[stop[total[s + 1 : e + 1] - total[s] - 1]] = 0x0A
         data = out.tobytes()
