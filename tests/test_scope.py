@@ -10,7 +10,7 @@ from tramline.operators import costs, rail, scenario, scope
 
 
 def box(x, y, w=1.0, h=1.0):
-    return [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+    return [(float(a), float(b)) for a, b in ((x, y), (x + w, y), (x + w, y + h), (x, y + h))]
 
 
 def test_zones_need_a_centroid(spark):
@@ -92,7 +92,7 @@ def test_lines_run_both_ways(spark):
 
 
 def test_curves_between_modes(spark):
-    rows = [("bus", x) for x in range(100, 700, 7)] + [("rail", x) for x in range(200, 1500, 9)] + [("bus", None)]
+    rows = [("bus", float(x)) for x in range(100, 700, 7)] + [("rail", float(x)) for x in range(200, 1500, 9)] + [("bus", None)]
     c = {r["mode"]: r for r in curves.decay_curves(spark.createDataFrame(rows, "mode string, metres double"), {"tram": 0.25}).collect()}
     assert set(c) == {"bus", "rail", "tram", "metro", "ferry"} and tuple(c["ferry"])[1:] == tuple(c["bus"])[1:] and tuple(c["metro"])[1:] == tuple(c["rail"])[1:]
     assert c["tram"].mean_m == pytest.approx(0.75 * c["bus"].mean_m + 0.25 * c["rail"].mean_m)
