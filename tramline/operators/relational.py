@@ -60,3 +60,24 @@ def comparison(a: DataFrame, b: DataFrame, chain_a: list[str], chain_b: list[str
         raise ValueError("neither scenario is an ancestor of the other")
     j = a.select("metric", F.col("value").alias("a")).join(b.select("metric", F.col("value").alias("b")), "metric", "full")
     return j.withColumn("change", F.round(F.col("b") - F.col("a"), 4))
+
+
+def zone_comparison(a: DataFrame, b: DataFrame, zone: str, metrics: list[str]) -> DataFrame:
+    """zone, metric, a, b, change (four places): both scenarios' values of every zone and metric. A zone that one of them lacks has nulls there, and no change."""
+    side = lambda df, c: df.select(zone, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias(c)) for m in metrics])).alias("x")).select(zone, "x.metric", f"x.{c}")
+    j = side(a, "a").join(side(b, "b"), [zone, "metric"], "full")
+    return j.withColumn("change", F.round(F.col("b") - F.col("a"), 4))
+
+
+def comparison_report(rows: DataFrame, weights: DataFrame, zone: str, less_is_better: list[str], threshold: float = 0.0) -> DataFrame:
+    """metric, zones, a, b, change, better, worse, not_compared: weighted means of both scenarios over the zones that both have, and the weight of zones that got better or worse by the threshold or more (whichever side of 0), beside each other; zones that one lacks are counted by weight.
+
+    rows: what zone_comparison gives; weights: zone, weight (residents, say; a zone without one weighs nothing).
+    """
+    r = rows.join(weights.select(zone, F.col("weight").cast("double").alias("_w")), zone, "left").withColumn("_w", F.coalesce("_w", F.lit(0.0)))
+    w, both = F.col("_w"), F.col("a").isNotNull() & F.col("b").isNotNull()
+    gain = F.when(F.col("metric").isin(*less_is_better), F.col("a") - F.col("b")).otherwise(F.col("b") - F.col("a"))
+    weigh = lambda c: F.try_divide(F.sum(F.when(both, F.col(c) * w)), F.sum(F.when(both, w)))
+    moved = lambda x: F.sum(F.when(both & (x >= threshold) & (x > 0), w).otherwise(0.0))
+    g = r.groupBy("metric").agg(F.sum(both.cast("long")).alias("zones"), weigh("a").alias("a"), weigh("b").alias("b"), moved(gain).alias("better"), moved(-gain).alias("worse"), F.sum(F.when(both, 0.0).otherwise(w)).alias("not_compared"))
+    return g.select("metric", "zones", "a", "b", F.round(F.col("b") - F.col("a"), 4).alias("change"), "better", "worse", "not_compared")

@@ -154,3 +154,25 @@ def event_json(t):
     k = F.from_json("props", "k bigint")["k"]
     back = F.to_json(F.struct(F.col("event_type").alias("e"), k.alias("k")))
     return t.events.select("event_id", k.alias("k"), F.regexp_extract("props", "([0-9]+)", 1).cast("long").alias("digits"), back.alias("back"))
+
+
+_SIDES = "x as (select from_id as zone, avg(p50) as minutes, count(*)::double as reached from skim_a where not unreachable group by 1), y as (select from_id as zone, avg(p50) as minutes, count(*)::double as reached from skim_b where not unreachable and from_id % 9 <> 4 group by 1), z as (select coalesce(x.zone, y.zone) as zone, unnest(['minutes', 'reached']) as metric, unnest([x.minutes, x.reached]) as a, unnest([y.minutes, y.reached]) as b from x full join y on x.zone = y.zone)"
+
+
+def _sides(t):
+    g = lambda df: df.filter("not unreachable").groupBy(F.col("from_id").alias("zone")).agg(F.avg("p50").alias("minutes"), F.count("*").alias("reached"))
+    return relational.zone_comparison(g(t.skim_a), g(t.skim_b).filter("zone % 9 <> 4"), "zone", ["minutes", "reached"])
+
+
+@query("zone_comparison", f"with {_SIDES} select zone, metric, round(a, 6) as a, round(b, 6) as b, round(b - a, 4) + 0 as change from z", "skim_a skim_b")
+def zone_comparison(t):
+    return tidy(_sides(t))
+
+
+@query("comparison_report", f"""
+with {_SIDES}, r as (select z.*, coalesce(residents, 0) as w, case when metric = 'minutes' then a - b else b - a end as gain from z left join residents using (zone))
+select metric, count(a + b) as zones, round(sum(a * w) filter (b is not null) / sum(w) filter (a is not null and b is not null), 6) as a, round(sum(b * w) filter (a is not null) / sum(w) filter (a is not null and b is not null), 6) as b,
+  round(sum(b * w) filter (a is not null) / sum(w) filter (a is not null and b is not null) - sum(a * w) filter (b is not null) / sum(w) filter (a is not null and b is not null), 4) as change, sum(case when gain >= 1 then w else 0 end)::double as better, sum(case when -gain >= 1 then w else 0 end)::double as worse, sum(case when gain is null then w else 0 end)::double as not_compared from r group by metric
+""", "skim_a skim_b residents")
+def comparison_report(t):
+    return tidy(relational.comparison_report(_sides(t), t.residents.withColumnRenamed("residents", "weight"), "zone", ["minutes"], 1.0))
