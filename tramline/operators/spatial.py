@@ -5,33 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tramline.config import DISTANCE_BANDS, INTERVAL_BANDS, SCORE_CAP_DPH
+from tramline.config import DISTANCE_BANDS, INTERVAL_BANDS, KM_PER_DEGREE, SCORE_CAP_DPH
 from tramline.functions.curves import first_at_least
 from tramline.functions.geo import flat_km
 from tramline.functions.stats import qualify
 from tramline.operators.components import components
 
 
-def _cells(lon: str, lat: str, size: float) -> tuple[Column, Column]:
-    return F.floor(F.col(lon) / size).cast("long"), F.floor(F.col(lat) / size).cast("long")
+#: A row of cells in which the cosine of the latitude may fall below this is one cell, whatever the longitude.
+LEAST_COS = 1e-6
 
 
-def near_pairs(left: DataFrame, right: DataFrame, km: float, lon: str = "lon", lat: str = "lat", max_lat: float = 60.0) -> DataFrame:
+def near_pairs(left: DataFrame, right: DataFrame, km: float, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """Rows of left and right (columns prefixed a_ and b_) within km of each other, with dist_km.
 
-    Cells are as wide as the radius at latitude max_lat, so a match lies in the cell or one of its eight neighbours; the
-    right side is posted in its cell, the left asks nine. Rows beyond max_lat would be missed and are refused.
+    A row of cells is as high as the radius. Its cells are as wide as the radius at the row's least cosine, one row to either
+    side included, so a match lies in the cell or one of its eight neighbours at any latitude; the right side is posted in
+    its cell, the left asks three in each of three rows. Coordinates that are null or not finite match nothing.
     """
-    from math import cos, radians
-
-    size = km / (111.0 * cos(radians(max_lat)))
-    a = left.select([F.col(c).alias(f"a_{c}") for c in left.columns])
-    a = a.withColumn(f"a_{lat}", F.when(F.abs(f"a_{lat}") > max_lat, F.raise_error(F.lit("a point lies beyond the latitude of the grid")).cast("double")).otherwise(F.col(f"a_{lat}")))
-    b = right.select([F.col(c).alias(f"b_{c}") for c in right.columns])
-    (x, y), (u, v) = _cells(f"a_{lon}", f"a_{lat}", size), _cells(f"b_{lon}", f"b_{lat}", size)
-    nine = F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    a = a.withColumns({"_x": x, "_y": y}).withColumn("_d", F.explode(nine)).withColumns({"_x": F.col("_x") + F.col("_d.i"), "_y": F.col("_y") + F.col("_d.j")}).drop("_d")
-    out = a.join(b.withColumns({"_x": u, "_y": v}), ["_x", "_y"])
+    high = km * (1 + 1e-9) / KM_PER_DEGREE if km > 0 else 1.0
+    finite = lambda c: F.abs(F.col(c)) < float("inf")
+    row = lambda c: F.floor(F.col(c) / high).cast("double")
+
+    def column(c: str, y: Column) -> Column:
+        south, north = (y - 1) * high, (y + 2) * high
+        least = F.least(F.abs(F.cos(F.radians(south))), F.abs(F.cos(F.radians(north))))
+        over_pole = F.floor((south - 90) / 180) != F.floor((north - 90) / 180)
+        return F.when(over_pole | (least < LEAST_COS), F.lit(0.0)).otherwise(F.floor(F.col(c) * least / high).cast("double"))
+
+    a = left.select([F.col(c).alias(f"a_{c}") for c in left.columns]).filter(finite(f"a_{lon}") & finite(f"a_{lat}"))
+    b = right.select([F.col(c).alias(f"b_{c}") for c in right.columns]).filter(finite(f"b_{lon}") & finite(f"b_{lat}"))
+    near = lambda: F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
+    a = a.withColumn("_d", near()).withColumn("_y", row(f"a_{lat}") + F.col("_d")).withColumn("_d", near()).withColumn("_x", column(f"a_{lon}", F.col("_y")) + F.col("_d")).drop("_d")
+    b = b.withColumn("_y", row(f"b_{lat}"))
+    out = a.join(b.withColumn("_x", column(f"b_{lon}", F.col("_y"))), ["_x", "_y"])
     out = out.withColumn("dist_km", flat_km(F.col(f"a_{lon}"), F.col(f"a_{lat}"), F.col(f"b_{lon}"), F.col(f"b_{lat}")))
     return out.filter(F.col("dist_km") <= km).drop("_x", "_y")
 
