@@ -10,7 +10,7 @@ from tramline import plans
 from tramline.operators import spatial
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["candidate_pairs", "clusters", "count_within", "near_pairs", "near_points"]
+NAMES = ["candidate_pairs", "clusters", "count_within", "near_pairs", "near_points", "site_factors"]
 
 
 @pytest.fixture(scope="module")
