@@ -146,3 +146,19 @@ def test_op9_recall_by_id(spark):
     for r in ann.op9_nearest_neighbours(spark, at).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     assert np.mean([len(got[q] & {v for v, _ in want[q]}) / 20 for q in want]) >= 0.9
+
+
+@pytest.mark.parametrize("posted", [7, 96, 255])
+def test_gains_are_what_the_files_say(posted):
+    """Side by side, the files give each vector what going through them one by one does."""
+    r = np.random.default_rng(posted)
+    n, many = 302, 2 * posted
+    place = np.argsort(r.random((n, many)), axis=1)[:, :posted]  # each vector's pivots in order
+    asked = r.permutation(many)[:posted]
+    files = np.zeros((many, n), np.uint8)
+    for v in range(n):
+        files[place[v], v] = posted - np.arange(posted)
+    at = [{int(p): i for i, p in enumerate(row)} for row in place]
+    want = [sum(posted - max(a, at[v][int(p)]) for a, p in enumerate(asked) if int(p) in at[v]) for v in range(n)]
+    left = np.repeat((posted - np.arange(posted)).astype(np.uint8), n).reshape(posted, n)
+    assert ann._gains(files[asked], left).tolist() == want
