@@ -11,7 +11,8 @@ the full sets: first on 64-bit hashes of all shingles, then, before a link comes
 Pairs within a bucket are not all listed. First every member meets the smallest one of its bucket (of all its buckets, the
 one that most meet before the others). The links found give components; a pair within one component decides nothing more. Then, in buckets that still hold several components, the
 members outside the bucket's largest component meet all members of other components, in blocks of bounded size. Every
-bucket pair is so compared, or is already connected.
+bucket pair is so compared, or is already connected. Steps with nothing left to do are passed over, and the driver lets go
+of finished plans between steps.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tramline.llm.textops import MULT, U64, given_back, mix64, set_digests, shingle_sets, slices
 from tramline.operators.components import components
-from tramline.session import forget, fresh, written
+from tramline.session import forget, fresh, release, written
 
 BANDS, ROWS, BATCH = 32, 4, 16
 #: The probability at which a pair at or over the threshold may be dropped in a batch.
@@ -330,13 +331,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     hubs = star.groupBy("a").agg(F.count("*").alias("n"))
     chosen = written(star.join(hubs, "a").groupBy("b").agg(F.min(F.struct((-F.col("n")).alias("n"), "a")).alias("m")).select(F.col("m.a").alias("a"), "b"), "chosen")
     links = confirmed_links(chosen)
+    release(docs.sparkSession)
     first = written(components(links), "components")
     part = lambda c: first.select(F.col("id").alias(c), F.col("component").alias(f"{c}_c"))
     rest = star.join(chosen, ["a", "b"], "left_anti").join(part("a"), "a", "left").join(part("b"), "b", "left")
     rest = written(rest.filter(F.coalesce("a_c", "a") != F.coalesce("b_c", "b")).select("a", "b"), "pairs")
-    more = confirmed_links(rest)
-    old, first = first, written(components(links.union(more)), "components")
-    forget(star, chosen, rest, links, more, old)
+    if not rest.isEmpty():
+        more = confirmed_links(rest)
+        old, first = first, written(components(links.union(more)), "components")
+        forget(more, old)
+    forget(star, chosen, rest, links)
+    release(docs.sparkSession)
 
     # Buckets that hold more than one component: every member outside the largest meets all members of others.
     tagged = met.join(first.select(F.col("id").alias("nid"), "component"), "nid", "left").select("bucket", "nid", F.coalesce("component", "nid").alias("comp"))
@@ -353,19 +358,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # First the rows in question, by signatures; their texts then go to the blocks, and only links come out.
     open_ = written(dealt(blocks.select(*cols, "sig")).mapInArrow(given_back(_concerned(need)), "bucket long, u int, v int, nid long, comp long, side int"), "open")
     forget(left, met)
-    texts = _texts_of(open_.select("nid").distinct(), docs, classes, k, key)
-    full = open_.join(sig, "nid").join(texts, "nid").select(*cols, "sig", "text")
-    found = written(dealt(full).mapInArrow(given_back(_linked(need, k, percent, key)), "a long, b long"), "links")
-    forget(open_, texts)
-    # Components of components: the second links join what the first left apart.
-    lab = lambda c: first.select(F.col("id").alias(c), F.col("component").alias(f"{c}_c"))
-    lifted = found.join(lab("a"), "a", "left").join(lab("b"), "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))
-    top = components(lifted)
-
-    node = classes.select("nid", "cls", "id").join(first.select(F.col("id").alias("nid"), "component"), "nid", "left").withColumn("c1", F.coalesce("component", "nid")).drop("component")
-    node = node.join(top.select(F.col("id").alias("c1"), "component"), "c1", "left").select("cls", "id", F.coalesce("component", "c1").alias("comp"))
+    release(docs.sparkSession)
+    node = classes.select("nid", "cls", "id").join(first.select(F.col("id").alias("nid"), "component"), "nid", "left").select("cls", "id", F.coalesce("component", "nid").alias("comp"))
+    found = None
+    if not open_.isEmpty():
+        texts = _texts_of(open_.select("nid").distinct(), docs, classes, k, key)
+        full = open_.join(sig, "nid").join(texts, "nid").select(*cols, "sig", "text")
+        found = written(dealt(full).mapInArrow(given_back(_linked(need, k, percent, key)), "a long, b long"), "links")
+        forget(texts)
+    if found is not None and not found.isEmpty():
+        # Components of components: the second links join what the first left apart.
+        lab = lambda c: first.select(F.col("id").alias(c), F.col("component").alias(f"{c}_c"))
+        lifted = found.join(lab("a"), "a", "left").join(lab("b"), "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))
+        top = components(lifted).withColumnRenamed("id", "comp")
+        node = node.join(top, "comp", "left").select("cls", "id", F.coalesce("component", "comp").alias("comp"))
     node = written(node, "nodes")
-    forget(first, found, classes)
+    forget(open_, first, classes, *([] if found is None else [found]))
+    release(docs.sparkSession)
     low = node.groupBy("comp").agg(F.min("id").alias("component_id"))
     node = node.join(low, "comp").select("cls", "component_id", F.col("comp").alias("group"))
     out = signed.select("doc_id", "th", "n_shingles", "cls").join(node, "cls", "left")
