@@ -373,6 +373,24 @@ def test_the_count_table_equals_a_count(spark):
     assert sorted(tuple(r) for r in counts.collect()) == [(1, 5, 2), (2, 1, 1)]
 
 
+def test_counts_come_back_to_their_rows(spark):
+    """What `shared` gives is the count table joined back, less the row's own; it reads its rows once."""
+    rows = spark.createDataFrame([(i % 7 if i % 2 else 100 + i, i, 1 + i % 3) for i in range(60)], "gram long, who long, n long")
+    dealt, counts = lm_score.counted(rows)
+    want = dealt.join(counts.filter("batches > 1"), "gram").select("who", (F.col("total") - F.col("n")).alias("others"))
+    got = lm_score.shared(rows)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 30
+    assert "Join" not in got._jdf.queryExecution().toString()
+
+
+def test_sorted_places_are_exact():
+    """Also of hashes that differ in their last bits alone, and equal ones stay in their order."""
+    r = np.random.default_rng(2)
+    for x in (r.integers(0, 50, 3000), (1 << 60) + r.integers(0, 3, 3000), r.integers(0, 1 << 63, 3000), np.zeros(0), np.ones(1)):
+        x = x.astype(np.uint64)
+        assert (lm_score.in_order(x) == np.argsort(x, kind="stable")).all()
+
+
 def test_packed_lists_come_back():
     r = np.random.default_rng(0)
     for u in (np.unique(r.integers(0, 1 << 62, 500).astype(np.uint64)), np.array([7], np.uint64), np.arange(300, dtype=np.uint64)):
@@ -381,6 +399,36 @@ def test_packed_lists_come_back():
     assert (lm_score.unpack_counts(lm_score.pack_counts(n)) == n).all()
 
 
+def test_texts_are_cut_into_words_once():
+    """What a batch keeps has no texts, only its words' hashes, and gives the n-grams of the texts."""
+    texts = ["The cat the CAT sat", None, "", "sat the cat", "one"]
+    table = pa.table({"doc_id": pa.array([5, 6, None, 8, 9], pa.int64()), "text": pa.array(texts)})
+    got = lm_score._bundled(7)((pa.scalar(3),), table)
+    assert got.column_names == ["batch", "docs", "vocabulary", "words"] and got.num_rows == 1
+    docs, h, row = lm_score._unbundled(*[got.column(c)[0] for c in got.column_names[1:]])
+    assert docs.to_pydict() == {"doc_id": [5, 6, None, 8, 9], "n_words": [5, 0, 0, 3, 1]} and row.tolist() == [0] * 5 + [3] * 3 + [4]
+    split = [w for t in texts for w in (t or "").lower().split()]
+    assert len(dict(zip(split, h.tolist(), strict=True))) == len(set(h.tolist())) == len(set(split))
+    for m, own in enumerate(lm_score.grams(h, row, 3), 1):
+        want = [tuple(split[i - m + 1 : i + 1]) if i >= m - 1 and row[i - m + 1] == row[i] else None for i in range(len(row))]
+        assert len(set(zip(want, own.tolist(), strict=True))) == len(set(want)) == len(set(own.tolist())) and all((w is None) == (g == 0) for w, g in zip(want, own, strict=True))
+    none = lm_score._bundled(7)((pa.scalar(4),), table.slice(1, 2))
+    assert [len(x) for x in lm_score._unbundled(*[none.column(c)[0] for c in none.column_names[1:]])] == [2, 0, 0]
+
+
+def test_what_a_batch_learns_comes_in_any_order(monkeypatch):
+    """Rows of the join need no order, and a batch's may come in several parts."""
+    monkeypatch.setattr(lm_score, "TOLD_ROWS", 40)
+    r = np.random.default_rng(1)
+    rows = [((b << 32) + p, int(r.integers(1, 600))) for b in (0, 3, 9) for p in range(50)]
+    rows = [rows[i] for i in r.permutation(len(rows))]
+    parts = [pa.RecordBatch.from_pydict({"who": pa.array([w for w, _ in rows[i : i + 15]], pa.int64()), "others": pa.array([n for _, n in rows[i : i + 15]], pa.int64())}) for i in range(0, len(rows), 15)]
+    got = [x for t in lm_score._told(2)(iter([parts[0].slice(0, 0), *parts])) for x in t.to_pylist()]
+    assert {x["wave"] for x in got} == {2} and len(got) > 3
+    back = [((x["batch"] << 32) + int(p), int(n)) for x in got for p, n in zip(lm_score.unpack_hashes(x["places"]), lm_score.unpack_counts(x["others"]), strict=True)]
+    assert sorted(back) == sorted(rows)
+
+
 def test_urls(spark):
     rules = spark.createDataFrame([("example.com", "/a", "block"), ("com", "/", "allow"), ("example.com", "/a/ok", "allow"), (None, "/", "block")], url_filters.RULES)
     urls = ["http://Example.COM/a?x", "https://sub.example.com/a/ok#f", "http://notexample.com/a", "http://other.org/", None, "", "no scheme", "x://com", "http://h.com/" + "p" * 3000]

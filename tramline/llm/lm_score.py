@@ -1,13 +1,14 @@
 """Stupid-backoff scores, computed relationally from n-gram count tables.
 
-Documents are dealt into batches. A batch's n-grams of every order explode into rows (gram, who, n), one for each 64-bit
-hash with its count in the batch, so that a frequent n-gram is a row a batch; `who` is the batch and the n-gram's place in
-the batch's sorted list. Dealt by hash, they are summed into the count table (gram, total), and that is joined back to them:
-each batch learns what the other batches hold of its n-grams, and n-grams of one batch alone, which no other can tell it
-about, drop out before the join. Each document's words are then scored from the counts and summed. Counts are those of the whole corpus less the document's own, so a document does not
-vouch for itself.
-
-The n-gram space is worked off in WAVES parts by hash, one after the other: the rows of one are in shuffles at a time.
+Documents are dealt into batches, and their texts are cut into words and hashed there, once: a batch keeps the hashes of its
+distinct words and the number of each word in turn. A batch's n-grams of every order explode into rows (gram, who, n), one
+for each 64-bit hash with its count in the batch, so that a frequent n-gram is a row a batch; `who` is the batch and the
+n-gram's place in the batch's sorted lists. Dealt by hash, a window over each n-gram sums up its count and hands it back to
+its rows in the same pass: each batch learns what the other batches hold of its n-grams, and n-grams of one batch alone,
+which no other can tell it about, drop out. Each document's words are then scored from the counts and summed. Counts are
+those of the whole corpus less the document's own, so a document does not vouch for itself.
+
+The n-gram space is worked off in WAVES ranges of hashes, one after the other: the rows of one are in shuffles at a time.
 """
 
 from __future__ import annotations
@@ -19,52 +20,71 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tramline.llm.textops import MULT, SLICE, U64, give_back, given_back, lower_ascii, mix64, slices, word_hashes, words
 from tramline.session import Table, forget, release, written
 
 #: Bytes of text in a batch, about, and parts of the n-gram space.
-BATCH_BYTES, WAVES = 3 << 20, 5
+BATCH_BYTES, WAVES = 6 << 20, 5
 ORDER, ALPHA = 3, 0.4
+#: Rows of the join that are put in order at once.
+TOLD_ROWS = 1 << 18
+#: Words that are hashed at once, so that arrays stay in the processor's cache.
+BLOCK = 1 << 14
 
 
-def grams(table: pa.Table, order: int, key: int = 0) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Words of all rows: row of each; for m = 1 to order the hash of the m words that end at each (0 where the row has
-    fewer before it); and how many words each row has."""
-    hashes, rows = [], []
-    at = 0
+def packed(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, all lowest bytes first, compressed."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T)
+    return np.int64(len(x)).tobytes() + (pa.compress(planes, codec="zstd", asbytes=True) if len(x) else b"")
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    n, size = int(np.frombuffer(data, np.int64, 1)[0]), np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(memoryview(data)[8:], decompressed_size=n * size, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).reshape(-1)
+
+
+def cut(table: pa.Table, key: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word of all rows' texts in turn, words of each row)."""
+    hashes, sizes = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
     for chunk in table.column("text").chunks:
-        for i, _, buf, offs in slices(chunk, SLICE):
+        for i, j, buf, offs in slices(chunk, SLICE):
             low = lower_ascii(buf)
             s, e, r = words(low, offs)
             hashes.append(word_hashes(low, s, e, key))
-            rows.append(r + at + i)
-        at += len(chunk)
-    h = np.concatenate([np.zeros(0, U64), *hashes])
-    row = np.concatenate([np.zeros(0, np.int64), *rows])
-    out, chain = [], None
+            sizes.append(np.bincount(r, minlength=j - i))
+    return np.concatenate(hashes), np.concatenate(sizes)
+
+
+def grams(h: np.ndarray, row: np.ndarray, order: int) -> Iterator[np.ndarray]:
+    """For m = 1 to order, from the words' hashes and rows: the hash of the m words that end at each, 0 where the row has
+    fewer before it; others are 2 at least, as 1 stands for the empty gram."""
+    chain = np.zeros(0, U64)
     for m in range(1, order + 1):
-        own = np.zeros(len(h), U64)
-        if m == 1:
-            own = mix64(h + U64(MULT))
-        elif len(h) >= m:
-            same = row[m - 1 :] == row[: len(row) - m + 1]
-            own[m - 1 :] = np.where(same, mix64((chain[m - 2 : -1] * U64(MULT) + h[m - 1 :]) ^ U64(m)), U64(0))
+        own, out = np.zeros(len(h), U64), np.zeros(len(h), U64)
+        for s in range(m - 1, len(h), BLOCK):
+            e = min(s + BLOCK, len(h))
+            x = mix64(h[s:e] + U64(MULT)) if m == 1 else mix64((chain[s - 1 : e - 1] * U64(MULT) + h[s:e]) ^ U64(m)) * (row[s:e] == row[s - m + 1 : e - m + 1])
+            own[s:e], out[s:e] = x, x | (x != 0).astype(U64) << U64(1)
         chain = own
-        out.append(np.where(own == 0, U64(0), own | U64(2)))  # 0: none; 1: the empty gram
-    return row, out, np.bincount(row, minlength=table.num_rows)
+        yield out
+
+
+def in_order(x: np.ndarray) -> np.ndarray:
+    """The places of sorted hashes, equal ones as they stand. Leading bits are sorted together with the places; where those bits don't tell hashes apart, all are."""
+    low = U64((1 << max(1, len(x).bit_length())) - 1)
+    o = (np.sort((x & ~low) | np.arange(len(x), dtype=U64)) & low).astype(np.int64)
+    s = x[o]
+    return o if (s[1:] >= s[:-1]).all() else np.argsort(x, kind="stable")
 
 
-def distinct(by_order: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(sorted distinct hashes, the empty gram first, their counts, and for each order the place of each gram or -1)."""
-    whole = np.concatenate([np.full(1, 1, U64), *by_order])
-    keep = whole != 0
-    u, back, n = np.unique(whole[keep], return_inverse=True, return_counts=True)
-    place = np.full(len(whole), -1)
-    place[keep] = back
-    n[0] = len(by_order[0])  # the empty gram occurs once a word
-    size = len(by_order[0])
-    return u, n, [place[1 + i * size : 1 + (i + 1) * size] for i in range(len(by_order))]
+def wave_ends(waves: int) -> np.ndarray:
+    """The last hash of each wave's range."""
+    return np.array([((w + 1) << 64) // waves - 1 for w in range(waves)], U64)
 
 
 def pack_hashes(u: np.ndarray) -> bytes:
@@ -98,102 +118,152 @@ def unpack_counts(data: bytes) -> np.ndarray:
     return out
 
 
-def _bundled(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """A batch's documents -> batch, docs (a compressed Arrow stream of doc_id, text)."""
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.select(["doc_id", "text"]).schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_table(table.select(["doc_id", "text"]))
-    return pa.table({"batch": pa.array([key[0].as_py()], pa.int64()), "docs": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
-
+def _bundled(key: int):
+    """A batch's documents -> batch, docs (an Arrow stream of doc_id, n_words), vocabulary (hashes, frequent words first), words (the number of each in it)."""
+
+    def run(group: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        h, size = cut(table, key)
+        o = in_order(h)
+        s = h[o]
+        new = np.ones(len(s), bool)
+        new[1:] = s[1:] != s[:-1]
+        u, n = s[new], np.diff(np.append(np.flatnonzero(new), len(s)))
+        number = np.empty(len(s), np.int64)
+        number[o] = np.cumsum(new) - 1
+        del h, o, s, new
+        by = np.argsort(-n, kind="stable")
+        rank = np.empty(len(u), np.uint32)
+        rank[by] = np.arange(len(u), dtype=np.uint32)
+        docs = pa.table({"doc_id": table.column("doc_id"), "n_words": pa.array(size)})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(docs)
+        row = [group[0].as_py(), sink.getvalue().to_pybytes(), u[by].tobytes(), packed(rank[number])]
+        del u, number, n, by, rank, table
+        give_back()
+        return pa.table({k: pa.array([v], kind) for k, v, kind in zip(("batch", "docs", "vocabulary", "words"), row, (pa.int64(), *[pa.binary()] * 3), strict=True)})
 
-def _unbundled(data: pa.Scalar) -> pa.Table:
-    return pa.ipc.open_stream(data.as_buffer()).read_all()
+    return run
 
 
-def _of_wave(u: np.ndarray, wave: int, waves: int) -> np.ndarray:
-    return (u >> U64(32)) % U64(waves) == wave
+def _unbundled(docs: pa.Scalar, vocabulary: pa.Scalar, numbers: pa.Scalar) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """(doc_id and n_words, the words' hashes, the row of each)."""
+    table = pa.ipc.open_stream(docs.as_buffer()).read_all()
+    h = np.frombuffer(vocabulary.as_buffer(), U64)[unpacked(numbers.as_buffer(), np.uint32)]
+    return table, h, np.repeat(np.arange(table.num_rows, dtype=np.int32), table.column("n_words").to_numpy())
 
 
-def _exploded(order: int, wave: int, waves: int, key: int):
-    """batch, docs -> gram, who, n: the batch's distinct n-grams of the wave."""
+def _exploded(order: int, wave: int, waves: int):
+    """batch, docs, vocabulary, words -> gram, who, n: the batch's distinct n-grams of the wave, the empty one first, then order by order."""
+    ends = wave_ends(waves)
+    first, last = ends[wave - 1] + U64(1) if wave else U64(2), ends[wave]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(u: np.ndarray, n: np.ndarray, at: int) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(u), 100_000):
+                own = u[i : i + 100_000]
+                who = (number << 32) + np.arange(at + i, at + i + len(own))
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(who), pa.array(n[i : i + 100_000])], names=["gram", "who", "n"])
+
         for b in batches:
-            for number, docs in zip(b.column("batch").to_pylist(), b.column("docs"), strict=True):
-                _, by_order, _ = grams(_unbundled(docs), order, key)
-                every = np.concatenate([np.full(len(by_order[0]), 1, U64), *by_order])  # the empty gram occurs once a word
-                u, n = np.unique(every[(every != 0) & _of_wave(every, wave, waves)], return_counts=True)
-                del every
-                for i in range(0, len(u), 100_000):
-                    own = u[i : i + 100_000]
-                    who = (number << 32) + np.arange(i, i + len(own))
-                    yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(who), pa.array(n[i : i + 100_000])], names=["gram", "who", "n"])
+            for number, *bundle in zip(b.column("batch").to_pylist(), b.column("docs"), b.column("vocabulary"), b.column("words"), strict=True):
+                _, h, row = _unbundled(*bundle)
+                if wave == 0 and len(h):  # the empty gram occurs once a word
+                    yield from made(np.ones(1, U64), np.array([len(h)]), 0)
+                at = int(wave == 0)
+                for own in grams(h, row, order):
+                    u, n = np.unique(own[own - first <= last - first], return_counts=True)
+                    yield from made(u, n, at)
+                    at += len(u)
 
     return run
 
 
 def _told(wave: int):
-    """Rows (who, others) sorted by who -> batch, wave, places, others: a row for each batch in the partition."""
+    """Rows (who, others) -> batch, wave, places, others: a row for each batch among every TOLD_ROWS rows."""
+
+    def made(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        who, n = t.column("who").to_numpy(), t.column("others").to_numpy()
+        o = np.argsort(who)
+        who, n = who[o], n[o]
+        number, at = who >> 32, (who & 0xFFFFFFFF).astype(U64)
+        cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)]
+        runs = list(zip(cuts, cuts[1:], strict=False))
+        return pa.RecordBatch.from_arrays([pa.array(number[cuts[:-1]]), pa.array([wave] * len(runs), pa.int32()), pa.array([pack_hashes(at[s:e]) for s, e in runs], pa.binary()), pa.array([pack_counts(n[s:e]) for s, e in runs], pa.binary())], names=["batch", "wave", "places", "others"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        last = None
-
-        def made() -> pa.RecordBatch:
-            at, n = (np.concatenate(c) for c in zip(*held, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([wave], pa.int32()), pa.array([pack_hashes(at)], pa.binary()), pa.array([pack_counts(n)], pa.binary())], names=["batch", "wave", "places", "others"])
-
+        held: list[pa.RecordBatch] = []
+        rows = 0
         for b in batches:
-            who, n = b.column("who").to_numpy(), b.column("others").to_numpy()
-            number, at = who >> 32, (who & 0xFFFFFFFF).astype(U64)
-            cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)]
-            for s, e in zip(cuts, cuts[1:], strict=False):
-                if s == e:
-                    continue
-                if held and number[s] != last:
-                    yield made()
-                    held = []
-                last = int(number[s])
-                held.append([at[s:e], n[s:e].copy()])
+            if not b.num_rows:
+                continue
+            held.append(b)
+            rows += b.num_rows
+            if rows >= TOLD_ROWS:
+                yield made(held)
+                held, rows = [], 0
         if held:
-            yield made()
+            yield made(held)
 
     return run
 
 
-def _scored(order: int, alpha: float, waves: int, key: int):
-    """A batch's documents and what others hold of its n-grams -> doc_id, n_words, log10."""
+def _scored(order: int, alpha: float, waves: int):
+    """A batch's words and what others hold of its n-grams -> doc_id, n_words, log10."""
+    ends = wave_ends(waves)
 
-    def run(_: tuple[pa.Scalar, ...], bundle: pa.Table, told: pa.Table) -> pa.Table:
-        docs = _unbundled(bundle.column("docs")[0])
-        row, by_order, size = grams(docs, order, key)
-        u, total, places = distinct(by_order)
-        own = [np.flatnonzero(_of_wave(u, w, waves)) for w in range(waves)]
+    def scores(bundle: pa.Table, told: pa.Table) -> pa.Table:
+        docs, h, row = _unbundled(*[bundle.column(c)[0] for c in ("docs", "vocabulary", "words")])
+        size = docs.column("n_words").to_numpy()
+        lists: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(waves)]
         for w, at, n in zip(told.column("wave").to_pylist(), told.column("places"), told.column("others"), strict=True):
-            total[own[w][unpack_hashes(at.as_py()).astype(np.int64)]] += unpack_counts(n.as_py())
-        every = total[0] - size[row]  # words of all other documents
-        counts = []
-        for place in places:
-            has = place >= 0
-            pair, back, n = np.unique(row[has] * len(u) + place[has], return_inverse=True, return_counts=True)
-            c = np.zeros(len(row), np.int64)
-            c[has] = total[place[has]] - n[back]
-            counts.append(c)
-        value, open_ = np.zeros(len(row)), np.ones(len(row), bool)
-        for m in range(order, 1, -1):
-            has = places[m - 1] >= 0
-            ok = open_ & has & (counts[m - 1] > 0)
-            before = np.concatenate([[0], counts[m - 2][:-1]])
-            value[ok] += np.log10(counts[m - 1][ok] / before[ok])
-            open_ &= ~ok
-            value[open_ & has] += np.log10(alpha)
-        ok = open_ & (counts[0] > 0)
-        value[ok] += np.log10(counts[0][ok] / every[ok])
-        open_ &= ~ok
-        value[open_] += np.log10(alpha / (every[open_] + 1))
-        out = pa.table({"doc_id": docs.column("doc_id"), "n_words": pa.array(size.astype(np.int64)), "log10": pa.array(np.bincount(row, value, docs.num_rows))})
-        del docs, row, by_order, u, total, places, own, counts, every, value, open_, ok
-        give_back()
+            lists[w].append((unpack_hashes(at.as_py()).astype(np.int64), unpack_counts(n.as_py())))
+        others = []
+        for own in lists:
+            at, n = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*own, strict=True)) if own else (np.zeros(0, np.int64),) * 2
+            o = np.argsort(at)
+            others.append((at[o], n[o]))
+        del lists
+        # The empty gram, in place 0 of the first wave, counts the words of all documents.
+        at, n = others[0]
+        every = len(h) + (int(n[0]) if len(at) and at[0] == 0 else 0) - size[row]
+        begin = [int(w == 0) for w in range(waves)]
+        value, before = np.zeros(0), np.zeros(0, np.int64)
+        for m, gram in enumerate(grams(h, row, order), 1):
+            # In the order of their hashes, each document's in a run: where a gram begins, and a document's share of it.
+            o = in_order(gram)[np.count_nonzero(gram == 0) :]
+            g, r = gram[o], row[o]
+            new = np.ones(len(o), bool)
+            new[1:] = g[1:] != g[:-1]
+            at_gram = np.flatnonzero(new)
+            new[1:] |= r[1:] != r[:-1]
+            at_doc = np.flatnonzero(new)
+            many = np.diff(np.append(at_gram, len(o)))
+            total, u = many.copy(), g[at_gram]
+            s = 0
+            for w, e in enumerate(np.searchsorted(u, ends, "right").tolist()):
+                at, n = others[w]
+                i, j = np.searchsorted(at, [begin[w], begin[w] + e - s])
+                total[s + at[i:j] - begin[w]] += n[i:j]
+                begin[w] += e - s
+                s = e
+            share = np.diff(np.append(at_doc, len(o)))
+            count = np.zeros(len(h), np.int64)
+            count[o] = np.repeat(total, many) - np.repeat(share, share)
+            held = count > 0
+            if m == 1:
+                value = np.log10(alpha / (every + 1))
+                value[held] = np.log10(count[held] / every[held])
+            else:
+                value[(gram != 0) & ~held] += np.log10(alpha)
+                value[held] = np.log10(count[held] / np.append(0, before[:-1])[held])
+            before = count
+        return pa.table({"doc_id": docs.column("doc_id"), "n_words": pa.array(size), "log10": pa.array(np.bincount(row, value, docs.num_rows))})
+
+    def run(_: tuple[pa.Scalar, ...], bundle: pa.Table, told: pa.Table) -> pa.Table:
+        out = scores(bundle, told)
+        give_back()  # when all arrays of the batch are gone
         return out
 
     return run
@@ -205,13 +275,16 @@ def counted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return dealt, dealt.groupBy("gram").agg(F.sum("n").alias("total"), F.count("who").alias("batches"))
 
 
-def _one_wave(held: DataFrame, told: Table, order: int, wave: int, waves: int, key: int) -> None:
+def shared(rows: DataFrame) -> DataFrame:
+    """who, others of rows (gram, who, n) whose gram other rows hold too: the gram's total in the count table less the row's own."""
+    total = F.sum("n").over(Window.partitionBy("gram"))
+    return rows.withColumn("total", total).filter("total > n").select("who", (F.col("total") - F.col("n")).alias("others"))
+
+
+def _one_wave(held: DataFrame, told: Table, order: int, wave: int, waves: int) -> None:
     """What each batch learns of its n-grams in one part of the n-gram space."""
-    rows, counts = counted(held.mapInArrow(given_back(_exploded(order, wave, waves, key)), "gram long, who long, n long"))
-    # The count table's side is the smaller one by far: it is hashed, and the n-grams stream past it unsorted.
-    shared = counts.filter("batches > 1").select("gram", "total").hint("shuffle_hash")
-    met = rows.join(shared, "gram").select("who", (F.col("total") - F.col("n")).alias("others"))
-    told.append(met.sortWithinPartitions("who").mapInArrow(given_back(_told(wave)), told.schema))
+    rows = held.mapInArrow(given_back(_exploded(order, wave, waves)), "gram long, who long, n long")
+    told.append(shared(rows).mapInArrow(given_back(_told(wave)), told.schema))
 
 
 def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, waves: int = WAVES, batch_bytes: int = BATCH_BYTES) -> DataFrame:
@@ -227,13 +300,13 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, waves: int
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # By place in the table, so that rows that repeat are dealt out like any others; written at once, so the deal stands.
     dealt = docs.withColumn("batch", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(-(-size // batch_bytes) or 1)))
-    held = written(dealt.groupBy("batch").applyInArrow(_bundled, "batch long, docs binary"), "batches")
+    held = written(dealt.groupBy("batch").applyInArrow(_bundled(key), "batch long, docs binary, vocabulary binary, words binary"), "batches")
     release(spark)
     told = Table(spark, "counts", "batch long, wave int, places binary, others binary")
     for wave in range(waves):
-        _one_wave(held, told, order, wave, waves, key)
+        _one_wave(held, told, order, wave, waves)
         release(spark)
-    out = held.groupBy("batch").cogroup(told.read().groupBy("batch")).applyInArrow(_scored(order, alpha, waves, key), "doc_id long, n_words long, log10 double")
+    out = held.groupBy("batch").cogroup(told.read().groupBy("batch")).applyInArrow(_scored(order, alpha, waves), "doc_id long, n_words long, log10 double")
     out = written(out, "scores")
     forget(held)
     told.forget()
