@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -429,6 +430,21 @@ def test_what_a_batch_learns_comes_in_any_order(monkeypatch):
     assert sorted(back) == sorted(rows)
 
 
+def test_the_last_step_holds_few_arrays_of_all_words():
+    """At most 12 values of 8 bytes a word of the batch, so that a batch's scores fit beside the other workers of an executor."""
+    r = np.random.default_rng(3)
+    texts = [" ".join(f"w{i}" for i in r.zipf(1.3, 400) % 50_000) for _ in range(1000)]
+    bundle = lm_score._bundled(7)((pa.scalar(0),), pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts)}))
+    told = pa.table({"wave": pa.array([], pa.int32()), "places": pa.array([], pa.binary()), "others": pa.array([], pa.binary())})
+    tracemalloc.start()
+    try:
+        got = lm_score._scored(3, 0.4, 5)((pa.scalar(0),), bundle, told)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got.num_rows == 1000 and peak < 12 * 8 * 400 * 1000
+
+
 def test_urls(spark):
     rules = spark.createDataFrame([("example.com", "/a", "block"), ("com", "/", "allow"), ("example.com", "/a/ok", "allow"), (None, "/", "block")], url_filters.RULES)
     urls = ["http://Example.COM/a?x", "https://sub.example.com/a/ok#f", "http://notexample.com/a", "http://other.org/", None, "", "no scheme", "x://com", "http://h.com/" + "p" * 3000]

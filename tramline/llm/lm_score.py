@@ -26,7 +26,7 @@ from tramline.llm.textops import MULT, SLICE, U64, give_back, given_back, lower_
 from tramline.session import Table, forget, release, written
 
 #: Bytes of text in a batch, about, and parts of the n-gram space.
-BATCH_BYTES, WAVES = 6 << 20, 5
+BATCH_BYTES, WAVES = 3 << 20, 6
 ORDER, ALPHA = 3, 0.4
 #: Rows of the join that are put in order at once.
 TOLD_ROWS = 1 << 18
@@ -63,15 +63,15 @@ def cut(table: pa.Table, key: int = 0) -> tuple[np.ndarray, np.ndarray]:
 def grams(h: np.ndarray, row: np.ndarray, order: int) -> Iterator[np.ndarray]:
     """For m = 1 to order, from the words' hashes and rows: the hash of the m words that end at each, 0 where the row has
     fewer before it; others are 2 at least, as 1 stands for the empty gram."""
-    chain = np.zeros(0, U64)
+    chain = np.zeros(len(h), U64)
     for m in range(1, order + 1):
-        own, out = np.zeros(len(h), U64), np.zeros(len(h), U64)
-        for s in range(m - 1, len(h), BLOCK):
+        out = np.zeros(len(h), U64)
+        for s in reversed(range(m - 1, len(h), BLOCK)):  # in place: a block needs the one before it as it was
             e = min(s + BLOCK, len(h))
             x = mix64(h[s:e] + U64(MULT)) if m == 1 else mix64((chain[s - 1 : e - 1] * U64(MULT) + h[s:e]) ^ U64(m)) * (row[s:e] == row[s - m + 1 : e - m + 1])
-            own[s:e], out[s:e] = x, x | (x != 0).astype(U64) << U64(1)
-        chain = own
+            chain[s:e], out[s:e] = x, x | (x != 0).astype(U64) << U64(1)
         yield out
+        del out
 
 
 def in_order(x: np.ndarray) -> np.ndarray:
@@ -82,9 +82,10 @@ def in_order(x: np.ndarray) -> np.ndarray:
     return o if (s[1:] >= s[:-1]).all() else np.argsort(x, kind="stable")
 
 
-def wave_ends(waves: int) -> np.ndarray:
-    """The last hash of each wave's range."""
-    return np.array([((w + 1) << 64) // waves - 1 for w in range(waves)], U64)
+def wave_ranges(waves: int) -> list[tuple[np.uint64, np.uint64]]:
+    """The first and the last hash of each wave; 0 and 1 are in none."""
+    ends = [((w + 1) << 64) // waves - 1 for w in range(waves)]
+    return [(U64(a + 1), U64(b)) for a, b in zip([1, *ends], ends, strict=False)]
 
 
 def pack_hashes(u: np.ndarray) -> bytes:
@@ -155,8 +156,7 @@ def _unbundled(docs: pa.Scalar, vocabulary: pa.Scalar, numbers: pa.Scalar) -> tu
 
 def _exploded(order: int, wave: int, waves: int):
     """batch, docs, vocabulary, words -> gram, who, n: the batch's distinct n-grams of the wave, the empty one first, then order by order."""
-    ends = wave_ends(waves)
-    first, last = ends[wave - 1] + U64(1) if wave else U64(2), ends[wave]
+    first, last = wave_ranges(waves)[wave]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(u: np.ndarray, n: np.ndarray, at: int) -> Iterator[pa.RecordBatch]:
@@ -209,56 +209,57 @@ def _told(wave: int):
     return run
 
 
+def _learned(parts: list[tuple[pa.Scalar, pa.Scalar]], at: int, total: np.ndarray) -> None:
+    """Adds what others hold of a wave's n-grams, from place `at` on, a part at a time."""
+    for places, others in parts:
+        u = unpack_hashes(memoryview(places.as_buffer())).astype(np.int64)
+        i, j = np.searchsorted(u, [at, at + len(total)])
+        if i < j:
+            total[u[i:j] - at] += unpack_counts(memoryview(others.as_buffer()))[i:j]
+
+
 def _scored(order: int, alpha: float, waves: int):
-    """A batch's words and what others hold of its n-grams -> doc_id, n_words, log10."""
-    ends = wave_ends(waves)
+    """A batch's words and what others hold of its n-grams -> doc_id, n_words, log10. Arrays of all words are few; the rest is made wave by wave."""
+    ranges = wave_ranges(waves)
 
     def scores(bundle: pa.Table, told: pa.Table) -> pa.Table:
         docs, h, row = _unbundled(*[bundle.column(c)[0] for c in ("docs", "vocabulary", "words")])
         size = docs.column("n_words").to_numpy()
-        lists: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(waves)]
-        for w, at, n in zip(told.column("wave").to_pylist(), told.column("places"), told.column("others"), strict=True):
-            lists[w].append((unpack_hashes(at.as_py()).astype(np.int64), unpack_counts(n.as_py())))
-        others = []
-        for own in lists:
-            at, n = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*own, strict=True)) if own else (np.zeros(0, np.int64),) * 2
-            o = np.argsort(at)
-            others.append((at[o], n[o]))
-        del lists
+        parts: list[list[tuple[pa.Scalar, pa.Scalar]]] = [[] for _ in range(waves)]
+        for w, *own in zip(told.column("wave").to_pylist(), told.column("places"), told.column("others"), strict=True):
+            parts[w].append(own)
         # The empty gram, in place 0 of the first wave, counts the words of all documents.
-        at, n = others[0]
-        every = len(h) + (int(n[0]) if len(at) and at[0] == 0 else 0) - size[row]
+        every = np.array([len(h)])
+        _learned(parts[0], 0, every)
         begin = [int(w == 0) for w in range(waves)]
-        value, before = np.zeros(0), np.zeros(0, np.int64)
-        for m, gram in enumerate(grams(h, row, order), 1):
-            # In the order of their hashes, each document's in a run: where a gram begins, and a document's share of it.
-            o = in_order(gram)[np.count_nonzero(gram == 0) :]
-            g, r = gram[o], row[o]
-            new = np.ones(len(o), bool)
-            new[1:] = g[1:] != g[:-1]
-            at_gram = np.flatnonzero(new)
-            new[1:] |= r[1:] != r[:-1]
-            at_doc = np.flatnonzero(new)
-            many = np.diff(np.append(at_gram, len(o)))
-            total, u = many.copy(), g[at_gram]
-            s = 0
-            for w, e in enumerate(np.searchsorted(u, ends, "right").tolist()):
-                at, n = others[w]
-                i, j = np.searchsorted(at, [begin[w], begin[w] + e - s])
-                total[s + at[i:j] - begin[w]] += n[i:j]
-                begin[w] += e - s
-                s = e
-            share = np.diff(np.append(at_doc, len(o)))
-            count = np.zeros(len(h), np.int64)
-            count[o] = np.repeat(total, many) - np.repeat(share, share)
-            held = count > 0
-            if m == 1:
-                value = np.log10(alpha / (every + 1))
-                value[held] = np.log10(count[held] / every[held])
-            else:
-                value[(gram != 0) & ~held] += np.log10(alpha)
-                value[held] = np.log10(count[held] / np.append(0, before[:-1])[held])
+        value, before, each = np.zeros(len(h)), np.zeros(0, np.int64), grams(h, row, order)
+        for m in range(1, order + 1):
+            gram, count = next(each), np.zeros(len(h), np.int64)
+            for w, (first, last) in enumerate(ranges):
+                # In the order of their hashes, each document's in a run: where a gram begins, and a document's share of it.
+                at = np.flatnonzero(gram - first <= last - first)
+                at = at[in_order(gram[at])]
+                g, r = gram[at], row[at]
+                new = np.ones(len(at), bool)
+                new[1:] = g[1:] != g[:-1]
+                many = np.diff(np.append(np.flatnonzero(new), len(at)))
+                new[1:] |= r[1:] != r[:-1]
+                share = np.diff(np.append(np.flatnonzero(new), len(at)))
+                total = many.copy()
+                _learned(parts[w], begin[w], total)
+                begin[w] += len(total)
+                n = np.repeat(total, many) - np.repeat(share, share)
+                count[at] = n
+                held = n > 0
+                some, none = at[held], at[~held]
+                if m == 1:
+                    value[some] = np.log10(n[held] / (every - size[r[held]]))
+                    value[none] = np.log10(alpha / (every - size[r[~held]] + 1))
+                else:
+                    value[some] = np.log10(n[held] / before[some - 1])
+                    value[none] += np.log10(alpha)
             before = count
+            del gram, count  # before the next order's are made
         return pa.table({"doc_id": docs.column("doc_id"), "n_words": pa.array(size), "log10": pa.array(np.bincount(row, value, docs.num_rows))})
 
     def run(_: tuple[pa.Scalar, ...], bundle: pa.Table, told: pa.Table) -> pa.Table:
