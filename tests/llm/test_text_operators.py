@@ -400,6 +400,14 @@ def test_packed_lists_come_back():
     assert (lm_score.unpack_counts(lm_score.pack_counts(n)) == n).all()
 
 
+def test_packed_lists_are_short():
+    """Places some hundreds apart and counts that are mostly small take about as many bytes as they tell apart, not three."""
+    r = np.random.default_rng(4)
+    u = np.sort(r.choice(300_000, 2000, replace=False)).astype(np.uint64)
+    n = np.minimum(r.zipf(2.0, 2000), 10_000)
+    assert len(lm_score.pack_hashes(u)) + len(lm_score.pack_counts(n)) < 2.3 * 2000
+
+
 def test_texts_are_cut_into_words_once():
     """What a batch keeps has no texts, only its words' hashes, and gives the n-grams of the texts."""
     texts = ["The cat the CAT sat", None, "", "sat the cat", "one"]

@@ -89,34 +89,23 @@ def wave_ranges(waves: int) -> list[tuple[np.uint64, np.uint64]]:
 
 
 def pack_hashes(u: np.ndarray) -> bytes:
-    """Sorted hashes as differences."""
-    d = np.concatenate([u[:1], np.diff(u)])
-    width = max(1, (int(d[1:].max()).bit_length() + 7) // 8) if len(d) > 1 else 1
-    return bytes([width]) + u[:1].tobytes() + np.ascontiguousarray(d[1:].view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    """Sorted hashes, or places, as differences."""
+    return pack_counts(np.diff(u, prepend=U64(0)))
 
 
 def unpack_hashes(data: bytes) -> np.ndarray:
-    width = data[0]
-    rest = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
-    d = np.zeros((len(rest) + 1, 8), np.uint8)
-    d[0] = np.frombuffer(data, np.uint8, 8, 1)
-    d[1:, :width] = rest
-    return np.cumsum(d.reshape(-1).view(U64))
+    return np.cumsum(unpack_counts(data).view(U64))
 
 
 def pack_counts(n: np.ndarray) -> bytes:
-    """A byte each; those from 255 on besides as (place, count) behind."""
-    big = np.flatnonzero(n >= 255)
-    return np.int64(len(n)).tobytes() + np.minimum(n, 255).astype(np.uint8).tobytes() + big.astype(np.int64).tobytes() + n[big].astype(np.int64).tobytes()
+    """In as few bytes each as the largest needs, compressed."""
+    x = n.astype(np.min_scalar_type(int(n.max(initial=0))))
+    return bytes([x.itemsize]) + packed(x)
 
 
 def unpack_counts(data: bytes) -> np.ndarray:
-    n = int(np.frombuffer(data, np.int64, 1)[0])
-    out = np.frombuffer(data, np.uint8, n, 8).astype(np.int64)
-    rest = np.frombuffer(data[8 + n :], np.int64)
-    half = len(rest) // 2
-    out[rest[:half]] = rest[half:]
-    return out
+    data = memoryview(data)
+    return unpacked(data[1:], f"u{data[0]}").astype(np.int64)
 
 
 def _bundled(key: int):
@@ -209,13 +198,12 @@ def _told(wave: int):
     return run
 
 
-def _learned(parts: list[tuple[pa.Scalar, pa.Scalar]], at: int, total: np.ndarray) -> None:
-    """Adds what others hold of a wave's n-grams, from place `at` on, a part at a time."""
-    for places, others in parts:
-        u = unpack_hashes(memoryview(places.as_buffer())).astype(np.int64)
-        i, j = np.searchsorted(u, [at, at + len(total)])
-        if i < j:
-            total[u[i:j] - at] += unpack_counts(memoryview(others.as_buffer()))[i:j]
+def _learned(parts: list[tuple[pa.Scalar, pa.Scalar]]) -> tuple[np.ndarray, np.ndarray]:
+    """(places in order, what others hold there) of a wave's parts, which come in any order."""
+    at = np.concatenate([np.zeros(0, np.uint32), *(unpack_hashes(x.as_buffer()).astype(np.uint32) for x, _ in parts)])
+    n = np.concatenate([np.zeros(0, np.int64), *(unpack_counts(x.as_buffer()) for _, x in parts)])
+    o = np.argsort(at)
+    return at[o], n[o]
 
 
 def _scored(order: int, alpha: float, waves: int):
@@ -228,9 +216,10 @@ def _scored(order: int, alpha: float, waves: int):
         parts: list[list[tuple[pa.Scalar, pa.Scalar]]] = [[] for _ in range(waves)]
         for w, *own in zip(told.column("wave").to_pylist(), told.column("places"), told.column("others"), strict=True):
             parts[w].append(own)
+        others = [_learned(own) for own in parts]
         # The empty gram, in place 0 of the first wave, counts the words of all documents.
-        every = np.array([len(h)])
-        _learned(parts[0], 0, every)
+        places, known = others[0]
+        every = len(h) + (int(known[0]) if len(places) and places[0] == 0 else 0)
         begin = [int(w == 0) for w in range(waves)]
         value, before, each = np.zeros(len(h)), np.zeros(0, np.int64), grams(h, row, order)
         for m in range(1, order + 1):
@@ -245,8 +234,9 @@ def _scored(order: int, alpha: float, waves: int):
                 many = np.diff(np.append(np.flatnonzero(new), len(at)))
                 new[1:] |= r[1:] != r[:-1]
                 share = np.diff(np.append(np.flatnonzero(new), len(at)))
-                total = many.copy()
-                _learned(parts[w], begin[w], total)
+                total, (places, known) = many.copy(), others[w]
+                i, j = np.searchsorted(places, [begin[w], begin[w] + len(total)])
+                total[places[i:j] - begin[w]] += known[i:j]
                 begin[w] += len(total)
                 n = np.repeat(total, many) - np.repeat(share, share)
                 count[at] = n
