@@ -228,6 +228,16 @@ def test_op8_equals_brute_force(spark):
     assert [t or "" for t in got.text] == [b.decode("utf-8", "ignore") for b in kept]
 
 
+def test_repeats_in_a_document_of_over_a_megabyte(spark):
+    """Two grams of the passage have hashes that differ first in their 44th bit; which is the anchor must not depend on a document's length."""
+    left, right = "hginlujcwsxbynxmixqcjxuplkyrgaxkufkdynfhyozqbomjukygshjlxvtligwo", "dexshygqeniaunoyhshdrichgycxdbebuiaokioospeoztccceeubhzandqzrodq"
+    passage = left + ("filler " * 60)[:272] + right
+    before = bytes(np.random.default_rng(5).integers(97, 123, 1_100_000, np.uint8)).decode()
+    docs = spark.createDataFrame([(1, before + passage), (2, passage), (3, passage[1:])], "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in suffix_dedup.repeated_spans(docs).select("doc_id", "spans").collect()}
+    assert got == {1: [(1_100_000, 1_100_400)], 2: [(0, 400)], 3: []}
+
+
 def test_helper_names_clash_with_nobody(odd, spark):
     """Further columns may have the names of results (replaced) or of helpers (kept)."""
     names = ["th", "k_id", "d_id", "d_th", "r_id", "r_th", "ranges", "r_n", "r_cdf", "r_source", "label", "a_id"]
